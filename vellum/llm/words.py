@@ -57,6 +57,7 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     first_row: int
+    byte_offsets: np.ndarray
     _hash: np.ndarray | None = None
 
     @property
@@ -113,4 +114,4 @@ def split_words(part: np.ndarray, at: np.ndarray, first_row: int = 0) -> Words:
     end[:-1] &= ~solid[1:] | edge[1:n]
     starts = np.flatnonzero(begin)
     ends = np.flatnonzero(end) + 1
-    return Words(part, starts, ends, np.searchsorted(starts, at), first_row)
+    return Words(part, starts, ends, np.searchsorted(starts, at), first_row, at)
