@@ -8,14 +8,14 @@ QUALITY_RULES = r"""
 with d as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
 ), w as (
-  select doc_id, generate_subscripts(words, 1) as at, unnest(words) as word from d
+  select doc_id, generate_subscripts(words, 1) as pos, unnest(words) as word from d
 ), tri as (
-  select doc_id, at, case when lead(at, 2) over o is not null then [word, lead(word) over o, lead(word, 2) over o] end as tri
-  from w window o as (partition by doc_id order by at)
+  select doc_id, pos, case when lead(pos, 2) over o is not null then [word, lead(word) over o, lead(word, 2) over o] end as tri
+  from w window o as (partition by doc_id order by pos)
 ), twice as (
-  select doc_id, at, tri is not null and count(*) over (partition by doc_id, tri) > 1 as hit from tri
+  select doc_id, pos, tri is not null and count(*) over (partition by doc_id, tri) > 1 as hit from tri
 ), covered as (
-  select doc_id, max(case when hit then 1 else 0 end) over (partition by doc_id order by at rows between 2 preceding and current row) as c from twice
+  select doc_id, max(case when hit then 1 else 0 end) over (partition by doc_id order by pos rows between 2 preceding and current row) as c from twice
 ), rep as (select doc_id, sum(c)::bigint as n_repeat_words from covered group by 1),
 lines as (
   select doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
@@ -46,24 +46,24 @@ _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 
 def _templates(table: str, key: str) -> str:
     return f"""
-  select {key}, at, w, rtrim(w, '.!?:') as bare,
+  select {key}, pos, w, rtrim(w, '.!?:') as bare,
     case when ascii(w) between 48 and 57 then '<num>'
          when (ascii(w) between 65 and 90 or (unicode(w) > 127 and lower(rtrim(w, '.!?:')) <> rtrim(w, '.!?:')))
               and prev is not null and right(prev, 1) not in ('.', '!', '?', ':') and length(rtrim(w, '.!?:')) > 1
               and upper(rtrim(w, '.!?:')) <> rtrim(w, '.!?:') then '<name>'
          when prev is not null and ascii(prev) between 48 and 57 and lower(rtrim(w, '.!?:')) in ({_UNITS}) then '<unit>'
          else lower(rtrim(w, '.!?:')) end as t
-  from (select {key}, at, w, lag(w) over (partition by {key} order by at) as prev
-        from (select {key}, generate_subscripts(ws, 1) as at, unnest(ws) as w
+  from (select {key}, pos, w, lag(w) over (partition by {key} order by pos) as prev
+        from (select {key}, generate_subscripts(ws, 1) as pos, unnest(ws) as w
               from (select {key}, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') as ws from {table})))"""
 
 
 def _windows(name: str, key: str) -> str:
     rest = ", ".join(f"lead(t, {i}) over o" for i in range(1, WINDOW))
     return f"""
-  select {key}, at, win from (
-    select {key}, at, [t, {rest}] as win, count(*) over (partition by {key}) as n
-    from {name} window o as (partition by {key} order by at)) where at <= greatest(n - {WINDOW - 1}, 1)"""
+  select {key}, pos, win from (
+    select {key}, pos, [t, {rest}] as win, count(*) over (partition by {key}) as n
+    from {name} window o as (partition by {key} order by pos)) where pos <= greatest(n - {WINDOW - 1}, 1)"""
 
 
 DECONTAMINATE = f"""
@@ -71,12 +71,12 @@ with dt as ({_templates("documents", "doc_id")}), bt as ({_templates("benchmark"
 dw as ({_windows("dt", "doc_id")}), bw as ({_windows("bt", "item_id")}),
 n as (select item_id, count(*) as n_windows from bw group by 1),
 hits as (
-  select doc_id, item_id, dw.at - bw.at as shift, count(distinct bw.at) as n_hits
+  select doc_id, item_id, dw.pos - bw.pos as shift, count(distinct bw.pos) as n_hits
   from dw join bw using (win) group by all
 ), near as (select * from hits join n using (item_id) where n_hits >= n_windows * {SIMILARITY}),
 slots as (
   select near.doc_id, near.item_id, near.shift, bt.t as kind, bt.bare as old, dt.bare as new
-  from near join bt using (item_id) join dt on dt.doc_id = near.doc_id and dt.at = near.shift + bt.at and dt.t = bt.t
+  from near join bt using (item_id) join dt on dt.doc_id = near.doc_id and dt.pos = near.shift + bt.pos and dt.t = bt.t
   where bt.t in ('<num>', '<name>', '<unit>')
 ), v as (
   select doc_id, item_id, shift, max(news) as news, sum(changed) as n_changed from (
