@@ -18,7 +18,7 @@ with d as (
   select doc_id, max(case when hit then 1 else 0 end) over (partition by doc_id order by pos rows between 2 preceding and current row) as c from twice
 ), rep as (select doc_id, sum(c)::bigint as n_repeat_words from covered group by 1),
 lines as (
-  select doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+  select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
 ), m as (
   select doc_id, len(words)::bigint as n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
@@ -118,3 +118,16 @@ select z.page_id, record_id, status, canonical_url, refers_to, outcome, p.body_m
   case when outcome in ('full', 'resolved') then 5 else 0 end::int as n_headers
 from z left join p on p.page_id * 2 = refers_to
 """
+
+SUBSTRINGS = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d)),
+least as (select win, min(doc_id) as lo from win group by 1),
+hit as (select doc_id, i from win join least using (win) where lo < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from hit),
+w as (select doc_id, generate_subscripts(ws, 1) as p, unnest(ws) as word from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as kept from w anti join gone using (doc_id, p) group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""

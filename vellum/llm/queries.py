@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vellum
-from vellum.llm import chat, decontaminate, packing, quality_rules, sharding, simhash, warc
+from vellum.llm import chat, decontaminate, html_text, packing, quality_rules, sharding, simhash, substrings, warc
 from vellum.llm import oracles as sql
 
 
@@ -41,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -49,6 +53,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,12 +66,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_quality_rules, op4_sharding, op6_packing, op7_chat, op9_decontaminate, op10_warc)
+    f.__name__: f for f in (op1_simhash, op3_quality_rules, op4_sharding, op5_html, op6_packing, op7_chat, op8_substrings, op9_decontaminate, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op7_chat": chat.ORACLE_SQL,
+    "op8_substrings": sql.SUBSTRINGS,
     "op9_decontaminate": sql.DECONTAMINATE,
     "op10_warc": sql.WARC,
 }
