@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.store import written
+
 WINDOW, SIMILARITY = 5, 0.8
 #: Benchmark windows up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -32,13 +34,13 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def template(words: str) -> Column:
-    """The template of the array column ``words``; one entry for each token."""
+def template(words: Column) -> Column:
+    """The templates of an array of tokens, one for each."""
 
     def one(w: Column, i: Column) -> Column:
         bare = F.rtrim(w, F.lit(".!?:"))
         low = F.lower(bare)
-        before = F.when(i > 0, F.element_at(F.col(words), i))  # element_at counts from 1
+        before = F.get(words, i - 1)
         first = F.ascii(w)
         capital = first.between(65, 90) | ((first > 127) & (low != bare))
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
@@ -52,17 +54,30 @@ def template(words: str) -> Column:
     return F.transform(words, one)
 
 
-def windows(rows: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``rows`` (..., words, tpl) with one row for each window: ``at`` from 1 and its hash ``h``.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def windows(rows: DataFrame, key: str, n: int = WINDOW) -> DataFrame:
+    """(key, at, h): the hash of each template window and the token, from 1, where it starts.
 
-    A shorter text that isn't empty is one window.
+    A shorter text that isn't empty is one window.  Hashes are made as an array and
+    exploded alone: a row that carried the whole template would copy it each time.
     """
-    last = F.greatest(F.size("tpl") - (n - 1), F.lit(1))
-    return rows.where(F.size("tpl") > 0).withColumn("at", F.explode(F.sequence(F.lit(1), last))).withColumn("h", F.xxhash64(F.slice("tpl", F.col("at"), n)))
+
+    def hashed(tpl: Column) -> Column:
+        last = F.greatest(F.size(tpl) - (n - 1), F.least(F.size(tpl), F.lit(1)))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i > 0, F.xxhash64(F.slice(tpl, F.greatest(i, F.lit(1)), n))))
+
+    found = _let(tokens("text"), lambda ws: _let(template(ws), hashed))
+    return rows.select(F.col(key).cast("long").alias(key), F.posexplode(found).alias("at", "h")).where("at > 0")
 
 
 def _prepared(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col(key).cast("long").alias(key), tokens("text").alias("words")).withColumn("tpl", template("words"))
+    """(key, words, tpl). The tokens are bound once for each row; as a plain column the lambda would find them anew for each word."""
+    both = F.transform(F.array(tokens("text")), lambda ws: F.struct(ws.alias("words"), template(ws).alias("tpl")))
+    return rows.select(F.col(key).cast("long").alias(key), F.inline(both))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -72,17 +87,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the slots whose values differ.  Items without a token match nothing.  Repeated
     item_ids and doc_ids are taken as one.  Rows with a null id are left out.
     """
-    items = _prepared(benchmark.where("item_id is not null"), "item_id").dropDuplicates(["item_id"])
-    item_windows = windows(items).select("item_id", "at", "h")
+    benchmark = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = _prepared(benchmark, "item_id")
+    item_windows = windows(benchmark, "item_id")
     n = item_windows.agg(F.count("*")).first()[0]
     probes = item_windows.select("h", "item_id", F.col("at").alias("item_at"))
     if n <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
-    doc_windows = windows(_prepared(docs.where("doc_id is not null"), "doc_id")).select("doc_id", "at", "h")
+    doc_windows = windows(docs.where("doc_id is not null"), "doc_id")
     hits = doc_windows.join(probes, "h").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("item_at").alias("n_hits"))
     sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    near = hits.join(sizes, "item_id").where(F.col("n_hits") >= F.col("n_windows") * SIMILARITY)
-    return _consistent(near, docs, items)
+    near = written(hits.join(sizes, "item_id").where(F.col("n_hits") >= F.col("n_windows") * SIMILARITY), "near")
+    return written(_consistent(near, docs, items), "leaks")
 
 
 def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
