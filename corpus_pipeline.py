@@ -1,11 +1,23 @@
-"""From raw documents to packed training sequences, by five stages."""
+"""From raw documents to packed training sequences, by five stages.
+
+Each stage works on all that the one before kept.  ``run`` writes every stage's
+result to the shared folder and reads it again, as a job that may lose executors
+would.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 import vellum
-from vellum.llm import simhash
+from vellum.llm import decontaminate, packing, quality_rules, simhash, substrings
+from vellum.llm.store import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy rejects go."""
+    vellum.ship(spark)
+    return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +26,40 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a smaller doc_id has go from the texts; n_chars follows, all documents stay."""
+    vellum.ship(spark)
+    left = substrings.without_repeats(docs)
+    n_chars = "if(n_removed > 0, cast(length(text) as bigint), n_chars)"
+    return left.selectExpr(*(f"{n_chars} as n_chars" if c == "n_chars" else c for c in docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    vellum.ship(spark)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    vellum.ship(spark)
+    return packing.packed(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 STAGES = [
+    ("quality rules", quality),
     ("simhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", pack),
 ]
 
-#: Fingerprints and suffix automata are beyond SQL; tests hold the stages against brute force.
+#: Fingerprints and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
     return docs

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vellum
-from vellum.llm import chat, decontaminate, html_text, packing, quality_rules, sharding, simhash, substrings, warc
+from vellum.llm import chat, decontaminate, html_text, lm_score, packing, quality_rules, sharding, simhash, substrings, warc
 from vellum.llm import oracles as sql
 
 
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -66,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_quality_rules, op4_sharding, op5_html, op6_packing, op7_chat, op8_substrings, op9_decontaminate, op10_warc)
+    f.__name__: f for f in (op1_simhash, op2_lm_score, op3_quality_rules, op4_sharding, op5_html, op6_packing, op7_chat, op8_substrings, op9_decontaminate, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
