@@ -31,7 +31,7 @@ lines as (
   from d join lines using (doc_id) left join rep using (doc_id)
 ), b as (
   select *,
-    (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 50 * n_words)::bigint
+    (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint
     + 8 * (10 * word_chars < 20 * n_words)::bigint + 16 * (word_chars > 25 * n_words)::bigint
     + 32 * (100 * n_dup_lines > 40 * n_lines)::bigint
     + 64 * (100 * n_upper > 60 * (n_upper + n_lower) and n_upper > 50)::bigint as fail_bits

@@ -24,7 +24,7 @@ SYMBOLS = b"#*$%&|<>"
 RULES: dict[str, Column | str] = {
     "too_few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "100 * n_symbols > 50 * n_words",
+    "symbols": "100 * n_symbols > 20 * n_words",
     "short_words": "10 * word_chars < 20 * n_words",
     "long_words": "word_chars > 25 * n_words",
     "repeated_lines": "100 * n_dup_lines > 40 * n_lines",
