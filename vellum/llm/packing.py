@@ -40,34 +40,43 @@ SURE = "[^\t-\r -~À-ÖØ-öø-ſ‘-”–—…€¡¿«»]"
 
 @lru_cache(maxsize=2)
 def _encoder(path: str | None):
-    """text -> ids as little-endian bytes; the same ids as the tokenizer file gives."""
+    """text -> ids as little-endian bytes; the same ids as the tokenizer file gives.
+
+    Words are encoded apart and the first REMEMBERED of them are kept.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
+    # the file's ids are the order of its merges, so they serve as merge ranks
+    # byte-level files write visible bytes as themselves, the others as the code points from 256 on
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
+    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in whole.get_vocab().items() if token not in special}
+    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     split, unsure = re.compile(SPLIT).findall, re.compile(SURE).search
     known: dict[str, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def one(word: str) -> bytes:
+        ids = merge(word.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(known) < REMEMBERED:
+            known[word] = packed
+        return packed
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
         if unsure(text):
-            return ids([text])[0]
-        words = split(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, ids(new), strict=True))
-        return b"".join([known[w] for w in words])
+            ids = whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        get = known.get
+        return b"".join([get(w) or one(w) for w in split(text)])
 
     return encode
 
