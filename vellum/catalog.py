@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.operators import quality
+from vellum.operators import diagnostics, quality, scoring
 
 FLAGSHIP = "quality_score"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (quality,):
+for _part in (quality, scoring, diagnostics):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
