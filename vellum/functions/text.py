@@ -128,7 +128,9 @@ def response_truncated(src: Column, mt: Column) -> Column:
 
 
 def ends_at_sentence(text: Column) -> Column:
-    return text.rlike(r"[.!?;:。！？]['\"”’)\]]*\s*$")
+    """Ends with one of .!?;: and perhaps a closing quote or bracket; the empty text does too."""
+    bare = F.regexp_replace(text, f"[{SPACE}]+$", "")
+    return (text == "") | bare.rlike(r"[.!?;:]\s*[\")]?$")
 
 
 def missing(a: Column, b: Column) -> Column:

@@ -195,7 +195,7 @@ select conv_id, idx, regexp_matches(mt, '[{T.VIETNAMESE}]') as has_vietnamese,
   length({_T}) >= 20 and {T.sql_english("mt")} >= 5 and {T.sql_count("lower(mt)", f"[{T.VIETNAMESE}]")} < {T.sql_english("mt")} * 0.5 as english_heavy,
   length(src) >= 200 and (mt = '' or length(mt) < length(src) * 0.3) as truncated,
   {_T} = '' or (length({_S}) > 200 and length({_T}) < length({_S}) * 0.3) as response_truncated,
-  regexp_matches(mt, '[.!?;:。！？][''"”’)\\]]*\\s*$') as ends_at_sentence,
+  mt = '' or regexp_matches(regexp_replace(mt, '[{T.SPACE}]+$', ''), '[.!?;:]\\s*[")]?$') as ends_at_sentence,
   len(list_distinct(regexp_extract_all(mt, '[0-9]+(?:[.,][0-9]+)*'))) as n_numbers,
   length(src) > 40 and length(mt) > 0 and length(mt)::double / length(src) < 0.6 as over_compressed
 from {V.SQL_PAIRS}""",
