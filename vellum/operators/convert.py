@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.functions.text import sql_strip, strip
 from vellum.sources import views as V
 
 # Replacements in this order; the braces that the first one makes are escaped again by the later ones.
@@ -33,7 +34,7 @@ def escape(text: str) -> str:
 
 def text_body(text: Column) -> Column:
     """Paragraphs, split at blank lines, escaped and joined by a blank line."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
     return F.array_join(F.transform(parts, escaped), "\n\n")
 
 
@@ -156,5 +157,5 @@ def _sql_escape(x: str) -> str:
     return x
 
 
-_BODY = rf"array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: trim(p)), lambda p: p <> ''), lambda p: {_sql_escape('p')}), chr(10) || chr(10))"
+_BODY = rf"array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: {sql_strip('p')}), lambda p: p <> ''), lambda p: {_sql_escape('p')}), chr(10) || chr(10))"
 ORACLE_SQL = {"text_to_latex": f"select doc_id, md5({_BODY}) as digest, length({_BODY}) as n_chars from documents"}
