@@ -52,7 +52,7 @@ def judge_scores(answers: DataFrame, weight) -> DataFrame:
     """
     said = answers.select("id", F.explode_outer(json_array(F.col("raw"))).alias("a")).where("a is not null")
     lost = F.aggregate(F.coalesce("a.errors", F.array().cast("array<struct<category string, severity string>>")), F.lit(0.0), lambda s, e: s + weight(e["category"], e["severity"]))
-    score = F.when(F.col("a.errors").isNotNull(), F.greatest(F.lit(0.0), 100 - lost)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("a.score"))))
+    score = F.when(F.col("a.errors").isNotNull(), F.greatest(F.lit(0.0), 100 - lost)).when(F.col("a.score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("a.score"))))
     said = said.select("id", F.col("a.index").alias("index"), score.alias("score")).groupBy("id", "index").agg(F.max("score").alias("score"))
     return answers.select("id", F.explode("asked").alias("index")).join(said, ["id", "index"], "left")
 
@@ -91,11 +91,12 @@ def guarded_fix(blocks: DataFrame, fixes: DataFrame, accept) -> DataFrame:
 def normalised_score(raw: Column) -> Column:
     """Scores up to 1 are shares; clamped to 0..100, other text is null."""
     x = raw.try_cast("double")
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.when(x <= 1, x * 100).otherwise(x)))
+    return F.when(x.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.when(x <= 1, x * 100).otherwise(x))))
 
 
 def clamped_tabs(n: Column) -> Column:
-    return F.coalesce(F.least(F.lit(6), F.greatest(F.lit(1), n.try_cast("int"))), F.lit(2))
+    i = n.try_cast("int")
+    return F.when(i.isNull(), 2).otherwise(F.least(F.lit(6), F.greatest(F.lit(1), i)))
 
 
 def model_preference(value: Column) -> Column:
