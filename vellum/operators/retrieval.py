@@ -10,6 +10,8 @@ from vellum.sources import views as V
 
 #: Queries are the rows whose id this divides.
 EVERY = 100
+#: Rows of a query side up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -20,23 +22,31 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def idf(counts: DataFrame) -> DataFrame:
     """(token, df, idf): ln((N + 1) / (df + 1)) + 1 over the N documents that have tokens."""
-    n = counts.select("doc_id").distinct().count()
-    return counts.groupBy("token").agg(F.count("*").alias("df")).select("token", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    n = counts.agg(F.count_distinct("doc_id").alias("docs"))
+    df = counts.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    return df.select("token", "df", (F.log((F.col("docs") + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc_id, token, w), each document of length 1."""
     raw = counts.join(weights.select("token", "idf"), "token").select("doc_id", "token", (F.col("tf") / F.col("n") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "token", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "token", (F.col("x") / norm).alias("w"))
+
+
+def _if_small(rows: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows; else the join is shuffled."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def tfidf_top(docs: DataFrame, k: int = 3, every: int = EVERY) -> DataFrame:
     """The k most similar other documents of each query document, by cosine over shared tokens."""
     counts = term_counts(docs)
     v = vectors(counts, idf(counts))
-    q = v.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("qw"))
-    s = v.join(q, "token").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    weights = idf(counts)
+    own = vectors(term_counts(docs.where(F.col("doc_id") % every == 0)), weights)
+    q = own.select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("qw"))
+    s = v.join(_if_small(q), "token").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return s.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 

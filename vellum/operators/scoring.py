@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from vellum.functions import text as T
 from vellum.sources import views as V
 
 CHAR_ORDERS, WORD_ORDERS = 6, 2
+#: White space as the column functions see it.
+WHITE = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # Weights of an error by category, for minor, major and critical.
 MQM_WEIGHTS = {"accuracy": (1, 5, 25), "fluency": (0.1, 1, 5), "terminology": (0.1, 1, 5), "style": (0.1, 0.5, 2), "locale": (0.1, 0.5, 2)}
 SEVERITY_RANK = {"minor": 1, "major": 2, "critical": 3}
 
 
-def _slices(n_items: Column, n: int, take) -> Column:
-    """``take(i)`` for each start i, from 1, of n items in a row; none if there are fewer."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n_items - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= n_items)
-    return F.transform(starts, take)
+def _overlaps(a: list, b: list, n: int) -> tuple[int, int, int]:
+    """(n-grams of a, of b, in both with repeats)."""
+    grams = lambda x: Counter(zip(*(x[i:] for i in range(n)), strict=False))
+    ga, gb = grams(a), grams(b)
+    return max(0, len(a) - n + 1), max(0, len(b) - n + 1), sum((ga & gb).values())
 
 
-def char_ngrams(shown: Column, n: int) -> Column:
-    """All n-grams of code points."""
-    return _slices(F.length(shown), n, lambda i: F.substring(shown, i, F.lit(n)))
+_OVERLAP = S.StructType([S.StructField("kind", S.StringType()), *(S.StructField(f, S.LongType()) for f in ("total_h", "total_r", "matched"))])
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """All n-grams of words, joined by a tab."""
-    return _slices(F.size(words), n, lambda i: F.array_join(F.slice(words, i, n), "\t"))
+@F.pandas_udf(S.ArrayType(_OVERLAP))
+def overlaps(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Overlaps of every order of one pair; within the row, so nothing is shuffled."""
+    split = re.compile(WHITE).split
 
+    def one(h: str, r: str) -> list[tuple]:
+        words = [[w for w in split(x) if w] for x in (h, r)]
+        chars = [list(x.replace(" ", "▁")) for x in (h, r)]
+        return [(f"c{n}", *_overlaps(*chars, n)) for n in range(1, CHAR_ORDERS + 1)] + [(f"w{n}", *_overlaps(*words, n)) for n in range(1, WORD_ORDERS + 1)]
 
-def all_ngrams(text: Column) -> Column:
-    """(kind, gram) of every order; text and words are bound once, and only the result is exploded."""
-    kind = lambda k, grams: F.transform(grams, lambda g: F.struct(F.lit(k).alias("kind"), g.alias("gram")))
-    chars = F.transform(F.array(F.replace(text, F.lit(" "), F.lit("▁"))), lambda x: F.flatten(F.array(*(kind(f"c{n}", char_ngrams(x, n)) for n in range(1, CHAR_ORDERS + 1)))))
-    words = F.transform(F.array(T.tokens(text)), lambda x: F.flatten(F.array(*(kind(f"w{n}", word_ngrams(x, n)) for n in range(1, WORD_ORDERS + 1)))))
-    return F.flatten(F.concat(chars, words))
+    return pd.Series([one(h, r) for h, r in zip(hyp, ref, strict=True)])
 
 
 def ngram_matches(rows: DataFrame) -> DataFrame:
     """(conv_id, idx, kind, total_h, total_r, matched) of mt against src for each order, c1 to c6 and w1, w2."""
-    side = lambda col, h: rows.select("conv_id", "idx", F.inline(all_ngrams(F.col(col)))).withColumn("h", F.lit(h))
-    counts = side("mt", 1).unionByName(side("src", 0)).groupBy("conv_id", "idx", "kind", "gram").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
-    return counts.groupBy("conv_id", "idx", "kind").agg(F.sum("h").alias("total_h"), F.sum("r").alias("total_r"), F.sum(F.least("h", "r")).alias("matched"))
+    return rows.select("conv_id", "idx", F.inline(overlaps("mt", "src")))
 
 
 def _f(m: Column, h: Column, r: Column) -> Column:
