@@ -95,7 +95,7 @@ def records(spark, rows):
 def test_revisits(spark):
     day = 86_400
     rows = [
-        (1, "http://www.A.com/x/", 10, 200, {"ETag": '"1"', "Content-Length": "9", "X": "old"}, ""),
+        (1, "http://www.A.com/x/", 10, 200, {"etag": '"0"', "ETag": '"1"', "Content-Length": "9", "X": "old"}, ""),
         (2, "https://a.com/x#f", 5 * day, 304, {"etag": 'W/"1"', "content-length": "0", "x": "new"}, ""),
         (3, "https://a.com/x?utm_source=q", 6 * day, 200, {"ETag": '"2"'}, ""),
         (4, "a.com/x", 6 * day, 304, {"etag": '"2"'}, ""),

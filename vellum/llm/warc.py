@@ -49,10 +49,13 @@ def resolve(records: DataFrame) -> DataFrame:
     ``no_earlier`` if there is no full response before it, ``mismatch`` if no validator
     agrees.  Only status 200 counts as a full response.  Of captures in one second the
     full ones come first, then the lesser record_id.  Null urls and times never
-    resolve; null headers count as none; header names are compared in lower case.
+    resolve; null headers count as none; header names are compared in lower case, and of
+    two that then agree the later counts.
     """
     none = F.create_map().cast("map<string,string>")
-    lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce("headers", none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    given = F.transform(F.map_entries(F.coalesce("headers", none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(given, lambda e: e["key"])
+    lower = F.map_from_entries(F.filter(given, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
     rows = records.withColumn("headers", lower).withColumn("__url", canonical_url("url")).withColumn("__stretch", F.floor(F.col("ts") / STRETCH))
     full = (F.col("status") == 200) & F.col("__url").isNotNull() & F.col("ts").isNotNull()
     state = F.struct("ts", F.col("record_id").alias("id"), "headers")
