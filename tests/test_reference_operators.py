@@ -215,3 +215,20 @@ def test_streams(spark, tmp_path):
 def test_every_query_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     assert len(set(df.columns)) == len(df.columns) and df.count() >= 0
+
+
+def test_keyed_decisions(spark):
+    from vellum.operators import state as decisions
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(decisions.bypass_reason(F.lit(t))) for t in ("", "http://a.b", "7", "words here")] == ["empty", "url_only", "too_short", None]
+    assert one(decisions.output_issues(F.lit(10), F.lit(10), F.lit(100.0), F.lit(25.0))) == ["strict", "proofread"]
+    assert one(decisions.is_chunk_key(F.lit("input:a/b.tex:12"))) and not one(decisions.is_chunk_key(F.lit("input:../b:1"))) and not one(decisions.is_job_id(F.lit("a..b")))
+    assert one(decisions.upload_kind(F.lit("X.TAR.GZ"))) == "latex"
+    s = decisions.sections_of_chunks(spark.createDataFrame([(1, 0), (1, 2)], "doc_id long, chunk long"), spark.createDataFrame([(1, 0, 0), (1, 1, 150), (1, 2, 201)], "doc_id long, section long, first long"))
+    assert sorted((r.chunk, r.section) for r in s.collect()) == [(0, 0), (2, 1)]
+    e = spark.createDataFrame([(1, "\\begin{a}\\begin{b}"), (1, "\\end{a}"), (1, "% \\end{b}")], "doc_id long, text string")
+    assert [tuple(r) for r in decisions.environment_counts(e).collect()] == [(1, "b", 1, 0)]
+    a = spark.createDataFrame([(1, "m", "own"), (None, "m", "general")], "chunk long, model string, anchor string")
+    asked = spark.createDataFrame([(1, "m"), (2, "m"), (3, "z")], "chunk long, model string")
+    assert sorted((r.chunk, r.anchor) for r in decisions.handoff(asked, a).collect()) == [(1, "own"), (2, "general"), (3, None)]
