@@ -232,3 +232,24 @@ def test_keyed_decisions(spark):
     a = spark.createDataFrame([(1, "m", "own"), (None, "m", "general")], "chunk long, model string, anchor string")
     asked = spark.createDataFrame([(1, "m"), (2, "m"), (3, "z")], "chunk long, model string")
     assert sorted((r.chunk, r.anchor) for r in decisions.handoff(asked, a).collect()) == [(1, "own"), (2, "general"), (3, None)]
+
+
+def test_latex_text(spark):
+    from vellum.operators import latex
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(latex.without_comments(F.lit("a % b\n % c\n\nd"))) == "a % b\n\nd"
+    assert one(latex.preamble(F.lit("p\\begin{document}b")))["body"] == "\\begin{document}b"
+    assert one(latex.summary(F.lit("One. Two! Three."))) == "One. Two" and one(latex.summary(F.lit("word " * 60))).endswith("word...")
+    assert latex.split_blocks("a\n\nb \\begin{x}1\\begin{x}2\\end{x}\\end{x}\\section{S}\nrest\n\nend") == ["a", "b ", "\\begin{x}1\\begin{x}2\\end{x}\\end{x}", "\\section{S}\n", "rest", "end"]
+    assert latex.unbalanced("\\begin{a}\n\\end{b}\n% \\end{a}") == [(2, "closes b"), (1, "open a")]
+    assert one(latex.split_toc(F.lit("Contents here 1.1 Intro words 1.2 More words"))) == "Contents here\n1.1 Intro words\n1.2 More words"
+    assert one(latex.bound_compounds(F.lit("Học máy và học sâu"), ["học máy", "học sâu"])) == "Học\u00a0máy và học\u00a0sâu"
+    rows = spark.createDataFrame([(1, "\\begin{a}x\\end{a}", "\\begin{a}x")], "id long, src string, mt string")
+    assert [tuple(r) for r in latex.lost_environments(rows).collect()] == [(1, "\\end{a}", 1)]
+    known = spark.createDataFrame([("A  b", "first", 1), ("a b", "last", 2)], "src string, mt string, ordinal long")
+    assert latex.cell_translations(spark.createDataFrame([("a B",)], "cell string"), known).first().mt == "last"
+    p = spark.createDataFrame([(1, "[3, table cell, max 40 chars] text \n[4, max 9 chars] y")], "id long, text string")
+    assert sorted(tuple(r)[1:] for r in latex.budgets(p).collect()) == [(3, 40, 4, "table"), (4, 9, 1, "plain")]
+    refs = spark.createDataFrame([(1, 0, "same text")], "conv_id long, idx long, ref string")
+    assert latex.chrf_with_references(pairs(spark, [(1, 0, "x", "same text"), (2, 0, "x", "y")]), refs).collect()[0].chrf == 100

@@ -1,0 +1,166 @@
+"""LaTeX and document text: comments, preambles, environments, summaries, references joined to pairs."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.window import Window
+
+from vellum.functions import text as T
+from vellum.operators import scoring
+from vellum.sources import views as V
+
+SUMMARY = 200
+MARKER = re.compile(r"\\begin\{([^}]+)\}|\\end\{([^}]+)\}|\\(?:part|chapter|section|subsection|subsubsection)\*?\{")
+
+
+def without_comments(text: Column) -> Column:
+    """Without lines that are only a comment."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.ltrim(x).startswith("%")), "\n")
+
+
+def translatable_length(text: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\[a-zA-Z]+\*?(\{[^}]*\})*", " "), r"[$%\\{}\[\]]", " ")
+    return F.length(T.strip(plain))
+
+
+def preamble(text: Column) -> Column:
+    """(preamble, body), split before the first document environment."""
+    at = F.instr(text, r"\begin{document}")
+    return F.when(at > 0, F.struct(F.left(text, at - 1).alias("preamble"), F.substring(text, at, F.length(text)).alias("body"))).otherwise(F.struct(F.lit("").alias("preamble"), text.alias("body")))
+
+
+def summary(text: Column) -> Column:
+    """The first two sentences; over 200 characters cut at the last space."""
+    two = F.array_join(F.slice(F.split(text, r"[.!?]\s+"), 1, 2), ". ")
+    head = F.left(two, F.lit(SUMMARY))
+    return F.when(F.length(two) > SUMMARY, F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("..."))).otherwise(two)
+
+
+def split_toc(text: Column) -> Column:
+    """A line break before each section number of a joined table of contents."""
+    mark = r"(?<=\S)\s+([0-9]+(?:\.[0-9]+){1,3}\s+)(?=\p{Lu})"
+    return F.when((F.length(text) >= 30) & (F.regexp_count(text, F.lit(mark)) >= 2), F.regexp_replace(text, mark, "\n$1")).otherwise(text)
+
+
+def bound_compounds(text: Column, compounds: list[str]) -> Column:
+    """A no-break space inside each of the compounds, in any case."""
+    for c in sorted(compounds, key=len, reverse=True):
+        parts = c.split(" ")
+        text = F.regexp_replace(text, "(?iu)(" + ")[ ](".join(map(re.escape, parts)) + ")", "\u00a0".join(f"${i + 1}" for i in range(len(parts))))
+    return text
+
+
+def split_blocks(text: str) -> list[str]:
+    """Environments whole, heading lines alone, other text by blank lines."""
+    out: list[str] = []
+    at = 0
+
+    def plain(part: str) -> None:
+        out.extend(p for p in re.split(r"\n\s*\n", part) if p.strip())
+
+    while at < len(text):
+        m = next((m for m in MARKER.finditer(text, at) if not m[2]), None)
+        if m is None:
+            plain(text[at:])
+            break
+        plain(text[at : m.start()])
+        end = _closing(text, m) if m[1] else None
+        if end is None:
+            end = text.find("\n", m.start()) + 1 or len(text)
+        out.append(text[m.start() : end])
+        at = end
+    return out
+
+
+def _closing(text: str, begin: re.Match) -> int | None:
+    depth = 0
+    for m in MARKER.finditer(text, begin.start()):
+        depth += m[1] == begin[1]
+        depth -= m[2] == begin[1]
+        if not depth:
+            return m.end()
+    return None
+
+
+def unbalanced(text: str) -> list[tuple[int, str]]:
+    """(line from 1, problem) of environments that close nothing or stay open; comment lines aside."""
+    stack: list[tuple[str, int]] = []
+    out: list[tuple[int, str]] = []
+    for i, line in enumerate(text.split("\n"), 1):
+        if line.lstrip().startswith("%"):
+            continue
+        for m in MARKER.finditer(line):
+            if m[1]:
+                stack.append((m[1], i))
+            elif m[2] and stack and stack[-1][0] == m[2]:
+                stack.pop()
+            elif m[2]:
+                out.append((i, f"closes {m[2]}"))
+    return out + [(i, f"open {name}") for name, i in stack]
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def blocks_column(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(split_blocks)
+
+
+@F.pandas_udf(S.ArrayType(S.StructType([S.StructField("line", S.IntegerType()), S.StructField("problem", S.StringType())])))
+def unbalanced_column(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(unbalanced)
+
+
+def lost_environments(rows: DataFrame) -> DataFrame:
+    """(id, marker, lost): begin and end markers of the source that the translation lacks, with how many."""
+    mark = r"\\(?:begin|end)\{[^}]+\}"
+    n = lambda c, name: rows.select("id", F.explode(F.regexp_extract_all(c, F.lit(mark), F.lit(0))).alias("marker")).groupBy("id", "marker").agg(F.count("*").alias(name))
+    both = n("src", "a").join(n("mt", "b"), ["id", "marker"], "left")
+    return both.select("id", "marker", (F.col("a") - F.coalesce("b", F.lit(0))).alias("lost")).where("lost > 0")
+
+
+def chrf_with_references(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """Scores against references (conv_id, idx, ref); pairs without one, or blank, are left out."""
+    j = rows.select("conv_id", "idx", "mt").join(references.select("conv_id", "idx", F.col("ref").alias("src")), ["conv_id", "idx"])
+    return scoring.chrf(j.where((T.strip(F.col("mt")) != "") & (T.strip(F.col("src")) != "")))
+
+
+def cell_translations(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """``cells`` (cell) with the translation of the same text, white space and case aside; of several the last counts."""
+    last = known.groupBy(T.collapsed(F.col("src")).alias("__k")).agg(F.max_by("mt", "ordinal").alias("mt"))
+    return cells.withColumn("__k", T.collapsed(F.col("cell"))).join(last, "__k", "left").drop("__k")
+
+
+def moving_best(log: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """Best so far in each group; of equal ones the first."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("best", F.max(value).over(w))
+
+
+def budgets(prompts: DataFrame) -> DataFrame:
+    """(id, block, budget, n_chars, kind) of ``[3, table cell, max 40 chars] text`` lines."""
+    line = r"\[(\d+)(?:,\s*([a-z ]+?))?,\s*max (\d+) chars\]\s*(.*)"
+    found = prompts.select("id", F.explode(F.regexp_extract_all("text", F.lit(line), F.lit(0))).alias("m"))
+    part = lambda k: F.regexp_extract("m", line, k)
+    kind = F.when(part(2) == "table cell", "table").when(part(2) == "caption", "caption").otherwise("plain")
+    return found.select("id", part(1).cast("int").alias("block"), part(3).cast("int").alias("budget"), F.length(T.strip(part(4))).alias("n_chars"), kind.alias("kind"))
+
+
+def _docs(spark, d) -> DataFrame:
+    return V.table(spark, d, "documents")
+
+
+QUERIES = {
+    "latex_lengths": lambda spark, d: _docs(spark, d).select("doc_id", translatable_length(F.col("text")).alias("translatable"), F.length(without_comments(F.col("text"))).alias("uncommented"), F.length(preamble(F.col("text"))["body"]).alias("body")),
+    "latex_blocks": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(blocks_column("text")).alias("block_idx", "block")).select("doc_id", "block_idx", F.length("block").alias("n_chars")),
+    "text_summaries": lambda spark, d: _docs(spark, d).select("doc_id", summary(F.coalesce("text", F.lit(""))).alias("summary")),
+}
+ORACLE_SQL = {
+    "latex_lengths": rf"""select doc_id, length({T.sql_strip(r"regexp_replace(regexp_replace(text, '\\[a-zA-Z]+\*?(\{[^}]*\})*', ' ', 'g'), '[$%\\{}\[\]]', ' ', 'g')")}) as translatable,
+  length(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(ltrim(x), '%')), chr(10))) as uncommented, length(text) as body from documents""",
+    "text_summaries": r"""with s as (select doc_id, array_to_string(regexp_split_to_array(coalesce(text, ''), '[.!?]\s+')[1:2], '. ') as two from documents)
+select doc_id, case when length(two) > 200 then regexp_replace(left(two, 200), ' [^ ]*$', '') || '...' else two end as summary from s""",
+}
