@@ -253,3 +253,23 @@ def test_latex_text(spark):
     assert sorted(tuple(r)[1:] for r in latex.budgets(p).collect()) == [(3, 40, 4, "table"), (4, 9, 1, "plain")]
     refs = spark.createDataFrame([(1, 0, "same text")], "conv_id long, idx long, ref string")
     assert latex.chrf_with_references(pairs(spark, [(1, 0, "x", "same text"), (2, 0, "x", "y")]), refs).collect()[0].chrf == 100
+
+
+def test_codecs_and_rounds(spark):
+    from vellum.plans import codecs
+
+    rows = spark.createDataFrame([(1, "<b>src</b>", None), (2, "x", "old")], "id long, text string, translated_text string")
+    fixes = spark.createDataFrame([(1, "bản mới"), (2, "no accents")], "id long, fix string")
+    got = {r.id: (r.src, r.mt) for r in codecs.CODECS["pdf"].apply(rows, fixes, ["id"]).collect()}
+    assert got == {1: ("<b>src</b>", "bản mới"), 2: ("x", "old")}
+    assert codecs.CODECS["docx"].pairs(rows).where("id = 1").first().src == "src"
+    state = spark.createDataFrame([(1, 0.5, 30, 5), (2, 0.9, 20, None), (3, 0.9, 10, 1)], "user_id long, score double, last_used long, last_cooldown long")
+    assert [codecs.pick(state, s).first().user_id for s in ("adaptive", "lru", "cooldown_aware")] == [2, 3, 2]
+    assert codecs.pick(state, "round_robin", 4).first().user_id == 2
+    with pytest.raises(ValueError):
+        codecs.pick(state, "nope")
+    src = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, src string")
+    made = lambda d, k: d.withColumn("mt", F.concat(F.lit(f"v{k} "), "src"))
+    scored = lambda d: d.withColumn("score", F.when((F.col("id") == 1) & F.col("mt").startswith("v1"), 40.0).when(F.col("id") == 2, 50.0).otherwise(80.0))
+    out = {r.id: (r.mt, r.attempts, r.passed) for r in codecs.rounds(src, made, scored).collect()}
+    assert out == {0: ("v1 a", 1, True), 1: ("v2 b", 2, True), 2: ("v1 c", 3, False)}
