@@ -288,6 +288,7 @@ def covered(docs: DataFrame) -> DataFrame:
     matched = excerpts.mapInArrow(_match, "anchor long, content long, a int, z int")
     matched = matched.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     told = each.select("anchor", "content", F.col("doc_id").alias("owner"), "last").join(matched, ["anchor", "content"], "left").where("spans is not null or last > owner")
+    told = written(told, "told")  # so that both sides of the join are dealt anew, and a passage that very many documents share can be split
     both = segs.join(told, ["anchor", "content"]).where("doc_id > owner or spans is not null")
     whole = F.array(F.struct(F.col("s0").alias("a"), (F.col("s1") + SPAN).alias("z")))
     part = F.transform("spans", lambda s: F.struct((s["a"] + F.col("s0")).alias("a"), (s["z"] + F.col("s0")).alias("z")))
