@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.operators import convert, diagnostics, events, glossary, latex, masking, quality, relational, retrieval, scoring, segments, state
+from vellum.operators import convert, diagnostics, events, glossary, latex, masking, quality, relational, reports, retrieval, scoring, segments, state
 
 FLAGSHIP = "quality_score"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (quality, scoring, diagnostics, glossary, retrieval, events, relational, segments, masking, convert, state, latex):
+for _part in (quality, scoring, diagnostics, glossary, retrieval, events, relational, segments, masking, convert, state, latex, reports):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
