@@ -18,6 +18,8 @@ from vellum.llm.store import written
 WINDOW, SIMILARITY = 5, 0.8
 #: Benchmark windows up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_WINDOWS = 200_000
+#: Documents with slots to compare up to which their ids are broadcast; beyond, that join is shuffled.
+BROADCAST_IDS = 1_000_000
 #: A word with inner marks, and the mark that ends a sentence after it.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*[.!?:]?"
 # Units that count as one slot after a number.
@@ -111,7 +113,12 @@ def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     near = near.join(slots, "item_id")
     plain = near.where(F.size("slots") == 0).select("doc_id", "item_id", "shift", "n_windows", "n_hits", F.lit(0).cast("long").alias("n_changed"))
     asked = near.where(F.size("slots") > 0)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = asked.select("doc_id").distinct()
+    n = ids.count()
+    if not n:
+        return plain.select("doc_id", "item_id", (F.col("shift") + 1).alias("at"), "n_windows", "n_hits", "n_changed")
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     words = _prepared(texts, "doc_id")
     each = asked.join(words, "doc_id").select("doc_id", "item_id", "shift", "n_windows", "n_hits", "words", "tpl", F.explode("slots").alias("s"))
     at = F.col("shift") + F.col("s.p")
