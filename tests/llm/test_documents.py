@@ -279,6 +279,23 @@ def test_language_model_learns_bigrams(spark):
     assert lm_score.scores(frame(spark, texts).limit(0)).count() == 0
 
 
+def copied(spark):
+    """Documents of one file, and the ids of a training and a held-out copy of a text of words that nothing else has."""
+    held = next(i for i in range(50, 99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = next(i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(100)]
+    texts[train] = texts[held] = " ".join(f"rare{i} rare{i + 1000}" for i in range(30))
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).coalesce(1), train, held
+
+
+def test_language_model_finds_pairs_of_other_blocks(spark, monkeypatch):
+    docs, train, held = copied(spark)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2_000)
+    got = {r.doc_id: r.score for r in lm_score.scores(docs).collect()}
+    assert math.isclose(got[held], got[train], rel_tol=1e-9) and got[held] > -60
+
+
 def test_mean_tables():
     count = np.array([0, 1, 2, 2, 12, 500])
     new = np.array([1.0, 1.0, 1e-9, 1e9, 1.0, 2.0])

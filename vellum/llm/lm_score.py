@@ -103,10 +103,16 @@ class Block:
         names = np.append(self.vocabulary, START)
         self.pair_hash = mix(names[self.u] * np.uint64(0x9E3779B97F4A7C15) + mix(names[self.w] + np.uint64(1)))
 
-    def open_pairs(self, c: np.ndarray, n_docs: float) -> np.ndarray:
-        """Places of the pairs that another block may hold too, by hash."""
-        c_u = np.append(c, n_docs)[self.u]
-        may = (c_u > self.local) & (c[self.w] > self.local)
+    def open_pairs(self, c: np.ndarray, shared: np.ndarray, n_docs: float, n_blocks: int) -> np.ndarray:
+        """Places of the pairs that another block may hold too, by hash.
+
+        A pair trained here goes out if other blocks have both words, in training or
+        held-out rows, for those ask for it; one that isn't, if others train both.
+        """
+        here = np.append(np.bincount(self.tokens[self.train], minlength=len(c)), int((~self.held).sum()))
+        trained = np.append(c, int(n_docs)) > here
+        held = np.append(shared.astype(bool), n_blocks > 1)
+        may = np.where(self.local > 0, held[self.u] & held[self.w], trained[self.u] & trained[self.w])
         at = np.flatnonzero(may)
         return at[np.argsort(self.pair_hash[at])]
 
@@ -125,7 +131,7 @@ def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int)
 
 
 def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> DataFrame:
-    """What the shards tell each block; ``answer(keys, summed values, first block) -> (arrays, n, types, ones, twos)``.
+    """What the shards tell each block; ``answer(keys, summed values, number of blocks) -> (arrays, n, types, ones, twos)``.
 
     A shard's group has the keys of one hash range from all blocks, summed up by block
     before: no word or pair, however frequent, comes more than once from a block.
@@ -148,7 +154,7 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> Data
         sums = [np.bincount(back, np.concatenate(c), len(every)) for c in columns]
         owner = np.zeros(len(back), bool)
         owner[first] = True
-        arrays, totals = answer(every, sums)
+        arrays, totals = answer(every, sums, np.bincount(back, minlength=len(every)))
         told, at = [], 0
         for m in n:
             own = back[at : at + m]
@@ -297,6 +303,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     T = blocks(docs)
     asked = T.agg(F.count("*"), F.sum(F.length("vocabulary") / 8), F.sum(F.length("tokens") / 4)).first()
+    n_blocks = asked[0]
     n_shards = max(partitions(spark), -(-int(asked[2] or 0) // SHARD_KEYS))
 
     def ask_words(batches):
@@ -305,26 +312,30 @@ def scores(docs: DataFrame) -> DataFrame:
             count = np.bincount(b.tokens[b.train], minlength=len(b.vocabulary)).astype(np.int32)
             yield _ask(b.id, b.vocabulary, [count], n_shards)
 
-    def add_words(keys, sums):
+    def add_counts(keys, sums, n):
         c = sums[0].astype(np.int64)
         return [c], (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())
 
+    def add_words(keys, sums, n):
+        (c,), totals = add_counts(keys, sums, n)
+        return [c, (n > 1).astype(np.uint8)], totals
+
     words = written(_exchange(T.mapInArrow(ask_words, _ASK), ("<i4",), add_words), "lm_words")
     n_train, n_types, ones1, twos1 = _totals(words)
     with_words = T.join(_by_block(words, "words"), "block", "left")
 
-    word_kinds, pair_kinds, table_kinds = ("<i8", "u1"), ("<i8", "u1"), ("<f8", "<f8", "<f8", "u1")
+    word_kinds, pair_kinds, table_kinds = ("<i8", "u1", "u1"), ("<i8", "u1"), ("<f8", "<f8", "<f8", "u1")
     # the end's count is the number of training documents, and so of starts
     ends = T.select("held").mapInArrow(_count_held, "n long").agg(F.sum("n")).first()[0] or 0
 
     def ask_pairs(batches):
         for row in _rows(batches):
             b = Block(row)
-            c = _answers(row["words"], word_kinds)[0]
-            at = b.open_pairs(c, ends)
+            c, shared, _ = _answers(row["words"], word_kinds)
+            at = b.open_pairs(c, shared, ends, n_blocks)
             yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards)
 
-    pairs = written(_exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_words), "lm_pairs")
+    pairs = written(_exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts), "lm_pairs")
     _, shared_types, ones2, twos2 = _totals(pairs)
     with_pairs = with_words.join(_by_block(pairs, "pairs"), "block", "left")
 
@@ -333,8 +344,8 @@ def scores(docs: DataFrame) -> DataFrame:
     share = 0.7 if not n_train else min(1.0, max(0.05, shared_types / n_train))
 
     def seated(b: Block, row: dict):
-        c = _answers(row["words"], word_kinds)[0]
-        at = b.open_pairs(c, ends)
+        c, shared, _ = _answers(row["words"], word_kinds)
+        at = b.open_pairs(c, shared, ends, n_blocks)
         count, mine = b.local.astype(np.int64), b.local > 0
         told, owner = _answers(row["pairs"], pair_kinds)
         count[at], mine[at] = told, owner.astype(bool)
@@ -357,7 +368,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     d1 = _discount(ones1, twos1)
 
-    def add_tables(keys, sums):
+    def add_tables(keys, sums, n):
         by_u, by_w = sums
         customers = np.round(by_w).astype(np.int64)
         top = mean_tables(customers, np.full(len(keys), (STRENGTH + d1 * n_types) / (n_types + 1)), d1)
