@@ -296,6 +296,14 @@ def test_language_model_finds_pairs_of_other_blocks(spark, monkeypatch):
     assert math.isclose(got[held], got[train], rel_tol=1e-9) and got[held] > -60
 
 
+def test_language_model_is_the_same_for_one_block_and_many(spark, monkeypatch):
+    docs, _, _ = copied(spark)
+    one = {r.doc_id: r.score for r in lm_score.scores(docs).collect()}
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2_000)
+    many = {r.doc_id: r.score for r in lm_score.scores(docs).collect()}
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
 def test_mean_tables():
     count = np.array([0, 1, 2, 2, 12, 500])
     new = np.array([1.0, 1.0, 1e-9, 1e9, 1.0, 2.0])

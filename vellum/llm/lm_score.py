@@ -47,7 +47,7 @@ ONE_BY_ONE = 12
 STRENGTH = 1.0
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x2545F4914F6CDD1D)
-_ASK = "shard int, block long, keys binary, values binary"
+_ASK = "shard int, block long, keys binary, values binary, apart binary"
 _TOLD = "block long, shard int, answer binary, n double, types double, ones double, twos double"
 
 
@@ -120,14 +120,18 @@ class Block:
 # ---- exchanges ------------------------------------------------------------------
 
 
-def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int) -> pa.RecordBatch:
-    """Sorted keys, cut by shard; empty parts are not sent."""
+def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int, apart: tuple[int, ...] | None = None) -> pa.RecordBatch:
+    """Sorted keys, cut by shard; empty parts are not sent.  ``apart`` are totals of what stays in the block."""
     shard = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(keys)] if len(keys) else cuts
     packed = [zlib.compress(b"".join(v[a:z].tobytes() for v in values), 1) for a, z in zip(cuts, ends, strict=True)]
-    cells = [pa.array(shard[cuts].astype(np.int32)), pa.array(np.full(len(cuts), block)), pa.array([keys[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()), pa.array(packed, pa.binary())]
-    return pa.RecordBatch.from_arrays(cells, ["shard", "block", "keys", "values"])
+    shards, asked = shard[cuts].tolist(), [keys[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)]
+    extra = [None] * len(shards)
+    if apart is not None:  # a row without keys, for any shard
+        shards, asked, packed, extra = [*shards, block % n_shards], [*asked, b""], [*packed, zlib.compress(b"")], [*extra, np.array(apart, np.float64).tobytes()]
+    cells = [pa.array(shards, pa.int32()), pa.array(np.full(len(shards), block)), *(pa.array(c, pa.binary()) for c in (asked, packed, extra))]
+    return pa.RecordBatch.from_arrays(cells, ["shard", "block", "keys", "values", "apart"])
 
 
 def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> DataFrame:
@@ -155,6 +159,7 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> Data
         owner = np.zeros(len(back), bool)
         owner[first] = True
         arrays, totals = answer(every, sums, np.bincount(back, minlength=len(every)))
+        totals = sum((np.frombuffer(x) for x in table["apart"].to_pylist() if x), np.array(totals, np.float64))
         told, at = [], 0
         for m in n:
             own = back[at : at + m]
@@ -333,15 +338,17 @@ def scores(docs: DataFrame) -> DataFrame:
             b = Block(row)
             c, shared, _ = _answers(row["words"], word_kinds)
             at = b.open_pairs(c, shared, ends, n_blocks)
-            yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards)
+            kept = b.local.copy()
+            kept[at] = 0
+            apart = (kept.sum(), (kept > 0).sum(), (kept == 1).sum(), (kept == 2).sum())
+            yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards, apart)
 
     pairs = written(_exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts), "lm_pairs")
-    _, shared_types, ones2, twos2 = _totals(pairs)
+    _, pair_types, ones2, twos2 = _totals(pairs)
     with_pairs = with_words.join(_by_block(pairs, "pairs"), "block", "left")
 
-    # pairs that only one block can hold aren't sent; they nearly all have one customer
-    d2 = _discount(ones2 + 1, twos2)
-    share = 0.7 if not n_train else min(1.0, max(0.05, shared_types / n_train))
+    d2 = _discount(ones2, twos2)
+    share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
 
     def seated(b: Block, row: dict):
         c, shared, _ = _answers(row["words"], word_kinds)
