@@ -304,6 +304,14 @@ def test_language_model_is_the_same_for_one_block_and_many(spark, monkeypatch):
     assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
 
 
+def test_language_model_seats_again_by_what_was_sent_up(spark, prose, monkeypatch):
+    monkeypatch.setattr(lm_score, "ROUNDS", 2)
+    two = {r.doc_id: r.score for r in lm_score.scores(frame(spark, prose)).collect()}
+    monkeypatch.setattr(lm_score, "ROUNDS", 4)
+    four = {r.doc_id: r.score for r in lm_score.scores(frame(spark, prose)).collect()}
+    assert any(two[i] != four[i] for i in two) and all(math.isclose(two[i], four[i], rel_tol=0.05) for i in two)
+
+
 def test_mean_tables():
     count = np.array([0, 1, 2, 2, 12, 500])
     new = np.array([1.0, 1.0, 1e-9, 1e9, 1.0, 2.0])

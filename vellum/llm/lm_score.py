@@ -2,24 +2,28 @@
 
 Every word is the context of a restaurant whose dishes are the words after it; all
 context restaurants share one parent, the unigram restaurant, whose own parent is
-uniform over the vocabulary and one unknown word.  Seating is sampled by Gibbs; the
-predictive probabilities of the kept samples are averaged.
+uniform over the vocabulary and one unknown word.  Seating is sampled by Gibbs in
+ROUNDS; each goes by what all restaurants sent up in the round before, the first by raw
+counts.  Within a round table counts are means over sweeps; the predictive
+probabilities of the rounds after the first are averaged.
 
 The corpus is cut into blocks of whole documents, kept as arrays in a bucketed table.
-Counts come together in three exchanges, each of the same form: a block asks shards,
+Counts come together in exchanges, each of the same form: a block asks shards,
 dealt by hash, with the sorted keys it holds, shards add up what all blocks sent and
 answer in the order asked.
 
 * words: training counts of each word;
 * pairs: training counts of each context and word, and which block accounts for it;
-* tables: what the sampled seating sends up: tables by context, customers by word.
+* tables, once a round: what the sampled seating sends up: tables by context, customers
+  by word.
 
 A pair's seating depends only on its count and on the weight of a new table, from its
 word's share and its context's size.  Pairs that agree in both, to a sixteenth of the
 logarithm (counts up to ONE_BY_ONE exactly), share their chains; these are drawn from
 random numbers that count and weight seed, so every block that holds a pair finds the
-same seating.  Within the sweeps the other restaurants stay as they were
-at the last exchange.  Words are known by 64-bit hashes.
+same seating.  Within a round the other restaurants stay as they were
+at the last exchange.  Dishes of more than ONE_BY_ONE customers are seated by independent
+sequential draws, not by Gibbs sweeps.  Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.store import partitions, shared_dir, written
+from vellum.llm.store import partitions, shared_dir
 from vellum.llm.words import iter_slices, mix
 
 #: Bytes of text in a block, and keys that a shard gets if all are spread evenly.
 BLOCK_BYTES, SHARD_KEYS = 3 << 20, 1_500_000
 BURN_IN, SAMPLES, SEQUENCES = 3, 12, 4
+#: Times that all restaurants are seated; the first, from raw counts, is left out of the mean of the probabilities.
+ROUNDS = 3
+#: Parts of a table that are told apart, so that sums don't depend on their order.
+PARTS = 4_096
 #: Steps of the logarithm, of a new table's weight and of counts over ONE_BY_ONE, that share their chains.
 WEIGHT_STEPS = 16
 #: Customers of a dish up to which they are re-seated one by one; more are re-seated as a block.
@@ -74,8 +82,13 @@ def blocks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["block", "doc_ids", "held", "lengths", "vocabulary", "tokens"])
                 block += 1
 
-    made = rows.mapInArrow(run, "block long, doc_ids binary, held binary, lengths binary, vocabulary binary, tokens binary")
-    name = f"lm_blocks_{uuid.uuid4().hex}"
+    return _bucketed(rows.mapInArrow(run, "block long, doc_ids binary, held binary, lengths binary, vocabulary binary, tokens binary"), "lm_blocks")
+
+
+def _bucketed(made: DataFrame, what: str) -> DataFrame:
+    """``made`` written in buckets by block, so that later joins need no shuffle."""
+    spark = made.sparkSession
+    name = f"{what}_{uuid.uuid4().hex}"
     made.write.bucketBy(partitions(spark), "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name, format="parquet")
     return spark.table(name)
 
@@ -134,8 +147,8 @@ def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int,
     return pa.RecordBatch.from_arrays(cells, ["shard", "block", "keys", "values", "apart"])
 
 
-def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> DataFrame:
-    """What the shards tell each block; ``answer(keys, summed values, number of blocks) -> (arrays, n, types, ones, twos)``.
+def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: str) -> tuple[DataFrame, list[float]]:
+    """What the shards tell each block, as (block, ``name``), and the totals; ``answer(keys, summed values, number of blocks) -> (arrays, n, types, ones, twos)``.
 
     A shard's group has the keys of one hash range from all blocks, summed up by block
     before: no word or pair, however frequent, comes more than once from a block.
@@ -170,15 +183,11 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable) -> Data
         kinds_ = [pa.int64(), pa.int32(), pa.binary(), *[pa.float64()] * 4]
         return pa.table([pa.array(c, k) for c, k in zip(cells, kinds_, strict=True)], names=["block", "shard", "answer", "n", "types", "ones", "twos"])
 
-    return asks.groupBy("shard").applyInArrow(solve, _TOLD)
-
-
-def _totals(told: DataFrame) -> tuple[float, float, float, float]:
-    return tuple(x or 0.0 for x in told.where("block = -1").agg(F.sum("n"), F.sum("types"), F.sum("ones"), F.sum("twos")).first())
-
-
-def _by_block(told: DataFrame, name: str) -> DataFrame:
-    return told.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias(name))
+    told = asks.groupBy("shard").applyInArrow(solve, _TOLD).groupBy("block")
+    sums = [F.sum(c).alias(c) for c in ("n", "types", "ones", "twos")]
+    table = _bucketed(told.agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias(name), *sums), f"lm_{name}")
+    totals = table.where("block = -1").select("n", "types", "ones", "twos").first()
+    return table.where("block >= 0").select("block", name), [x or 0.0 for x in totals or [0.0] * 4]
 
 
 def _answers(parts: list[dict] | None, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -200,11 +209,11 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
     return (mix(seed + np.uint64(step * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def mean_tables(count: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
+def mean_tables(count: np.ndarray, new: np.ndarray, discount: float, turn: int = 0) -> np.ndarray:
     """Mean number of tables of dishes with ``count`` customers, over Gibbs samples.
 
     ``new`` is the weight of a new table, discount and strength times the parent's
-    probability.  One customer always has one table.
+    probability.  One customer always has one table.  Each turn draws anew.
     """
     out = np.minimum(count, 1).astype(np.float64)
     open_ = np.flatnonzero(count > 1)
@@ -215,21 +224,21 @@ def mean_tables(count: np.ndarray, new: np.ndarray, discount: float) -> np.ndarr
     many = c > ONE_BY_ONE
     c[many] = np.maximum(ONE_BY_ONE + 1, np.round(np.exp(np.round(np.log(c[many]) * WEIGHT_STEPS) / WEIGHT_STEPS))).astype(np.int64)
     chains, back = np.unique(c * 8_192 + step + 4_096, return_inverse=True)
-    known = _chains.setdefault(round(discount, 9), {})
+    known = _chains.setdefault((round(discount, 9), turn), {})
     new_chains = np.array([x for x in chains.tolist() if x not in known], np.int64)
     if len(new_chains):
-        known.update(zip(new_chains.tolist(), _sampled(new_chains, discount).tolist(), strict=True))
+        known.update(zip(new_chains.tolist(), _sampled(new_chains, discount, turn).tolist(), strict=True))
     out[open_] = np.array([known[x] for x in chains.tolist()])[back]
     return out
 
 
 #: Means of chains that this worker has sampled; as many at most as there are steps of counts and weights.
-_chains: dict[float, dict[int, float]] = {}
+_chains: dict[tuple[float, int], dict[int, float]] = {}
 
 
-def _sampled(chains: np.ndarray, discount: float) -> np.ndarray:
+def _sampled(chains: np.ndarray, discount: float, turn: int) -> np.ndarray:
     c, weight = chains // 8_192, np.exp((chains % 8_192 - 4_096) / WEIGHT_STEPS)
-    seed = mix(chains.astype(np.uint64))
+    seed = mix(chains.astype(np.uint64) + np.uint64(turn << 40))
     mean = np.zeros(len(chains))
     for k in np.unique(c[c <= ONE_BY_ONE]).tolist():
         own = np.flatnonzero(c == k)
@@ -325,11 +334,10 @@ def scores(docs: DataFrame) -> DataFrame:
         (c,), totals = add_counts(keys, sums, n)
         return [c, (n > 1).astype(np.uint8)], totals
 
-    words = written(_exchange(T.mapInArrow(ask_words, _ASK), ("<i4",), add_words), "lm_words")
-    n_train, n_types, ones1, twos1 = _totals(words)
-    with_words = T.join(_by_block(words, "words"), "block", "left")
+    words, (n_train, n_types, ones1, twos1) = _exchange(T.mapInArrow(ask_words, _ASK), ("<i4",), add_words, "words")
+    with_words = T.join(words, "block", "left")
 
-    word_kinds, pair_kinds, table_kinds = ("<i8", "u1", "u1"), ("<i8", "u1"), ("<f8", "<f8", "<f8", "u1")
+    word_kinds, pair_kinds, table_kinds = ("<i8", "u1", "u1"), ("<i8", "u1"), ("<i8", "<i8", "<i8", "u1")
     # the end's count is the number of training documents, and so of starts
     ends = T.select("held").mapInArrow(_count_held, "n long").agg(F.sum("n")).first()[0] or 0
 
@@ -343,60 +351,75 @@ def scores(docs: DataFrame) -> DataFrame:
             apart = (kept.sum(), (kept > 0).sum(), (kept == 1).sum(), (kept == 2).sum())
             yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards, apart)
 
-    pairs = written(_exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts), "lm_pairs")
-    _, pair_types, ones2, twos2 = _totals(pairs)
-    with_pairs = with_words.join(_by_block(pairs, "pairs"), "block", "left")
+    pairs, (_, pair_types, ones2, twos2) = _exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts, "pairs")
+    with_tables = with_words.join(pairs, "block", "left")
 
-    d2 = _discount(ones2, twos2)
+    d1, d2 = _discount(ones1, twos1), _discount(ones2, twos2)
     share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
 
-    def seated(b: Block, row: dict):
+    def at_top(by_w: np.ndarray, turn: int) -> np.ndarray:
+        top = mean_tables(np.round(by_w).astype(np.int64), np.full(len(by_w), (STRENGTH + d1 * n_types) / (n_types + 1)), d1, turn)
+        return np.round(top * PARTS) / PARTS
+
+    def seated(b: Block, row: dict, totals: list[tuple[float, float]]):
+        """(shared words, training counts of words, contexts and pairs, rounds): for each round the tables by pair, the tables by context
+        and by word and the unigram probabilities.  ``totals`` has customers and tables of the unigram restaurant of the rounds
+        exchanged; one round more is seated, of which only this block's own tables are known.
+        """
         c, shared, _ = _answers(row["words"], word_kinds)
         at = b.open_pairs(c, shared, ends, n_blocks)
         count, mine = b.local.astype(np.int64), b.local > 0
         told, owner = _answers(row["pairs"], pair_kinds)
         count[at], mine[at] = told, owner.astype(bool)
+        mine &= count > 0
         c_u = np.append(c, ends)[b.u]
-        parent = (c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
-        tables = mean_tables(count, (STRENGTH + d2 * share * c_u) * parent, d2)
-        return c, c_u, count, mine & (count > 0), tables
-
-    def ask_tables(batches):
-        for row in _rows(batches):
-            b = Block(row)
-            _, _, _, mine, t = seated(b, row)
-            v = len(b.vocabulary)
-            by_u = np.bincount(b.u[mine], t[mine], v + 1)
-            by_w = np.bincount(b.w[mine], t[mine], v)
-            # the start is no word: its tables go with its own key
-            keys = np.append(b.vocabulary, START)
-            order = np.argsort(keys)
-            yield _ask(b.id, keys[order], [by_u[order].astype(np.float32), np.append(by_w, 0)[order].astype(np.float32)], n_shards)
-
-    d1 = _discount(ones1, twos1)
-
-    def add_tables(keys, sums, n):
-        by_u, by_w = sums
-        customers = np.round(by_w).astype(np.int64)
-        top = mean_tables(customers, np.full(len(keys), (STRENGTH + d1 * n_types) / (n_types + 1)), d1)
-        return [by_u, by_w, top], (by_w.sum(), top.sum(), 0, 0)
-
-    tables = written(_exchange(with_pairs.mapInArrow(ask_tables, _ASK), ("<f4", "<f4"), add_tables), "lm_tables")
-    customers1, tables1, _, _ = _totals(tables)
-    with_tables = with_pairs.join(_by_block(tables, "tables"), "block", "left")
+        v = len(b.vocabulary)
+        sent = _sent(b, shared)
+        new = (STRENGTH + d2 * share * c_u) * (c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
+        rounds = []
+        for turn in range(min(len(totals) + 1, ROUNDS)):
+            t = np.round(mean_tables(count, new, d2, turn) * PARTS) / PARTS
+            by_u, by_w = np.bincount(b.u[mine], t[mine], v + 1), np.bincount(b.w[mine], t[mine], v + 1)
+            unigram = None
+            if turn < len(totals):
+                top = np.zeros(v + 1)
+                for to, got in zip((by_u, by_w, top), _answers(row[f"tables{turn}"], table_kinds)[:3], strict=True):
+                    to[sent] = got / PARTS
+                own = np.setdiff1d(np.arange(v), sent, assume_unique=True)
+                top[own] = at_top(by_w[own], turn)
+                customers1, tables1 = totals[turn]
+                unigram = (np.maximum(by_w[:v] - d1 * top[:v], 0) + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
+                new = (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]
+            rounds.append((t, by_u, by_w, unigram))
+        return shared, c, c_u, count, rounds
+
+    totals: list[tuple[float, float]] = []
+    for turn in range(ROUNDS):
+
+        def ask_tables(batches, turn=turn, totals=tuple(totals)):
+            for row in _rows(batches):
+                b = Block(row)
+                shared, _, _, _, rounds = seated(b, row, totals)
+                _, by_u, by_w, _ = rounds[-1]
+                sent = _sent(b, shared)
+                own = np.setdiff1d(np.arange(len(b.vocabulary)), sent, assume_unique=True)
+                parts = [np.round(x[sent] * PARTS).astype(np.int64) for x in (by_u, by_w)]
+                yield _ask(b.id, _names(b)[sent], parts, n_shards, (by_w[own].sum(), at_top(by_w[own], turn).sum(), 0, 0))
+
+        def add_tables(keys, sums, n, turn=turn):
+            by_u, by_w = sums
+            top = at_top(by_w / PARTS, turn) * PARTS
+            return [x.astype(np.int64) for x in (by_u, by_w, top)], (by_w.sum() / PARTS, top.sum() / PARTS, 0, 0)
+
+        tables, (customers1, tables1, _, _) = _exchange(with_tables.mapInArrow(ask_tables, _ASK), ("<i8", "<i8"), add_tables, f"tables{turn}")
+        totals.append((customers1, tables1))
+        with_tables = with_tables.join(tables, "block", "left")
 
     def score(batches):
         for row in _rows(batches):
             b = Block(row)
-            c, c_u, count, _, t = seated(b, row)
-            v = len(b.vocabulary)
-            order = np.argsort(np.append(b.vocabulary, START))
-            by_u, by_w, top = (np.zeros(v + 1) for _ in range(3))
-            for to, got in zip((by_u, by_w, top), _answers(row["tables"], table_kinds)[:3], strict=True):
-                to[order] = got
-            uniform = 1 / (n_types + 1)
-            unigram = (np.maximum(by_w[:v] - d1 * top[:v], 0) + (STRENGTH + d1 * tables1) * uniform) / (STRENGTH + customers1)
-            p = (np.maximum(count - d2 * t, 0) + (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]) / (STRENGTH + c_u)
+            _, c, c_u, count, rounds = seated(b, row, totals)
+            p = np.mean([(np.maximum(count - d2 * t, 0) + (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]) / (STRENGTH + c_u) for t, by_u, _, unigram in rounds[1:]], axis=0)
             base = np.log10((c + 1) / (n_train + n_types + 1))
             n = len(b.lengths)
             add = lambda x: np.bincount(b.doc, x, n)
@@ -407,6 +430,17 @@ def scores(docs: DataFrame) -> DataFrame:
     return with_tables.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _names(b: Block) -> np.ndarray:
+    """The vocabulary and, no word but a context, the start."""
+    return np.append(b.vocabulary, START)
+
+
+def _sent(b: Block, shared: np.ndarray) -> np.ndarray:
+    """Places of the words that other blocks have too, and of the start, by hash; all tables of other words are this block's."""
+    at = np.append(np.flatnonzero(shared), len(b.vocabulary))
+    return at[np.argsort(_names(b)[at])]
+
+
 def _count_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = sum(int((np.frombuffer(x.as_py(), np.uint8) == 0).sum()) for x in batch.column(0))
