@@ -153,6 +153,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_items_with_words_put_in_or_left_out(spark):
+    words = [f"w{i}x" for i in range(40)]
+    plain = " ".join(words)
+    slotted = " ".join([*words[:10], "99", *words[10:30], "99", *words[30:]])
+    put_in = lambda t, n=1: " ".join([*t.split()[:20], *["new"] * n, *t.split()[20:]])
+    texts = [f"before it {put_in(plain)} after", f"before it {' '.join(words[:20] + words[21:])} after", put_in(slotted), put_in(slotted).replace("99", "30"), put_in(slotted).replace("99", "30", 1), put_in(plain, decontaminate.BAND + 1)]
+    docs, _ = leak(spark, texts)
+    bench = spark.createDataFrame([(1, plain), (2, slotted)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, list(r.item_ids), r.reworded) for r in decontaminate.contaminated(docs, bench.where("item_id = 1")).collect()}
+    assert got[1] == got[2] == (True, [1], False) and got[6] == (False, [], False)
+    got = {r.doc_id: (r.contaminated, list(r.item_ids), r.reworded) for r in decontaminate.contaminated(docs, bench.where("item_id = 2")).collect()}
+    assert got[3] == (True, [2], False) and got[4] == (True, [2], True) and got[5] == (False, [], False)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))

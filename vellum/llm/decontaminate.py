@@ -3,8 +3,9 @@
 Tokens become templates: a number turns into <num>, a unit after a number into
 <unit>, a capitalised word inside a sentence into <name>; other words are
 lower-cased.  Five-token template windows of documents are hash-joined with those
-of the benchmark.  On one alignment of a document with an item, at least 0.8 of
-the item's windows must occur; then the slots are compared: a re-parameterised
+of the benchmark.  On one alignment of a document with an item, or on alignments
+that lie BAND tokens apart at most, as words put in or left out make them, at least
+0.8 of the item's windows must occur; then the slots are compared: a re-parameterised
 question puts the same new value wherever the item repeats an old one.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.store import written
 
-WINDOW, SIMILARITY = 5, 0.8
+WINDOW, SIMILARITY, BAND = 5, 0.8, 4
 #: Benchmark windows up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_WINDOWS = 200_000
 #: Documents with slots to compare up to which their ids are broadcast; beyond, that join is shuffled.
@@ -97,15 +98,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
     doc_windows = windows(docs.where("doc_id is not null"), "doc_id")
-    hits = doc_windows.join(probes, "h").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("item_at").alias("n_hits"))
+    shift = F.col("at") - F.col("item_at")
+    hits = doc_windows.join(probes, "h").select("doc_id", "item_id", shift.alias("s"), "item_at")
+    # each hit counts for every band of alignments that it lies in; a band begins with an alignment that has hits
+    hits = hits.select("doc_id", "item_id", F.struct("s", "item_at").alias("hit"), F.explode(F.sequence(F.col("s") - BAND, "s")).alias("shift"))
+    bands = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits")).where(F.exists("hits", lambda x: x["s"] == F.col("shift")))
     sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    near = written(hits.join(sizes, "item_id").where(F.col("n_hits") >= F.col("n_windows") * SIMILARITY), "near")
+    enough = lambda n: n >= F.col("n_windows") * SIMILARITY
+    on = lambda s: F.size(F.filter("hits", lambda x: x["s"] == s))
+    of_band = F.size(F.array_distinct(F.transform("hits", lambda x: x["item_at"])))
+    bands = bands.join(sizes, "item_id").where(enough(of_band))
+    alone = enough(on(F.col("shift")))
+    near = bands.where(alone | ~F.exists("hits", lambda x: enough(on(x["s"]))))
+    n_hits = F.when(alone, on(F.col("shift"))).otherwise(of_band).cast("long")
+    near = written(near.select("doc_id", "item_id", "shift", "n_windows", n_hits.alias("n_hits"), F.when(~alone, F.col("hits")).alias("hits")), "near")
     return written(_consistent(near, docs, items), "leaks")
 
 
 def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The alignments on which each value of an item's slots has one value in the document.
 
+    In a band a slot stands where the hits that hold it put it, those of the alignment
+    with most hits first; a slot that no hit holds isn't compared.
     Items without a slot need no look at the document again.
     """
     slot = lambda x: x.isin("<num>", "<name>", "<unit>")
@@ -120,8 +134,10 @@ def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     words = _prepared(texts, "doc_id")
-    each = asked.join(words, "doc_id").select("doc_id", "item_id", "shift", "n_windows", "n_hits", "words", "tpl", F.explode("slots").alias("s"))
-    at = F.col("shift") + F.col("s.p")
+    each = asked.join(words, "doc_id").select("doc_id", "item_id", "shift", "n_windows", "n_hits", "hits", "words", "tpl", F.explode("slots").alias("s"))
+    holding = F.filter("hits", lambda x: x["item_at"].between(F.col("s.p") - (WINDOW - 1), F.col("s.p")))
+    best = F.array_max(F.transform(holding, lambda x: F.struct(F.size(F.filter("hits", lambda y: y["s"] == x["s"])).alias("n"), (-x["s"]).alias("minus"))))
+    at = F.when(F.col("hits").isNull(), F.col("shift")).otherwise(-best["minus"]) + F.col("s.p")
     inside = at.between(1, F.size("tpl"))
     each = each.where(inside & (F.get(F.col("tpl"), at - 1) == F.col("s.kind")))
     each = each.select("doc_id", "item_id", "shift", "n_windows", "n_hits", F.col("s.kind").alias("kind"), F.col("s.v").alias("old"), F.rtrim(F.get(F.col("words"), at - 1), F.lit(".!?:")).alias("new"))
