@@ -54,6 +54,16 @@ def test_glossary_cap_and_large_glossaries(spark, monkeypatch):
     assert glossary.matches(rows, terms.limit(0)).count() == 0
 
 
+def test_large_glossaries_keep_all_short_terms(spark, monkeypatch):
+    short = [a + b for a in "abcdef" for b in ["", *"abcdef"]]
+    terms = spark.createDataFrame([(t, t[::-1], i, False) for i, t in enumerate([*short, "abc"])], "en string, vi string, ordinal long, locked boolean")
+    texts = ["abcdef fedcba", "AA bb", "x", "", "c"]
+    rows = spark.createDataFrame([(i, 0, t, "") for i, t in enumerate(texts)], "conv_id long, idx long, src string, mt string")
+    monkeypatch.setattr(glossary, "IN_PLACE", 10)
+    got = sorted(tuple(r) for r in glossary.matches(rows, terms).select("conv_id", "en").collect())
+    assert got == sorted((i, t) for i, x in enumerate(texts) for t in [*short, "abc"] if t in x.lower())
+
+
 def test_glossary_merge(spark):
     known = spark.createDataFrame([("a", "x", 1, 0.5), ("b", "y", 3, 0.9), ("c", "z", 2, 0.5)], "en string, vi string, frequency long, confidence double")
     job = spark.createDataFrame([("A ", "X"), ("b", "other"), ("c", "other"), ("d", "new")], "en string, vi string")

@@ -20,7 +20,7 @@ def matches(texts: DataFrame, terms: DataFrame, text: str = "src") -> DataFrame:
     """``texts`` x ``terms`` where the lower-cased text contains the term; terms are lower case.
 
     A small glossary rides along as a literal, tested inside the row.  A larger one
-    is joined on the first letters of each term, which can only leave out texts that
+    is joined on the first letters of each term, all of a shorter one, which can only leave out texts that
     don't contain it, and then tested.
     """
     found = terms.limit(IN_PLACE + 1).collect()
@@ -32,11 +32,13 @@ def matches(texts: DataFrame, terms: DataFrame, text: str = "src") -> DataFrame:
         every = F.array(*[F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in found])
         bound = F.filter(every, lambda t: F.contains(low, t["en"]))
         return texts.withColumn("__t", F.explode(bound)).select(*texts.columns, *(F.col(f"__t.{n}").alias(n) for n in names))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(GRAM))))
-    keyed = texts.withColumn("__g", F.explode(grams))
-    long = keyed.join(terms.where(F.length("en") >= GRAM).withColumn("__g", F.left("en", F.lit(GRAM))), "__g").where(F.contains(low, F.col("en"))).drop("__g")
-    short = matches(texts, terms.where(F.length("en") < GRAM).limit(IN_PLACE), text)
-    return long.unionByName(short.select(long.columns))
+    out = texts.crossJoin(terms.where(F.length("en") == 0))
+    for n in range(1, GRAM + 1):
+        size = F.lit(n)
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, size)))  # noqa: B023
+        own = terms.where(F.length("en") >= n if n == GRAM else F.length("en") == n).withColumn("__g", F.left("en", F.lit(n)))
+        out = out.unionByName(texts.withColumn("__g", F.explode(grams)).join(own, "__g").where(F.contains(low, F.col("en"))).drop("__g"))
+    return out
 
 
 def occurrences(text: Column, term: Column) -> Column:
