@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from vellum.llm import lm_score, packing, quality_rules, sharding, simhash, substrings
+from vellum.llm import components, lm_score, packing, quality_rules, sharding, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,6 +84,15 @@ def test_simhash_dense_groups_are_salted(spark):
     assert len(edges) < len(prints) * 30 * 4  # forests, not all pairs
 
 
+def test_components_of_many_edges_do_not_overflow(spark):
+    """The test of convergence must hold for values whose sum passes a long."""
+    edges = spark.range(200_000).selectExpr("id * 46116860184273 as a", "(id div 2) * 46116860184273 as b")
+    got = components.connected_components(edges)
+    assert got.count() == 200_000 and got.select("component").distinct().count() == 1
+    total = edges.selectExpr("sum(cast(pmod(xxhash64(a, b), 1L << 62) as decimal(38, 0))) as s").first().s
+    assert total > 2**63
+
+
 def test_simhash_keeps_one_of_a_group_and_all_columns(spark, prose):
     docs = frame(spark, [prose[0], prose[0], prose[1]], extra=[(None, prose[0], "en", "s", 1)])
     left = simhash.drop_near_duplicates(docs)
@@ -309,11 +319,100 @@ def test_language_model_seats_again_by_what_was_sent_up(spark, prose, monkeypatc
     two = {r.doc_id: r.score for r in lm_score.scores(frame(spark, prose)).collect()}
     monkeypatch.setattr(lm_score, "ROUNDS", 4)
     four = {r.doc_id: r.score for r in lm_score.scores(frame(spark, prose)).collect()}
-    assert any(two[i] != four[i] for i in two) and all(math.isclose(two[i], four[i], rel_tol=0.05) for i in two)
+    assert any(two[i] != four[i] for i in two) and math.isclose(sum(two.values()), sum(four.values()), rel_tol=0.05)
+
+
+def stirling_mean(c, new, discount):
+    """Exact mean number of tables of c customers, by the recursion of the generalised Stirling numbers."""
+    t, weight = np.arange(c + 1), np.zeros(c + 1)
+    weight[1] = 1
+    for n in range(1, c):
+        weight = np.maximum(n - t * discount, 0) * weight + new * np.append(0.0, weight[:-1])
+        weight /= weight.max()
+    return (t * weight).sum() / weight.sum()
+
+
+def partitions_mean(c, new, discount):
+    """The same by listing all seatings of c customers."""
+    seatings = [[]]
+    for _ in range(c):
+        seatings = [s[:k] + [s[k] + 1] + s[k + 1 :] for s in seatings for k in range(len(s))] + [[*s, 1] for s in seatings]
+    weight = [new ** len(s) * math.prod(math.gamma(n - discount) / math.gamma(1 - discount) for n in s) for s in seatings]
+    return sum(len(s) * w for s, w in zip(seatings, weight, strict=True)) / sum(weight)
+
+
+def drawn_mean(c, new, discount, n=20_000):
+    seed = lm_score.mix(np.arange(n, dtype=np.uint64) + np.uint64(c))
+    return lm_score.draw_tables(np.full(n, c), np.full(n, new), discount, seed).mean()
 
 
-def test_mean_tables():
-    count = np.array([0, 1, 2, 2, 12, 500])
-    new = np.array([1.0, 1.0, 1e-9, 1e9, 1.0, 2.0])
-    t = lm_score.mean_tables(count, new, 0.5)
-    assert t[0] == 0 and t[1] == 1 and t[2] == 1 and t[3] == 2 and 1 < t[4] < 12 and 2 < t[5] < 200
+@pytest.mark.parametrize("discount", [0.3, 0.7, 0.9])
+def test_seating_follows_the_exact_law(discount, monkeypatch):
+    for c, new in ((2, 0.5), (5, 1.0), (7, 4.0)):
+        assert math.isclose(stirling_mean(c, new, discount), partitions_mean(c, new, discount), rel_tol=1e-9)
+    for c, new in ((2, 0.5), (7, 1.0), (12, 0.5), (13, 0.5), (50, 0.5), (200, 0.5), (200, 40.0), (2_000, 3.0), (2_000, 40.0), (2_000, 400.0)):
+        assert math.isclose(drawn_mean(c, new, discount), stirling_mean(c, new, discount), rel_tol=0.02)
+    monkeypatch.setattr(lm_score, "TABLED", 256)
+    for new in (0.5, 20.0):  # the same on both sides of the tabled counts
+        assert math.isclose(drawn_mean(600, new, discount), stirling_mean(600, new, discount), rel_tol=0.03)
+
+
+def test_seating_edges():
+    t = lm_score.draw_tables(np.array([0, 1, 2, 2, 10**9]), np.array([1.0, 1.0, 1e-12, 1e12, 1e-3]), 0.5, np.arange(5, dtype=np.uint64))
+    assert t.tolist()[:4] == [0, 1, 1, 2] and 1 <= t[4] <= 3
+    assert len(lm_score.draw_tables(np.zeros(0, np.int64), np.zeros(0), 0.5, np.zeros(0, np.uint64))) == 0
+
+
+def brute_scores(tokens, held, rounds):
+    """{document: score} by dictionaries, with the module's draws; every predictive law is checked to sum to one."""
+    name = lambda w: int(lm_score.START if w == "<" else lm_score.END if w is None else next(lm_score.iter_slices(pa.array([w]), lower=False)).hashes[0])
+    c, pairs, starts = Counter(), Counter(), 0
+    for i, ws in tokens.items():
+        if not held[i]:
+            c.update(ws)
+            pairs.update(zip(["<", *ws[:-1]], ws, strict=True))
+            starts += 1
+    hashes = {w: name(w) for w in {*(w for ws in tokens.values() for w in ws), "<"}}
+    n, v = sum(c.values()), len(c)
+    discount = lambda counts: lm_score._discount(*(sum(x == k for x in counts) for k in (1, 2)))
+    d1, d2, theta = discount(c.values()), discount(pairs.values()), lm_score.STRENGTH
+    share = min(1.0, max(0.05, len(pairs) / n))
+    of = lambda u: starts if u == "<" else c[u]
+    u64 = lambda x: np.array([x % 2**64], np.uint64)
+
+    def seat(count, new, d, key):
+        return float(lm_score.draw_tables(np.array([count]), np.array([new]), d, lm_score.mix(u64(key)))[0])
+
+    def pair_hash(u, w):
+        return int(lm_score.mix(u64(hashes[u] * 0x9E3779B97F4A7C15 + int(lm_score.mix(u64(hashes[w] + 1))[0])))[0])
+
+    new = {(u, w): (theta + d2 * share * of(u)) * (c[w] + 0.5) / (n + 0.5 * (v + 1)) for u, w in pairs}
+    laws, tables1 = [], v
+    for turn in range(rounds):
+        t = {k: seat(x, new[k], d2, pair_hash(*k) + turn) for k, x in pairs.items()}
+        by_u, by_w = Counter(), Counter()
+        for (u, w), x in t.items():
+            by_u[u] += x
+            by_w[w] += x
+        top = {w: seat(int(x), (theta + d1 * tables1) / (v + 1), d1, hashes[w] + turn) for w, x in by_w.items()}
+        customers1, tables1 = sum(by_w.values()), sum(top.values())
+        unigram = {w: (by_w[w] - d1 * top.get(w, 0) + (theta + d1 * tables1) / (v + 1)) / (theta + customers1) for w in [*c, "?"]}
+        law = lambda u, w, t=t, by_u=by_u, g=unigram: (pairs[u, w] - d2 * t.get((u, w), 0) + (theta + d2 * by_u[u]) * g.get(w, g["?"])) / (theta + of(u))
+        for u in ["<", *list(c)[:20], "never seen"]:
+            assert math.isclose(sum(law(u, w) for w in [*c, "?"]), 1, rel_tol=1e-9)
+        new = {(u, w): (theta + d2 * by_u[u]) * unigram[w] for u, w in pairs}
+        laws.append(law)
+    return {i: sum(math.log10(sum(law(u, w) for law in laws[1:]) / (rounds - 1)) for u, w in zip(["<", *ws[:-1]], ws, strict=True)) for i, ws in tokens.items()}
+
+
+@pytest.mark.parametrize("block_bytes", [3 << 20, 3_000])
+def test_language_model_scores_brute_force(spark, prose, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
+    docs = frame(spark, prose, extra=[(4, prose[3], "en", "s", 1), (4, prose[3], "en", "s", 1)]).withColumnRenamed("lang", "score").withColumnRenamed("source", "held_out")
+    got = sorted((r.doc_id, r.score) for r in lm_score.scores(docs).collect())
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]
+    tokens = {(i + 1, 0): lower(t) for i, t in enumerate(prose)} | {(4, 1): lower(prose[3]), (4, 2): lower(prose[3])}
+    want = brute_scores(tokens, {k: zlib.crc32(str(k[0]).encode()) % 7 == 2 for k in tokens}, lm_score.ROUNDS)
+    assert len(got) == len(want)
+    for (i, score), ((j, _), expected) in zip(got, sorted(want.items()), strict=True):
+        assert i == j and math.isclose(score, expected, rel_tol=1e-6)

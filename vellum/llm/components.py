@@ -2,7 +2,8 @@
 
 Every step is a grouped minimum (combined before the shuffle) joined back to the
 edges; a node with very many neighbours only makes one side of that join skewed,
-which adaptive execution splits.  Each round is written to the shared folder.
+which adaptive execution splits.  Each round is written to the shared folder and the one
+before it removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.store import written
+from vellum.llm.store import remove, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,8 +40,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        remove(old)
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             break
         before = now

@@ -2,10 +2,16 @@
 
 Every word is the context of a restaurant whose dishes are the words after it; all
 context restaurants share one parent, the unigram restaurant, whose own parent is
-uniform over the vocabulary and one unknown word.  Seating is sampled by Gibbs in
-ROUNDS; each goes by what all restaurants sent up in the round before, the first by raw
-counts.  Within a round table counts are means over sweeps; the predictive
-probabilities of the rounds after the first are averaged.
+uniform over the vocabulary and one unknown word.
+
+Seating is sampled by Gibbs in ROUNDS.  In each, every dish of every restaurant is
+seated anew: its number of tables is drawn from the full conditional given all other
+restaurants as they stood after the round before, that is with probability in
+proportion to new^t S(c, t), where S is the generalised Stirling number and ``new`` the
+weight of a new table (strength and discount times the tables of the restaurant, times
+the parent's probability).  Tables sent up are the parent's customers, and the parent is
+seated in the same way.  The predictive probabilities of all rounds after the first are
+averaged.
 
 The corpus is cut into blocks of whole documents, kept as arrays in a bucketed table.
 Counts come together in exchanges, each of the same form: a block asks shards,
@@ -17,20 +23,17 @@ answer in the order asked.
 * tables, once a round: what the sampled seating sends up: tables by context, customers
   by word.
 
-A pair's seating depends only on its count and on the weight of a new table, from its
-word's share and its context's size.  Pairs that agree in both, to a sixteenth of the
-logarithm (counts up to ONE_BY_ONE exactly), share their chains; these are drawn from
-random numbers that count and weight seed, so every block that holds a pair finds the
-same seating.  Within a round the other restaurants stay as they were
-at the last exchange.  Dishes of more than ONE_BY_ONE customers are seated by independent
-sequential draws, not by Gibbs sweeps.  Words are known by 64-bit hashes.
+Draws are seeded by pair and round, so every block that holds a pair finds the same
+seating, and so does a task that runs again.  Restaurants of one round are drawn at once,
+not one after the other (as in distributed topic models).  Words are known by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +41,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.store import partitions, shared_dir
+from vellum.llm.store import bucketed, partitions
 from vellum.llm.words import iter_slices, mix
 
 #: Bytes of text in a block, and keys that a shard gets if all are spread evenly.
 BLOCK_BYTES, SHARD_KEYS = 3 << 20, 1_500_000
-BURN_IN, SAMPLES, SEQUENCES = 3, 12, 4
 #: Times that all restaurants are seated; the first, from raw counts, is left out of the mean of the probabilities.
 ROUNDS = 3
-#: Parts of a table that are told apart, so that sums don't depend on their order.
-PARTS = 4_096
-#: Steps of the logarithm, of a new table's weight and of counts over ONE_BY_ONE, that share their chains.
-WEIGHT_STEPS = 16
-#: Customers of a dish up to which they are re-seated one by one; more are re-seated as a block.
-ONE_BY_ONE = 12
+#: Customers of a dish up to which Stirling numbers are tabled; beyond, their limit in the count is used.
+TABLED = 1_024
+#: Ratio of a new table's weight and the discount beyond which dishes of more customers than that are drawn by a normal law.
+MANY = 300.0
 STRENGTH = 1.0
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x2545F4914F6CDD1D)
-_ASK = "shard int, block long, keys binary, values binary, apart binary"
-_TOLD = "block long, shard int, answer binary, n double, types double, ones double, twos double"
+_ASK = "shard int, block long, m int, keys binary, values binary, apart binary"
+_TOLD = "block long, shard int, m int, answer binary, n double, types double, ones double, twos double"
 
 
 # ---- blocks ---------------------------------------------------------------------
@@ -82,15 +82,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["block", "doc_ids", "held", "lengths", "vocabulary", "tokens"])
                 block += 1
 
-    return _bucketed(rows.mapInArrow(run, "block long, doc_ids binary, held binary, lengths binary, vocabulary binary, tokens binary"), "lm_blocks")
-
-
-def _bucketed(made: DataFrame, what: str) -> DataFrame:
-    """``made`` written in buckets by block, so that later joins need no shuffle."""
-    spark = made.sparkSession
-    name = f"{what}_{uuid.uuid4().hex}"
-    made.write.bucketBy(partitions(spark), "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name, format="parquet")
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(run, "block long, doc_ids binary, held binary, lengths binary, vocabulary binary, tokens binary"), "block", "lm_blocks")
 
 
 class Block:
@@ -133,22 +125,38 @@ class Block:
 # ---- exchanges ------------------------------------------------------------------
 
 
-def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int, apart: tuple[int, ...] | None = None) -> pa.RecordBatch:
-    """Sorted keys, cut by shard; empty parts are not sent.  ``apart`` are totals of what stays in the block."""
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length, byte by byte: first bytes of all, second bytes of all, so that high bytes, mostly zero, take no room."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a)]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True) if planes else b""
+
+
+def _unpack(packed: bytes, kinds: tuple[str, ...], m: int) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = pa.decompress(packed, decompressed_size=m * sum(sizes), codec="zstd", asbytes=True) if m else b""
+    at, out = 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, m * size, at).reshape(size, m).T).view(kind).reshape(m))
+        at += m * size
+    return out
+
+
+def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int, apart: tuple[float, ...] | None = None) -> pa.RecordBatch:
+    """Sorted keys, cut by shard and kept as steps; empty parts are not sent.  ``apart`` are totals of what stays in the block."""
     shard = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(keys)] if len(keys) else cuts
-    packed = [zlib.compress(b"".join(v[a:z].tobytes() for v in values), 1) for a, z in zip(cuts, ends, strict=True)]
-    shards, asked = shard[cuts].tolist(), [keys[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)]
-    extra = [None] * len(shards)
+    spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)][: len(cuts)], strict=True))
+    asked = [_pack([np.diff(keys[a:z], prepend=np.uint64(0))]) for a, z in spans]
+    packed = [_pack([v[a:z] for v in values]) for a, z in spans]
+    shards, m, extra = shard[cuts].tolist(), [z - a for a, z in spans], [None] * len(spans)
     if apart is not None:  # a row without keys, for any shard
-        shards, asked, packed, extra = [*shards, block % n_shards], [*asked, b""], [*packed, zlib.compress(b"")], [*extra, np.array(apart, np.float64).tobytes()]
-    cells = [pa.array(shards, pa.int32()), pa.array(np.full(len(shards), block)), *(pa.array(c, pa.binary()) for c in (asked, packed, extra))]
-    return pa.RecordBatch.from_arrays(cells, ["shard", "block", "keys", "values", "apart"])
+        shards, m, asked, packed, extra = [*shards, block % n_shards], [*m, 0], [*asked, b""], [*packed, b""], [*extra, np.array(apart, np.float64).tobytes()]
+    cells = [pa.array(shards, pa.int32()), pa.array(np.full(len(shards), block)), pa.array(m, pa.int32()), *(pa.array(c, pa.binary()) for c in (asked, packed, extra))]
+    return pa.RecordBatch.from_arrays(cells, ["shard", "block", "m", "keys", "values", "apart"])
 
 
 def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: str) -> tuple[DataFrame, list[float]]:
-    """What the shards tell each block, as (block, ``name``), and the totals; ``answer(keys, summed values, number of blocks) -> (arrays, n, types, ones, twos)``.
+    """What the shards tell each block, as (block, ``name``), and the totals; ``answer(keys, summed values, number of blocks) -> (arrays, (n, types, ones, twos))``.
 
     A shard's group has the keys of one hash range from all blocks, summed up by block
     before: no word or pair, however frequent, comes more than once from a block.
@@ -156,142 +164,136 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: s
 
     def solve(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        order = np.argsort(table["block"].to_numpy())
-        table = table.take(pa.array(order))
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]]
-        n = [len(k) for k in keys]
-        columns: list[list[np.ndarray]] = [[] for _ in kinds]
-        for packed, m in zip(table["values"], n, strict=True):
-            raw, at = zlib.decompress(packed.as_py()), 0
-            for j, kind in enumerate(kinds):
-                size = m * np.dtype(kind).itemsize
-                columns[j].append(np.frombuffer(raw[at : at + size], kind))
-                at += size
+        table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
+        n = table["m"].to_pylist()
+        keys, columns = [], [[] for _ in kinds]
+        for asked, packed, m in zip(table["keys"], table["values"], n, strict=True):
+            keys.append(np.cumsum(_unpack(asked.as_py(), ("<u8",), m)[0], dtype=np.uint64))
+            for to, got in zip(columns, _unpack(packed.as_py(), kinds, m), strict=True):
+                to.append(got)
         every, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = [np.bincount(back, np.concatenate(c), len(every)) for c in columns]
-        owner = np.zeros(len(back), bool)
-        owner[first] = True
+        owner = np.zeros(len(back), np.uint8)
+        owner[first] = 1
         arrays, totals = answer(every, sums, np.bincount(back, minlength=len(every)))
         totals = sum((np.frombuffer(x) for x in table["apart"].to_pylist() if x), np.array(totals, np.float64))
         told, at = [], 0
         for m in n:
             own = back[at : at + m]
-            told.append(zlib.compress(b"".join([*(a[own].tobytes() for a in arrays), owner[at : at + m].astype(np.uint8).tobytes()]), 1))
+            told.append(_pack([*(a[own] for a in arrays), owner[at : at + m]]))
             at += m
         rows = len(n)
-        cells = [table["block"].to_pylist() + [-1], [shard] * (rows + 1), told + [b""], *([0.0] * rows + [float(t)] for t in totals)]
-        kinds_ = [pa.int64(), pa.int32(), pa.binary(), *[pa.float64()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(cells, kinds_, strict=True)], names=["block", "shard", "answer", "n", "types", "ones", "twos"])
+        cells = [table["block"].to_pylist() + [-1], [shard] * (rows + 1), [*n, 0], [*told, b""], *([0.0] * rows + [float(t)] for t in totals)]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.float64()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(cells, types, strict=True)], names=["block", "shard", "m", "answer", "n", "types", "ones", "twos"])
 
     told = asks.groupBy("shard").applyInArrow(solve, _TOLD).groupBy("block")
     sums = [F.sum(c).alias(c) for c in ("n", "types", "ones", "twos")]
-    table = _bucketed(told.agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias(name), *sums), f"lm_{name}")
+    parts = F.sort_array(F.filter(F.collect_list(F.struct("shard", "m", "answer")), lambda x: x["m"] > 0))
+    table = bucketed(told.agg(parts.alias(name), *sums), "block", f"lm_{name}")
     totals = table.where("block = -1").select("n", "types", "ones", "twos").first()
     return table.where("block >= 0").select("block", name), [x or 0.0 for x in totals or [0.0] * 4]
 
 
 def _answers(parts: list[dict] | None, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The answers of all shards in the order asked; the last array marks what this block accounts for."""
-    columns: list[list[np.ndarray]] = [[] for _ in kinds]
-    for p in parts or []:
-        raw, at = zlib.decompress(p["answer"]), 0
-        m = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-        for j, k in enumerate(kinds):
-            columns[j].append(np.frombuffer(raw[at : at + m * np.dtype(k).itemsize], k))
-            at += m * np.dtype(k).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
+    each = [_unpack(p["answer"], kinds, p["m"]) for p in parts or []]
+    return [np.concatenate(c) for c in zip(*each, strict=True)] if each else [np.zeros(0, k) for k in kinds]
 
 
 # ---- seating --------------------------------------------------------------------
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
-    return (mix(seed + np.uint64(step * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    """Uniform numbers strictly between 0 and 1."""
+    return ((mix(seed + np.uint64(step * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+@lru_cache(maxsize=4)
+def log_stirling(discount: float, top: int = TABLED) -> np.ndarray:
+    """log S(c, t) of the generalised Stirling numbers, for 1 <= t <= c <= top."""
+    out = np.full((top + 1, top + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, top):
+        t = np.arange(1, c + 2)
+        stay = np.append(np.log(c - t[:-1] * discount), -np.inf) + out[c, 1 : c + 2]
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay)
+    return out
 
 
-def mean_tables(count: np.ndarray, new: np.ndarray, discount: float, turn: int = 0) -> np.ndarray:
-    """Mean number of tables of dishes with ``count`` customers, over Gibbs samples.
+def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities."""
+    t, log_new, table = np.ones(len(count)), np.log(new), log_stirling(discount)
+    order = np.argsort(count, kind="stable")
+    ranked = count[order]
+    at = 0
+    while at < len(order):
+        c = int(ranked[at])
+        stop = min(int(np.searchsorted(ranked, c, "right")), at + max(1, 2_000_000 // c))
+        own = order[at:stop]
+        w = table[c, 1 : c + 1] + log_new[own, None] * np.arange(1, c + 1)
+        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
+        t[own] = 1 + (w[:, :-1] < (u[own] * w[:, -1])[:, None]).sum(1)
+        at = stop
+    return t
+
 
-    ``new`` is the weight of a new table, discount and strength times the parent's
-    probability.  One customer always has one table.  Each turn draws anew.
+def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Draws of means up to MANY."""
+    p = np.exp(-mean)
+    reach, k = p.copy(), np.zeros(len(mean))
+    for n in range(1, int(MANY + 12 * MANY**0.5)):
+        k += u > reach
+        p = p * mean / n
+        reach += p
+    return k
+
+
+def _normal(count: np.ndarray, ratio: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
+    """Draws for many customers and many tables: mean and spread from the saddle point of exp(ratio (1 - (1-x)^d)) / x^c."""
+
+    def at(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.full(len(r), -700.0), np.zeros(len(r))
+        for _ in range(80):  # y = 1 - x with r d x y^(d-1) = c; the left side falls in y
+            mid = (low + high) / 2
+            over = np.log(r * discount) + np.log1p(-np.exp(np.minimum(mid, -1e-15))) + (discount - 1) * mid > np.log(count)
+            low, high = np.where(over, mid, low), np.where(over, high, mid)
+        x = -np.expm1(mid)
+        log_spread = np.log(r * discount * x) + (discount - 2) * mid + np.log(np.exp(mid) + (1 - discount) * x)
+        return r * -np.expm1(discount * mid), log_spread
+
+    step = 1e-3
+    (more, spread_more), (less, spread_less) = at(ratio * np.exp(step)), at(ratio * np.exp(-step))
+    mean = (more + less) / 2 - (spread_more - spread_less) / (4 * step)
+    deviation = np.sqrt(np.maximum((more - less) / (2 * step), 0))
+    z = np.sqrt(-2 * np.log(_uniform(seed, 2))) * np.cos(2 * np.pi * _uniform(seed, 3))
+    return np.clip(np.round(mean + deviation * z), 1, count)
+
+
+def draw_tables(count: np.ndarray, new: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
+    """Number of tables of dishes with ``count`` customers, drawn given the weight ``new`` of a new table.
+
+    Up to TABLED customers the draw is exact.  Beyond, tables of the first TABLED stay with
+    a weight that falls as (TABLED / c)^discount for each of them, and new ones come as a
+    Poisson number, the limit for c far above t; where many tables are expected, by a
+    normal law.  One customer always has one table, none has none.
     """
     out = np.minimum(count, 1).astype(np.float64)
-    open_ = np.flatnonzero(count > 1)
-    if not len(open_):
+    at = np.flatnonzero(count > 1)
+    if not len(at):
         return out
-    step = np.clip(np.round(np.log(np.maximum(new[open_], 1e-30)) * WEIGHT_STEPS), -2_000, 2_000).astype(np.int64)
-    c = count[open_].astype(np.int64)
-    many = c > ONE_BY_ONE
-    c[many] = np.maximum(ONE_BY_ONE + 1, np.round(np.exp(np.round(np.log(c[many]) * WEIGHT_STEPS) / WEIGHT_STEPS))).astype(np.int64)
-    chains, back = np.unique(c * 8_192 + step + 4_096, return_inverse=True)
-    known = _chains.setdefault((round(discount, 9), turn), {})
-    new_chains = np.array([x for x in chains.tolist() if x not in known], np.int64)
-    if len(new_chains):
-        known.update(zip(new_chains.tolist(), _sampled(new_chains, discount, turn).tolist(), strict=True))
-    out[open_] = np.array([known[x] for x in chains.tolist()])[back]
+    c, w, own = count[at].astype(np.int64), np.maximum(new[at], 1e-300), seed[at]
+    ratio, long_ = w / discount, c > TABLED
+    t, few = np.empty(len(at)), ~long_ | (ratio <= MANY)
+    shrink = np.where(long_, (TABLED / c) ** discount, 1.0)
+    t[few] = _tabled(np.minimum(c, TABLED)[few], (w * shrink)[few], discount, _uniform(own, 0)[few])
+    grown = few & long_
+    t[grown] += _poisson((ratio * (1 - shrink))[grown], _uniform(own, 1)[grown])
+    t[~few] = _normal(c[~few].astype(np.float64), ratio[~few], discount, own[~few])
+    out[at] = t
     return out
 
 
-#: Means of chains that this worker has sampled; as many at most as there are steps of counts and weights.
-_chains: dict[tuple[float, int], dict[int, float]] = {}
-
-
-def _sampled(chains: np.ndarray, discount: float, turn: int) -> np.ndarray:
-    c, weight = chains // 8_192, np.exp((chains % 8_192 - 4_096) / WEIGHT_STEPS)
-    seed = mix(chains.astype(np.uint64) + np.uint64(turn << 40))
-    mean = np.zeros(len(chains))
-    for k in np.unique(c[c <= ONE_BY_ONE]).tolist():
-        own = np.flatnonzero(c == k)
-        mean[own] = _one_by_one(k, weight[own], discount, seed[own])
-    many = np.flatnonzero(c > ONE_BY_ONE)
-    if len(many):
-        mean[many] = np.mean([_in_sequence(c[many], weight[many], discount, seed[many], 10_000_000 * s) for s in range(SEQUENCES)], axis=0)
-    return mean
-
-
-def _one_by_one(c: int, new: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Each sweep takes every customer from its table and seats it given all others."""
-    n = len(new)
-    row = np.arange(n)
-    table = np.zeros((n, c), np.int64)
-    size = np.zeros((n, c), np.int64)
-    size[:, 0] = c
-    total, step = np.zeros(n), 0
-    for sweep in range(BURN_IN + SAMPLES):
-        for j in range(c):
-            size[row, table[:, j]] -= 1
-            free = np.argmin(size > 0, axis=1)
-            weight = np.where(size > 0, size - discount, 0)
-            weight[row, free] = new
-            reach = np.cumsum(weight, axis=1)
-            step += 1
-            pick = np.minimum((reach < (_uniform(seed, step) * reach[:, -1])[:, None]).sum(1), c - 1)
-            table[:, j] = pick
-            size[row, pick] += 1
-        if sweep >= BURN_IN:
-            total += (size > 0).sum(1)
-    return total / SAMPLES
-
-
-def _in_sequence(count: np.ndarray, new: np.ndarray, discount: float, seed: np.ndarray, step: int) -> np.ndarray:
-    """All customers leave and are seated anew in order; later ones in leaps, whose new tables are binomial by their mean and spread."""
-    t, n = np.ones(len(count)), 1
-    most = int(count.max())
-    while n < most:
-        leap = max(1, n // 32) if n >= 64 else 1
-        m = np.clip(count - n, 0, leap)
-        p = new / (new + np.maximum(n - discount * t, 1e-9))
-        step += 1
-        x = _uniform(seed, step)
-        if leap == 1:
-            t += (x < p) & (m > 0)
-        else:
-            mean = m * p
-            t += np.where(m > 0, np.clip(np.floor(mean + np.sqrt(mean * (1 - p)) * (x - 0.5) * 3.46 + _uniform(seed, step + 5_000_000)), 0, m), 0)
-        n += leap
-    return t
-
-
 # ---- the model ------------------------------------------------------------------
 
 
@@ -357,9 +359,10 @@ def scores(docs: DataFrame) -> DataFrame:
     d1, d2 = _discount(ones1, twos1), _discount(ones2, twos2)
     share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
 
-    def at_top(by_w: np.ndarray, turn: int) -> np.ndarray:
-        top = mean_tables(np.round(by_w).astype(np.int64), np.full(len(by_w), (STRENGTH + d1 * n_types) / (n_types + 1)), d1, turn)
-        return np.round(top * PARTS) / PARTS
+    def at_top(by_w: np.ndarray, names: np.ndarray, turn: int, totals: list[tuple[float, float]]) -> np.ndarray:
+        """Tables of the unigram restaurant, given how many it had in the round before."""
+        new = (STRENGTH + d1 * (totals[turn - 1][1] if turn else n_types)) / (n_types + 1)
+        return draw_tables(by_w.astype(np.int64), np.full(len(by_w), new), d1, mix(names + np.uint64(turn)))
 
     def seated(b: Block, row: dict, totals: list[tuple[float, float]]):
         """(shared words, training counts of words, contexts and pairs, rounds): for each round the tables by pair, the tables by context
@@ -375,20 +378,20 @@ def scores(docs: DataFrame) -> DataFrame:
         c_u = np.append(c, ends)[b.u]
         v = len(b.vocabulary)
         sent = _sent(b, shared)
+        own = np.setdiff1d(np.arange(v), sent, assume_unique=True)
         new = (STRENGTH + d2 * share * c_u) * (c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
         rounds = []
         for turn in range(min(len(totals) + 1, ROUNDS)):
-            t = np.round(mean_tables(count, new, d2, turn) * PARTS) / PARTS
+            t = draw_tables(count, new, d2, mix(b.pair_hash + np.uint64(turn)))
             by_u, by_w = np.bincount(b.u[mine], t[mine], v + 1), np.bincount(b.w[mine], t[mine], v + 1)
             unigram = None
             if turn < len(totals):
                 top = np.zeros(v + 1)
                 for to, got in zip((by_u, by_w, top), _answers(row[f"tables{turn}"], table_kinds)[:3], strict=True):
-                    to[sent] = got / PARTS
-                own = np.setdiff1d(np.arange(v), sent, assume_unique=True)
-                top[own] = at_top(by_w[own], turn)
+                    to[sent] = got
+                top[own] = at_top(by_w[own], b.vocabulary[own], turn, totals)
                 customers1, tables1 = totals[turn]
-                unigram = (np.maximum(by_w[:v] - d1 * top[:v], 0) + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
+                unigram = (by_w[:v] - d1 * top[:v] + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
                 new = (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]
             rounds.append((t, by_u, by_w, unigram))
         return shared, c, c_u, count, rounds
@@ -403,13 +406,13 @@ def scores(docs: DataFrame) -> DataFrame:
                 _, by_u, by_w, _ = rounds[-1]
                 sent = _sent(b, shared)
                 own = np.setdiff1d(np.arange(len(b.vocabulary)), sent, assume_unique=True)
-                parts = [np.round(x[sent] * PARTS).astype(np.int64) for x in (by_u, by_w)]
-                yield _ask(b.id, _names(b)[sent], parts, n_shards, (by_w[own].sum(), at_top(by_w[own], turn).sum(), 0, 0))
+                parts = [x[sent].astype(np.int64) for x in (by_u, by_w)]
+                yield _ask(b.id, _names(b)[sent], parts, n_shards, (by_w[own].sum(), at_top(by_w[own], b.vocabulary[own], turn, totals).sum(), 0, 0))
 
-        def add_tables(keys, sums, n, turn=turn):
+        def add_tables(keys, sums, n, turn=turn, totals=tuple(totals)):
             by_u, by_w = sums
-            top = at_top(by_w / PARTS, turn) * PARTS
-            return [x.astype(np.int64) for x in (by_u, by_w, top)], (by_w.sum() / PARTS, top.sum() / PARTS, 0, 0)
+            top = at_top(by_w, keys, turn, totals)
+            return [x.astype(np.int64) for x in (by_u, by_w, top)], (by_w.sum(), top.sum(), 0, 0)
 
         tables, (customers1, tables1, _, _) = _exchange(with_tables.mapInArrow(ask_tables, _ASK), ("<i8", "<i8"), add_tables, f"tables{turn}")
         totals.append((customers1, tables1))
@@ -419,7 +422,7 @@ def scores(docs: DataFrame) -> DataFrame:
         for row in _rows(batches):
             b = Block(row)
             _, c, c_u, count, rounds = seated(b, row, totals)
-            p = np.mean([(np.maximum(count - d2 * t, 0) + (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]) / (STRENGTH + c_u) for t, by_u, _, unigram in rounds[1:]], axis=0)
+            p = np.mean([(count - d2 * t + (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]) / (STRENGTH + c_u) for t, by_u, _, unigram in rounds[1:]], axis=0)
             base = np.log10((c + 1) / (n_train + n_types + 1))
             n = len(b.lengths)
             add = lambda x: np.bincount(b.doc, x, n)
