@@ -34,7 +34,7 @@ LARGE, GROUPS = (1 / 16, 1 / 6, 1 / 3), (16, 40, 120, 400)
 REMEMBERED = 400_000
 # Fixed value: how the byte-level BPE vocabulary splits a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Texts with other characters than these are encoded whole: regular expression engines class them differently.
+#: Texts with other characters than these, or with a special token, are encoded whole: regular expression engines class them differently.
 SURE = "[^\t-\r -~À-ÖØ-öø-ſ‘-”–—…€¡¿«»]"
 
 
@@ -51,7 +51,6 @@ def _encoder(path: str | None):
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     # the file's ids are the order of its merges, so they serve as merge ranks
     # byte-level files write visible bytes as themselves, the others as the code points from 256 on
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,7 +58,7 @@ def _encoder(path: str | None):
     special = {t.content for t in whole.get_added_tokens_decoder().values()}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in whole.get_vocab().items() if token not in special}
     merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    split, unsure = re.compile(SPLIT).findall, re.compile(SURE).search
+    split, unsure = re.compile(SPLIT).findall, re.compile("|".join([SURE, *map(re.escape, sorted(special))])).search
     known: dict[str, bytes] = {}
 
     def one(word: str) -> bytes:
