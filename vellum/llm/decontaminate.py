@@ -1,18 +1,23 @@
 """Benchmark leaks by template canonicalisation, with built-in functions only.
 
 Tokens become templates: a number turns into <num>, a unit after a number into
-<unit>, a capitalised word inside a sentence into <name>; other words are
-lower-cased.  Five-token template windows of documents are hash-joined with those
-of the benchmark.  On one alignment of a document with an item, or on alignments
-that lie BAND tokens apart at most, as words put in or left out make them, at least
-0.8 of the item's windows must occur; then the slots are compared: a re-parameterised
-question puts the same new value wherever the item repeats an old one.
+<unit>, a capitalised word inside a sentence into <name>; other words are lower-cased.
+
+Template windows of documents are hash-joined with those of the benchmark: of five
+tokens, or of all tokens of an item that has fewer.  First only with each item's
+rarest windows, one of which a document that holds 0.8 of them must have; then,
+for documents found so, with all windows of the items found.  On one alignment of a
+document with an item, or on alignments that lie BAND tokens apart at most, as words
+put in or left out make them, at least 0.8 of the item's windows must occur; then the
+slots are compared: a re-parameterised question puts the same new value wherever the
+item repeats an old one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.llm.store import written
 
@@ -62,57 +67,76 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def windows(rows: DataFrame, key: str, n: int = WINDOW) -> DataFrame:
+def windows(rows: DataFrame, key: str, sizes: tuple[int, ...] = (WINDOW,), whole: bool = False) -> DataFrame:
     """(key, at, h): the hash of each template window and the token, from 1, where it starts.
 
-    A shorter text that isn't empty is one window.  Hashes are made as an array and
-    exploded alone: a row that carried the whole template would copy it each time.
+    One for each of ``sizes``; with ``whole``, a text of fewer than WINDOW tokens that
+    isn't empty is one window.  Hashes are made as an array and exploded alone: a row
+    that carried the whole template would copy it each time.
     """
 
     def hashed(tpl: Column) -> Column:
-        last = F.greatest(F.size(tpl) - (n - 1), F.least(F.size(tpl), F.lit(1)))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i > 0, F.xxhash64(F.slice(tpl, F.greatest(i, F.lit(1)), n))))
+        n = F.size(tpl)
+
+        def of(size: int) -> Column:
+            last = F.greatest(n - (size - 1), F.least(n, F.lit(1))) if whole else F.greatest(n - (size - 1), F.lit(0))
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i > 0, F.struct(i.alias("at"), F.xxhash64(F.slice(tpl, F.greatest(i, F.lit(1)), size)).alias("h"))))
+
+        return F.filter(F.concat(*map(of, sizes)) if len(sizes) > 1 else of(sizes[0]), lambda x: x.isNotNull())
 
     found = _let(tokens("text"), lambda ws: _let(template(ws), hashed))
-    return rows.select(F.col(key).cast("long").alias(key), F.posexplode(found).alias("at", "h")).where("at > 0")
+    return rows.select(key, F.inline(found))
 
 
-def _prepared(rows: DataFrame, key: str) -> DataFrame:
-    """(key, words, tpl). The tokens are bound once for each row; as a plain column the lambda would find them anew for each word."""
+def _prepared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, words, tpl). The tokens are bound once for each row; as a plain column the lambda would find them anew for each word."""
     both = F.transform(F.array(tokens("text")), lambda ws: F.struct(ws.alias("words"), template(ws).alias("tpl")))
-    return rows.select(F.col(key).cast("long").alias(key), F.inline(both))
+    return rows.select(*keys, F.inline(both))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, n_windows, n_hits, n_changed): where a document holds an item.
 
     ``at`` is the token, from 1, where the item's first would stand; n_changed counts
-    the slots whose values differ.  Items without a token match nothing.  Repeated
-    item_ids and doc_ids are taken as one.  Rows with a null id are left out.
+    the slots whose values differ.  Items without a token match nothing; one of fewer
+    than five tokens is found where they all stand in a row.  Each different text of a
+    repeated item_id is searched.  Repeated doc_ids are taken as one.  Rows with a null id
+    are left out.
     """
-    benchmark = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    items = _prepared(benchmark, "item_id")
-    item_windows = windows(benchmark, "item_id")
-    n = item_windows.agg(F.count("*")).first()[0]
-    probes = item_windows.select("h", "item_id", F.col("at").alias("item_at"))
-    if n <= BROADCAST_WINDOWS:
-        probes = F.broadcast(probes)
-    doc_windows = windows(docs.where("doc_id is not null"), "doc_id")
-    shift = F.col("at") - F.col("item_at")
-    hits = doc_windows.join(probes, "h").select("doc_id", "item_id", shift.alias("s"), "item_at")
+    texts = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    texts = texts.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("version"), "text")
+    items = _prepared(texts, ["item_id", "version"])
+    found = windows(texts.select(F.struct("item_id", "version").cast("struct<item_id:bigint,version:bigint>").alias("item"), "text"), "item", whole=True)
+    found = written(found.select("item.item_id", "item.version", F.col("at").alias("item_at"), "h"), "items")
+    n = found.count()
+    lengths = tuple(sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect())) or (WINDOW,)  # five at most
+    few = (lambda df: F.broadcast(df)) if n <= BROADCAST_WINDOWS else (lambda df: df)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    asked = ["doc_id", "item_id", "version"]
+
+    # a document with SIMILARITY of an item's n windows lacks at most the rest, so of one window more it has one
+    rest = 1 + F.floor((1 - SIMILARITY) * F.count("*").over(Window.partitionBy("item_id", "version")) + 1e-9)
+    rarest = F.row_number().over(Window.partitionBy("item_id", "version").orderBy("items", "item_at"))
+    shared = found.groupBy("h").agg(F.count("*").alias("items"))
+    probes = found.join(shared, "h").select("item_id", "version", "h", rarest.alias("r"), rest.alias("rest")).where("r <= rest").select("item_id", "version", "h").distinct()
+    maybe = written(windows(rows, "doc_id", lengths).join(few(probes), "h").select(*asked).distinct(), "maybe")
+    ids = maybe.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    doc_windows = windows(rows.join(ids, "doc_id", "left_semi"), "doc_id", lengths)
+    hits = doc_windows.join(few(found), "h").join(maybe, asked, "left_semi").select(*asked, (F.col("at") - F.col("item_at")).alias("s"), "item_at")
     # each hit counts for every band of alignments that it lies in; a band begins with an alignment that has hits
-    hits = hits.select("doc_id", "item_id", F.struct("s", "item_at").alias("hit"), F.explode(F.sequence(F.col("s") - BAND, "s")).alias("shift"))
-    bands = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits")).where(F.exists("hits", lambda x: x["s"] == F.col("shift")))
-    sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    hits = hits.select(*asked, F.struct("s", "item_at").alias("hit"), F.explode(F.sequence(F.col("s") - BAND, "s")).alias("shift"))
+    bands = hits.groupBy(*asked, "shift").agg(F.collect_set("hit").alias("hits")).where(F.exists("hits", lambda x: x["s"] == F.col("shift")))
+    sizes = found.groupBy("item_id", "version").agg(F.count("*").alias("n_windows"))
     enough = lambda n: n >= F.col("n_windows") * SIMILARITY
     on = lambda s: F.size(F.filter("hits", lambda x: x["s"] == s))
     of_band = F.size(F.array_distinct(F.transform("hits", lambda x: x["item_at"])))
-    bands = bands.join(sizes, "item_id").where(enough(of_band))
+    bands = bands.join(sizes, ["item_id", "version"]).where(enough(of_band))
     alone = enough(on(F.col("shift")))
     near = bands.where(alone | ~F.exists("hits", lambda x: enough(on(x["s"]))))
     n_hits = F.when(alone, on(F.col("shift"))).otherwise(of_band).cast("long")
-    near = written(near.select("doc_id", "item_id", "shift", "n_windows", n_hits.alias("n_hits"), F.when(~alone, F.col("hits")).alias("hits")), "near")
-    return written(_consistent(near, docs, items), "leaks")
+    near = written(near.select(*asked, "shift", "n_windows", n_hits.alias("n_hits"), F.when(~alone, F.col("hits")).alias("hits")), "near")
+    return written(_consistent(near, rows, items), "leaks")
 
 
 def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -123,8 +147,8 @@ def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     Items without a slot need no look at the document again.
     """
     slot = lambda x: x.isin("<num>", "<name>", "<unit>")
-    slots = items.select("item_id", F.filter(F.transform("tpl", lambda x, i: F.when(slot(x), F.struct((i + 1).alias("p"), x.alias("kind"), F.rtrim(F.element_at("words", i + 1), F.lit(".!?:")).alias("v")))), lambda x: x.isNotNull()).alias("slots"))
-    near = near.join(slots, "item_id")
+    slots = items.select("item_id", "version", F.filter(F.transform("tpl", lambda x, i: F.when(slot(x), F.struct((i + 1).alias("p"), x.alias("kind"), F.rtrim(F.element_at("words", i + 1), F.lit(".!?:")).alias("v")))), lambda x: x.isNotNull()).alias("slots"))
+    near = near.join(slots, ["item_id", "version"])
     plain = near.where(F.size("slots") == 0).select("doc_id", "item_id", "shift", "n_windows", "n_hits", F.lit(0).cast("long").alias("n_changed"))
     asked = near.where(F.size("slots") > 0)
     ids = asked.select("doc_id").distinct()
@@ -132,19 +156,18 @@ def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     if not n:
         return plain.select("doc_id", "item_id", (F.col("shift") + 1).alias("at"), "n_windows", "n_hits", "n_changed")
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    words = _prepared(texts, "doc_id")
-    each = asked.join(words, "doc_id").select("doc_id", "item_id", "shift", "n_windows", "n_hits", "hits", "words", "tpl", F.explode("slots").alias("s"))
+    words = _prepared(docs.join(ids, "doc_id", "left_semi"), ["doc_id"])
+    each = asked.join(words, "doc_id").select("doc_id", "item_id", "version", "shift", "n_windows", "n_hits", "hits", "words", "tpl", F.explode("slots").alias("s"))
     holding = F.filter("hits", lambda x: x["item_at"].between(F.col("s.p") - (WINDOW - 1), F.col("s.p")))
     best = F.array_max(F.transform(holding, lambda x: F.struct(F.size(F.filter("hits", lambda y: y["s"] == x["s"])).alias("n"), (-x["s"]).alias("minus"))))
     at = F.when(F.col("hits").isNull(), F.col("shift")).otherwise(-best["minus"]) + F.col("s.p")
     inside = at.between(1, F.size("tpl"))
     each = each.where(inside & (F.get(F.col("tpl"), at - 1) == F.col("s.kind")))
-    each = each.select("doc_id", "item_id", "shift", "n_windows", "n_hits", F.col("s.kind").alias("kind"), F.col("s.v").alias("old"), F.rtrim(F.get(F.col("words"), at - 1), F.lit(".!?:")).alias("new"))
-    keys = ["doc_id", "item_id", "shift", "n_windows", "n_hits"]
+    each = each.select("doc_id", "item_id", "version", "shift", "n_windows", "n_hits", F.col("s.kind").alias("kind"), F.col("s.v").alias("old"), F.rtrim(F.get(F.col("words"), at - 1), F.lit(".!?:")).alias("new"))
+    keys = ["doc_id", "item_id", "version", "shift", "n_windows", "n_hits"]
     by_value = each.groupBy(*keys, "kind", "old").agg(F.count_distinct("new").alias("news"), F.sum((F.col("new") != F.col("old")).cast("long")).alias("changed"))
     told = by_value.groupBy(*keys).agg(F.max("news").alias("news"), F.sum("changed").alias("n_changed")).where("news = 1")
-    return plain.unionByName(told.select(*keys, "n_changed")).withColumn("at", F.col("shift") + 1).select("doc_id", "item_id", "at", "n_windows", "n_hits", "n_changed")
+    return plain.unionByName(told.select(*(k for k in keys if k != "version"), "n_changed")).withColumn("at", F.col("shift") + 1).select("doc_id", "item_id", "at", "n_windows", "n_hits", "n_changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -58,34 +58,38 @@ def _templates(table: str, key: str) -> str:
               from (select {key}, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') as ws from {table})))"""
 
 
-def _windows(name: str, key: str) -> str:
+def _windows(name: str, key: str, sizes: str) -> str:
+    """Windows of k tokens; ``sizes`` has the k of each key, or of all."""
     rest = ", ".join(f"lead(t, {i}) over o" for i in range(1, WINDOW))
     return f"""
-  select {key}, pos, win from (
-    select {key}, pos, [t, {rest}] as win, count(*) over (partition by {key}) as n
-    from {name} window o as (partition by {key} order by pos)) where pos <= greatest(n - {WINDOW - 1}, 1)"""
+  select {key}, pos, all_five[:k] as win from (
+    select {key}, pos, [t, {rest}] as all_five, count(*) over (partition by {key}) as n
+    from {name} window o as (partition by {key} order by pos)) join {sizes} where pos <= n - k + 1"""
 
 
 DECONTAMINATE = f"""
-with dt as ({_templates("documents", "doc_id")}), bt as ({_templates("benchmark", "item_id")}),
-dw as ({_windows("dt", "doc_id")}), bw as ({_windows("bt", "item_id")}),
-n as (select item_id, count(*) as n_windows from bw group by 1),
+with b as (select row_number() over () as item, item_id, text from (select distinct item_id, text from benchmark where item_id is not null)),
+dt as ({_templates("documents", "doc_id")}), bt as ({_templates("b", "item")}),
+size as (select item, least(count(*), {WINDOW}) as k from bt group by 1),
+dw as ({_windows("dt", "doc_id", "(select distinct k from size) on true")}),
+bw as ({_windows("bt", "item", "size using (item)")}),
+n as (select item, count(*) as n_windows from bw group by 1),
 hits as (
-  select doc_id, item_id, dw.pos - bw.pos as shift, count(distinct bw.pos) as n_hits
+  select doc_id, item, dw.pos - bw.pos as shift, count(distinct bw.pos) as n_hits
   from dw join bw using (win) group by all
-), near as (select * from hits join n using (item_id) where n_hits >= n_windows * {SIMILARITY}),
+), near as (select * from hits join n using (item) where n_hits >= n_windows * {SIMILARITY}),
 slots as (
-  select near.doc_id, near.item_id, near.shift, bt.t as kind, bt.bare as old, dt.bare as new
-  from near join bt using (item_id) join dt on dt.doc_id = near.doc_id and dt.pos = near.shift + bt.pos and dt.t = bt.t
+  select near.doc_id, near.item, near.shift, bt.t as kind, bt.bare as old, dt.bare as new
+  from near join bt using (item) join dt on dt.doc_id = near.doc_id and dt.pos = near.shift + bt.pos and dt.t = bt.t
   where bt.t in ('<num>', '<name>', '<unit>')
 ), v as (
-  select doc_id, item_id, shift, max(news) as news, sum(changed) as n_changed from (
-    select doc_id, item_id, shift, kind, old, count(distinct new) as news, sum((new <> old)::int) as changed from slots group by all) group by all
-), slotted as (select distinct item_id from bt where t in ('<num>', '<name>', '<unit>')),
+  select doc_id, item, shift, max(news) as news, sum(changed) as n_changed from (
+    select doc_id, item, shift, kind, old, count(distinct new) as news, sum((new <> old)::int) as changed from slots group by all) group by all
+), slotted as (select distinct item from bt where t in ('<num>', '<name>', '<unit>')),
 ok as (
-  select doc_id, item_id, 0 as n_changed from near where item_id not in (select item_id from slotted)
-  union all select doc_id, item_id, n_changed from v where news = 1
-), best as (select doc_id, item_id, min(n_changed) as n_changed from ok group by all),
+  select doc_id, item, 0 as n_changed from near where item not in (select item from slotted)
+  union all select doc_id, item, n_changed from v where news = 1
+), best as (select doc_id, item_id, min(n_changed) as n_changed from ok join b using (item) group by all),
 found as (select doc_id, list_sort(list(distinct item_id)) as item_ids, bool_or(n_changed > 0) as reworded from best group by 1)
 select d.doc_id, item_ids is not null as contaminated, coalesce(item_ids, []::bigint[]) as item_ids, coalesce(reworded, false) as reworded
 from documents d left join found using (doc_id)
