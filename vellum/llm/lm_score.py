@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +141,11 @@ def _unpack(packed: bytes, kinds: tuple[str, ...], m: int) -> list[np.ndarray]:
     return out
 
 
-def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int, apart: tuple[float, ...] | None = None) -> pa.RecordBatch:
-    """Sorted keys, cut by shard and kept as steps; empty parts are not sent.  ``apart`` are totals of what stays in the block."""
+def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int, apart: tuple[float, ...] | None = None, own: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Sorted keys, cut by shard and kept as steps; empty parts are not sent.
+
+    ``apart`` are totals of what stays in the block; ``own`` are arrays that come back to it with the answers.
+    """
     shard = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
     spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)][: len(cuts)], strict=True))
@@ -150,7 +153,8 @@ def _ask(block: int, keys: np.ndarray, values: list[np.ndarray], n_shards: int,
     packed = [_pack([v[a:z] for v in values]) for a, z in spans]
     shards, m, extra = shard[cuts].tolist(), [z - a for a, z in spans], [None] * len(spans)
     if apart is not None:  # a row without keys, for any shard
-        shards, m, asked, packed, extra = [*shards, block % n_shards], [*m, 0], [*asked, b""], [*packed, b""], [*extra, np.array(apart, np.float64).tobytes()]
+        back = -len(own[0]) if own else 0
+        shards, m, asked, packed, extra = [*shards, block % n_shards], [*m, back], [*asked, b""], [*packed, _pack(own or [])], [*extra, np.array(apart, np.float64).tobytes()]
     cells = [pa.array(shards, pa.int32()), pa.array(np.full(len(shards), block)), pa.array(m, pa.int32()), *(pa.array(c, pa.binary()) for c in (asked, packed, extra))]
     return pa.RecordBatch.from_arrays(cells, ["shard", "block", "m", "keys", "values", "apart"])
 
@@ -165,7 +169,8 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: s
     def solve(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
-        n = table["m"].to_pylist()
+        lengths = table["m"].to_pylist()  # less than 0: arrays that only pass
+        n = [max(m, 0) for m in lengths]
         keys, columns = [], [[] for _ in kinds]
         for asked, packed, m in zip(table["keys"], table["values"], n, strict=True):
             keys.append(np.cumsum(_unpack(asked.as_py(), ("<u8",), m)[0], dtype=np.uint64))
@@ -178,18 +183,18 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: s
         arrays, totals = answer(every, sums, np.bincount(back, minlength=len(every)))
         totals = sum((np.frombuffer(x) for x in table["apart"].to_pylist() if x), np.array(totals, np.float64))
         told, at = [], 0
-        for m in n:
+        for m, passing, values in zip(n, lengths, table["values"], strict=True):
             own = back[at : at + m]
-            told.append(_pack([*(a[own] for a in arrays), owner[at : at + m]]))
+            told.append(values.as_py() if passing < 0 else _pack([*(a[own] for a in arrays), owner[at : at + m]]))
             at += m
         rows = len(n)
-        cells = [table["block"].to_pylist() + [-1], [shard] * (rows + 1), [*n, 0], [*told, b""], *([0.0] * rows + [float(t)] for t in totals)]
+        cells = [table["block"].to_pylist() + [-1], [shard] * (rows + 1), [*lengths, 0], [*told, b""], *([0.0] * rows + [float(t)] for t in totals)]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.float64()] * 4]
         return pa.table([pa.array(c, k) for c, k in zip(cells, types, strict=True)], names=["block", "shard", "m", "answer", "n", "types", "ones", "twos"])
 
     told = asks.groupBy("shard").applyInArrow(solve, _TOLD).groupBy("block")
     sums = [F.sum(c).alias(c) for c in ("n", "types", "ones", "twos")]
-    parts = F.sort_array(F.filter(F.collect_list(F.struct("shard", "m", "answer")), lambda x: x["m"] > 0))
+    parts = F.sort_array(F.filter(F.collect_list(F.struct("shard", "m", "answer")), lambda x: x["m"] != 0))
     table = bucketed(told.agg(parts.alias(name), *sums), "block", f"lm_{name}")
     totals = table.where("block = -1").select("n", "types", "ones", "twos").first()
     return table.where("block >= 0").select("block", name), [x or 0.0 for x in totals or [0.0] * 4]
@@ -197,10 +202,15 @@ def _exchange(asks: DataFrame, kinds: tuple[str, ...], answer: Callable, name: s
 
 def _answers(parts: list[dict] | None, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The answers of all shards in the order asked; the last array marks what this block accounts for."""
-    each = [_unpack(p["answer"], kinds, p["m"]) for p in parts or []]
+    each = [_unpack(p["answer"], kinds, p["m"]) for p in parts or [] if p["m"] > 0]
     return [np.concatenate(c) for c in zip(*each, strict=True)] if each else [np.zeros(0, k) for k in kinds]
 
 
+def _kept(parts: list[dict] | None, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """What a block has sent to itself."""
+    return next((_unpack(p["answer"], kinds, -p["m"]) for p in parts or [] if p["m"] < 0), [np.zeros(0, k) for k in kinds])
+
+
 # ---- seating --------------------------------------------------------------------
 
 
@@ -222,16 +232,21 @@ def log_stirling(discount: float, top: int = TABLED) -> np.ndarray:
 
 
 def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
-    """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities."""
+    """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities.
+
+    Of many customers only as many tables are looked at as have any weight in double precision.
+    """
     t, log_new, table = np.ones(len(count)), np.log(new), log_stirling(discount)
-    order = np.argsort(count, kind="stable")
-    ranked = count[order]
+    ratio = new / discount
+    wide = np.minimum(count, np.ceil(40 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int64)
+    order = np.argsort(wide, kind="stable")
+    ranked = wide[order]
     at = 0
     while at < len(order):
-        c = int(ranked[at])
-        stop = min(int(np.searchsorted(ranked, c, "right")), at + max(1, 2_000_000 // c))
-        own = order[at:stop]
-        w = table[c, 1 : c + 1] + log_new[own, None] * np.arange(1, c + 1)
+        most = int(ranked[at]) * 5 // 4
+        stop = min(int(np.searchsorted(ranked, most, "right")), at + max(1, 1_000_000 // most))
+        own, tables = order[at:stop], np.arange(1, int(ranked[stop - 1]) + 1)
+        w = table[count[own, None], tables] + log_new[own, None] * tables
         w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
         t[own] = 1 + (w[:, :-1] < (u[own] * w[:, -1])[:, None]).sum(1)
         at = stop
@@ -354,7 +369,7 @@ def scores(docs: DataFrame) -> DataFrame:
             yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards, apart)
 
     pairs, (_, pair_types, ones2, twos2) = _exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts, "pairs")
-    with_tables = with_words.join(pairs, "block", "left")
+    with_pairs = with_words.join(pairs, "block", "left")
 
     d1, d2 = _discount(ones1, twos1), _discount(ones2, twos2)
     share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
@@ -364,65 +379,72 @@ def scores(docs: DataFrame) -> DataFrame:
         new = (STRENGTH + d1 * (totals[turn - 1][1] if turn else n_types)) / (n_types + 1)
         return draw_tables(by_w.astype(np.int64), np.full(len(by_w), new), d1, mix(names + np.uint64(turn)))
 
-    def seated(b: Block, row: dict, totals: list[tuple[float, float]]):
-        """(shared words, training counts of words, contexts and pairs, rounds): for each round the tables by pair, the tables by context
-        and by word and the unigram probabilities.  ``totals`` has customers and tables of the unigram restaurant of the rounds
-        exchanged; one round more is seated, of which only this block's own tables are known.
-        """
-        c, shared, _ = _answers(row["words"], word_kinds)
-        at = b.open_pairs(c, shared, ends, n_blocks)
-        count, mine = b.local.astype(np.int64), b.local > 0
-        told, owner = _answers(row["pairs"], pair_kinds)
-        count[at], mine[at] = told, owner.astype(bool)
-        mine &= count > 0
-        c_u = np.append(c, ends)[b.u]
-        v = len(b.vocabulary)
-        sent = _sent(b, shared)
-        own = np.setdiff1d(np.arange(v), sent, assume_unique=True)
-        new = (STRENGTH + d2 * share * c_u) * (c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
-        rounds = []
-        for turn in range(min(len(totals) + 1, ROUNDS)):
-            t = draw_tables(count, new, d2, mix(b.pair_hash + np.uint64(turn)))
-            by_u, by_w = np.bincount(b.u[mine], t[mine], v + 1), np.bincount(b.w[mine], t[mine], v + 1)
-            unigram = None
-            if turn < len(totals):
-                top = np.zeros(v + 1)
-                for to, got in zip((by_u, by_w, top), _answers(row[f"tables{turn}"], table_kinds)[:3], strict=True):
-                    to[sent] = got
-                top[own] = at_top(by_w[own], b.vocabulary[own], turn, totals)
-                customers1, tables1 = totals[turn]
-                unigram = (by_w[:v] - d1 * top[:v] + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
-                new = (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]
-            rounds.append((t, by_u, by_w, unigram))
-        return shared, c, c_u, count, rounds
+    class Seated:
+        """A block with its counts; by round the tables by context and by word, those of the unigram restaurant and the pairs' draws."""
+
+        def __init__(self, row: dict):
+            self.row, self.b = row, Block(row)
+            b = self.b
+            self.c, shared, _ = _answers(row["words"], word_kinds)
+            at = b.open_pairs(self.c, shared, ends, n_blocks)
+            self.count, mine = b.local.astype(np.int64), b.local > 0
+            told, owner = _answers(row["pairs"], pair_kinds)
+            self.count[at], mine[at] = told, owner.astype(bool)
+            self.mine = mine & (self.count > 0)
+            self.c_u = np.append(self.c, ends)[b.u]
+            self.v = len(b.vocabulary)
+            self.sent = _sent(b, shared)
+            self.own = np.setdiff1d(np.arange(self.v), self.sent, assume_unique=True)  # all tables of these words are this block's
+
+        def tables(self, turn: int) -> list[np.ndarray]:
+            """Tables by context and by word, and the unigram restaurant's, after a round that was exchanged."""
+            out = [np.zeros(self.v + 1) for _ in range(3)]
+            parts = self.row[f"tables{turn}"]
+            for to, got, kept in zip(out, _answers(parts, table_kinds)[:3], _kept(parts, table_kinds[:3]), strict=True):
+                to[self.sent], to[self.own] = got, kept
+            return out
+
+        def prior(self, turn: int) -> np.ndarray:
+            """The parent's share of each pair, times the strength that its restaurant gives it, after a round."""
+            by_u, by_w, top = self.tables(turn)
+            customers1, tables1 = totals[turn]
+            unigram = (by_w[: self.v] - d1 * top[: self.v] + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
+            return (STRENGTH + d2 * by_u[self.b.u]) * unigram[self.b.w]
+
+        def draw(self, turn: int) -> np.ndarray:
+            """Tables of each pair, given all others after the round before."""
+            b = self.b
+            guess = lambda: (STRENGTH + d2 * share * self.c_u) * (self.c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
+            return draw_tables(self.count, self.prior(turn - 1) if turn else guess(), d2, mix(b.pair_hash + np.uint64(turn)))
 
     totals: list[tuple[float, float]] = []
+    rounds: list[DataFrame] = []
     for turn in range(ROUNDS):
 
-        def ask_tables(batches, turn=turn, totals=tuple(totals)):
+        def ask_tables(batches, turn=turn):
             for row in _rows(batches):
-                b = Block(row)
-                shared, _, _, _, rounds = seated(b, row, totals)
-                _, by_u, by_w, _ = rounds[-1]
-                sent = _sent(b, shared)
-                own = np.setdiff1d(np.arange(len(b.vocabulary)), sent, assume_unique=True)
-                parts = [x[sent].astype(np.int64) for x in (by_u, by_w)]
-                yield _ask(b.id, _names(b)[sent], parts, n_shards, (by_w[own].sum(), at_top(by_w[own], b.vocabulary[own], turn, totals).sum(), 0, 0))
+                s = Seated(row)
+                b, t = s.b, s.draw(turn)
+                by_u, by_w = (np.bincount(x[s.mine], t[s.mine], s.v + 1) for x in (b.u, b.w))
+                top = at_top(by_w[s.own], b.vocabulary[s.own], turn, totals)
+                own = [x.astype(np.int64) for x in (by_u[s.own], by_w[s.own], top)]
+                yield _ask(b.id, _names(b)[s.sent], [x[s.sent].astype(np.int64) for x in (by_u, by_w)], n_shards, (own[1].sum(), own[2].sum(), 0, 0), own)
 
         def add_tables(keys, sums, n, turn=turn, totals=tuple(totals)):
             by_u, by_w = sums
             top = at_top(by_w, keys, turn, totals)
             return [x.astype(np.int64) for x in (by_u, by_w, top)], (by_w.sum(), top.sum(), 0, 0)
 
-        tables, (customers1, tables1, _, _) = _exchange(with_tables.mapInArrow(ask_tables, _ASK), ("<i8", "<i8"), add_tables, f"tables{turn}")
+        before = with_pairs.join(rounds[-1], "block", "left") if rounds else with_pairs
+        tables, (customers1, tables1, _, _) = _exchange(before.mapInArrow(ask_tables, _ASK), ("<i8", "<i8"), add_tables, f"tables{turn}")
         totals.append((customers1, tables1))
-        with_tables = with_tables.join(tables, "block", "left")
+        rounds.append(tables)
 
     def score(batches):
         for row in _rows(batches):
-            b = Block(row)
-            _, c, c_u, count, rounds = seated(b, row, totals)
-            p = np.mean([(count - d2 * t + (STRENGTH + d2 * by_u[b.u]) * unigram[b.w]) / (STRENGTH + c_u) for t, by_u, _, unigram in rounds[1:]], axis=0)
+            s = Seated(row)
+            b, c = s.b, s.c
+            p = np.mean([(s.count - d2 * s.draw(turn) + s.prior(turn)) / (STRENGTH + s.c_u) for turn in range(1, ROUNDS)], axis=0)
             base = np.log10((c + 1) / (n_train + n_types + 1))
             n = len(b.lengths)
             add = lambda x: np.bincount(b.doc, x, n)
@@ -430,6 +452,7 @@ def scores(docs: DataFrame) -> DataFrame:
             ids = pa.array(b.doc_ids, mask=b.doc_ids == -(2**63))
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cells[1:])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    with_tables = reduce(lambda a, t: a.join(t, "block", "left"), rounds, with_pairs)
     return with_tables.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
