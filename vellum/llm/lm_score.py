@@ -231,24 +231,46 @@ def log_stirling(discount: float, top: int = TABLED) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def stirling_steps(discount: float, top: int = TABLED) -> np.ndarray:
+    """S(c, t) / S(c, t - 1), by t and c; 0 for t > c."""
+    table = log_stirling(discount, top)
+    out = np.zeros((top + 1, top + 1))
+    with np.errstate(invalid="ignore"):
+        out[2:] = np.exp(table[:, 2:] - table[:, 1:-1]).T
+    return np.nan_to_num(out, nan=0.0)
+
+
 def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
     """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities.
 
     Of many customers only as many tables are looked at as have any weight in double precision.
     """
-    t, log_new, table = np.ones(len(count)), np.log(new), log_stirling(discount)
-    ratio = new / discount
-    wide = np.minimum(count, np.ceil(40 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int64)
+    t, ratio = np.ones(len(count)), new / discount
+    wide = np.minimum(count, np.ceil(16 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int64)
     order = np.argsort(wide, kind="stable")
     ranked = wide[order]
+    log_table, steps = log_stirling(discount), stirling_steps(discount)
     at = 0
     while at < len(order):
-        most = int(ranked[at]) * 5 // 4
-        stop = min(int(np.searchsorted(ranked, most, "right")), at + max(1, 1_000_000 // most))
-        own, tables = order[at:stop], np.arange(1, int(ranked[stop - 1]) + 1)
-        w = table[count[own, None], tables] + log_new[own, None] * tables
-        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
-        t[own] = 1 + (w[:, :-1] < (u[own] * w[:, -1])[:, None]).sum(1)
+        most = int(ranked[at]) * 9 // 8
+        stop = min(int(np.searchsorted(ranked, most, "right")), at + max(1, 200_000 // most))
+        own, k = order[at:stop], int(ranked[stop - 1])
+        c, total = count[own], np.ones((k, stop - at))
+        if ratio[own].max() < 300:  # no product of steps overflows
+            p, w = np.ones(len(own)), new[own]
+            for n in range(2, k + 1):
+                p *= w
+                p *= steps[n].take(c)
+                np.add(total[n - 2], p, out=total[n - 1])
+        else:
+            tables = np.arange(1, k + 1)[:, None]
+            log_p = log_table[c, tables] + np.log(new[own]) * tables
+            total = np.cumsum(np.exp(log_p - log_p.max(0)), axis=0)
+        reach, drawn = u[own] * total[-1], np.ones(len(own), np.int16)
+        for so_far in total[:-1]:
+            drawn += so_far < reach
+        t[own] = drawn
         at = stop
     return t
 
