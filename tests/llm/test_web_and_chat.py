@@ -37,13 +37,56 @@ def test_main_text(spark):
 
 def test_labeller_held_out_accuracy_and_context():
     pages = [html_text.blocks(PAGE.format(i=i)) for i in range(80)]
-    labels = [np.array([html_text.semantic_label(p) for _, p in b], np.float32) for b in pages]
+    labels = [html_text.labels(b).astype(np.float32) for b in pages]
     made = html_text.Labeller().fit([html_text.vectors(b) for b in pages[:50]], labels[:50])
     got = made.label([html_text.vectors(b) for b in pages[50:]])
     assert all((g == y.astype(bool)).all() for g, y in zip(got, labels[50:], strict=True))
     assert [g.tolist() for g in made.label([html_text.vectors(b) for b in pages[50:52]])] == [g.tolist() for g in got[:2]]
 
 
+BARE = (  # nothing here is named as main text
+    "<body><div class=top><a href=/>Home</a> <a href=/n>News</a></div><div id=wrap><div class=story><h2>Heading {i}</h2><p>{a}</p><p>{b}</p><ul><li>Short point {i}</li></ul></div></div>"
+    "<div class=sidebar><p>Read our other fine stories about many other things here today</p></div><div class=bottom>Imprint</div></body>"
+)
+
+
+def test_pages_without_named_main_text(spark):
+    rng = np.random.default_rng(1)
+    prose = lambda: " ".join(rng.choice("river stone walks under old bridge while people watch boats move slowly".split(), 25)) + "."
+    rows, want = [], {}
+    for i in range(60):
+        a, b = prose(), prose()
+        rows.append((i, f"u{i}", BARE.format(i=i, a=a, b=b)))
+        want[i] = f"Heading {i}\n{a}\n{b}\nShort point {i}"
+    found = html_text.blocks(rows[0][2])
+    assert [t for (t, _), y in zip(found, html_text.labels(found), strict=True) if y] == want[0].split("\n")
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_sample_of_pages_is_bounded(spark, monkeypatch):
+    rows = [(i % 40, f"u{i}", PAGE.format(i=i)) for i in range(120)] + [(99, "u", "<p>x</p>" * 7_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sizes = []
+    monkeypatch.setattr(html_text.Labeller, "fit", lambda self, xs, ys: sizes.append((len(xs), sum(map(len, xs)))) or self)
+    html_text.trained(pages, sample=30)
+    html_text.trained(pages, sample=30, sample_blocks=150)
+    assert sizes[0] == (30, 330) or sizes[0] == (29, 319)
+    assert sizes[1] == (13, 143)
+    assert html_text.trained(pages.limit(0)).p.keys() == html_text.Labeller().p.keys() and len(sizes) == 2
+
+
+def test_deep_and_unclosed_markup_takes_time_in_proportion():
+    import time
+
+    began = time.time()
+    page = "<i>" * 50_000 + "</u>" * 50_000 + "text" + "<div></div>" * 20_000 + "<p>a" * 20_000 + "<span>" * 50_000 + "b"
+    found = html_text.blocks(page)
+    assert [t for t, _ in found[:2]] == ["text", "a"] and found[-1][0] == "ab" and len(found) == 20_001
+    assert html_text.vectors(found[:100]).shape == (100, html_text.DIM) and len(html_text.labels(found)) == len(found)
+    assert time.time() - began < 20
+
+
 def test_labeller_gradient():
     made, rng = html_text.Labeller(), np.random.default_rng(0)
     pages = [rng.normal(0, 1, (n, html_text.DIM)).astype(np.float32) for n in (5, 3)]

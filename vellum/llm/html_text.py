@@ -6,10 +6,12 @@ block becomes a vector: its tag path (tags, classes and ids, hashed), its words
 of a page and says for each block whether it is main text, so a block without a
 telling path is judged by what stands before and after it.
 
-The labeller is trained here, on at most SAMPLE pages, with labels from the page's
-own semantics (inside <article> or <main>, and in nothing that is named as a menu,
-notice, advert, form or comment); parts of the paths are hidden in training so that
-words and neighbours count too.  Every page is then labelled by the network.
+The labeller is trained here, on at most SAMPLE pages and SAMPLE_BLOCKS blocks, with
+labels from the pages' own structure: a block is main text if it is in nothing that is
+named as a menu, notice, advert, form or comment, and inside <article> or <main> or, on
+pages without either, inside the innermost element that holds nearly all running text.
+Parts of the paths are hidden in training so that words and neighbours count too.
+Every page is then labelled by the network.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.store import written
 from vellum.llm.words import split_words
 
-#: Pages that the labeller is fitted on, at most: those with the least hash of page_id.
-SAMPLE = 300
+#: Pages that the labeller is fitted on, at most: those with the least hash of page_id; of these, as many as have so many blocks together.
+SAMPLE, SAMPLE_BLOCKS = 300, 60_000
+#: Words of a block that counts as running text, and the share of it that the innermost main element holds.
+RUNNING_WORDS, NEARLY_ALL = 8, 0.9
 PATH_DIM, WORD_DIM, COUNT_DIM, HIDDEN = 96, 32, 6, 16
 DIM = PATH_DIM + WORD_DIM + COUNT_DIM
 EPOCHS, BATCH_PAGES, RATE, HIDE = 14, 16, 0.02, 0.3
@@ -56,12 +62,42 @@ _TAG = re.compile(
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(text, path) of each leaf block in page order; hidden text is left out, white space collapsed."""
-    out: list[tuple[str, tuple[str, ...]]] = []
-    stack: list[tuple[str, str]] = []
+class Step:
+    """An open element: what holds for it and for all that it lies in, so that no path is ever copied."""
+
+    __slots__ = ("tag", "up", "depth", "block_at", "places", "names", "main", "other", "hidden")
+
+    def __init__(self, tag: str, named: str, up: Step | None):
+        self.tag, self.up = tag, up
+        self.depth = up.depth + 1 if up else 0
+        #: Depth of the innermost block element, this one included; -1 without any.
+        self.block_at = self.depth if tag in BLOCK_TAGS else up.block_at if up else -1
+        self.names = f"{tag} {named}".rstrip()
+        own, main, other = _told_by_names(self.names)
+        self.places = own | (up.places if up else 0)
+        self.main, self.other = main or bool(up and up.main), other or bool(up and up.other)
+        self.hidden = tag in HIDDEN_TAGS or bool(up and up.hidden)
+
+
+@lru_cache(maxsize=50_000)
+def _told_by_names(names: str) -> tuple[int, bool, bool]:
+    """Places of an element's names in the path vector as bits, whether it is for main text, and whether for something else."""
+    words = names.split()
+    places = 0
+    for w in set(words):
+        places |= 1 << zlib.crc32(w.encode()) % PATH_DIM
+    return places, words[0] in MAIN or "role-main" in words, any(OTHER.search(w) for w in words)
+
+
+def blocks(page: str) -> list[tuple[str, Step | None]]:
+    """(text, innermost element) of each leaf block in page order; hidden text is left out, white space collapsed.
+
+    Takes time in proportion to the page, however deep or unclosed its elements are.
+    """
+    out: list[tuple[str, Step | None]] = []
+    stack: list[Step] = []
+    open_tags: Counter[str] = Counter()
     said: list[str] = []
-    hidden = 0
     at = 0
 
     def end() -> None:
@@ -69,16 +105,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...]]]:
             text = " ".join(html.unescape("".join(said)).split())
             said.clear()
             if text:
-                out.append((text, tuple(x[1] for x in stack)))
+                out.append((text, stack[-1] if stack else None))
 
     def leave(depth: int) -> None:
-        nonlocal hidden
-        for tag, _ in stack[depth:]:
-            hidden -= tag in HIDDEN_TAGS
+        for step in stack[depth:]:
+            open_tags[step.tag] -= 1
         del stack[depth:]
 
     for m in _TAG.finditer(page):
-        if m.start() > at and not hidden:
+        if m.start() > at and not (stack and stack[-1].hidden):
             said.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -92,51 +127,73 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...]]]:
         if block:
             end()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
+            if open_tags[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag in VOID_TAGS:
             continue
         if block:  # a block inside a paragraph ends it, as do neighbours in lists and tables
-            for k in range(len(stack) - 1, -1, -1):
-                open_ = stack[k][0]
-                if open_ == "p" or open_ == tag and tag in ("li", "option", "td", "th", "tr", "dd", "dt"):
-                    leave(k)
-                    break
-                if open_ in BLOCK_TAGS:
-                    break
-        named = " ".join(v[1] or v[2] or v[3] or "" for v in _NAMED.findall(m[4])) if m[4] else ""
+            k = stack[-1].block_at if stack else -1
+            if k >= 0 and (stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "option", "td", "th", "tr", "dd", "dt")):
+                leave(k)
+        named = " ".join(f"role-{v}" if n.lower() == "role" else v for n, *vs in _NAMED.findall(m[4]) for v in ["".join(vs)]) if m[4] else ""
         if not m[4].rstrip().endswith("/") or block:
-            stack.append((tag, f"{tag} {named.lower()}".rstrip()))
-            hidden += tag in HIDDEN_TAGS
-    if at < len(page) and not hidden:
+            stack.append(Step(tag, named.lower(), stack[-1] if stack else None))
+            open_tags[tag] += 1
+    if at < len(page) and not (stack and stack[-1].hidden):
         said.append(page[at:])
     end()
     return out
 
 
-@lru_cache(maxsize=50_000)
-def _path_places(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = {w for step in path for w in step.split()} | {f"^{path[-1]}" if path else "^"}
-    return tuple(sorted({zlib.crc32(n.encode()) % PATH_DIM for n in names}))
-
+def labels(found: list[tuple[str, Step | None]]) -> np.ndarray:
+    """Which blocks the page's own structure says are main text; this is what the labeller learns from.
 
-@lru_cache(maxsize=50_000)
-def semantic_label(path: tuple[str, ...]) -> bool:
-    """Whether the page's own markup says main text; this is what the labeller learns from."""
-    return any(step.split()[0] in MAIN for step in path) and not any(OTHER.search(w) for step in path for w in step.split())
-
-
-def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
+    Without <article> or <main>, the innermost element that holds nearly all running text
+    takes their part, and of other blocks outside it none does.
+    """
+    good = np.array([not (step and step.other) for _, step in found], bool)
+    if any(step and step.main for _, step in found):
+        return good & np.array([bool(step and step.main) for _, step in found], bool)
+    running = [(len(text), step) for (text, step), g in zip(found, good, strict=True) if g and text.count(" ") >= RUNNING_WORDS - 1]
+    total = sum(n for n, _ in running)
+    if not total:
+        return np.zeros(len(found), bool)
+    held: Counter[Step] = Counter()
+    for n, step in running:
+        held[step] += n
+    # sums go up from the deepest element, each once
+    for step in sorted(_all_above(held), key=lambda s: -s.depth):
+        if step.up:
+            held[step.up] += held[step]
+    inner = [s for s, n in held.items() if s is not None and n >= NEARLY_ALL * total and s.block_at == s.depth]
+    if not inner:
+        return good & np.array([text.count(" ") >= RUNNING_WORDS - 1 for text, _ in found], bool)
+    home = max(inner, key=lambda s: s.depth)
+    home = home.up if home.tag in ("p", "li", "td", "blockquote") and home.up else home
+    within: dict[Step | None, bool] = {None: False}
+    for step in sorted(_all_above({step: 1 for _, step in found}), key=lambda s: s.depth):
+        within[step] = step is home or within[step.up]
+    return good & np.array([within[step] for _, step in found], bool)
+
+
+def _all_above(steps) -> set[Step]:
+    """Elements and all that they lie in."""
+    seen: set[Step] = set()
+    for step in steps:
+        while step is not None and step not in seen:
+            seen.add(step)
+            step = step.up
+    return seen
+
+
+def vectors(found: list[tuple[str, Step | None]]) -> np.ndarray:
     """One row for each block."""
     x = np.zeros((len(found), DIM), np.float32)
     if not found:
         return x
-    rows = [(i, p) for i, (_, path) in enumerate(found) for p in _path_places(path)]
-    r, c = np.array(rows, np.int64).T
-    x[r, c] = 1
+    for i, (_, step) in enumerate(found):
+        x[i, :PATH_DIM] = _bits(step.places | 1 << zlib.crc32(f"^{step.names}".encode()) % PATH_DIM) if step else _bits(1 << zlib.crc32(b"^") % PATH_DIM)
     raw = [t.encode("utf-8", "surrogatepass").lower() for t, _ in found]
     at = np.concatenate(([0], np.cumsum([len(b) for b in raw])))
     w = split_words(np.frombuffer(b"".join(raw), np.uint8), at)
@@ -150,6 +207,11 @@ def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=50_000)
+def _bits(places: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(places.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -255,12 +317,41 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def trained(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """The labeller for a table of pages, the same whenever the table is."""
-    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).select("html").collect()
-    found = [b for r in rows if (b := blocks(r[0]))]
-    labels = [np.array([semantic_label(p) for _, p in b], np.float32) for b in found]
-    return Labeller().fit([vectors(b) for b in found], labels)
+def trained(pages: DataFrame, sample: int = SAMPLE, sample_blocks: int = SAMPLE_BLOCKS) -> Labeller:
+    """The labeller for a table of pages, the same whenever the table is.
+
+    Pages are picked by page_id alone, cut and turned into vectors where they lie; at most
+    ``sample_blocks`` vectors come to the driver.  A page with more than a tenth of these
+    isn't learnt from.
+    """
+    order = lambda: [F.xxhash64("page_id"), "page_id"]
+    ids = pages.where("html is not null").select("page_id").distinct().orderBy(*order()).limit(sample)
+    rows = pages.where("html is not null").join(F.broadcast(ids), "page_id", "left_semi").select(F.col("page_id").cast("long"), F.xxhash64("html").alias("h"), "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = blocks(batch.column(2)[i].as_py())
+                if 0 < len(found) <= sample_blocks // 10:
+                    cells = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([len(found)], pa.int32()), pa.array([vectors(found).astype(np.float16).tobytes()], pa.binary()), pa.array([labels(found).astype(np.uint8).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cells, ["page_id", "h", "n", "x", "y"])
+
+    made = written(rows.mapInArrow(run, "page_id long, h long, n int, x binary, y binary"), "sample")
+    # one row for each page of the sample: of repeated ids the least hash
+    least = made.groupBy("page_id").agg(F.min(F.struct("h", "n")).alias("k")).select("page_id", "k.h", "k.n").orderBy(*order())
+    chosen, total = [], 0
+    for r in least.collect():
+        total += r.n
+        if total <= sample_blocks:
+            chosen.append((r.page_id, r.h))
+    if not chosen:
+        return Labeller()
+    keys = pages.sparkSession.createDataFrame(chosen, "page_id long, h long")
+    got = {}
+    for r in made.join(F.broadcast(keys), ["page_id", "h"], "left_semi").dropDuplicates(["page_id", "h"]).collect():
+        got[r.page_id, r.h] = np.frombuffer(r.x, np.float16).reshape(-1, DIM).astype(np.float32), np.frombuffer(r.y, np.uint8).astype(np.float32)
+    each = [got[k] for k in chosen]
+    return Labeller().fit([x for x, _ in each], [y for _, y in each])
 
 
 def main_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
