@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vellum.llm import components, lm_score, packing, quality_rules, sharding, simhash, substrings
 
@@ -156,6 +157,21 @@ def test_sharding_buckets_are_many_and_repeats_stay(spark):
     assert n == 201 and sorted(r.position for r in placed.collect()) == list(range(201))
 
 
+def test_sharding_deals_out_rows_that_repeat_very_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 70)
+    docs = frame(spark, [f"text {i}" for i in range(100)]).unionByName(spark.range(1_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "'en' as lang", "'s' as source", "0 as n_chars"))
+    tagged = frame(spark, ["same"] * 3).withColumn("doc_id", F.lit(7_777).cast("long")).withColumn("lang", F.monotonically_increasing_id().cast("string"))
+    docs = docs.unionByName(tagged)
+    placed, n = sharding.shuffled(docs, bucket_bytes=2_000)
+    rows = placed.withColumn("part", F.spark_partition_id()).collect()
+    assert n == len(rows) == 1_103 and sorted(r.position for r in rows) == list(range(1_103))
+    blank = Counter(r.part for r in rows if r.doc_id is None)
+    assert sum(blank.values()) == 1_000 and max(blank.values()) < 100  # of over 30 parts
+    assert sorted(r.lang for r in rows if r.doc_id == 7_777) == sorted(r.lang for r in tagged.collect())
+    spread = lambda d: sorted((r.doc_id or 0, r.lang, r.position) for r in sharding.shuffled(d, bucket_bytes=2_000)[0].collect())
+    assert spread(docs.where("doc_id is null or doc_id <> 7777")) == spread(docs.where("doc_id is null or doc_id <> 7777").repartition(7))
+
+
 def test_packing_ids_and_places(spark, prose):
     import public_tokenizers
     from tokenizers import Tokenizer
