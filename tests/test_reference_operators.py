@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum import catalog
-from vellum.operators import convert, diagnostics, events, glossary, layout, masking, quality, relational, scoring, segments
+from vellum.operators import convert, diagnostics, events, glossary, latex, layout, masking, quality, relational, scoring, segments
 from vellum.plans import responses
 from vellum.sources import files
 from vellum.streaming import state
@@ -65,10 +65,10 @@ def test_large_glossaries_keep_all_short_terms(spark, monkeypatch):
 
 
 def test_glossary_merge(spark):
-    known = spark.createDataFrame([("a", "x", 1, 0.5), ("b", "y", 3, 0.9), ("c", "z", 2, 0.5)], "en string, vi string, frequency long, confidence double")
-    job = spark.createDataFrame([("A ", "X"), ("b", "other"), ("c", "other"), ("d", "new")], "en string, vi string")
-    got = {r.en: (r.vi, r.frequency, r.confidence) for r in glossary.merged(known, job).collect()}
-    assert got == {"a": ("x", 2, 0.6), "b": ("y", 3, 0.9), "c": ("z", 3, 0.5), "d": ("new", 1, 0.5)}
+    known = spark.createDataFrame([("a", "x", None, 1, 0.5), ("b", "y", None, 3, 0.9), ("c", "z", "law", 2, 0.5), ("e", "e", "", 9, 0.95)], "en string, vi string, field string, frequency long, confidence double")
+    job = spark.createDataFrame([("A ", "X", " ML "), ("b", "other", "ML"), ("c", "other", "ML"), ("d", "new ", "x" * 70), ("e", " E", "bio"), ("f", "  ", "ML"), (" ", "v", "ML")], "en string, vi string, field string")
+    got = {r.en: (r.vi, r.field, r.frequency, r.confidence) for r in glossary.merged(known, job).collect()}
+    assert got == {"a": ("x", "ML", 2, 0.6), "b": ("y", None, 3, 0.9), "c": ("z", "law", 3, 0.5), "d": ("new", "x" * 64, 1, 0.5), "e": ("e", "bio", 10, 0.95)}
 
 
 def test_diagnostics_literals(spark):
@@ -99,16 +99,32 @@ def test_accounts_fold(spark):
         ok = fail = cool = 0
         avg, ring = 0.0, []
         for _, v in sorted((i, v) for i, x, v in rows if x == u):
-            if v >= 30:
-                ok, avg = ok + 1, v if avg == 0 else 0.7 * avg + 0.3 * v
-            elif v < 10:
+            if v < 10:
                 cool += 1
             else:
-                fail += 1
+                ok, fail, avg = ok + (v >= 30), fail + (v < 30), v if avg == 0 else 0.7 * avg + 0.3 * v
             ring = [*ring, v >= 30][-20:]
         assert (got[u].success, got[u].fail, got[u].cooldowns) == (ok, fail, cool)
         assert got[u].avg_latency == pytest.approx(avg, abs=1e-6) and got[u].recent == pytest.approx(sum(ring) / 20)
-    assert events.schedule(events.accounts(log)).count() == 1
+    few = events.accounts(spark.createDataFrame([(1, 1, 40.0, 5), (2, 1, 20.0, 6), (3, 2, 5.0, 7), (4, 1, 9.0, 8)], "seq long, user_id long, value double, us long")).collect()
+    told = {r.user_id: (r.success, r.fail, r.cooldowns, r.avg_latency, r.last_latency, r.last_used, r.last_cooldown) for r in few}
+    assert told == {1: (1, 1, 1, pytest.approx(34.0), 20.0, 6, 8), 2: (0, 0, 1, 0.0, 0.0, None, 7)}
+
+
+def test_adaptive_schedule(spark):
+    """Signals and scores worked out by hand from the weights 0.45, 0.15, 0.20 and 0.20."""
+    schema = "user_id long, success long, fail long, cooldowns long, avg_latency double, last_latency double, recent double, last_used long, last_cooldown long"
+    s = 1_000_000
+    rows = [(1, 8, 2, 1, 10.0, 12.0, 0.8, 700 * s, 100 * s), (2, 0, 0, 0, 0.0, 0.0, None, None, None), (3, 1, 1, 2, 40.0, 40.0, 0.5, 970 * s, 990 * s), (4, 0, 0, 3, 0.0, 0.0, 0.0, None, 5 * s)]
+    state = spark.createDataFrame(rows, schema)
+    got = {r.user_id: (r.s_success, r.s_latency, r.s_cooldown, r.s_idle) for r in events.components(state, F.lit(1000 * s)).collect()}
+    assert got[1] == (0.8, pytest.approx(0.606531, abs=1e-6), pytest.approx(0.8), 0.5)
+    assert got[2] == (0.85, 0.85, 0.85, 0.85)
+    assert got[3] == (0.5, pytest.approx(0.135335, abs=1e-6), 0.0, pytest.approx(0.05)) and got[4] == (0.0, 0.85, 1.0, 1.0)
+    pick = events.schedule(state, spark.createDataFrame([(1000 * s,)], "now long")).first()
+    assert (pick.adaptive, pick.best_score, pick.lru, pick.cooldown_aware, pick.round_robin) == (2, 0.85, 2, 2, 1)
+    pick = events.schedule(state.where("user_id <> 2"), spark.createDataFrame([(1000 * s,)], "now long")).first()
+    assert (pick.adaptive, pick.best_score) == (1, pytest.approx(0.45 * 0.8 + 0.15 * 0.606531 + 0.2 * 0.8 + 0.2 * 0.5, abs=1e-6))
 
 
 def test_keyed_tables(spark):
@@ -140,9 +156,19 @@ def test_masking_literals():
 
 
 def test_conversions(spark):
-    assert convert.markdown_body("# A & B\n- x\n- *y*\n\n```\n# no\n```") == "\\section{A \\& B}\n\\begin{itemize}\n\\item x\n\\item \\textit{y}\n\\end{itemize}\n\n\\begin{verbatim}\n# no\n\\end{verbatim}"
-    assert convert.html_body("<title>T</title><nav>n</nav><h1>H</h1><p>a &amp; b</p>") == ("T", "\\section{H}\n\na \\& b")
-    assert spark.range(1).select(convert.text_body(F.lit("a_b\n\n \n\nc\\"))).first()[0] == "a\\_b\n\nc\\textbackslash\\{\\}"
+    assert convert.markdown_body("# A & B\n- x\n- *y*\n\n```\n# no\n```") == "\\section*{A \\& B}\n\n\\begin{itemize}\n  \\item x\n  \\item \\textit{y}\n\\end{itemize}\n\n\\begin{verbatim}\n# no\n\\end{verbatim}\n"
+    md = "one\n two `a_b*c*` and **bold**\n1. x\n2) y\n- z\ntext [t](u) __b__\n***\n###### deep #\n```py\nopen"
+    want = "one two \\texttt{a\\_b*c*} and \\textbf{bold}\n\n\\begin{enumerate}\n  \\item x\n  \\item y\n\\end{enumerate}\n\\begin{itemize}\n  \\item z\n\\end{itemize}\n\ntext \\href{u}{t} \\\\textit{\\}b\\\\textit{\\}\n\n"
+    assert convert.markdown_body(md) == want + "\\noindent\\rule{\\linewidth}{0.4pt}\n\n\\subparagraph*{deep}\n\n\\begin{verbatim}\nopen\n\\end{verbatim}\n"
+    assert convert.html_body("<title>T</title><nav>n</nav><body><h1>H</h1><p>a &amp; b</p>") == ("T", "\\section*{H}\n\na \\& b\n")
+    page = "<body><h2>A <i>b</i></h2><p>x <b>y</b>! <a href='u'>l</a> <a href='#k'>m</a><br>z</p><ul><li>1</li><li>2 <code>c_d</code></li></ul><ol><li>o</li></ol><hr><table><tr><td>x</td><th>z</th></tr></table><blockquote><p>q</p></blockquote><pre>  a_b\n c </pre><div>d<section>e</section></div><script>s</script><aside>n</aside><span>f</span></body>"
+    want = ["\\subsection*{A \\textit{b}}", "", "x \\textbf{y}! \\href{u}{l} m \\\\ z", "", "\\begin{itemize}", "  \\item 1", "  \\item 2 \\texttt{c\\_d}", "\\end{itemize}", "", "\\begin{enumerate}", "  \\item o", "\\end{enumerate}", ""]
+    want += ["\\noindent\\rule{\\linewidth}{0.4pt}", "", "x \\quad | \\quad z", "", "\\begin{quote}", "q", "", "\\end{quote}", "", "\\begin{verbatim}", "  a_b\n c", "\\end{verbatim}", "", "d", "", "e", "", "f", ""]
+    assert convert.html_body(page) == ("", "\n".join(want))
+    assert spark.range(1).select(convert.text_body(F.lit("a_b\r\n c\n\n \n\nc\\\n"))).first()[0] == "a\\_b \\\\ c\n\nc\\textbackslash\\{\\}\n"
+    up = spark.createDataFrame([("a.TXT", b"x_y", ""), ("b.md", b"# h", "T&x"), ("c.htm", b"<title>W</title><body><p>p", None), ("d.doc", b"x", "")], "name string, content binary, title string")
+    tex = [r.tex for r in convert.converted(up).orderBy("name").collect()]
+    assert tex[3] is None and "\\title{Document}" in tex[0] and tex[0].endswith("\\maketitle\n\nx\\_y\n\n\\end{document}\n") and "\\title{T\\&x}" in tex[1] and "\\title{W}" in tex[2]
     assert spark.range(1).select(convert.decoded(F.unhex(F.lit("e9"))), convert.decoded(F.unhex(F.lit("c3a9")))).first()[:] == ("é", "é")
 
 
@@ -170,7 +196,7 @@ def test_layout(spark):
     rects = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 10.0)], "page_num int, x0 double, y0 double, x1 double, y1 double")
     assert {r.block_idx: r.inside for r in layout.in_rects(b, rects).collect()} == {0: True, 1: False}
     assert [r.gap for r in layout.gaps(b).orderBy("block_idx").collect()] == [10.0, None]
-    assert layout.bands(b, 400).count() == 2 and layout.body_size(b).first()[0] == 10.0
+    assert layout.bands(b, 400).count() == 2 and layout.body_size(b.withColumn("size", F.lit(9.8)).withColumn("translatable", F.lit(True))).first()[0] == 10.0 and layout.body_size(b.withColumn("size", F.lit(9.8)).withColumn("translatable", F.lit(False))).first()[0] == 10.0
 
 
 def test_files(spark, tmp_path):
@@ -259,10 +285,6 @@ def test_latex_text(spark):
     assert [tuple(r) for r in latex.lost_environments(rows).collect()] == [(1, "\\end{a}", 1)]
     known = spark.createDataFrame([("A  b", "first", 1), ("a b", "last", 2)], "src string, mt string, ordinal long")
     assert latex.cell_translations(spark.createDataFrame([("a B",)], "cell string"), known).first().mt == "last"
-    p = spark.createDataFrame([(1, "[3, table cell, max 40 chars] text \n[4, max 9 chars] y")], "id long, text string")
-    assert sorted(tuple(r)[1:] for r in latex.budgets(p).collect()) == [(3, 40, 4, "table"), (4, 9, 1, "plain")]
-    refs = spark.createDataFrame([(1, 0, "same text")], "conv_id long, idx long, ref string")
-    assert latex.chrf_with_references(pairs(spark, [(1, 0, "x", "same text"), (2, 0, "x", "y")]), refs).collect()[0].chrf == 100
 
 
 def test_codecs_and_rounds(spark):
@@ -283,3 +305,74 @@ def test_codecs_and_rounds(spark):
     scored = lambda d: d.withColumn("score", F.when((F.col("id") == 1) & F.col("mt").startswith("v1"), 40.0).when(F.col("id") == 2, 50.0).otherwise(80.0))
     out = {r.id: (r.mt, r.attempts, r.passed) for r in codecs.rounds(src, made, scored).collect()}
     assert out == {0: ("v1 a", 1, True), 1: ("v2 b", 2, True), 2: ("v1 c", 3, False)}
+
+
+def test_layout_rules_by_hand(spark):
+    edge = spark.createDataFrame([(50.0, 70.0), (60.0, 939.0), (60.0, 941.0), (59.9, 500.0), (950.0, 960.0)], "y0 double, y1 double")
+    assert [r[0] for r in edge.select(layout.is_header_footer(F.col("y0"), F.col("y1"), F.lit(1000.0))).collect()] == [True, False, True, True, True]
+    texts = ["Figure 1: x", "fig. 2. y", "Fig 3 — z", "Table 3 - t", "Hình 4: h", "BẢNG 5. b", "Biểu đồ 6: d", "  bảng 7:", "Table 8 without", "Tab. 9: x", "see Figure 1: x", "Figure IV: x", ""]
+    kinds = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(layout.caption_kind(F.col("t"))).collect()]
+    assert kinds == ["figure", "figure", "figure", "table", "figure", "table", "figure", "table", None, None, None, None, None]
+    # 103 wide at size 10: 20.6 columns; 40 high: 2.963 lines; the product 61.04 is cut, its factors are not
+    one = lambda *x: spark.range(1).select(layout.capacity(*map(F.lit, x))).first()[0]
+    assert one(0.0, 0.0, 103.0, 40.0, 10.0) == 61 and one(5.0, 0.0, 5.0, 40.0, 10.0) == 0 and one(9.0, 0.0, 5.0, 40.0, 10.0) == 0
+    assert one(0.0, 0.0, 54.0, 54.0, 1.0) == one(0.0, 0.0, 54.0, 54.0, 4.0) == 270
+    sizes = spark.createDataFrame([(0, i, s, t) for i, (s, t) in enumerate([(9.76, True), (10.2, True), (12.0, False), (12.0, False), (12.0, False), (8.0, True)])], "page_num int, block_idx int, size double, translatable boolean")
+    assert layout.body_size(sizes).first()[0] == 10.0
+
+
+def test_block_budgets_by_hand(spark):
+    rows = [("plain", 100, 50), ("plain", 100, 200), ("plain", 0, 50), ("plain", 0, 0), ("table", 100, 50), ("table", 10, 50), ("table", 0, 50), ("caption", 100, 50), ("caption", 10, 50), ("caption", 0, 50)]
+    b = spark.createDataFrame(rows, "kind string, fits int, n int").select(layout.block_budget(F.col("fits"), F.col("n"), F.col("kind")))
+    assert [r[0] for r in b.collect()] == [114, 220, 70, 100, 105, 50, 57, 108, 52, 60]
+    text = layout.budgeted_text(spark.createDataFrame([(1, 9, "cell", "table", 20), (1, 3, "plain text", "plain", 44), (1, 12, "Hình 1: x", "caption", 10)], "chunk long, block_idx long, text string, kind string, budget int"))
+    assert text.first().text == "[1] (max ~44 chars) plain text\n\n[2] (table cell, max ~20 chars) cell\n\n[3] (caption, max ~10 chars) Hình 1: x"
+
+
+def test_prompt_budgets_are_read_back(spark):
+    head = "rules\n[9] (max ~5 chars) not content\n=== NỘI DUNG CẦN DỊCH ===\n"
+    p = spark.createDataFrame([(1, head + "[1] (max ~44 chars) plain text \n\n[2] (table cell, max ~20 chars) cell\nmore\n[3] (caption, max ~ 10 char) c\n[3] (max ~11 chars) again\n[4, caption, max 9 chars] no"), (2, "[1] (max ~4 chars) no mark")], "id long, text string")
+    assert sorted(map(tuple, latex.budgets(p).collect())) == [(1, 1, 44, 10, "plain"), (1, 2, 20, 4, "table"), (1, 3, 11, 5, "plain")]
+    bands = spark.createDataFrame([(n,) for n in (20, 21, 50, 51, 150, 151, 400, 401)], "n int").select(latex.budget_band(F.col("n")))
+    assert [r[0] for r in bands.collect()] == ["1-20", "21-50", "21-50", "51-150", "51-150", "151-400", "151-400", ">400"]
+    told = spark.createDataFrame([(1, "plain", 10, 12), (2, "plain", 10, 15), (3, "table", 10, 20), (4, "table", 10, 25), (5, "plain", 10, 10), (6, "plain", 10, 0)], "id long, kind string, budget int, n_vi int")
+    use = {(r.dimension, r.value): (r.under, r.over) for r in latex.budget_use(told).collect()}
+    assert use == {("kind", "plain"): (1, 2), ("kind", "table"): (0, 2), ("budget", "1-20"): (1, 4), ("excess", "0-25%"): (0, 1), ("excess", "50-100%"): (0, 1), ("excess", ">100%"): (0, 2)}
+    assert [r.id for r in latex.worst_excess(told, ["id"], 2).collect()] == [4, 3]
+
+
+def test_terminology_errors(spark):
+    terms = spark.createDataFrame([("neural network", "mạng nơ-ron"), ("layer", "lớp")], "en string, vi string")
+    rows = [(1, 0, "A Neural Network here", "một mạng nơ-ron"), (2, 0, "A Neural Network layer", "một mạng lưới"), (3, 0, "Neural network", ""), (4, 0, "nothing", "không gì")]
+    got = sorted((r.conv_id, r.category, r.severity) for r in scoring.critic_errors(pairs(spark, rows), terms).collect())
+    assert got == [(2, "terminology", "minor"), (3, "completeness", "critical")]
+    assert {r.conv_id: r.mqm for r in scoring.mqm(pairs(spark, rows), terms).collect()} == {1: 100.0, 2: 99.9, 3: 75.0, 4: 100.0}
+
+
+def test_placeholders_with_quotes_spaces_and_case(spark):
+    kept = ["$x$", "$y$"]
+    assert masking.unmask('a `<<MATH_1>>` b `<<math_2>>` c', kept) == "a `$x$` b $y$ c"
+    assert masking.unmask("a <<MATH_1>> b", kept) == "a $x$ b" and masking.unmask("'<< math_2 >>'", kept) == "$y$"
+    assert masking.unmask("<<MATH_12>> <<MATH_0>>", kept) == "<<MATH_12>> <<MATH_0>>" and masking.unmask("don't <<MATH_1>>", kept) == "don't $x$"
+
+
+def test_extracted_terms(spark):
+    text = "intro\n```glossary\n# note → x\n\"Deep Net\" → 'mạng sâu'\nkey-value store -> kho\nmap → bản đồ\nab → x\nlayer → lớp\nBERT model → \nseeded term → y\n```\nafter → sau khi"
+    get = lambda c: [tuple(x) for x in spark.range(1).select(c).first()[0]]
+    assert get(responses.strict_term_lines(F.lit(text), F.array(F.lit("seeded term")))) == [("deep net", "mạng sâu"), ("key-value store", "kho"), ("layer", "lớp")]
+    assert get(responses.strict_term_lines(F.lit("plain words → từ\nno pair"))) == [("plain words", "từ")]
+
+
+def test_failed_chunks_count_as_empty(spark):
+    failed = spark.createDataFrame([(1, 3), (1, 7)], "conv_id long, idx long")
+    got = diagnostics.findings(pairs(spark, []), failed).collect()
+    assert [(r.cause, r.affected, r.severity, r.confidence) for r in got] == [("EMPTY_TRANSLATION", [3, 7], "critical", 0.72)]
+    fine = [(1, 0, "Hello world test sentence long enough.", "Xin chào thế giới câu kiểm tra đủ dài.")]
+    assert diagnostics.findings(pairs(spark, fine)).count() == 0
+
+
+def test_glossary_drift_by_hand(spark):
+    terms = spark.createDataFrame([("layer", "lớp", 1, False), ("model", "mô hình", 2, False)], "en string, vi string, ordinal long, locked boolean")
+    rows = [(1, 0, "a layer", "một layer"), (1, 1, "layer and model", "layer và model"), (1, 2, "layer", "lớp"), (2, 0, "layer", "layer")]
+    got = [tuple(r) for r in glossary.drift(glossary.matches(pairs(spark, rows), terms)).collect()]
+    assert got == [(1, "layer", 2, [0, 1], 0.61)]

@@ -29,8 +29,12 @@ def _stripped(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "idx", "src", "mt", T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t"))
 
 
-def findings(rows: DataFrame) -> DataFrame:
-    """(conv_id, cause, severity, confidence, affected) of every detector that fires."""
+def findings(rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(conv_id, cause, severity, confidence, affected) of every detector that fires.
+
+    ``failed`` (conv_id, idx) are chunks that a run has marked as failed; they count as
+    empty translations, whether or not their text is known.
+    """
     r, s, t = _stripped(rows), F.col("s"), F.col("t")
     ratio = F.length(t) / F.length(s)
     fixed = lambda v: lambda n: F.lit(v)
@@ -43,7 +47,7 @@ def findings(rows: DataFrame) -> DataFrame:
     starts, ends = F.left(s, F.lit(80)).rlike(r"^[a-z,;:\-–—(]"), s.rlike(r"[,;:\-–—a-z(]$")
     parts = [
         _finding(pick(cut), "TRUNCATED_RESPONSE", 0.95, 0.55, 0.08, grows(3)),
-        _finding(pick(empty), "EMPTY_TRANSLATION", 0.98, 0.60, 0.06, grows(2)),
+        _finding(pick(empty) if failed is None else pick(empty).unionByName(failed.select("conv_id", "idx")), "EMPTY_TRANSLATION", 0.98, 0.60, 0.06, grows(2)),
         _finding(pick(contaminated), "MATH_CONTAMINATION", 0.90, 0.50, 0.07, fixed("warning")),
         _finding(pick((F.length(s) >= 50) & (t != "") & (ratio > 3.0)), "HALLUCINATION", 0.85, 0.50, 0.08, fixed("warning")),
         _finding(pick((F.length(s) >= 50) & (starts | ends)), "CHUNK_BOUNDARY_SPLIT", 0.75, 0.40, 0.05, fixed("info"), least=2),
@@ -74,9 +78,15 @@ def overall(found: DataFrame) -> DataFrame:
     return found.groupBy("conv_id").agg(F.count("*").alias("n_findings"), F.max_by("cause", F.struct(rank * F.col("confidence"), "cause")).alias("primary_cause"), sev.alias("severity"))
 
 
+def _failed(spark, d) -> DataFrame:
+    """Every fiftieth pair, and a chunk without text in every seventieth conversation, marked as failed."""
+    p = V.pairs(spark, d)
+    return p.where("(conv_id + idx) % 50 = 0").select("conv_id", "idx").unionByName(p.where("conv_id % 70 = 0").select("conv_id", F.lit(-1).cast(p.schema["idx"].dataType).alias("idx")))
+
+
 QUERIES = {
-    "diagnostic_findings": lambda spark, d: findings(V.pairs(spark, d)),
-    "diagnostic_report": lambda spark, d: overall(findings(V.pairs(spark, d))),
+    "diagnostic_findings": lambda spark, d: findings(V.pairs(spark, d), _failed(spark, d)),
+    "diagnostic_report": lambda spark, d: overall(findings(V.pairs(spark, d), _failed(spark, d))),
 }
 
 _HEAVY = lambda x: f"(length({T.sql_strip(x)}) >= 20 and {T.sql_english(x)} >= 5 and {T.sql_count(f'lower({x})', f'[{T.VIETNAMESE}]')} < {T.sql_english(x)} * 0.5)"
@@ -88,7 +98,7 @@ y as (select conv_id, idx, greatest(0.0, least(1.0, 1 - abs(length(t)::double /
 q as (select conv_id, avg(y) filter (k < n // 3) as q1, avg(y) filter (k >= n // 3 and k < 2 * n // 3) as q2, avg(y) filter (k >= 2 * n // 3) as q3, any_value(n) as n, coalesce(list(idx order by idx) filter (y < 0.65), []) as affected from y where n >= 6 group by 1),
 fi as (
 {_ONE("TRUNCATED_RESPONSE", f"length(s) >= 50 and t <> '' and (length(t)::double / length(s) < 0.25 or (length(t)::double / length(s) < 0.40 and not regexp_matches(t, '{T.SENTENCE_END}')))", 0.95, 0.55, 0.08, "case when count(*) >= 3 then 'critical' else 'warning' end")}
-union all {_ONE("EMPTY_TRANSLATION", f"length(s) >= 30 and (length(t) < 10 or ({_HEAVY('t')} and not {_HEAVY('left(s, 200)')}))", 0.98, 0.60, 0.06, "case when count(*) >= 2 then 'critical' else 'warning' end")}
+union all {_ONE("EMPTY_TRANSLATION", "true", 0.98, 0.60, 0.06, "case when count(*) >= 2 then 'critical' else 'warning' end").replace(" from r ", f" from (select conv_id, idx from r where length(s) >= 30 and (length(t) < 10 or ({_HEAVY('t')} and not {_HEAVY('left(s, 200)')})) union select conv_id, idx from r where (conv_id + idx) % 50 = 0 union select conv_id, -1 from r where conv_id % 70 = 0) ")}
 union all {_ONE("MATH_CONTAMINATION", f"len({_MATHS}) >= 3 and list_sum(list_transform({_MATHS}, lambda m: length(m)))::double / length(src) > 0.12", 0.90, 0.50, 0.07, "'warning'")}
 union all {_ONE("HALLUCINATION", "length(s) >= 50 and t <> '' and length(t)::double / length(s) > 3.0", 0.85, 0.50, 0.08, "'warning'")}
 union all {_ONE("CHUNK_BOUNDARY_SPLIT", "length(s) >= 50 and (regexp_matches(left(s, 80), '^[a-z,;:" + chr(92) + "-–—(]') or regexp_matches(s, '[,;:" + chr(92) + "-–—a-z(]$'))", 0.75, 0.40, 0.05, "'info'", 2)}

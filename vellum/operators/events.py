@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from vellum.sources import views as V
 
 RING, DECAY, PRIOR = 20, 0.7, 0.85
+# Weights of the adaptive strategy, and the seconds at which latency counts as slow and an account as rested.
+WEIGHTS = {"s_success": 0.45, "s_latency": 0.15, "s_cooldown": 0.20, "s_idle": 0.20}
+LATENCY_REF, IDLE_REF = 20.0, 600.0
 
 
 def audit(events: DataFrame) -> DataFrame:
@@ -84,36 +87,57 @@ def rolling(log: DataFrame) -> DataFrame:
 
 
 def accounts(log: DataFrame) -> DataFrame:
-    """State of each account after all its events, folded in order.
+    """State of each account after all its events.
 
-    A value of 30 or more is a success with that latency; less is a failure; under 10
-    it is a cooldown, which enters the ring as a failure but isn't counted as one.
-    The average latency is seeded by the first success and whenever it is exactly 0.
+    A value of 30 or more is a success and one from 10 a failure, both with that latency;
+    under 10 it is a cooldown, which enters the ring of the last events as a failure and has
+    no latency.  The average latency starts at the first one that isn't 0 and then takes 0.3 of
+    each outcome's, so the k-th outcome from the end weighs 0.7^(k-1) of that: a
+    sum over rows in order, without an account's history in one value.
     """
-    e = F.struct("us", "seq", "value")
-    each = log.groupBy("user_id").agg(F.array_sort(F.collect_list(e)).alias("es"))
-    start = F.struct(F.lit(0).cast("long").alias("success"), F.lit(0).cast("long").alias("fail"), F.lit(0).cast("long").alias("cooldowns"), F.lit(0.0).alias("avg"), F.array().cast("array<int>").alias("ring"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok, cool = x["value"] >= 30, x["value"] < 10
-        avg = F.when(ok, F.when(s["avg"] == 0, x["value"]).otherwise(DECAY * s["avg"] + (1 - DECAY) * x["value"])).otherwise(s["avg"])
-        ring = F.concat(s["ring"], F.array(ok.cast("int")))
-        return F.struct((s["success"] + ok.cast("int")).alias("success"), (s["fail"] + (~ok & ~cool).cast("int")).alias("fail"), (s["cooldowns"] + cool.cast("int")).alias("cooldowns"), avg.alias("avg"), F.slice(ring, F.greatest(F.size(ring) - (RING - 1), F.lit(1)), RING).alias("ring"))
-
-    s = each.select("user_id", F.aggregate("es", start, step).alias("s"), F.element_at("es", -1)["us"].alias("last_used"), F.array_max(F.transform(F.filter("es", lambda x: x["value"] < 10), lambda x: x["us"])).alias("last_cooldown"))
-    rate = F.aggregate("s.ring", F.lit(0.0), lambda a, x: a + x) / F.size("s.ring")
-    return s.select("user_id", "s.success", "s.fail", "s.cooldowns", F.round("s.avg", 6).alias("avg_latency"), F.round(rate, 6).alias("recent"), "last_used", "last_cooldown")
-
-
-def schedule(state: DataFrame) -> DataFrame:
-    """The account that each strategy picks next."""
-    tried = F.col("success") + F.col("fail") > 0
-    success = F.when(tried, F.col("recent")).otherwise(PRIOR)
-    speed = F.when(F.col("avg_latency") > 0, F.exp(-F.col("avg_latency") / 20)).otherwise(PRIOR)
-    calm = 1 - F.least(F.lit(1.0), 2 * F.col("cooldowns") / F.greatest(F.col("success") + F.col("fail"), F.lit(1)))
-    score = F.round(0.5 * success + 0.2 * speed + 0.3 * calm, 6)
+    ok, cool = F.col("value") >= 30, F.col("value") < 10
+    back = Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("seq"))
+    e = log.withColumn("place", F.row_number().over(back))
+    e = e.withColumn("k", F.sum((~cool).cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = ~cool & (F.col("value") > 0)
+    first = F.struct("k", "value")
+    g = e.groupBy("user_id").agg(
+        F.sum(ok.cast("long")).alias("success"),
+        F.sum((~ok & ~cool).cast("long")).alias("fail"),
+        F.sum(cool.cast("long")).alias("cooldowns"),
+        F.sum(F.when(timed, (1 - DECAY) * F.pow(F.lit(DECAY), F.col("k") - 1) * F.col("value"))).alias("later"),
+        F.max(F.when(timed, first)).alias("first"),
+        F.avg(F.when(F.col("place") <= RING, ok.cast("int"))).alias("recent"),
+        F.max(F.when(~cool, F.col("us"))).alias("last_used"),
+        F.max(F.when(cool, F.col("us"))).alias("last_cooldown"),
+        F.max_by("value", F.when(~cool, -F.col("place"))).alias("last_latency"),
+    )
+    # the first outcome stands for all before it
+    avg = F.coalesce(F.col("later") + DECAY * F.pow(F.lit(DECAY), F.col("first.k") - 1) * F.col("first.value"), F.lit(0.0))
+    return g.select("user_id", "success", "fail", "cooldowns", F.round(avg, 6).alias("avg_latency"), F.coalesce("last_latency", F.lit(0.0)).alias("last_latency"), F.round("recent", 6).alias("recent"), "last_used", "last_cooldown")
+
+
+def components(state: DataFrame, now: Column) -> DataFrame:
+    """``state`` with the four signals of the adaptive strategy; an account never tried has the prior in all."""
+    tried = F.col("success") + F.col("fail") + F.col("cooldowns") > 0
+    total = F.col("success") + F.col("fail")
+    latency = F.when(F.col("avg_latency") != 0, F.col("avg_latency")).otherwise(F.col("last_latency"))
+    signals = {
+        "s_success": F.coalesce("recent", F.lit(1.0)),
+        "s_latency": F.when(latency > 0, F.exp(-latency / LATENCY_REF)).otherwise(PRIOR),
+        "s_cooldown": F.greatest(F.lit(0.0), 1 - 2 * F.when(total > 0, F.col("cooldowns") / total).otherwise(0.0)),
+        "s_idle": F.when(F.col("last_used") > 0, F.least(F.lit(1.0), (now - F.col("last_used")) / 1e6 / IDLE_REF)).otherwise(1.0),
+    }
+    return state.select("*", *(F.when(tried, x).otherwise(PRIOR).alias(n) for n, x in signals.items()))
+
+
+def schedule(state: DataFrame, now: DataFrame) -> DataFrame:
+    """The account that each strategy picks next; ``now`` is one row (now) of microseconds. Ties go to the lesser user."""
+    each = components(state.join(F.broadcast(now)), F.col("now"))
+    score = F.round(sum(w * F.col(n) for n, w in WEIGHTS.items()), 6)
     pick = lambda *by: F.min_by("user_id", F.struct(*by, "user_id"))
-    return state.agg(pick(-score).alias("adaptive"), pick(F.col("last_used")).alias("lru"), pick(F.coalesce("last_cooldown", F.lit(0))).alias("cooldown_aware"), F.min("user_id").alias("round_robin"))
+    never = lambda c: F.coalesce(c, F.lit(0))
+    return each.agg(pick(-score).alias("adaptive"), F.max(score).alias("best_score"), pick(never("last_used")).alias("lru"), pick(never("last_cooldown")).alias("cooldown_aware"), F.min("user_id").alias("round_robin"))
 
 
 def attempts(log: DataFrame) -> DataFrame:
@@ -147,7 +171,7 @@ QUERIES = {
     "account_pool": lambda spark, d: pool_stats(_log(spark, d)),
     "recent_success": lambda spark, d: rolling(_log(spark, d)),
     "account_state": lambda spark, d: accounts(_log(spark, d)),
-    "scheduler_picks": lambda spark, d: schedule(accounts(_log(spark, d))),
+    "scheduler_picks": lambda spark, d: schedule(accounts(_log(spark, d)), _log(spark, d).agg(F.max("us").alias("now"))),
     "attempt_log": lambda spark, d: attempts(_log(spark, d)),
     "eval_report": lambda spark, d: eval_report(_log(spark, d)),
 }
@@ -158,7 +182,18 @@ _ATT = f"""{_L}, b as (select *, row_number() over (partition by user_id, k orde
 a as (select user_id, k, seq, attempt, round(value, 6) as score, case when value < 60 then 'heuristic' else 'judge' end as stage,
   case when value >= 70 then 'pass' when attempt = 3 then 'flag' else 'retry' end as decision, case attempt when 1 then 'initial' when 2 then 'refine' else 'escalate' end as strategy,
   (row_number() over (partition by user_id order by ts, seq) - 1) // 3 as batch from b where attempt <= 3)"""
+_ACC = f"""{_L}, u as (select *, epoch_us(ts) as us from l),
+f as (select user_id, count(*) filter (value >= 30) as success, count(*) filter (value >= 10 and value < 30) as fail, count(*) filter (value < 10) as cooldowns,
+  list(value order by us, seq) filter (value >= 10) as lat, list((value >= 30)::int order by us desc, seq desc) as oks, max(us) filter (value >= 10) as last_used, max(us) filter (value < 10) as last_cooldown from u group by 1),
+a as (select user_id, success, fail, cooldowns, round(case when len(lat) > 0 then list_reduce(lat, lambda x, y: 0.7 * x + 0.3 * y) else 0.0 end, 6) as avg_latency, coalesce(lat[-1], 0.0) as last_latency,
+  round(list_avg(oks[1:20]), 6) as recent, last_used, last_cooldown from f)"""
 ORACLE_SQL = {
+    "account_state": f"with {_ACC} select * from a",
+    "scheduler_picks": f"""with {_ACC}, n as (select max(us) as now from u),
+c as (select *, round(0.45 * recent + 0.15 * case when coalesce(nullif(avg_latency, 0), last_latency) > 0 then exp(-coalesce(nullif(avg_latency, 0), last_latency) / 20) else 0.85 end
+  + 0.2 * greatest(0, 1 - 2 * case when success + fail > 0 then cooldowns / (success + fail) else 0 end) + 0.2 * case when last_used > 0 then least(1, (now - last_used) / 6e8) else 1 end, 6) as score from a, n)
+select (select user_id from c order by score desc, user_id limit 1) as adaptive, max(score) as best_score, (select user_id from c order by coalesce(last_used, 0), user_id limit 1) as lru,
+  (select user_id from c order by coalesce(last_cooldown, 0), user_id limit 1) as cooldown_aware, min(user_id) as round_robin from c""",
     "audit_phases": f"with {_L} select phase, count(*) as n, min(ts) as first_ts, max(ts) as last_ts, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 3) as seconds from l group by 1",
     "audit_types": f"with {_L} select event_type, count(*) as n, round(avg(value), 6) as mean, min(value) as least, max(value) as most from l group by 1",
     "audit_last_errors": f"with {_L} select seq, event_type, value from l where event_type = (select event_type from l group by 1 order by event_type <> 'error', count(*), event_type limit 1) order by seq desc limit 50",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions import text as T
 from vellum.sources import views as V
 
 CAP = 40
@@ -103,18 +104,22 @@ def last_wins(layers: list[DataFrame]) -> DataFrame:
 
 
 def merged(known: DataFrame, job: DataFrame) -> DataFrame:
-    """The global terms (en, vi, frequency, confidence) after a job's (en, vi).
+    """The global terms (en, vi, field, frequency, confidence) after a job's (en, vi, field).
 
     New terms start at frequency 1 and confidence 0.5.  Agreement adds 1 and 0.1, at
     most 0.95; disagreement adds 1 while the frequency is under 3 and else changes nothing.
+    What changes a term also gives it the job's field, cleaned, if it has none.  Blank
+    terms and translations of the job are left out.
     """
-    k, j = known.alias("k"), job.select(F.lower(F.trim("en")).alias("en"), F.col("vi").alias("new_vi")).alias("j")
-    both = k.join(j, "en", "full_outer")
-    same = F.lower(F.trim("vi")) == F.lower(F.trim("new_vi"))
+    own = job.select(F.lower(T.strip(F.col("en"))).alias("en"), T.strip(F.col("vi")).alias("new_vi"), T.clean_field(F.col("field")).alias("new_field"))
+    both = known.join(own.where("en <> '' and new_vi <> ''"), "en", "full_outer")
+    same = F.lower(T.strip(F.col("vi"))) == F.lower("new_vi")
     new, seen = F.col("vi").isNull(), F.col("new_vi").isNotNull()
-    freq = F.when(new, 1).when(seen & (same | (F.col("frequency") < 3)), F.col("frequency") + 1).otherwise(F.col("frequency"))
+    changes = new | (seen & (same | (F.col("frequency") < 3)))
+    freq = F.when(new, 1).when(changes, F.col("frequency") + 1).otherwise(F.col("frequency"))
     conf = F.when(new, 0.5).when(seen & same, F.least(F.lit(0.95), F.col("confidence") + 0.1)).otherwise(F.col("confidence"))
-    return both.select("en", F.coalesce("vi", "new_vi").alias("vi"), freq.cast("long").alias("frequency"), F.round(conf, 6).alias("confidence"))
+    field = F.when(changes, F.coalesce(F.nullif("field", F.lit("")), "new_field")).otherwise(F.col("field"))
+    return both.select("en", F.coalesce("vi", "new_vi").alias("vi"), field.alias("field"), freq.cast("long").alias("frequency"), F.round(conf, 6).alias("confidence"))
 
 
 def global_top(terms: DataFrame, min_confidence: float, min_frequency: int, limit: int) -> DataFrame:
@@ -123,11 +128,11 @@ def global_top(terms: DataFrame, min_confidence: float, min_frequency: int, limi
 
 def _known(spark, d) -> DataFrame:
     t = V.terms(spark, d)
-    return t.where("ordinal % 3 <> 0").select("en", "vi", (F.col("ordinal") % 5 + 1).alias("frequency"), (0.5 + (F.col("ordinal") % 5) * 0.1).alias("confidence"))
+    return t.where("ordinal % 3 <> 0").select("en", "vi", F.when(F.col("ordinal") % 4 < 2, F.lit("curated")).alias("field"), (F.col("ordinal") % 5 + 1).alias("frequency"), (0.5 + (F.col("ordinal") % 5) * 0.1).alias("confidence"))
 
 
 def _job(spark, d) -> DataFrame:
-    return V.terms(spark, d).where("ordinal % 2 = 0").select("en", F.when(F.col("ordinal") % 4 == 0, F.upper("vi")).otherwise(F.concat("vi", F.lit("x"))).alias("vi"))
+    return V.terms(spark, d).where("ordinal % 2 = 0").select("en", F.when(F.col("ordinal") % 4 == 0, F.upper("vi")).when(F.col("ordinal") % 14 == 0, F.lit(" ")).otherwise(F.concat("vi", F.lit("x"))).alias("vi"), F.when(F.col("ordinal") % 6 < 4, F.concat(F.lit(" field "), F.col("ordinal") % 6)).alias("field"))
 
 
 def _found(spark, d) -> DataFrame:
@@ -150,13 +155,14 @@ QUERIES = {
 _F = f"f as (select p.*, t.* from {V.SQL_PAIRS} p join {V.SQL_TERMS} t on contains(lower(p.src), t.en))"
 _CAP = f"{_F}, c as (select *, count(*) over w as n, row_number() over (w order by locked desc, length(en) desc, ordinal) as rank from f window w as (partition by conv_id, idx)), k as (select * from c where n <= 40 or locked or rank <= 40)"
 _OCC = "((length(src) - length(replace(lower(src), en, ''))) / length(en))::bigint"
-_KNOWN = f"known as (select en, vi, ordinal % 5 + 1 as frequency, 0.5 + (ordinal % 5) * 0.1 as confidence from {V.SQL_TERMS} where ordinal % 3 <> 0)"
-_JOB = f"job as (select en, case when ordinal % 4 = 0 then upper(vi) else vi || 'x' end as vi from {V.SQL_TERMS} where ordinal % 2 = 0)"
+_KNOWN = f"known as (select en, vi, case when ordinal % 4 < 2 then 'curated' end as field, ordinal % 5 + 1 as frequency, 0.5 + (ordinal % 5) * 0.1 as confidence from {V.SQL_TERMS} where ordinal % 3 <> 0)"
+_JOB = f"job as (select en, case when ordinal % 4 = 0 then upper(vi) when ordinal % 14 = 0 then ' ' else vi || 'x' end as vi, case when ordinal % 6 < 4 then ' field ' || ordinal % 6 end as field from {V.SQL_TERMS} where ordinal % 2 = 0)"
 _MERGED = f"""{_KNOWN}, {_JOB}, m as (
   select coalesce(k.en, j.en) as en, coalesce(k.vi, j.vi) as vi,
+    case when k.vi is null or (j.vi is not null and (lower(k.vi) = lower(j.vi) or frequency < 3)) then coalesce(k.field, left(trim(j.field), 64)) else k.field end as field,
     (case when k.vi is null then 1 when j.vi is not null and (lower(k.vi) = lower(j.vi) or frequency < 3) then frequency + 1 else frequency end)::bigint as frequency,
     round((case when k.vi is null then 0.5 when j.vi is not null and lower(k.vi) = lower(j.vi) then least(0.95, confidence + 0.1) else confidence end)::double, 6) as confidence
-  from known k full join job j on k.en = j.en)"""
+  from known k full join (select * from job where trim(vi) <> '') j on k.en = j.en)"""
 ORACLE_SQL = {
     "glossary_filter": f"with {_CAP} select conv_id, idx, en, vi, locked, rank from k",
     "glossary_compliance": f"with {_F} select en, vi, count(*) as violations from f where trim(src) <> '' and trim(mt) <> '' and not contains(lower(mt), lower(vi)) group by 1, 2 having count(*) >= 3",

@@ -16,6 +16,8 @@ from vellum.sources import views as V
 
 SUMMARY = 200
 MARKER = re.compile(r"\\begin\{([^}]+)\}|\\end\{([^}]+)\}|\\(?:part|chapter|section|subsection|subsubsection)\*?\{")
+# Fixed value: the line of a prompt after which its content stands.
+CONTENT_MARK = "=== NỘI DUNG CẦN DỊCH ==="
 
 
 def without_comments(text: Column) -> Column:
@@ -141,12 +143,40 @@ def moving_best(log: DataFrame, group: str, order: list[str], value: str) -> Dat
 
 
 def budgets(prompts: DataFrame) -> DataFrame:
-    """(id, block, budget, n_chars, kind) of ``[3, table cell, max 40 chars] text`` lines."""
-    line = r"\[(\d+)(?:,\s*([a-z ]+?))?,\s*max (\d+) chars\]\s*(.*)"
-    found = prompts.select("id", F.explode(F.regexp_extract_all("text", F.lit(line), F.lit(0))).alias("m"))
-    part = lambda k: F.regexp_extract("m", line, k)
+    """(id, block, budget, n_chars, kind) of the ``[3] (table cell, max ~40 chars) text`` lines after a prompt's content mark; of one number the last."""
+    body = F.when(F.col("text").contains(CONTENT_MARK), F.substring_index("text", CONTENT_MARK, -1))
+    one = r"^\[(\d+)\]\s*\((?:(table cell|caption), )?max\s*~\s*(\d+)\s*chars?\)\s*(.*)$"
+    found = prompts.select("id", F.posexplode(F.split(body, "\n")).alias("pos", "m")).where(F.col("m").rlike(one))
+    part = lambda k: F.regexp_extract("m", one, k)
     kind = F.when(part(2) == "table cell", "table").when(part(2) == "caption", "caption").otherwise("plain")
-    return found.select("id", part(1).cast("int").alias("block"), part(3).cast("int").alias("budget"), F.length(T.strip(part(4))).alias("n_chars"), kind.alias("kind"))
+    each = found.select("id", part(1).cast("int").alias("block"), F.struct("pos", part(3).cast("int").alias("budget"), F.length(T.strip(part(4))).alias("n_chars"), kind.alias("kind")).alias("x"))
+    return each.groupBy("id", "block").agg(F.max("x").alias("x")).select("id", "block", "x.budget", "x.n_chars", "x.kind")
+
+
+def budget_band(budget: Column) -> Column:
+    return F.when(budget <= 20, "1-20").when(budget <= 50, "21-50").when(budget <= 150, "51-150").when(budget <= 400, "151-400").otherwise(">400")
+
+
+def excess_band(excess: Column) -> Column:
+    return F.when(excess < 0.25, "0-25%").when(excess < 0.5, "25-50%").when(excess < 1.0, "50-100%").otherwise(">100%")
+
+
+def budget_use(told: DataFrame) -> DataFrame:
+    """(dimension, value, under, over, chars, budget): blocks (kind, budget, n_vi) against their budgets, by kind, band of budget and excess.
+
+    Blocks without a translation don't count.
+    """
+    over = F.col("n_vi") > F.col("budget")
+    excess = F.when(over, excess_band((F.col("n_vi") - F.col("budget")) / F.col("budget")))
+    sides = F.array(*(F.struct(F.lit(n).alias("dimension"), v.alias("value")) for n, v in (("kind", F.col("kind")), ("budget", budget_band(F.col("budget"))), ("excess", excess))))
+    each = told.where("n_vi > 0").select("n_vi", "budget", over.alias("is_over"), F.inline(sides)).where("value is not null")
+    return each.groupBy("dimension", "value").agg(F.sum((~F.col("is_over")).cast("int")).alias("under"), F.sum(F.col("is_over").cast("int")).alias("over"), F.sum("n_vi").alias("chars"), F.sum("budget").alias("budget"))
+
+
+def worst_excess(told: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The ``n`` blocks that exceed their budgets most."""
+    excess = F.round((F.col("n_vi") - F.col("budget")) / F.col("budget"), 6)
+    return told.where("n_vi > budget").select(*keys, "budget", "n_vi", excess.alias("excess")).orderBy(F.desc("excess"), *keys).limit(n)
 
 
 def _docs(spark, d) -> DataFrame:

@@ -13,6 +13,11 @@ from pyspark.sql.window import Window
 # Ranges of mathematical characters, and the bits and names that fonts use for styles.
 MATH_CHARS = r"[\x{0370}-\x{03ff}\x{2070}-\x{209f}\x{2100}-\x{214f}\x{2190}-\x{21ff}\x{2200}-\x{22ff}\x{2300}-\x{23ff}\x{27c0}-\x{27ef}\x{2980}-\x{29ff}\x{2a00}-\x{2aff}\x{1d400}-\x{1d7ff}]"
 ITALIC_BIT, BOLD_BIT = 2, 16
+# Labels of captions with their number and mark.
+CAPTION = r"^\s*(?iu)(Figure|Fig\.?|Table|Hình|Bảng|Biểu\s*đồ)\s*\d+\s*[.:—–\-]"
+# Width of a glyph and height of a line against the font size; of each role of a block, what its box is enlarged by, its least share of the source and the share without a box.
+GLYPH_WIDTH, LINE_HEIGHT = 0.5, 1.35
+BUDGETS = {"plain": (1.15, 1.1, 1.4), "table": (1.05, 1.0, 1.15), "caption": (1.08, 1.05, 1.2)}
 BOLD_NAME, ITALIC_NAME, MATH_FONT = r"(?i)(bold|black|heavy|semibold|demi)", r"(?i)(italic|oblique|slanted)", r"(?i)(cmmi|cmsy|cmex|msam|msbm|math|symbol|stix)"
 
 
@@ -66,16 +71,44 @@ def baseline(spans: Column) -> Column:
 
 
 def is_header_footer(y0: Column, y1: Column, height: Column) -> Column:
-    return (y1 < height * 0.06) | (y0 > height * 0.94)
+    """Begins in the top six hundredths of the page or ends in the bottom ones."""
+    return (y0 < height * 0.06) | (y1 > height * 0.94)
 
 
 def caption_kind(text: Column) -> Column:
-    return F.when(F.trim(text).rlike(r"(?i)^(table|tab\.)\s*[0-9IVX]+"), "table").when(F.trim(text).rlike(r"(?i)^(figure|fig\.?)\s*[0-9IVX]+"), "figure")
+    """table or figure where the text opens with a label, a number and a mark; else null."""
+    label = F.lower(F.regexp_extract(text, CAPTION, 1))
+    return F.when(label.isin("table", "bảng"), "table").when(label != "", "figure")
 
 
 def capacity(x0: Column, y0: Column, x1: Column, y1: Column, size: Column) -> Column:
-    """Characters that fit: columns of half the font size, lines of 1.35 of it."""
-    return ((x1 - x0) / (0.5 * size)).cast("int") * ((y1 - y0) / (1.35 * size)).cast("int")
+    """Characters that fit a box: columns of half the font size times lines of 1.35 of it, cut to a whole number; 0 without an area."""
+    fs = F.greatest(size, F.lit(4.0))
+    return (F.greatest(x1 - x0, F.lit(0.0)) / (fs * GLYPH_WIDTH) * (F.greatest(y1 - y0, F.lit(0.0)) / (fs * LINE_HEIGHT))).cast("int")
+
+
+def block_budget(fits: Column, n_chars: Column, kind: Column) -> Column:
+    """Characters that a translation of a block should have at most.
+
+    What fits the box, enlarged, but no less than a share of the source; of the source
+    alone without a box. ``kind`` is table, caption or anything else.
+    """
+
+    def tier(name: str) -> Column:
+        inflate, floor, fallback = BUDGETS[name]
+        unboxed = (n_chars * fallback).cast("int")
+        return F.when(fits == 0, F.when(unboxed == 0, 100).otherwise(unboxed)).otherwise(F.greatest((fits * inflate).cast("int"), (n_chars * floor).cast("int")))
+
+    return F.when(kind == "table", tier("table")).when(kind == "caption", tier("caption")).otherwise(tier("plain"))
+
+
+def budgeted_text(blocks: DataFrame) -> DataFrame:
+    """(chunk, text, n_blocks): each chunk's blocks (chunk, block_idx, text, kind, budget), numbered, with their budgets."""
+    order = Window.partitionBy("chunk").orderBy("block_idx")
+    role = F.when(F.col("kind") == "table", "table cell, ").when(F.col("kind") == "caption", "caption, ").otherwise("")
+    line = F.format_string("[%d] (%smax ~%d chars) %s", F.row_number().over(order), role, F.col("budget"), F.col("text"))
+    lines = blocks.select("chunk", "block_idx", line.alias("line"))
+    return lines.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "line"))), lambda x: x["line"]), "\n\n").alias("text"), F.count("*").alias("n_blocks"))
 
 
 def is_narrow_vertical(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -122,7 +155,7 @@ def columns(blocks: DataFrame, width: float) -> DataFrame:
 
 
 def body_size(blocks: DataFrame) -> DataFrame:
-    """The most frequent font size, to half a point; of equal ones the first seen."""
-    s = blocks.select("page_num", "block_idx", F.explode("spans").alias("s")).select(F.struct("page_num", "block_idx").alias("at"), (F.round(F.col("s.size") * 2) / 2).alias("size"))
+    """The most frequent font size (``size``) of the blocks to translate, to half a point; of equal ones the first seen, 10 without any."""
+    s = blocks.where("translatable").select(F.struct("page_num", "block_idx").alias("at"), (F.bround(F.col("size") * 2) / 2).alias("size"))
     g = s.groupBy("size").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    return g.agg(F.min_by("size", F.struct(-F.col("n"), "first")).alias("body_size"))
+    return g.agg(F.coalesce(F.min_by("size", F.struct(-F.col("n"), "first")), F.lit(10.0)).alias("body_size"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
+from vellum.operators import latex, layout
 from vellum.sources import views as V
 
 
@@ -116,11 +117,13 @@ def latencies(r: DataFrame) -> DataFrame:
     return k.groupBy("num_tabs").agg(F.count("*").alias("n"), F.round(F.median("duration"), 6).alias("p50"), p95.alias("p95"))
 
 
-def budget(text: DataFrame) -> DataFrame:
-    """Lines against a budget of 80 characters, by band of length."""
-    n = F.length("text")
-    band = F.when(n < 40, "<40").when(n < 80, "40-79").when(n < 160, "80-159").when(n < 320, "160-319").otherwise("320+")
-    return text.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum((n > 80).cast("int")).alias("over"), F.max(n - 80).alias("worst"))
+def told_blocks(spark, d) -> DataFrame:
+    """Pairs as translated blocks with budgets: every fifth a table cell, every seventh a caption, boxes by rule of their place."""
+    kind = F.when(F.col("idx") % 5 == 0, "table").when(F.col("idx") % 7 == 0, "caption").otherwise("plain")
+    width, height, size = (F.col("idx") % 4) * 90.0, (F.col("conv_id") % 6) * 14.0, 8.0 + F.col("conv_id") % 3
+    zero = F.lit(0.0)
+    p = V.pairs(spark, d).select("conv_id", "idx", "src", "mt", kind.alias("kind"), layout.capacity(zero, zero, width, height, size).alias("fits"))
+    return p.select("conv_id", "idx", "src", "kind", "fits", layout.block_budget(F.col("fits"), F.length("src"), F.col("kind")).alias("budget"), F.length(T.strip(F.col("mt"))).alias("n_vi"))
 
 
 def names(spark, d) -> DataFrame:
@@ -148,13 +151,20 @@ QUERIES = {
     "job_field_stats": _j(stats_by_field),
     "bench_aggregate": lambda spark, d: derived(aggregated(runs(spark, d))),
     "bench_latency": lambda spark, d: latencies(runs(spark, d)),
-    "budget_compliance": lambda spark, d: budget(V.blocks(spark, d)),
+    "block_budgets": lambda spark, d: told_blocks(spark, d).select("conv_id", "idx", "kind", "fits", "budget"),
+    "budget_prompts": lambda spark, d: layout.budgeted_text(told_blocks(spark, d).select(F.col("conv_id").alias("chunk"), F.col("idx").alias("block_idx"), F.col("src").alias("text"), "kind", "budget")),
+    "budget_compliance": lambda spark, d: latex.budget_use(told_blocks(spark, d)),
+    "budget_worst": lambda spark, d: latex.worst_excess(told_blocks(spark, d), ["conv_id", "idx"]),
     "name_forms": names,
 }
 
 _J = "j as (select o_orderkey as job_id, case when o_custkey % 7 <> 0 then o_custkey end as owner, case o_orderstatus when 'O' then 'translating 3/10' when 'F' then 'done' else 'error: stopped' end as status, o_totalprice as score, strftime(o_orderdate, '%Y-%m-%d') as updated_at, o_orderpriority as title from orders)"
 _N = "n as (select job_id + case when job_id % 20 = 0 then 10000000 else 0 end as job_id, 'done' as status from j where job_id % 10 = 0)"
 _R = "r as (select l_partkey % 20 as pdf, l_suppkey % 6 + 1 as num_tabs, case when l_linenumber > 1 then l_quantity else 0.0 end as wall, l_extendedprice as duration, case when l_discount > 0 then l_discount end as quality from lineitem)"
+_TIER = lambda name: "case when fits = 0 then case when trunc(length(src) * {2}) = 0 then 100 else trunc(length(src) * {2})::int end else greatest(trunc(fits * {0}), trunc(length(src) * {1}))::int end".format(*(f"{x}::double" for x in layout.BUDGETS[name]))
+_B = f"""bx as (select conv_id, idx, src, mt, case when idx % 5 = 0 then 'table' when idx % 7 = 0 then 'caption' else 'plain' end as kind, (idx % 4) * 90.0::double as w, (conv_id % 6) * 14.0::double as h, 8.0::double + conv_id % 3 as fs from {V.SQL_PAIRS}),
+bf as (select *, trunc(w / (fs * 0.5::double) * (h / (fs * 1.35::double)))::int as fits from bx),
+bl as (select conv_id, idx, src, kind, fits, case kind when 'table' then {_TIER("table")} when 'caption' then {_TIER("caption")} else {_TIER("plain")} end as budget, length({T.sql_strip("mt")}) as n_vi from bf)"""
 ORACLE_SQL = {
     "job_upsert": f"with {_J}, {_N} select coalesce(j.job_id, n.job_id) as job_id, owner, coalesce(n.status, j.status) as status, score, updated_at, title from j full join n on j.job_id = n.job_id",
     "job_delete": f"with {_J} select * from j where not score < 50000",
@@ -172,8 +182,15 @@ select a.pdf, a.num_tabs, a.n, round(a.mean, 6) as mean, round(a.std, 6) as std,
 from a left join a b on b.pdf = a.pdf and b.num_tabs = 1""",
     "bench_latency": f"""with {_R}, k as (select num_tabs, duration, row_number() over (partition by num_tabs order by duration, pdf) as k, count(*) over (partition by num_tabs) as n from r)
 select num_tabs, count(*) as n, round(median(duration), 6) as p50, max(duration) filter (k = greatest(floor(n * 0.95), 1)) as p95 from k group by 1""",
-    "budget_compliance": f"""select case when length(text) < 40 then '<40' when length(text) < 80 then '40-79' when length(text) < 160 then '80-159' when length(text) < 320 then '160-319' else '320+' end as band,
-  count(*) as n, count(*) filter (length(text) > 80) as over, max(length(text) - 80) as worst from {V.SQL_BLOCKS} group by 1""",
+    "block_budgets": f"with {_B} select conv_id, idx, kind, fits, budget from bl",
+    "budget_prompts": f"""with {_B}, n as (select *, row_number() over (partition by conv_id order by idx) as k from bl)
+select conv_id as chunk, string_agg('[' || k || '] (' || case kind when 'table' then 'table cell, ' when 'caption' then 'caption, ' else '' end || 'max ~' || budget || ' chars) ' || src, chr(10) || chr(10) order by idx) as text, count(*) as n_blocks from n group by 1""",
+    "budget_compliance": f"""with {_B}, o as (select *, n_vi > budget as o, (n_vi - budget)::double / budget as ex from bl where n_vi > 0),
+s as (select 'kind' as dimension, kind as value, o, n_vi, budget from o
+  union all select 'budget', case when budget <= 20 then '1-20' when budget <= 50 then '21-50' when budget <= 150 then '51-150' when budget <= 400 then '151-400' else '>400' end, o, n_vi, budget from o
+  union all select 'excess', case when ex < 0.25 then '0-25%' when ex < 0.5 then '25-50%' when ex < 1 then '50-100%' else '>100%' end, o, n_vi, budget from o where o)
+select dimension, value, count(*) filter (not o) as under, count(*) filter (o) as over, sum(n_vi)::bigint as chars, sum(budget)::bigint as budget from s group by 1, 2""",
+    "budget_worst": f"with {_B} select conv_id, idx, budget, n_vi, round((n_vi - budget)::double / budget, 6) as excess from bl where n_vi > budget order by excess desc, conv_id, idx limit 10",
     "name_forms": r"""select p_partkey, left(regexp_replace(regexp_replace(p_name, '\.[^.]*$', ''), '[^\w-]+', '_', 'g'), 50) as slug,
   left(regexp_replace(regexp_replace('._' || p_name || ' x.', '[^\w.-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 64) as "user", nullif(left(trim(p_type), 64), '') as field, sha256(p_name) as digest from part""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from vellum.functions import text as T
+from vellum.operators import glossary
 from vellum.sources import views as V
 
 CHAR_ORDERS, WORD_ORDERS = 6, 2
@@ -91,10 +92,19 @@ def agreement_histogram(rows: DataFrame) -> DataFrame:
     return every.join(g, "bucket", "left").select("bucket", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "consensus", "mild", "synthesized")))
 
 
-def critic_errors(rows: DataFrame) -> DataFrame:
-    """(conv_id, idx, pos, category, severity): what rules find wrong with each pair, in a fixed order."""
+def critic_errors(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(conv_id, idx, pos, category, severity): what rules find wrong with each pair, in a fixed order.
+
+    With ``terms`` (en, vi), a pair whose source has a term but whose translation lacks
+    its translation has one minor error of terminology.
+    """
     s, t = F.col("s"), F.col("t")
     each = rows.select("conv_id", "idx", T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t")).where("s <> ''")
+    if terms is None:
+        each = each.withColumn("astray", F.lit(False))
+    else:
+        off = glossary.matches(rows.select("conv_id", "idx", "src", "mt"), terms.select("en", "vi")).where(~F.contains(F.lower("mt"), F.lower("vi")))
+        each = each.join(off.select("conv_id", "idx").distinct().withColumn("astray", F.lit(True)), ["conv_id", "idx"], "left")
     error = lambda when, cat, sev: F.when(when, F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity")))
     blank = t == ""
     ratio = F.length(t) / F.length(s)
@@ -108,6 +118,7 @@ def critic_errors(rows: DataFrame) -> DataFrame:
         error(~blank & (ratio < 0.3) & (F.length(s) > 50), "completeness", "major"),
         error(~blank & (ratio > 3.5) & (F.length(s) > 30), "fluency", "major"),
         error(~blank & lost, "accuracy", "minor"),
+        error(~blank & F.coalesce("astray", F.lit(False)), "terminology", "minor"),
     )
     return each.select("conv_id", "idx", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("pos", "e")).select("conv_id", "idx", "pos", "e.*")
 
@@ -124,26 +135,26 @@ def error_weight(category: Column, severity: Column) -> Column:
     return out
 
 
-def mqm(rows: DataFrame) -> DataFrame:
+def mqm(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Error-weighted score of each pair, its worst severity and number of errors."""
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "major", 2).otherwise(1)
-    g = critic_errors(rows).groupBy("conv_id", "idx").agg(F.sum(error_weight(F.col("category"), F.col("severity"))).alias("w"), F.count("*").alias("n"), F.max_by("severity", F.struct(rank, -F.col("pos"))).alias("worst"))
+    g = critic_errors(rows, terms).groupBy("conv_id", "idx").agg(F.sum(error_weight(F.col("category"), F.col("severity"))).alias("w"), F.count("*").alias("n"), F.max_by("severity", F.struct(rank, -F.col("pos"))).alias("worst"))
     out = rows.select("conv_id", "idx").join(g, ["conv_id", "idx"], "left")
     return out.select("conv_id", "idx", F.round(F.greatest(F.lit(0.0), 100 - F.coalesce("w", F.lit(0.0))), 6).alias("mqm"), F.coalesce("worst", F.lit("none")).alias("worst"), F.coalesce("n", F.lit(0)).cast("long").alias("n_errors"))
 
 
-def judge_summary(rows: DataFrame) -> DataFrame:
+def judge_summary(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Per conversation: judged pairs, mean score rounded half to even, and those under the pass mark of 70."""
-    return mqm(rows).groupBy("conv_id").agg(F.count("*").alias("judged"), F.bround(F.avg("mqm")).cast("long").alias("avg_score"), F.sum((F.col("mqm") < 70).cast("int")).alias("flagged"), F.sum("n_errors").alias("n_errors"))
+    return mqm(rows, terms).groupBy("conv_id").agg(F.count("*").alias("judged"), F.bround(F.avg("mqm")).cast("long").alias("avg_score"), F.sum((F.col("mqm") < 70).cast("int")).alias("flagged"), F.sum("n_errors").alias("n_errors"))
 
 
 QUERIES = {
     "chrf_segments": lambda spark, d: chrf(V.pairs(spark, d)),
     "chrf_corpus": lambda spark, d: corpus_chrf(V.pairs(spark, d)),
     "agreement_histogram": lambda spark, d: agreement_histogram(V.pairs(spark, d)),
-    "critic_errors": lambda spark, d: critic_errors(V.pairs(spark, d)),
-    "mqm_scores": lambda spark, d: mqm(V.pairs(spark, d)),
-    "judge_summary": lambda spark, d: judge_summary(V.pairs(spark, d)),
+    "critic_errors": lambda spark, d: critic_errors(V.pairs(spark, d), V.terms(spark, d)),
+    "mqm_scores": lambda spark, d: mqm(V.pairs(spark, d), V.terms(spark, d)),
+    "judge_summary": lambda spark, d: judge_summary(V.pairs(spark, d), V.terms(spark, d)),
 }
 
 _GRAMS = " union all ".join(
@@ -166,12 +177,14 @@ _ERRORS = f"""
         and {T.sql_ratio(T.sql_english("s", 3), T.sql_count("s", T.TOKEN))} > 0.4 and {T.sql_count("s", T.TOKEN)} >= 8 then 'accuracy:critical' end,
       case when t <> '' and length(t)::double / length(s) < 0.3 and length(s) > 50 then 'completeness:major' end,
       case when t <> '' and length(t)::double / length(s) > 3.5 and length(s) > 30 then 'fluency:major' end,
-      case when t <> '' and len(list_filter(regexp_extract_all(s, '[0-9]+(?:[.,][0-9]+)*'), lambda n: length(n) > 1 and not list_contains(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*'), n))) > 0 then 'accuracy:minor' end
+      case when t <> '' and len(list_filter(regexp_extract_all(s, '[0-9]+(?:[.,][0-9]+)*'), lambda n: length(n) > 1 and not list_contains(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*'), n))) > 0 then 'accuracy:minor' end,
+      case when t <> '' and astray then 'terminology:minor' end
     ], lambda x: x is not null) as e
-    from (select conv_id, idx, {T.sql_strip("src")} as s, {T.sql_strip("mt")} as t from {V.SQL_PAIRS}) where s <> '') where len(e) > 0"""
+    from (select conv_id, idx, {T.sql_strip("src")} as s, {T.sql_strip("mt")} as t,
+      exists (select 1 from {V.SQL_TERMS} g where contains(lower(src), g.en) and not contains(lower(mt), lower(g.vi))) as astray from {V.SQL_PAIRS}) where s <> '') where len(e) > 0"""
 _MQM = f"""
 er as (select conv_id, idx, pos, split_part(e, ':', 1) as category, split_part(e, ':', 2) as severity from ({_ERRORS})),
-wt as (select *, case category when 'fluency' then case severity when 'minor' then 0.1 when 'major' then 1 else 5 end else case severity when 'minor' then 1 when 'major' then 5 else 25 end end as w,
+wt as (select *, case when category in ('fluency', 'terminology') then case severity when 'minor' then 0.1 when 'major' then 1 else 5 end else case severity when 'minor' then 1 when 'major' then 5 else 25 end end as w,
   case severity when 'critical' then 3 when 'major' then 2 else 1 end as rk from er),
 gg as (select conv_id, idx, sum(w) as w, count(*) as n, max_by(severity, rk * 100 - pos) as worst from wt group by 1, 2),
 mq as (select conv_id, idx, round(greatest(0.0, 100 - coalesce(w, 0))::double, 6) as mqm, coalesce(worst, 'none') as worst, coalesce(n, 0) as n_errors from {V.SQL_PAIRS} left join gg using (conv_id, idx))"""

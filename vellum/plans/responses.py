@@ -64,9 +64,20 @@ def term_lines(text: Column) -> Column:
     return F.filter(row, lambda r: (r["en"] != "") & (r["vi"] != ""))
 
 
-def strict_term_lines(text: Column) -> Column:
-    """Of three characters or more, single words of five or more, no comments."""
-    return F.filter(term_lines(text), lambda r: (F.length(r["en"]) >= 3) & (r["en"].contains(" ") | (F.length(r["en"]) >= 5)) & ~r["en"].startswith("#"))
+def strict_term_lines(text: Column, known: Column | None = None) -> Column:
+    """``en → vi`` or ``en -> vi`` lines of the first fence (of none, plain text or a glossary), or else of all text, as (en, vi).
+
+    Terms are lower-cased and lose quotes; of three characters or more, single words of five
+    or more; no comments, and none of ``known``, an array of terms that have a translation
+    already or keep their form.
+    """
+    inner = F.regexp_extract(text, r"(?s)```(?:glossary|text)?\s*\n(.*?)```", 1)
+    lines = F.transform(F.split(strip(F.when(text.rlike(r"(?s)```(?:glossary|text)?\s*\n.*?```"), inner).otherwise(text)), "\n"), strip)
+    pair = r"^(.+?)\s*(?:→|->)\s*(.+)$"
+    bare = lambda x: F.regexp_replace(strip(x), r"^[\"']+|[\"']+$", "")
+    rows = F.transform(F.filter(lines, lambda x: ~x.startswith("#") & x.rlike(pair)), lambda x: F.struct(F.lower(bare(F.regexp_extract(x, pair, 1))).alias("en"), bare(F.regexp_extract(x, pair, 2)).alias("vi")))
+    good = lambda r: (F.length(r["en"]) >= 3) & (r["en"].contains(" ") | (F.length(r["en"]) >= 5)) & (r["vi"] != "")
+    return F.filter(rows, lambda r: good(r) if known is None else good(r) & ~F.array_contains(known, r["en"]))
 
 
 def numbered(text: Column) -> Column:

@@ -35,18 +35,18 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_BLOCKS = "(select doc_id, generate_subscripts(l, 1) - 1 as block_idx, unnest(l) as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))"
 
 
-#: Glossary terms are the most frequent benchmark words of this length or more, so many at most.
-TERM_LENGTH, TERMS = 5, 60
+#: Glossary terms are all benchmark words of this length or more.
+TERM_LENGTH = 5
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(en, vi, ordinal, locked): a glossary out of frequent benchmark words; vi is the word reversed."""
+    """(en, vi, ordinal, locked): a glossary out of benchmark words, frequent ones first; vi is the word reversed."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("en"))
-    n = words.where(F.length("en") >= TERM_LENGTH).groupBy("en").count().orderBy(F.desc("count"), "en").limit(TERMS)
+    n = words.where(F.length("en") >= TERM_LENGTH).groupBy("en").count()
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "en")).cast("long")
     return n.select("en", F.reverse("en").alias("vi"), rank.alias("ordinal"), (rank % 10 == 0).alias("locked"))
 
 
 SQL_TERMS = f"""(
   select en, reverse(en) as vi, row_number() over (order by n desc, en) as ordinal, row_number() over (order by n desc, en) % 10 = 0 as locked
-  from (select en, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as en from benchmark) where length(en) >= {TERM_LENGTH} group by 1 order by n desc, en limit {TERMS}))"""
+  from (select en, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as en from benchmark) where length(en) >= {TERM_LENGTH} group by 1))"""

@@ -35,12 +35,11 @@ def accounts(events: DataFrame) -> DataFrame:
         ring = list(ring)
         for f in frames:
             for v in f.sort_values(["ts", "event_id"])["value"]:
-                if v >= 30:
-                    ok, avg = ok + 1, v if avg == 0 else DECAY * avg + (1 - DECAY) * v
-                elif v < 10:
+                if v < 10:
                     cool += 1
-                else:
-                    fail += 1
+                else:  # an outcome, good or bad, moves the latency
+                    ok, fail = ok + (v >= 30), fail + (v < 30)
+                    avg = v if avg == 0 else DECAY * avg + (1 - DECAY) * v
                 ring = [*ring, int(v >= 30)][-RING:]
         state.update((ok, fail, cool, avg, ring))
         yield pd.DataFrame([(key[0], ok, fail, cool, avg, sum(ring) / max(1, len(ring)))], columns=["user_id", "success", "fail", "cooldowns", "avg_latency", "recent"])
