@@ -230,8 +230,8 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("crowded", [2_000, 2])
-def test_substrings_brute_force(spark, prose, crowded, monkeypatch):
+@pytest.mark.parametrize(("crowded", "filtered"), [(2_000, True), (2, True), (2_000, False), (2, False)])
+def test_substrings_brute_force(spark, prose, crowded, filtered, monkeypatch):
     monkeypatch.setattr(substrings, "CROWDED", crowded)
     rng = np.random.default_rng(8)
     near = []
@@ -243,7 +243,7 @@ def test_substrings_brute_force(spark, prose, crowded, monkeypatch):
         near.append(" ".join(words))
     texts = {i + 1: t for i, t in enumerate([*prose, *near, "r " * 300, "q " + "r " * 200, " ".join(base + base)])}
     docs = frame(spark, list(texts.values()))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.without_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.without_repeats(docs, filtered).collect()}
     assert got == brute_removed(texts)
 
 

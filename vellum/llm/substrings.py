@@ -6,13 +6,14 @@ starts in a document with a smaller doc_id.
 1. Anchors: of the 43 eight-word runs in a window the one with the least hash is
    its anchor, so equal windows have equal anchors.  Consecutive windows with one
    anchor form a segment.  One row for each segment, about one for 20 words.
-2. Segments are summed up by anchor and content before anything meets: of equal
-   segments only the first document's is looked at; anchors of one document go.
-3. Where an anchor has segments of different content, these are matched: anchors
-   are dealt over reference shards, and in each the segments stream by, in the order
+2. Segments are summed up by anchor and content before anything meets; anchors of one
+   document go.  Of equal segments one is read, of the first document that has it: it
+   stands for that document and, if there are more, for all later ones.
+3. Anchors are dealt over reference shards.  In each the segments stream by, in the order
    of doc_id, through a suffix automaton of those with smaller ids; its matching
-   statistics say which windows have been seen.  The reference is the corpus itself
-   and grows, so shards are dealt by anchor rather than broadcast whole to all.
+   statistics say which windows have been seen, for the first document before its own
+   segment enters the automaton and for the later ones after.  The reference is the
+   corpus itself and grows, so shards are dealt by anchor rather than broadcast whole.
 4. Covered spans are collected by document and cut from the texts.
 """
 
@@ -33,8 +34,8 @@ from vellum.llm.words import Words, iter_slices, mix
 SPAN, RUN = 50, 8
 #: Contents of one anchor beyond which its segments are dealt by a second anchor as well.
 CROWDED = 2_000
-#: Document ids up to which a list of them is broadcast; beyond, the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Document ids with text hashes, 16 bytes each and some 20 MB as a table, up to which a list of them is broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 200_000
 #: Words that a shard reads before it matches those of complete anchors.
 SHARD_WORDS = 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -178,12 +179,13 @@ class SuffixAutomaton:
 
 
 def _excerpts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The words (as hashes) of the asked segments: (key, anchor, content, doc_id, base, words).
+    """The words (as hashes) of the asked segments: (key, anchor, content, doc_id, base, again, words).
 
     A crowded anchor's segment is cut where the second least run of its windows
     changes, and dealt by both; equal windows still meet.
     """
-    lists = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "content", "s0", "s1", "crowded")).alias("asked"))
+    lists = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "content", "s0", "s1", "crowded", "again")).alias("asked"))
+    lists = written(lists, "lists")
     ids = lists.select("doc_id", "text_hash")
     texts = docs.join(_if_few(ids), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
 
@@ -198,76 +200,98 @@ def _excerpts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     for a in wanted[r].as_py():
                         own = h[w.offsets[i] + a["s0"] : w.offsets[i] + a["s1"] + SPAN]
                         if not a["crowded"]:
-                            rows.append((a["anchor"], a["anchor"], a["content"], ids[r], 0, own.tobytes()))
+                            rows.append((a["anchor"], a["anchor"], a["content"], ids[r], 0, a["again"], own.tobytes()))
                             continue
                         at, _ = anchors(own)
                         second, key = anchors(own, banned=np.unique(at))
                         cuts = [0, *(np.flatnonzero(second[1:] != second[:-1]) + 1).tolist(), len(second)]
                         for x, y in zip(cuts, cuts[1:], strict=False):
                             both = int(mix(key[x : x + 1] ^ np.uint64(a["anchor"] & (2**64 - 1))).view(np.int64)[0])
-                            rows.append((both, a["anchor"], a["content"], ids[r], x, own[x : y + SPAN - 1].tobytes()))
+                            rows.append((both, a["anchor"], a["content"], ids[r], x, a["again"], own[x : y + SPAN - 1].tobytes()))
                 if rows:
-                    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "anchor", "content", "doc_id", "base", "words"])
+                    kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "anchor", "content", "doc_id", "base", "again", "words"])
 
     joined = texts.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text", "asked")
-    return joined.mapInArrow(run, "key long, anchor long, content long, doc_id long, base int, words binary")
-
-
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of each segment that a smaller document has; rows come by key and doc_id."""
-    names = ["anchor", "content", "a", "z"]
-    held: list[tuple] = []
-    n_words = 0
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        seqs = [np.frombuffer(r[5], np.uint64) for r in rows]
-        flat = np.concatenate(seqs)
-        row_of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
-        start = np.flatnonzero(row_of[: len(flat) - SPAN + 1] == row_of[SPAN - 1 :])
-        keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        whole = mix(run_hashes(flat, start, start + SPAN) ^ mix(keys[row_of[start]]))
-        order = np.argsort(whole, kind="stable")
-        twin = np.zeros(len(order), bool)
-        twin[1:] = whole[order[1:]] == whole[order[:-1]]
-        twin[:-1] |= twin[1:]
-        maybe = np.sort(start[order[twin]])  # windows that no other row has needn't be matched
-        out: list[tuple[int, int, int, int]] = []
-        cut = np.flatnonzero(np.r_[True, (maybe[1:] != maybe[:-1] + 1) | (row_of[maybe[1:]] != row_of[maybe[:-1]])]) if len(maybe) else []
-        first = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
-        runs = [(int(row_of[maybe[i]]), int(maybe[i]), int(maybe[j - 1]) + SPAN) for i, j in zip(cut, [*cut[1:], len(maybe)], strict=True)]
-        known, key, doc, wait = None, None, None, []
-        for r, a, z in runs:
-            if rows[r][0] != key:
-                known, key, doc, wait = SuffixAutomaton(), rows[r][0], None, []
-            if rows[r][3] != doc:
-                for seq in wait:
+    return joined.mapInArrow(run, "key long, anchor long, content long, doc_id long, base int, again boolean, words binary")
+
+
+def _matcher(filtered: bool):
+    """The matching of a shard. ``filtered`` keeps windows that no other row of the shard has, by hash, out of the automata; they can't be found, so results are the same."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of each segment that a smaller document has, for its first document and for later ones; rows come by key and doc_id."""
+        names = ["anchor", "content", "later", "a", "z"]
+        held: list[tuple] = []
+        n_words = 0
+
+        def solve(rows: list[tuple]) -> pa.RecordBatch:
+            seqs = [np.frombuffer(r[6], np.uint64) for r in rows]
+            flat = np.concatenate(seqs)
+            row_of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+            start = np.flatnonzero(row_of[: len(flat) - SPAN + 1] == row_of[SPAN - 1 :])
+            if filtered:
+                keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+                whole = mix(run_hashes(flat, start, start + SPAN) ^ mix(keys[row_of[start]]))
+                order = np.argsort(whole, kind="stable")
+                twin = np.zeros(len(order), bool)
+                twin[1:] = whole[order[1:]] == whole[order[:-1]]
+                twin[:-1] |= twin[1:]
+                twin |= np.array([r[5] for r in rows], bool)[row_of[start[order]]]
+                start = np.sort(start[order[twin]])
+            out: list[tuple[int, int, bool, int, int]] = []
+            cut = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (row_of[start[1:]] != row_of[start[:-1]])]) if len(start) else []
+            first = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
+            runs = [(int(row_of[start[i]]), int(start[i]), int(start[j - 1]) + SPAN) for i, j in zip(cut, [*cut[1:], len(start)], strict=True)]
+            known, key, doc, entering, later = SuffixAutomaton(), None, None, [], []
+
+            def told(r: int, at: int, seq: list[int], after: bool) -> int:
+                seen = [i for i, n in enumerate(known.matching(seq)) if n >= SPAN]
+                base = at - int(first[r]) + rows[r][4] - SPAN + 1
+                for i in seen:
+                    lo, hi = base + i, base + i + SPAN
+                    if out and out[-1][:3] == (rows[r][1], rows[r][2], after) and out[-1][3] <= lo <= out[-1][4]:
+                        out[-1] = (*out[-1][:4], hi)
+                    else:
+                        out.append((rows[r][1], rows[r][2], after, lo, hi))
+                return len(seen)
+
+            def enter() -> None:
+                """The document's segments enter the automaton; then its copies in later documents are looked up."""
+                for seq in entering:
                     known.add(seq)
-                doc, wait = rows[r][3], []
-            seq = flat[a:z].tolist()
-            seen = [i for i, n in enumerate(known.matching(seq)) if n >= SPAN]
-            if len(seen) < len(seq) - SPAN + 1:
-                wait.append(seq)
-            base = a - int(first[r]) + rows[r][4]
-            for i in seen:
-                lo, hi = base + i - SPAN + 1, base + i + 1
-                if out and out[-1][:2] == (rows[r][1], rows[r][2]) and out[-1][2] <= lo <= out[-1][3]:
-                    out[-1] = (*out[-1][:3], hi)
-                else:
-                    out.append((rows[r][1], rows[r][2], lo, hi))
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if n_words >= SHARD_WORDS and held[-1][0] != row[0]:
-                yield solve(held)
-                held, n_words = [], 0
-            held.append(row)
-            n_words += len(row[5]) // 8
-    if held:
-        yield solve(held)
+                for x in later:
+                    told(*x, True)
+                entering.clear()
+                later.clear()
+
+            for r, a, z in runs:
+                if rows[r][0] != key or rows[r][3] != doc:
+                    enter()
+                    if rows[r][0] != key:
+                        known = SuffixAutomaton()
+                    key, doc = rows[r][0], rows[r][3]
+                seq = flat[a:z].tolist()
+                if told(r, a, seq, False) < len(seq) - SPAN + 1:
+                    entering.append(seq)
+                if rows[r][5]:
+                    later.append((r, a, seq))
+            enter()
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n_words >= SHARD_WORDS and held[-1][0] != row[0]:
+                    yield solve(held)
+                    held, n_words = [], 0
+                held.append(row)
+                n_words += len(row[6]) // 8
+        if held:
+            yield solve(held)
+
+    return match
 
 
 def _if_few(ids: DataFrame) -> DataFrame:
@@ -275,7 +299,7 @@ def _if_few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, filtered: bool = True) -> DataFrame:
     """(doc_id, text_hash, spans): the word spans [a, z) that go, for documents that lose words."""
     segs = written(segments(docs.select("doc_id", "text_hash", "text")), "segments")
     first = F.struct("doc_id", "text_hash", "s0", "s1")
@@ -283,17 +307,17 @@ def covered(docs: DataFrame) -> DataFrame:
     each = written(each, "contents")
     shared = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
     each = written(each.join(shared.select("anchor", "n"), "anchor").select("anchor", "content", "first.*", "last", "n"), "shared")
-    asked = each.where("n > 1").withColumn("crowded", F.col("n") > CROWDED)
+    asked = each.withColumns({"crowded": F.col("n") > CROWDED, "again": F.col("last") > F.col("doc_id")})
     excerpts = _excerpts(docs, asked).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    matched = excerpts.mapInArrow(_match, "anchor long, content long, a int, z int")
-    matched = matched.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    told = each.select("anchor", "content", F.col("doc_id").alias("owner"), "last").join(matched, ["anchor", "content"], "left").where("spans is not null or last > owner")
+    matched = excerpts.mapInArrow(_matcher(filtered), "anchor long, content long, later boolean, a int, z int")
+    spans = lambda later: F.collect_list(F.when(F.col("later") == later, F.struct("a", "z")))
+    matched = matched.groupBy("anchor", "content").agg(spans(False).alias("own"), spans(True).alias("later"))
+    told = each.select("anchor", "content", F.col("doc_id").alias("owner")).join(matched, ["anchor", "content"])
     told = written(told, "told")  # so that both sides of the join are dealt anew, and a passage that very many documents share can be split
-    both = segs.join(told, ["anchor", "content"]).where("doc_id > owner or spans is not null")
-    whole = F.array(F.struct(F.col("s0").alias("a"), (F.col("s1") + SPAN).alias("z")))
-    part = F.transform("spans", lambda s: F.struct((s["a"] + F.col("s0")).alias("a"), (s["z"] + F.col("s0")).alias("z")))
-    spans = both.select("doc_id", "text_hash", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(part).alias("spans")).where("size(spans) > 0")
-    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    both = segs.join(told, ["anchor", "content"])
+    found = F.when(F.col("doc_id") > F.col("owner"), F.col("later")).otherwise(F.col("own"))
+    placed = F.transform(found, lambda s: F.struct((s["a"] + F.col("s0")).alias("a"), (s["z"] + F.col("s0")).alias("z")))
+    return both.select("doc_id", "text_hash", placed.alias("spans")).where("size(spans) > 0").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _removed(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -305,7 +329,7 @@ def _removed(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
     return [w for w, n in zip(words, np.cumsum(gone).tolist(), strict=False) if not n]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, filtered: bool = True) -> DataFrame:
     """``docs`` with the text that is left and n_words, n_removed, kept_sha256.
 
     A text that loses words becomes its other words joined by one space; others
@@ -315,7 +339,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.drop("n_words", "n_removed", "kept_sha256", "spans").withColumn("text_hash", F.xxhash64("text"))
     thin = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text_hash", "text")
-    spans = written(covered(thin), "spans")
+    spans = written(covered(thin, filtered), "spans")
     ids = _if_few(spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
     on = (keyed["doc_id"].cast("long") == ids["__id"]) & (keyed["text_hash"] == ids["__hash"])
     cut = keyed.join(ids, on, "left_semi").join(spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).drop("__id", "__hash")
