@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -56,6 +57,8 @@ STRENGTH = 1.0
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x2545F4914F6CDD1D)
 _ASK = "shard int, block long, m int, keys binary, values binary, apart binary"
+#: What shards answer: a word's count and whether several blocks have it; a pair's count; tables by context and by word and of the unigram restaurant; each with who accounts for it.
+WORD_KINDS, PAIR_KINDS, TABLE_KINDS = ("<i8", "u1", "u1"), ("<i8", "u1"), ("<i8", "<i8", "<i8", "u1")
 _TOLD = "block long, shard int, m int, answer binary, n double, types double, ones double, twos double"
 
 
@@ -247,7 +250,7 @@ def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray)
     Of many customers only as many tables are looked at as have any weight in double precision.
     """
     t, ratio = np.ones(len(count)), new / discount
-    wide = np.minimum(count, np.ceil(16 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int64)
+    wide = np.minimum(count, np.ceil(16 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int16)
     order = np.argsort(wide, kind="stable")
     ranked = wide[order]
     log_table, steps = log_stirling(discount), stirling_steps(discount)
@@ -338,6 +341,68 @@ def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones + twos else 0.5
 
 
+@dataclass
+class Model:
+    """What all blocks know: counts of tokens, types, documents and blocks, discounts, a first share of tables, and customers and tables of the unigram restaurant by round."""
+
+    n_train: float
+    n_types: float
+    n_docs: float
+    n_blocks: int
+    d1: float
+    d2: float
+    share: float
+    totals: list[tuple[float, float]]
+
+    def at_top(self, by_w: np.ndarray, names: np.ndarray, turn: int) -> np.ndarray:
+        """Tables of the unigram restaurant, given how many it had in the round before."""
+        new = (STRENGTH + self.d1 * (self.totals[turn - 1][1] if turn else self.n_types)) / (self.n_types + 1)
+        return draw_tables(by_w.astype(np.int64), np.full(len(by_w), new), self.d1, mix(names + np.uint64(turn)))
+
+
+class Seated:
+    """A block with its counts; by round the tables by context and by word, those of the unigram restaurant and the pairs' draws."""
+
+    def __init__(self, row: dict, model: Model):
+        self.row, self.b, self.model = row, Block(row), model
+        b = self.b
+        self.c, shared, _ = _answers(row["words"], WORD_KINDS)
+        at = b.open_pairs(self.c, shared, model.n_docs, model.n_blocks)
+        self.count, mine = b.local.astype(np.int64), b.local > 0
+        told, owner = _answers(row["pairs"], PAIR_KINDS)
+        self.count[at], mine[at] = told, owner.astype(bool)
+        self.mine = mine & (self.count > 0)
+        self.c_u = np.append(self.c, model.n_docs)[b.u]
+        self.v = len(b.vocabulary)
+        self.sent = _sent(b, shared)
+        self.own = np.setdiff1d(np.arange(self.v), self.sent, assume_unique=True)  # all tables of these words are this block's
+
+    def tables(self, turn: int) -> list[np.ndarray]:
+        """Tables by context and by word, and the unigram restaurant's, after a round that was exchanged."""
+        out = [np.zeros(self.v + 1) for _ in range(3)]
+        parts = self.row[f"tables{turn}"]
+        for to, got, kept in zip(out, _answers(parts, TABLE_KINDS)[:3], _kept(parts, TABLE_KINDS[:3]), strict=True):
+            to[self.sent], to[self.own] = got, kept
+        return out
+
+    def prior(self, turn: int) -> np.ndarray:
+        """The parent's share of each pair, times the strength that its restaurant gives it, after a round."""
+        by_u, by_w, top = self.tables(turn)
+        m = self.model
+        customers1, tables1 = m.totals[turn]
+        unigram = (by_w[: self.v] - m.d1 * top[: self.v] + (STRENGTH + m.d1 * tables1) / (m.n_types + 1)) / (STRENGTH + customers1)
+        return (STRENGTH + m.d2 * by_u[self.b.u]) * unigram[self.b.w]
+
+    def draw(self, turn: int) -> np.ndarray:
+        """Tables of each pair, given all others after the round before."""
+        b, m = self.b, self.model
+        if turn:
+            new = self.prior(turn - 1)
+        else:
+            new = (STRENGTH + m.d2 * m.share * self.c_u) * (self.c[b.w] + 0.5) / (m.n_train + 0.5 * (m.n_types + 1))
+        return draw_tables(self.count, new, m.d2, mix(b.pair_hash + np.uint64(turn)))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -376,14 +441,13 @@ def scores(docs: DataFrame) -> DataFrame:
     words, (n_train, n_types, ones1, twos1) = _exchange(T.mapInArrow(ask_words, _ASK), ("<i4",), add_words, "words")
     with_words = T.join(words, "block", "left")
 
-    word_kinds, pair_kinds, table_kinds = ("<i8", "u1", "u1"), ("<i8", "u1"), ("<i8", "<i8", "<i8", "u1")
     # the end's count is the number of training documents, and so of starts
     ends = T.select("held").mapInArrow(_count_held, "n long").agg(F.sum("n")).first()[0] or 0
 
     def ask_pairs(batches):
         for row in _rows(batches):
             b = Block(row)
-            c, shared, _ = _answers(row["words"], word_kinds)
+            c, shared, _ = _answers(row["words"], WORD_KINDS)
             at = b.open_pairs(c, shared, ends, n_blocks)
             kept = b.local.copy()
             kept[at] = 0
@@ -393,80 +457,35 @@ def scores(docs: DataFrame) -> DataFrame:
     pairs, (_, pair_types, ones2, twos2) = _exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts, "pairs")
     with_pairs = with_words.join(pairs, "block", "left")
 
-    d1, d2 = _discount(ones1, twos1), _discount(ones2, twos2)
     share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
-
-    def at_top(by_w: np.ndarray, names: np.ndarray, turn: int, totals: list[tuple[float, float]]) -> np.ndarray:
-        """Tables of the unigram restaurant, given how many it had in the round before."""
-        new = (STRENGTH + d1 * (totals[turn - 1][1] if turn else n_types)) / (n_types + 1)
-        return draw_tables(by_w.astype(np.int64), np.full(len(by_w), new), d1, mix(names + np.uint64(turn)))
-
-    class Seated:
-        """A block with its counts; by round the tables by context and by word, those of the unigram restaurant and the pairs' draws."""
-
-        def __init__(self, row: dict):
-            self.row, self.b = row, Block(row)
-            b = self.b
-            self.c, shared, _ = _answers(row["words"], word_kinds)
-            at = b.open_pairs(self.c, shared, ends, n_blocks)
-            self.count, mine = b.local.astype(np.int64), b.local > 0
-            told, owner = _answers(row["pairs"], pair_kinds)
-            self.count[at], mine[at] = told, owner.astype(bool)
-            self.mine = mine & (self.count > 0)
-            self.c_u = np.append(self.c, ends)[b.u]
-            self.v = len(b.vocabulary)
-            self.sent = _sent(b, shared)
-            self.own = np.setdiff1d(np.arange(self.v), self.sent, assume_unique=True)  # all tables of these words are this block's
-
-        def tables(self, turn: int) -> list[np.ndarray]:
-            """Tables by context and by word, and the unigram restaurant's, after a round that was exchanged."""
-            out = [np.zeros(self.v + 1) for _ in range(3)]
-            parts = self.row[f"tables{turn}"]
-            for to, got, kept in zip(out, _answers(parts, table_kinds)[:3], _kept(parts, table_kinds[:3]), strict=True):
-                to[self.sent], to[self.own] = got, kept
-            return out
-
-        def prior(self, turn: int) -> np.ndarray:
-            """The parent's share of each pair, times the strength that its restaurant gives it, after a round."""
-            by_u, by_w, top = self.tables(turn)
-            customers1, tables1 = totals[turn]
-            unigram = (by_w[: self.v] - d1 * top[: self.v] + (STRENGTH + d1 * tables1) / (n_types + 1)) / (STRENGTH + customers1)
-            return (STRENGTH + d2 * by_u[self.b.u]) * unigram[self.b.w]
-
-        def draw(self, turn: int) -> np.ndarray:
-            """Tables of each pair, given all others after the round before."""
-            b = self.b
-            guess = lambda: (STRENGTH + d2 * share * self.c_u) * (self.c[b.w] + 0.5) / (n_train + 0.5 * (n_types + 1))
-            return draw_tables(self.count, self.prior(turn - 1) if turn else guess(), d2, mix(b.pair_hash + np.uint64(turn)))
-
-    totals: list[tuple[float, float]] = []
+    model = Model(n_train, n_types, ends, n_blocks, _discount(ones1, twos1), _discount(ones2, twos2), share, [])
     rounds: list[DataFrame] = []
     for turn in range(ROUNDS):
 
         def ask_tables(batches, turn=turn):
             for row in _rows(batches):
-                s = Seated(row)
+                s = Seated(row, model)
                 b, t = s.b, s.draw(turn)
                 by_u, by_w = (np.bincount(x[s.mine], t[s.mine], s.v + 1) for x in (b.u, b.w))
-                top = at_top(by_w[s.own], b.vocabulary[s.own], turn, totals)
+                top = model.at_top(by_w[s.own], b.vocabulary[s.own], turn)
                 own = [x.astype(np.int64) for x in (by_u[s.own], by_w[s.own], top)]
                 yield _ask(b.id, _names(b)[s.sent], [x[s.sent].astype(np.int64) for x in (by_u, by_w)], n_shards, (own[1].sum(), own[2].sum(), 0, 0), own)
 
-        def add_tables(keys, sums, n, turn=turn, totals=tuple(totals)):
+        def add_tables(keys, sums, n, turn=turn):
             by_u, by_w = sums
-            top = at_top(by_w, keys, turn, totals)
+            top = model.at_top(by_w, keys, turn)
             return [x.astype(np.int64) for x in (by_u, by_w, top)], (by_w.sum(), top.sum(), 0, 0)
 
         before = with_pairs.join(rounds[-1], "block", "left") if rounds else with_pairs
         tables, (customers1, tables1, _, _) = _exchange(before.mapInArrow(ask_tables, _ASK), ("<i8", "<i8"), add_tables, f"tables{turn}")
-        totals.append((customers1, tables1))
+        model.totals.append((customers1, tables1))
         rounds.append(tables)
 
     def score(batches):
         for row in _rows(batches):
-            s = Seated(row)
+            s = Seated(row, model)
             b, c = s.b, s.c
-            p = np.mean([(s.count - d2 * s.draw(turn) + s.prior(turn)) / (STRENGTH + s.c_u) for turn in range(1, ROUNDS)], axis=0)
+            p = np.mean([(s.count - model.d2 * s.draw(turn) + s.prior(turn)) / (STRENGTH + s.c_u) for turn in range(1, ROUNDS)], axis=0)
             base = np.log10((c + 1) / (n_train + n_types + 1))
             n = len(b.lengths)
             add = lambda x: np.bincount(b.doc, x, n)
