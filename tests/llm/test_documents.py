@@ -391,7 +391,6 @@ def brute_scores(tokens, held, rounds):
     n, v = sum(c.values()), len(c)
     discount = lambda counts: lm_score._discount(*(sum(x == k for x in counts) for k in (1, 2)))
     d1, d2, theta = discount(c.values()), discount(pairs.values()), lm_score.STRENGTH
-    share = min(1.0, max(0.05, len(pairs) / n))
     of = lambda u: starts if u == "<" else c[u]
     u64 = lambda x: np.array([x % 2**64], np.uint64)
 
@@ -401,15 +400,14 @@ def brute_scores(tokens, held, rounds):
     def pair_hash(u, w):
         return int(lm_score.mix(u64(hashes[u] * 0x9E3779B97F4A7C15 + int(lm_score.mix(u64(hashes[w] + 1))[0])))[0])
 
-    new = {(u, w): (theta + d2 * share * of(u)) * (c[w] + 0.5) / (n + 0.5 * (v + 1)) for u, w in pairs}
-    laws, tables1 = [], v
+    new, laws, tables1 = {}, [], 0
     for turn in range(rounds):
-        t = {k: seat(x, new[k], d2, pair_hash(*k) + turn) for k, x in pairs.items()}
+        t = {k: seat(x, new[k], d2, pair_hash(*k) + turn) if turn else 1.0 for k, x in pairs.items()}
         by_u, by_w = Counter(), Counter()
         for (u, w), x in t.items():
             by_u[u] += x
             by_w[w] += x
-        top = {w: seat(int(x), (theta + d1 * tables1) / (v + 1), d1, hashes[w] + turn) for w, x in by_w.items()}
+        top = {w: seat(int(x), (theta + d1 * tables1) / (v + 1), d1, hashes[w] + turn) if turn else 1.0 for w, x in by_w.items()}
         customers1, tables1 = sum(by_w.values()), sum(top.values())
         unigram = {w: (by_w[w] - d1 * top.get(w, 0) + (theta + d1 * tables1) / (v + 1)) / (theta + customers1) for w in [*c, "?"]}
         law = lambda u, w, t=t, by_u=by_u, g=unigram: (pairs[u, w] - d2 * t.get((u, w), 0) + (theta + d2 * by_u[u]) * g.get(w, g["?"])) / (theta + of(u))

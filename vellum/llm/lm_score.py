@@ -4,7 +4,7 @@ Every word is the context of a restaurant whose dishes are the words after it; a
 context restaurants share one parent, the unigram restaurant, whose own parent is
 uniform over the vocabulary and one unknown word.
 
-Seating is sampled by Gibbs in ROUNDS.  In each, every dish of every restaurant is
+Seating is sampled by Gibbs in ROUNDS, from one table for each dish.  In each, every dish of every restaurant is
 seated anew: its number of tables is drawn from the full conditional given all other
 restaurants as they stood after the round before, that is with probability in
 proportion to new^t S(c, t), where S is the generalised Stirling number and ``new`` the
@@ -47,7 +47,7 @@ from vellum.llm.words import iter_slices, mix
 
 #: Bytes of text in a block, and keys that a shard gets if all are spread evenly.
 BLOCK_BYTES, SHARD_KEYS = 3 << 20, 1_500_000
-#: Times that all restaurants are seated; the first, from raw counts, is left out of the mean of the probabilities.
+#: Times that all restaurants are seated; the first, one table for each dish, is left out of the mean of the probabilities.
 ROUNDS = 3
 #: Customers of a dish up to which Stirling numbers are tabled; beyond, their limit in the count is used.
 TABLED = 1_024
@@ -100,16 +100,18 @@ class Block:
         self.tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.train = ~self.held[self.doc]
+
+    def paired(self) -> Block:
+        """With its pairs of context and word, in order; the start is the context after the vocabulary."""
         v = len(self.vocabulary)
         before = np.concatenate(([v], self.tokens[:-1])) if len(self.tokens) else self.tokens
-        before[(np.cumsum(self.lengths) - self.lengths)[: len(self.lengths)]] = v  # the start, after the vocabulary
-        self.before = before
-        pair = before * (v + 1) + self.tokens
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
+        before[(np.cumsum(self.lengths) - self.lengths)[: len(self.lengths)]] = v
+        self.pairs, self.pair_of = np.unique(before * (v + 1) + self.tokens, return_inverse=True)
         self.u, self.w = self.pairs // (v + 1), self.pairs % (v + 1)
         self.local = np.bincount(self.pair_of[self.train], minlength=len(self.pairs))
         names = np.append(self.vocabulary, START)
         self.pair_hash = mix(names[self.u] * np.uint64(0x9E3779B97F4A7C15) + mix(names[self.w] + np.uint64(1)))
+        return self
 
     def open_pairs(self, c: np.ndarray, shared: np.ndarray, n_docs: float, n_blocks: int) -> np.ndarray:
         """Places of the pairs that another block may hold too, by hash.
@@ -241,16 +243,16 @@ def stirling_steps(discount: float, top: int = TABLED) -> np.ndarray:
     out = np.zeros((top + 1, top + 1))
     with np.errstate(invalid="ignore"):
         out[2:] = np.exp(table[:, 2:] - table[:, 1:-1]).T
-    return np.nan_to_num(out, nan=0.0)
+    return np.nan_to_num(out, nan=0.0).astype(np.float32)
 
 
 def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
     """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities.
 
-    Of many customers only as many tables are looked at as have any weight in double precision.
+    Of many customers only as many tables are looked at as have weight; the rest have 2e-9 of it at most.
     """
     t, ratio = np.ones(len(count)), new / discount
-    wide = np.minimum(count, np.ceil(16 + 2 * ratio + 12 * np.sqrt(ratio))).astype(np.int16)
+    wide = np.minimum(count, np.ceil(6 + 1.2 * ratio + 6 * np.sqrt(ratio))).astype(np.int16)
     order = np.argsort(wide, kind="stable")
     ranked = wide[order]
     log_table, steps = log_stirling(discount), stirling_steps(discount)
@@ -259,9 +261,9 @@ def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray)
         most = int(ranked[at]) * 9 // 8
         stop = min(int(np.searchsorted(ranked, most, "right")), at + max(1, 200_000 // most))
         own, k = order[at:stop], int(ranked[stop - 1])
-        c, total = count[own], np.ones((k, stop - at))
-        if ratio[own].max() < 300:  # no product of steps overflows
-            p, w = np.ones(len(own)), new[own]
+        c, total = count[own], np.ones((k, stop - at), np.float32)
+        if ratio[own].max() < 80:  # no product of steps overflows
+            p, w = np.ones(len(own), np.float32), new[own].astype(np.float32)
             for n in range(2, k + 1):
                 p *= w
                 p *= steps[n].take(c)
@@ -270,7 +272,7 @@ def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray)
             tables = np.arange(1, k + 1)[:, None]
             log_p = log_table[c, tables] + np.log(new[own]) * tables
             total = np.cumsum(np.exp(log_p - log_p.max(0)), axis=0)
-        reach, drawn = u[own] * total[-1], np.ones(len(own), np.int16)
+        reach, drawn = (u[own] * total[-1]).astype(np.float32), np.ones(len(own), np.int16)
         for so_far in total[:-1]:
             drawn += so_far < reach
         t[own] = drawn
@@ -343,7 +345,7 @@ def _discount(ones: float, twos: float) -> float:
 
 @dataclass
 class Model:
-    """What all blocks know: counts of tokens, types, documents and blocks, discounts, a first share of tables, and customers and tables of the unigram restaurant by round."""
+    """What all blocks know: counts of tokens, types, documents and blocks, discounts, and customers and tables of the unigram restaurant by round."""
 
     n_train: float
     n_types: float
@@ -351,12 +353,13 @@ class Model:
     n_blocks: int
     d1: float
     d2: float
-    share: float
     totals: list[tuple[float, float]]
 
     def at_top(self, by_w: np.ndarray, names: np.ndarray, turn: int) -> np.ndarray:
         """Tables of the unigram restaurant, given how many it had in the round before."""
-        new = (STRENGTH + self.d1 * (self.totals[turn - 1][1] if turn else self.n_types)) / (self.n_types + 1)
+        if not turn:
+            return np.minimum(by_w, 1).astype(np.float64)
+        new = (STRENGTH + self.d1 * self.totals[turn - 1][1]) / (self.n_types + 1)
         return draw_tables(by_w.astype(np.int64), np.full(len(by_w), new), self.d1, mix(names + np.uint64(turn)))
 
 
@@ -364,7 +367,7 @@ class Seated:
     """A block with its counts; by round the tables by context and by word, those of the unigram restaurant and the pairs' draws."""
 
     def __init__(self, row: dict, model: Model):
-        self.row, self.b, self.model = row, Block(row), model
+        self.row, self.b, self.model = row, Block(row).paired(), model
         b = self.b
         self.c, shared, _ = _answers(row["words"], WORD_KINDS)
         at = b.open_pairs(self.c, shared, model.n_docs, model.n_blocks)
@@ -394,13 +397,10 @@ class Seated:
         return (STRENGTH + m.d2 * by_u[self.b.u]) * unigram[self.b.w]
 
     def draw(self, turn: int) -> np.ndarray:
-        """Tables of each pair, given all others after the round before."""
-        b, m = self.b, self.model
-        if turn:
-            new = self.prior(turn - 1)
-        else:
-            new = (STRENGTH + m.d2 * m.share * self.c_u) * (self.c[b.w] + 0.5) / (m.n_train + 0.5 * (m.n_types + 1))
-        return draw_tables(self.count, new, m.d2, mix(b.pair_hash + np.uint64(turn)))
+        """Tables of each pair, given all others after the round before; at first each dish has one."""
+        if not turn:
+            return np.minimum(self.count, 1).astype(np.float64)
+        return draw_tables(self.count, self.prior(turn - 1), self.model.d2, mix(self.b.pair_hash + np.uint64(turn)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -446,7 +446,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def ask_pairs(batches):
         for row in _rows(batches):
-            b = Block(row)
+            b = Block(row).paired()
             c, shared, _ = _answers(row["words"], WORD_KINDS)
             at = b.open_pairs(c, shared, ends, n_blocks)
             kept = b.local.copy()
@@ -454,11 +454,10 @@ def scores(docs: DataFrame) -> DataFrame:
             apart = (kept.sum(), (kept > 0).sum(), (kept == 1).sum(), (kept == 2).sum())
             yield _ask(b.id, b.pair_hash[at], [b.local[at].astype(np.int32)], n_shards, apart)
 
-    pairs, (_, pair_types, ones2, twos2) = _exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts, "pairs")
+    pairs, (_, _, ones2, twos2) = _exchange(with_words.mapInArrow(ask_pairs, _ASK), ("<i4",), add_counts, "pairs")
     with_pairs = with_words.join(pairs, "block", "left")
 
-    share = 0.7 if not n_train else min(1.0, max(0.05, pair_types / n_train))
-    model = Model(n_train, n_types, ends, n_blocks, _discount(ones1, twos1), _discount(ones2, twos2), share, [])
+    model = Model(n_train, n_types, ends, n_blocks, _discount(ones1, twos1), _discount(ones2, twos2), [])
     rounds: list[DataFrame] = []
     for turn in range(ROUNDS):
 
