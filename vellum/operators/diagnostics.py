@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,15 +14,18 @@ MATH = (
     r"(?i)(\$[^$]{3,}\$|\\(?:frac|sum|int|alpha|beta|theta|gamma|delta|sigma|lambda|omega|pi|mu|nu|xi|zeta|eta)\b"
     r"|[∀∃∈∉⊆⊇∪∩∧∨¬→↔≤≥≠≈∞√∂∇∑∏∫±×÷]|[Α-ω]{2,})"
 )
+# Of each cause the most confidence, its base and step by chunk, its severity, the chunks from which it is critical, and the least chunks.
+NEVER = 2**31 - 1
+RULES = {
+    "TRUNCATED_RESPONSE": (0.95, 0.55, 0.08, "warning", 3, 1),
+    "EMPTY_TRANSLATION": (0.98, 0.60, 0.06, "warning", 2, 1),
+    "MATH_CONTAMINATION": (0.90, 0.50, 0.07, "warning", NEVER, 1),
+    "HALLUCINATION": (0.85, 0.50, 0.08, "warning", NEVER, 1),
+    "CHUNK_BOUNDARY_SPLIT": (0.75, 0.40, 0.05, "info", NEVER, 2),
+}
 SEVERITY = {"critical": 3, "warning": 2, "info": 1}
 
 
-def _finding(rows: DataFrame, cause: str, most: float, base: float, step: float, severity, least: int = 1) -> DataFrame:
-    """Rows (conv_id, idx) as one finding for each document: confidence grows with the number of chunks."""
-    g = rows.distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("idx")).alias("affected"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return g.select("conv_id", F.lit(cause).alias("cause"), severity(F.col("n")).alias("severity"), F.round(F.least(F.lit(most), base + F.col("n") * step), 6).alias("confidence"), "affected")
-
-
 def _stripped(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "idx", "src", "mt", T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t"))
 
@@ -37,23 +38,25 @@ def findings(rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """
     r, s, t = _stripped(rows), F.col("s"), F.col("t")
     ratio = F.length(t) / F.length(s)
-    fixed = lambda v: lambda n: F.lit(v)
-    grows = lambda at: lambda n: F.when(n >= at, "critical").otherwise("warning")
-    pick = lambda cond: r.where(cond).select("conv_id", "idx")
-    cut = (F.length(s) >= 50) & (t != "") & ((ratio < 0.25) | ((ratio < 0.40) & ~t.rlike(T.SENTENCE_END)))
-    empty = (F.length(s) >= 30) & ((F.length(t) < 10) | (T.english_heavy(t) & ~T.english_heavy(F.left(s, F.lit(200)))))
     maths = T.found(F.col("src"), MATH)
-    contaminated = (F.size(maths) >= 3) & (F.aggregate(maths, F.lit(0), lambda a, x: a + F.length(x)) / F.length("src") > 0.12)
     starts, ends = F.left(s, F.lit(80)).rlike(r"^[a-z,;:\-–—(]"), s.rlike(r"[,;:\-–—a-z(]$")
-    parts = [
-        _finding(pick(cut), "TRUNCATED_RESPONSE", 0.95, 0.55, 0.08, grows(3)),
-        _finding(pick(empty) if failed is None else pick(empty).unionByName(failed.select("conv_id", "idx")), "EMPTY_TRANSLATION", 0.98, 0.60, 0.06, grows(2)),
-        _finding(pick(contaminated), "MATH_CONTAMINATION", 0.90, 0.50, 0.07, fixed("warning")),
-        _finding(pick((F.length(s) >= 50) & (t != "") & (ratio > 3.0)), "HALLUCINATION", 0.85, 0.50, 0.08, fixed("warning")),
-        _finding(pick((F.length(s) >= 50) & (starts | ends)), "CHUNK_BOUNDARY_SPLIT", 0.75, 0.40, 0.05, fixed("info"), least=2),
-        session_limit(rows),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    fires = {
+        "TRUNCATED_RESPONSE": (F.length(s) >= 50) & (t != "") & ((ratio < 0.25) | ((ratio < 0.40) & ~t.rlike(T.SENTENCE_END))),
+        "EMPTY_TRANSLATION": (F.length(s) >= 30) & ((F.length(t) < 10) | (T.english_heavy(t) & ~T.english_heavy(F.left(s, F.lit(200))))),
+        "MATH_CONTAMINATION": (F.size(maths) >= 3) & (F.aggregate(maths, F.lit(0), lambda a, x: a + F.length(x)) / F.length("src") > 0.12),
+        "HALLUCINATION": (F.length(s) >= 50) & (t != "") & (ratio > 3.0),
+        "CHUNK_BOUNDARY_SPLIT": (F.length(s) >= 50) & (starts | ends),
+    }
+    # all detectors look at a chunk in one pass; a chunk counts once for each cause
+    found = r.select("conv_id", "idx", F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in fires.items())), lambda x: x.isNotNull())).alias("cause"))
+    if failed is not None:
+        found = found.unionByName(failed.select("conv_id", "idx", F.lit("EMPTY_TRANSLATION").alias("cause")))
+    g = found.groupBy("conv_id", "cause").agg(F.array_sort(F.collect_set("idx")).alias("affected")).withColumn("n", F.size("affected"))
+    by_cause = lambda place: F.coalesce(*(F.when(F.col("cause") == k, F.lit(v[place])) for k, v in RULES.items()))
+    severity = F.when(F.col("n") >= by_cause(4), "critical").otherwise(by_cause(3))
+    confidence = F.round(F.least(by_cause(0), by_cause(1) + F.col("n") * by_cause(2)), 6)
+    told = g.where(F.col("n") >= by_cause(5)).select("conv_id", "cause", severity.alias("severity"), confidence.alias("confidence"), "affected")
+    return told.unionByName(session_limit(rows))
 
 
 def session_limit(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +14,10 @@ from vellum.sources import views as V
 
 #: Queries are the rows whose id this divides.
 EVERY = 100
-#: Rows of a query side up to which it is broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of vectors in a block of queries and in a part of a table; each task compares one of each.
+QUERY_BYTES, TABLE_BYTES = 16 << 20, 64 << 20
+#: Products that a task holds at once.
+OPEN = 1 << 20
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -34,21 +40,108 @@ def vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.select("doc_id", "token", (F.col("x") / norm).alias("w"))
 
 
-def _if_small(rows: DataFrame) -> DataFrame:
-    """To be broadcast if it has few rows; else the join is shuffled."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
+def _blocked(rows: DataFrame, size: str, is_query, score: Callable, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each query row the k other rows that score best, of the least id where equal.
 
-def tfidf_top(docs: DataFrame, k: int = 3, every: int = EVERY) -> DataFrame:
-    """The k most similar other documents of each query document, by cosine over shared tokens."""
+    ``rows`` has id and what ``score(queries, table)`` needs, which yields (places of
+    queries, places of the table, scores) of table rows for tasks of bounded size: queries
+    lie in blocks and the table in parts, by bytes (``size`` is that of a row), and each
+    block meets each part once.  A task hands on the best k of each query, no more.
+    """
+    spark = rows.sparkSession
+    whole, asked = rows.agg(F.sum(F.expr(size)), F.sum(F.when(is_query, F.expr(size)))).first()
+    n_blocks, n_parts = -(-int(asked or 0) // QUERY_BYTES) or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(whole or 0) // TABLE_BYTES))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = rows.where(is_query).select(*(F.col(c).alias(c) for c in rows.columns)).withColumn("b", place(n_blocks)).withColumn("p", every(n_parts)).groupBy("b", "p")
+    table = rows.withColumn("p", place(n_parts)).withColumn("b", every(n_blocks)).groupBy("b", "p")
+
+    def task(q: pa.Table, t: pa.Table) -> pa.Table:
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        qid, tid = q["id"].to_numpy(), t["id"].to_numpy()
+        for i, j, x in score(q, t) if len(q) and len(t) else ():
+            own = qid[i] != tid[j]
+            now = [np.concatenate(c) for c in zip(best, (qid[i][own], tid[j][own], x[own]), strict=True)]
+            order = np.lexsort((now[1], -np.round(now[2], 9), now[0]))
+            ranked = now[0][order]
+            first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+            nth = np.arange(len(ranked)) - np.repeat(first, np.diff(np.r_[first, len(ranked)]))
+            best = [c[order[nth < k]] for c in now]
+        return pa.table(dict(zip(("query_id", "id", "score"), best, strict=True)))
+
+    found = queries.cogroup(table).applyInArrow(task, "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of lists without nulls."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+    at = lists.offsets.to_numpy()
+    return at - at[0], lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _shared_tokens(q: pa.Table, t: pa.Table):
+    """Cosines over shared tokens, for as many table rows at once as their products fit in OPEN."""
+    q_at, q_token = _lists(q["tokens"])
+    _, q_weight = _lists(q["weights"])
+    t_at, t_token = _lists(t["tokens"])
+    _, t_weight = _lists(t["weights"])
+    order = np.argsort(q_token, kind="stable")
+    row, token, weight = np.repeat(np.arange(len(q)), np.diff(q_at))[order], q_token[order], q_weight[order]
+    low, high = np.searchsorted(token, t_token, "left"), np.searchsorted(token, t_token, "right")
+    made = np.r_[0, np.cumsum(high - low)]
+    a = 0
+    while a < len(t):
+        # rows a to z: their products, and a score for each of them and each query
+        z = min(int(np.searchsorted(made[t_at[1:]], made[t_at[a]] + OPEN, "right")), a + max(1, OPEN // len(q)))
+        z = max(z, a + 1)
+        cells = np.arange(t_at[a], t_at[z])
+        n = (high - low)[cells]
+        each = np.repeat(cells, n)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + low[each]
+        doc = np.repeat(np.arange(a, z), np.diff(t_at[a : z + 1]))[each - t_at[a]] - a
+        pair = row[at] * (z - a) + doc
+        total = np.bincount(pair, weight[at] * t_weight[each], len(q) * (z - a))
+        met = np.flatnonzero(np.bincount(pair, minlength=len(q) * (z - a)))
+        yield met // (z - a), met % (z - a) + a, total[met]
+        a = z
+
+
+def _products(q: pa.Table, t: pa.Table):
+    """Cosines of dense vectors of one width; zero vectors score 0."""
+
+    def unit(table: pa.Table) -> np.ndarray:
+        x = _lists(table["vector"])[1].astype(np.float64).reshape(len(table), -1)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    queries, rows = unit(q), unit(t)
+    step = max(1, OPEN // len(q))
+    for a in range(0, len(rows), step):
+        x = queries @ rows[a : a + step].T
+        i, j = np.divmod(np.arange(x.size), x.shape[1])
+        yield i, j + a, x.ravel()
+
+
+def document_vectors(docs: DataFrame) -> DataFrame:
+    """(id, tokens, weights): each document's tokens, as hashes, and their weights, of length 1 together; documents without tokens are left out."""
     counts = term_counts(docs)
     v = vectors(counts, idf(counts))
-    weights = idf(counts)
-    own = vectors(term_counts(docs.where(F.col("doc_id") % every == 0)), weights)
-    q = own.select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("qw"))
-    s = v.join(_if_small(q), "token").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    each = v.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("token"), "w"))).alias("v"))
+    return each.select("id", F.col("v.token").alias("tokens"), F.col("v.w").alias("weights"))
+
+
+def tfidf_top(docs: DataFrame, k: int = 3, every: int = EVERY) -> DataFrame:
+    """The k most similar other documents of each query document, by cosine over shared tokens; documents that share none aren't similar.
+
+    Tokens are known by 64-bit hashes.  Products are summed in tasks of bounded size, so a
+    frequent token is no hot key.
+    """
+    rows = document_vectors(docs.where("doc_id is not null"))
+    s = _blocked(rows, "size(tokens) * 16", F.col("id") % every == 0, _shared_tokens, k)
+    return s.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def vocabulary(docs: DataFrame, n: int = 100) -> DataFrame:
@@ -86,19 +179,10 @@ def memory(rows: DataFrame, k: int = 3, least: float = 0.15, room: int = 1500) -
 
 
 def embedding_top(vecs: DataFrame, k: int = 10, every: int = EVERY) -> DataFrame:
-    """The k nearest other vectors of each query by cosine; zero vectors score 0."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vecs.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    s = v.join(q, F.col("vec_id") != F.col("query_id"))
-    score = F.when((F.col("norm") == 0) | (F.col("qn") == 0), 0.0).otherwise(dot(F.col("embedding"), F.col("qe")) / F.col("norm") / F.col("qn"))
-    s = s.select("query_id", "vec_id", score.alias("score"))
-    # partial top-k by part first, so that no task holds all scores of a query
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(32))
-    order = [F.desc(F.round("score", 9)), "vec_id"]
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id", part).orderBy(*order))).where(F.col("r") <= k)
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return s.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """The k nearest other vectors of each query by cosine; zero vectors score 0. Vectors have one width; null ids and vectors are left out."""
+    rows = vecs.where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    s = _blocked(rows, "size(vector) * 8", F.col("id") % every == 0, _products, k)
+    return s.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES = {

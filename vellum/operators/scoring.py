@@ -57,14 +57,15 @@ def _f(m: Column, h: Column, r: Column) -> Column:
 
 
 def chrf(rows: DataFrame) -> DataFrame:
-    """Both sentence scores of each pair: chrf counts empty orders as 0, agreement leaves them out and has no words."""
-    f = _f(F.col("matched"), F.col("total_h"), F.col("total_r"))
-    char = F.col("kind").startswith("c")
-    g = ngram_matches(rows).groupBy("conv_id", "idx").agg(F.sum(f).alias("s"), F.sum(F.when(char, f)).alias("a"), F.sum((char & (F.col("matched") > 0)).cast("int")).alias("n"))
-    out = rows.join(g, ["conv_id", "idx"], "left")
+    """Both sentence scores of each pair: chrf counts empty orders as 0, agreement leaves them out and has no words.  All within the row."""
+    out = rows.select("conv_id", "idx", "mt", "src", overlaps("mt", "src").alias("o"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    f = F.transform("o", lambda x: _f(x["matched"], x["total_h"], x["total_r"]))
+    char = F.filter("o", lambda x: x["kind"].startswith("c"))
+    n = F.size(F.filter(char, lambda x: x["matched"] > 0))
     blank = (T.strip(F.col("mt")) == "") | (T.strip(F.col("src")) == "")
-    score = F.when(blank, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (CHAR_ORDERS + WORD_ORDERS) * 100)
-    agreement = F.coalesce(F.when(F.col("n") > 0, F.col("a") / F.col("n") * 100), F.lit(0.0))
+    score = F.when(blank, 0.0).otherwise(add(f) / (CHAR_ORDERS + WORD_ORDERS) * 100)
+    agreement = F.when(n > 0, add(F.transform(char, lambda x: _f(x["matched"], x["total_h"], x["total_r"]))) / n * 100).otherwise(0.0)
     return out.select("conv_id", "idx", F.round(score, 6).alias("chrf"), F.round(agreement, 6).alias("agreement"))
 
 
@@ -72,6 +73,17 @@ def band(score: Column) -> Column:
     return F.when(score >= 70, "excellent").when(score >= 55, "good").when(score >= 40, "fair").when(score >= 25, "poor").otherwise("bad")
 
 
+def f1_band(f1: Column) -> Column:
+    """Five bands of a semantic F1 score."""
+    return F.when(f1 >= 0.92, "excellent").when(f1 >= 0.87, "good").when(f1 >= 0.80, "fair").when(f1 >= 0.70, "middling").otherwise("low")
+
+
+def semantic_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """(conv_id, idx, f1, band) of pairs that have a translation and a score (conv_id, idx, f1) against their reference."""
+    j = rows.where(T.strip(F.col("mt")) != "").join(scores.select("conv_id", "idx", "f1"), ["conv_id", "idx"])
+    return j.select("conv_id", "idx", "f1", f1_band(F.col("f1")).alias("band"))
+
+
 def corpus_chrf(rows: DataFrame) -> DataFrame:
     """Mean of the sentence scores of each conversation, its band and how many are under 40."""
     return chrf(rows).groupBy("conv_id").agg(F.count("*").alias("segments"), F.round(F.avg("chrf"), 5).alias("corpus_chrf"), band(F.avg("chrf")).alias("band"), F.sum((F.col("chrf") < 40).cast("int")).alias("low_segments"))

@@ -45,6 +45,37 @@ def json_array(raw: Column) -> Column:
     return F.from_json(F.when(body != "", body), ERRORS)
 
 
+def json_value(text: Column) -> Column:
+    """An answer as a variant: all of it, else the first fence marked as JSON, else the first fence, else from the first brace to the last; null if none is JSON."""
+    whole = strip(text)
+    tried = [whole, *(F.regexp_extract(whole, p, 1) for p in (r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```", r"(?s)(\{.*\})"))]
+    return F.coalesce(*(F.try_parse_json(F.nullif(x, F.lit(""))) for x in tried))
+
+
+FAULTS = "struct<errors array<struct<category string, severity string, description string, source_span string, translation_span string, suggestion string>>>"
+
+
+def critic_faults(raw: Column) -> Column:
+    """The errors of a critic's answer, from its first brace to its last, as an array; what isn't said is accuracy, minor and empty."""
+    said = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), FAULTS)["errors"]
+    usual = {"category": "accuracy", "severity": "minor", "description": "", "source_span": "", "translation_span": "", "suggestion": ""}
+    row = lambda e: F.struct(*(F.coalesce(e[k], F.lit(v)).alias(k) for k, v in usual.items()))
+    return F.coalesce(F.transform(F.filter(said, lambda e: e.isNotNull()), row), F.array().cast("array<struct<category:string,severity:string,description:string,source_span:string,translation_span:string,suggestion:string>>"))
+
+
+def merged_faults(found: DataFrame, answers: DataFrame, texts: DataFrame, least_words: int = 40) -> DataFrame:
+    """(conv_id, idx, category, severity, source): rule errors (conv_id, idx, pos, category, severity) and those of answers (conv_id, idx, raw), each pair of category and severity once.
+
+    Answers count for texts (conv_id, idx, src) of 40 words or more without a critical error.
+    """
+    keys = ["conv_id", "idx"]
+    long_ = texts.where(F.size(F.filter(F.split("src", r"\s+"), lambda w: w != "")) >= least_words).select(*keys)
+    open_ = answers.join(long_, keys, "left_semi").join(found.where("severity = 'critical'").select(*keys), keys, "left_anti")
+    own = found.select(*keys, "category", "severity", F.lit("rules").alias("source"))
+    said = open_.select(*keys, F.posexplode(critic_faults(F.col("raw"))).alias("pos", "e")).groupBy(*keys, "e.category", "e.severity").agg(F.min("pos").alias("pos")).drop("pos")
+    return own.unionByName(said.join(own.select(*keys, "category", "severity"), [*keys, "category", "severity"], "left_anti").withColumn("source", F.lit("answer")))
+
+
 def judge_scores(answers: DataFrame, weight) -> DataFrame:
     """(id, index, score) for each asked index: errors beat the stated score, what isn't answered is null.
 
