@@ -46,7 +46,7 @@ from vellum.llm.store import bucketed, partitions
 from vellum.llm.words import iter_slices, mix
 
 #: Bytes of text in a block, and keys that a shard gets if all are spread evenly.
-BLOCK_BYTES, SHARD_KEYS = 3 << 20, 1_500_000
+BLOCK_BYTES, SHARD_KEYS = 2 << 20, 1_500_000
 #: Times that all restaurants are seated; the first, one table for each dish, is left out of the mean of the probabilities.
 ROUNDS = 3
 #: Customers of a dish up to which Stirling numbers are tabled; beyond, their limit in the count is used.
@@ -225,27 +225,23 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def log_stirling(discount: float, top: int = TABLED) -> np.ndarray:
-    """log S(c, t) of the generalised Stirling numbers, for 1 <= t <= c <= top."""
-    out = np.full((top + 1, top + 1), -np.inf)
-    out[1, 1] = 0
+def stirling_steps(discount: float, top: int = TABLED) -> np.ndarray:
+    """S(c, t) / S(c, t - 1) of the generalised Stirling numbers, by t and c up to ``top``; 0 for t > c.
+
+    From S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t), divided by that of t - 1.
+    """
+    out = np.zeros((top + 1, top + 1), np.float32)
+    t = np.arange(2, top + 1)
+    step = np.zeros(top - 1)  # of t = 2 and more, for one customer
     for c in range(1, top):
-        t = np.arange(1, c + 2)
-        stay = np.append(np.log(c - t[:-1] * discount), -np.inf) + out[c, 1 : c + 2]
-        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay)
+        below = np.zeros(top - 1)
+        below[1:] = 1 / np.where(step[:-1] > 0, step[:-1], np.inf)
+        whole = t <= c + 1
+        step = np.where(whole, (1 + (c - t * discount) * step) / np.where(whole, below + c - (t - 1) * discount, 1), 0)
+        out[2:, c + 1] = step
     return out
 
 
-@lru_cache(maxsize=4)
-def stirling_steps(discount: float, top: int = TABLED) -> np.ndarray:
-    """S(c, t) / S(c, t - 1), by t and c; 0 for t > c."""
-    table = log_stirling(discount, top)
-    out = np.zeros((top + 1, top + 1))
-    with np.errstate(invalid="ignore"):
-        out[2:] = np.exp(table[:, 2:] - table[:, 1:-1]).T
-    return np.nan_to_num(out, nan=0.0).astype(np.float32)
-
-
 def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
     """Draws from new^t S(c, t), 1 <= t <= c <= TABLED, by the inverse of the summed probabilities.
 
@@ -255,7 +251,7 @@ def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray)
     wide = np.minimum(count, np.ceil(6 + 1.2 * ratio + 6 * np.sqrt(ratio))).astype(np.int16)
     order = np.argsort(wide, kind="stable")
     ranked = wide[order]
-    log_table, steps = log_stirling(discount), stirling_steps(discount)
+    steps = stirling_steps(discount)
     at = 0
     while at < len(order):
         most = int(ranked[at]) * 9 // 8
@@ -269,8 +265,8 @@ def _tabled(count: np.ndarray, new: np.ndarray, discount: float, u: np.ndarray)
                 p *= steps[n].take(c)
                 np.add(total[n - 2], p, out=total[n - 1])
         else:
-            tables = np.arange(1, k + 1)[:, None]
-            log_p = log_table[c, tables] + np.log(new[own]) * tables
+            with np.errstate(divide="ignore"):
+                log_p = np.cumsum(np.vstack([np.zeros(len(own)), np.log(steps[2 : k + 1, c]) + np.log(new[own])]), axis=0)
             total = np.cumsum(np.exp(log_p - log_p.max(0)), axis=0)
         reach, drawn = (u[own] * total[-1]).astype(np.float32), np.ones(len(own), np.int16)
         for so_far in total[:-1]:
