@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import components, lm_score, packing, quality_rules, sharding, simhash, substrings
+from vellum.llm import components, lm_score, packing, quality_rules, sharding, simhash, substrings, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,6 +121,31 @@ def test_quality_measures(spark, prose):
         assert not (r.kept and r.base_failed)
 
 
+def test_words_of_long_texts_are_hashed_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "é", "x" * 300], 500)), "", "y" * 1_000 + " a", " "]
+    whole = next(words.iter_slices(pa.array(texts), lower=False)).hashes
+    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    pieces = np.concatenate([w.hashes for w in words.iter_slices(pa.array(texts), lower=False, slice_bytes=10**9)])
+    assert (whole == pieces).all() and len(np.unique(whole)) == 6
+
+
+def test_very_long_texts(spark):
+    """One text of 7 MB, more than a slice, beside short ones, through the operators on words."""
+    rng = np.random.default_rng(6)
+    long_ = " ".join(f"w{x}" for x in rng.integers(0, 1_000_000, 900_000))
+    docs = frame(spark, [long_, "short one", long_[: 1 << 20]])
+    rules = {r.doc_id: r.n_words for r in quality_rules.verdicts(docs).collect()}
+    assert rules[1] == 900_000 and rules[2] == 2
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == {1, 2, 3}
+    scored = {r.doc_id: r for r in lm_score.scores(docs).collect()}
+    assert scored[1].n_tokens == 900_001 and all(math.isfinite(r.score) for r in scored.values())
+    left = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.without_repeats(docs).collect()}
+    assert left[1] == (900_000, 0) and left[3][1] >= left[3][0] - 1
+    pieces = packing.packed(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("last")).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3} and max(r.last for r in pieces) > 1_000
+
+
 def test_quality_policies_and_ablations(spark):
     good = " ".join(f"word{i}" for i in range(80))
     docs = frame(spark, [good, "a b c " * 60, good.replace(" ", " ### "), None, good + " other"], extra=[(None, good, "en", "s", 3)])

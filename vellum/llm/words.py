@@ -3,7 +3,8 @@
 A word is a maximal run of bytes other than space and \\x09-\\x0D, which is also
 what ``bytes.split()`` returns.  ``iter_slices`` cuts an Arrow batch into runs of
 whole documents of a few MB, so that the working arrays stay small however long
-the batch is; a single longer document forms a slice of its own.
+the batch is; a single longer document forms a slice of its own, whose words are
+hashed by pieces of that size.
 """
 
 from __future__ import annotations
@@ -67,11 +68,19 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            cum = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power(0, n), out=cum[1:])
-            raw = (cum[self.ends] - cum[self.starts]) * _power(1, n + 1)[self.starts]
-            self._hash = mix(raw + (self.ends - self.starts).astype(np.uint64))
+            # by pieces of whole words, so that sums and powers stay small however long the text is
+            out = np.empty(len(self.starts), np.uint64)
+            a = 0
+            while a < len(out):
+                low = self.starts[a]
+                z = max(a + 1, int(np.searchsorted(self.ends, low + SLICE_BYTES, "right")))
+                at, to = self.starts[a:z] - low, self.ends[a:z] - low
+                n = int(to[-1])
+                cum = np.zeros(n + 1, np.uint64)
+                np.cumsum(_BYTE[self.data[low : low + n]] * _power(0, n), out=cum[1:])
+                out[a:z] = mix((cum[to] - cum[at]) * _power(1, n + 1)[at] + (to - at).astype(np.uint64))
+                a = z
+            self._hash = out
         return self._hash
 
     def doc_of_word(self) -> np.ndarray:
