@@ -65,7 +65,9 @@ def resolve(records: DataFrame) -> DataFrame:
     stretches = rows.where("__url is not null").select(*key).distinct().join(last, key, "left")
     before = Window.partitionBy("__url").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = stretches.select(*key, F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    order = Window.partitionBy(*key).orderBy("ts", F.when(full, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    # records without a url never resolve: each stands alone, so that they don't meet in one task
+    rows = rows.withColumn("__apart", F.when(F.col("__url").isNull(), F.col("record_id").cast("string")))
+    order = Window.partitionBy(*key, "__apart").orderBy("ts", F.when(full, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("__near", F.last(F.when(full, state), ignorenulls=True).over(order)).join(carried, key, "left")
     source = F.coalesce("__near", "__carried")
     seen = seen.withColumn("__source", F.when(F.col("__url").isNotNull() & F.col("ts").isNotNull(), source))
