@@ -109,12 +109,25 @@ def derived(a: DataFrame) -> DataFrame:
     return j.select("pdf", "num_tabs", "n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("quality")).alias("quality"), r(F.col("base") / F.col("mean")).alias("speedup"), r(F.col("base") / F.col("mean") / F.col("num_tabs")).alias("efficiency"), r(F.col("n") / F.col("mean")).alias("throughput"))
 
 
-def latencies(r: DataFrame) -> DataFrame:
-    """Median and nearest-rank 95th percentile, the value at place int(n * 0.95) of the sorted ones."""
-    order = Window.partitionBy("num_tabs").orderBy("duration", "pdf")
-    k = r.select("num_tabs", "duration", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("num_tabs")).alias("n"))
-    p95 = F.max(F.when(F.col("k") == F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)), F.col("duration")))
-    return k.groupBy("num_tabs").agg(F.count("*").alias("n"), F.round(F.median("duration"), 6).alias("p50"), p95.alias("p95"))
+def latencies(r: DataFrame, width: float = 64.0) -> DataFrame:
+    """Median and nearest-rank 95th percentile, the value at place int(n * 0.95) of the sorted ones; missing durations don't count.
+
+    Counts by stretches of ``width`` say in which stretch a rank lies; only the values of
+    those stretches are put in order, so no task sorts a whole group.
+    """
+    stretch = F.floor(F.col("duration") / width)
+    rows = r.where("duration is not null").select("num_tabs", "duration", stretch.alias("b"))
+    counts = rows.groupBy("num_tabs", "b").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("num_tabs").orderBy("b"))
+    placed = counts.select("num_tabs", "b", (upto - F.col("m")).alias("before"), upto.alias("upto"), F.sum("m").over(Window.partitionBy("num_tabs")).alias("n"))
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k")) for name, k in (("low", F.floor((F.col("n") + 1) / 2)), ("high", F.ceil((F.col("n") + 1) / 2)), ("p95", F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))))))
+    asked = placed.select("num_tabs", "b", "n", "before", "upto", F.inline(ranks)).where("k > before and k <= upto")
+    wanted = asked.select("num_tabs", "b").distinct()
+    inside = F.row_number().over(Window.partitionBy("num_tabs", "b").orderBy("duration"))
+    near = rows.join(wanted, ["num_tabs", "b"], "left_semi").withColumn("i", inside)
+    found = asked.join(near, ["num_tabs", "b"]).where("i = k - before")
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("duration")))
+    return found.groupBy("num_tabs", "n").agg(F.round((value("low") + value("high")) / 2, 6).alias("p50"), value("p95").alias("p95"))
 
 
 def told_blocks(spark, d) -> DataFrame:

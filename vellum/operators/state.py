@@ -58,17 +58,17 @@ def selectors(log: DataFrame, keep: int = 8) -> DataFrame:
 
     ``log`` has backend, selector, ok and seq; failures before a selector's first success don't count.
     """
-    first = log.withColumn("__first", F.min(F.when(F.col("ok"), F.col("seq"))).over(Window.partitionBy("backend", "selector"))).where("seq >= __first")
-    g = first.groupBy("backend", "selector").agg((F.sum(F.col("ok").cast("int")) - 2 * F.sum((~F.col("ok")).cast("int"))).alias("score")).where("score > -3")
+    first = log.where("ok").groupBy("backend", "selector").agg(F.min("seq").alias("__first"))
+    counted = log.join(first, ["backend", "selector"]).where("seq >= __first")
+    g = counted.groupBy("backend", "selector").agg((F.sum(F.col("ok").cast("int")) - 2 * F.sum((~F.col("ok")).cast("int"))).alias("score")).where("score > -3")
     rank = F.row_number().over(Window.partitionBy("backend").orderBy(F.desc("score"), "selector"))
     return g.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
 def latest_phases(log: DataFrame) -> DataFrame:
     """The latest entry of each job and phase, in the place of the first."""
-    w = Window.partitionBy("job_id", "phase")
-    r = log.withColumn("place", F.min("seq").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("seq"))))
-    return r.where("k = 1").select("job_id", "phase", "seq", "value", "place")
+    g = log.groupBy("job_id", "phase").agg(F.max(F.struct("seq", "value")).alias("last"), F.min("seq").alias("place"))
+    return g.select("job_id", "phase", "last.seq", "last.value", "place")
 
 
 def sections_of_chunks(chunks: DataFrame, sections: DataFrame, scale: int = 100) -> DataFrame:
