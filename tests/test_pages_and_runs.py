@@ -2,14 +2,15 @@
 
 import datetime
 import json
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import diagnostics, geometry, latex, retrieval, runs, scoring
+from vellum.operators import diagnostics, geometry, latex, layout, retrieval, runs, scoring, state
 from vellum.plans import responses
-from vellum.sources import sinks
+from vellum.sources import files, sinks
 
 BOX = "page_num long, block_idx int, x0 double, y0 double, x1 double, y1 double"
 
@@ -248,3 +249,48 @@ def test_one_chunk_counts_once_for_each_cause(spark):
     failed = spark.createDataFrame([(1, 0)], "conv_id long, idx long")
     got = {r.cause: (r.affected, r.severity, r.confidence) for r in diagnostics.findings(rows, failed).collect()}
     assert got == {"EMPTY_TRANSLATION": ([0, 1], "critical", 0.72), "TRUNCATED_RESPONSE": ([1], "warning", 0.63)}
+
+
+def test_files(spark, tmp_path):
+    for where, text in (("users/u/jobs/pdf_a", '{"n": 1}'), ("jobs/pdf_b", '{"n": 2}'), ("jobs/other", "{}"), ("notes", "{}")):
+        (tmp_path / "w" / where).mkdir(parents=True)
+        (tmp_path / "w" / where / "progress.json").write_text(text)
+    assert sorted(json.loads(r.json).get("n", 0) for r in files.progress_files(spark, f"{tmp_path}/w").collect()) == [0, 1, 2]
+    assert {r.path.split("/")[-2] for r in files.recent_progress(spark, f"{tmp_path}/w", 5).collect()} == {"pdf_a", "pdf_b"}
+    assert files.recent_progress(spark, f"{tmp_path}/w", 1).count() == 1
+    assert [json.loads(r.json) for r in files.progress_of(spark, f"{tmp_path}/w", "pdf_a").collect()] == [{"n": 1}] and files.progress_of(spark, f"{tmp_path}/w", ".*").count() == 0
+    (tmp_path / "packs").mkdir()
+    (tmp_path / "packs" / "x.json").write_text('{"name": "X", "terms": {"a": "b"}}')
+    (tmp_path / "packs" / "y.json").write_text('{"id": "why", "name": "Y"}')
+    found = files.packs(spark, f"{tmp_path}/packs")
+    assert [(r.id, r.term_count) for r in found.collect()] == [("x", 1)]
+    assert files.pack(found, "x").first().name == "X" and files.pack(found, "../x").count() == 0 and files.pack(found, "z").count() == 0
+    (tmp_path / "accounts.txt").write_text("# no\n a@b.c \n\na@b.c\nd@e.f\n")
+    assert sorted(r.line for r in files.lines(spark, f"{tmp_path}/accounts.txt").collect()) == ["a@b.c", "d@e.f"]
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert [tuple(r) for r in files.csv_rows(spark, f"{tmp_path}/t.csv").collect()] == [("1", "x")]
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')
+    assert [(r.block_idx, r.text) for r in files.docx_paragraphs(spark, f"{tmp_path}/d.docx").collect()] == [(0, "One two"), (2, "three")]
+
+
+def test_answers_and_small_rules(spark):
+    blocks = spark.createDataFrame([(1, 1, ""), (1, 2, "kept"), (1, 3, None), (2, 1, "")], "doc_id long, index int, mt string")
+    replies = spark.createDataFrame([(1, "[1] one\n[2] two\n[3] three")], "doc_id long, text string")
+    assert {(r.doc_id, r["index"]): r.mt for r in responses.filled(blocks, replies).collect()} == {(1, 1): "one", (1, 2): "kept", (1, 3): "three", (2, 1): ""}
+    fixes = spark.createDataFrame([(1, 1, "better"), (1, 2, " "), (1, 3, "bad")], "doc_id long, index int, fix string")
+    texts = spark.createDataFrame([(1, i, "old") for i in (1, 2, 3, 4)], "doc_id long, index int, mt string")
+    assert [r.mt for r in responses.guarded_fix(texts, fixes, lambda f: f != "bad").orderBy("index").collect()] == ["better", "old", "old", "old"]
+    assert one(spark, responses.all_fenced(F.lit("a ```x\none``` b ```\ntwo\n``` c")), responses.without_tags(F.lit("<b>x</b> <i>y</i><p>"))) == ("one\ntwo\n", "x y<p>")
+    assert one(spark, *(state.is_terminal(F.lit(s)) for s in ("done", "error: x", "translating 1/2", "cancelled"))) == (True, True, False, True)
+    cache = spark.createDataFrame([("a", 5.0), ("b", 1.0)], "key string, expires_at double")
+    assert [r.key for r in state.cache_read(cache, 2.0).collect()] == ["a"]
+    span = lambda text, y, size: F.struct(F.lit(text).alias("text"), F.lit(y).alias("y"), F.lit(size).alias("size"))
+    got = one(spark, *(layout.is_geometric_math(span(*s), F.lit(10.0), F.lit(10.0)) for s in (("2", 7.0, 10.0), ("2", 10.0, 8.0), ("2", 10.0, 10.0), ("a long text here", 7.0, 10.0))))
+    assert got == (True, True, False, False)
+    assert one(spark, *(layout.is_narrow_vertical(*map(F.lit, b)) for b in ((0.0, 0.0, 20.0, 100.0), (0.0, 0.0, 50.0, 900.0), (0.0, 0.0, 20.0, 50.0)))) == (True, False, False)
+    page = spark.createDataFrame([(1, i, *b) for i, b in enumerate([(50.0, 0.0, 280.0, 9.0), (60.0, 20.0, 290.0, 29.0), (310.0, 0.0, 550.0, 9.0), (320.0, 20.0, 550.0, 29.0)])], BOX)
+    assert tuple(layout.columns(page, 600.0).first()) == (1, 50.0, 310.0, True)
+    boxes_ = spark.createDataFrame([(1, 1, 0, 2, 1.0, 1.0, 2.0, 2.0), (1, 0, 1, 1, 0.0, 0.0, 1.0, 1.0), (1, 0, 0, 1, 5.0, 0.0, 6.0, 1.0)], "doc_id long, chunk int, block_idx int, page_num int, x0 double, y0 double, x1 double, y1 double")
+    assert [[b.x0 for b in c] for c in runs.block_map(boxes_).first().chunks] == [[5.0, 0.0], [1.0]]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
-from vellum.operators import relational
+from vellum.operators import geometry, relational
 from vellum.sources import views as V
 
 RUNNING = r"^translating (\d+)/(\d+)"
@@ -141,6 +141,12 @@ def critique_text(errors: DataFrame) -> DataFrame:
     return lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
 
 
+def block_map(blocks: DataFrame) -> DataFrame:
+    """(doc_id, chunks): the boxes (doc_id, chunk, block_idx, page_num, x0, y0, x1, y1) of each chunk's blocks, chunk by chunk."""
+    inner = blocks.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("block_idx", "page_num", "x0", "y0", "x1", "y1"))).alias("blocks"))
+    return inner.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "blocks"))), lambda c: c["blocks"]).alias("chunks"))
+
+
 def for_log(text: Column) -> Column:
     """A text as a log keeps it."""
     n = F.length(text)
@@ -174,6 +180,11 @@ def _texts(spark, d) -> DataFrame:
     return _parts(spark, d).select("job_id", "chunk", F.concat(F.lit("mt "), "part").alias("mt"))
 
 
+def _block_map(spark, d) -> DataFrame:
+    b = geometry.boxes(spark, d).select(F.col("page_num").alias("doc_id"), (F.col("block_idx") % 3).alias("chunk"), "block_idx", (F.col("block_idx") % 2).alias("page_num"), "x0", "y0", "x1", "y1")
+    return block_map(b).select("doc_id", F.transform("chunks", lambda c: F.transform(c, lambda x: x["block_idx"])).alias("chunks"))
+
+
 _WORDS = {"article": ("the", "a"), "link": ("and", "or"), "place": ("in", "on")}
 QUERIES = {
     "job_status": lambda spark, d: status_view(progress(spark, d)),
@@ -183,6 +194,8 @@ QUERIES = {
     "job_imported": lambda spark, d: imported(relational.jobs(spark, d).where("job_id % 2 = 0").select("job_id", F.col("owner").cast("string"), "status"), progress(spark, d).select("job_id", "status"), "admin"),
     "job_reconciled": lambda spark, d: reconciled(_texts(spark, d).where("chunk % 2 = 0").withColumnRenamed("mt", "text"), _texts(spark, d).where("chunk % 3 <> 0").withColumnRenamed("mt", "text")),
     "job_synthesised": lambda spark, d: synthesised(_texts(spark, d), _segments(spark, d)),
+    "block_map": _block_map,
+    "job_one": lambda spark, d: relational.jobs(spark, d).where("job_id = 7"),
     "job_chunks": lambda spark, d: relational.chunks(spark, d).where("job_id = 7").orderBy("chunk"),
     "user_count": lambda spark, d: V.table(spark, d, "customer").agg(F.count("*").alias("users")),
     "style_profile": lambda spark, d: style_profile(V.pairs(spark, d), _WORDS),
@@ -204,6 +217,8 @@ ORACLE_SQL = {
     "job_reconciled": "select distinct l_orderkey as job_id, l_partkey as chunk, 'mt ' || l_partkey as text, case when l_partkey % 2 = 0 then 'state' else 'disk' end as source from lineitem where l_partkey % 2 = 0 or l_partkey % 3 <> 0",
     "job_synthesised": """select distinct l_orderkey as job_id, l_partkey as chunk, case when c then 'final ' || l_partkey else 'mt ' || l_partkey end as mt, c as changed
 from (select *, l_partkey % 3 = 0 and (l_partkey % 5 = 0 or l_partkey % 2 <> 0) and l_partkey % 7 <> 0 as c from lineitem)""",
+    "block_map": "select l_orderkey as doc_id, list(i order by c) as chunks from (select l_orderkey, n % 3 as c, list(n order by n) as i from (select l_orderkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity))::int as n from lineitem) group by 1, 2) group by 1",
+    "job_one": "select o_orderkey as job_id, case when o_custkey % 7 <> 0 then o_custkey end as owner, case o_orderstatus when 'O' then 'translating 3/10' when 'F' then 'done' else 'error: stopped' end as status, o_totalprice as score, strftime(o_orderdate, '%Y-%m-%d') as updated_at, o_orderpriority as title from orders where o_orderkey = 7",
     "job_chunks": "select l_orderkey as job_id, l_linenumber as chunk, l_partkey as part, l_quantity as quantity, (l_returnflag = 'R')::int as edited from lineitem where l_orderkey = 7",
     "user_count": "select count(*) as users from customer",
     "style_profile": f"select conv_id, key, arg_max(phrase, idx) as phrase from ({_STYLE}) where phrase is not null group by 1, 2",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -47,6 +48,11 @@ def recent_progress(spark: SparkSession, workspace: str, limit: int) -> DataFram
     return progress_files(spark, workspace).where(F.col("path").rlike(r"/jobs/pdf_[^/]*/")).orderBy(F.desc("changed"), "path").limit(limit)
 
 
+def progress_of(spark: SparkSession, workspace: str, job_id: str) -> DataFrame:
+    """The progress of one job; only its folders are read for an id that names one."""
+    return progress_files(spark, workspace).where(F.col("path").rlike(rf"/jobs/{re.escape(job_id)}/progress\.json$"))
+
+
 def packs(spark: SparkSession, folder: str) -> DataFrame:
     """Glossary packs: id (the file's stem if none is given), name, terms; files without terms are left out."""
     rows = spark.read.schema("id string, name string, description string, version string, language string, terms map<string,string>").json(f"{folder}/*.json", multiLine=True)
@@ -54,6 +60,11 @@ def packs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.coalesce("id", stem).alias("id"), "name", "terms", F.size("terms").alias("term_count"), stem.alias("stem")).where("terms is not null").orderBy("stem").drop("stem")
 
 
+def pack(found: DataFrame, pack_id: str) -> DataFrame:
+    """The pack of that id; an id that could leave the folder finds none."""
+    return found.where((F.col("id") == pack_id) & F.lit(pack_id).rlike(r"^[\w-]+$"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines without comments, each once."""
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')").distinct()
