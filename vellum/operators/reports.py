@@ -10,9 +10,9 @@ from vellum.operators import glossary, quality, scoring
 from vellum.sources import views as V
 
 
-def worst_segments(rows: DataFrame, n: int = 20) -> DataFrame:
+def worst_segments(rows: DataFrame, terms: DataFrame | None = None, n: int = 20) -> DataFrame:
     """The n pairs with the lowest error-weighted score."""
-    return scoring.mqm(rows).orderBy("mqm", "conv_id", "idx").limit(n).select("conv_id", "idx", "mqm", "worst")
+    return scoring.mqm(rows, terms).orderBy("mqm", "conv_id", "idx").limit(n).select("conv_id", "idx", "mqm", "worst")
 
 
 def locked_terms(locked: Column) -> Column:
@@ -73,7 +73,7 @@ def _runs(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    "worst_segments": lambda spark, d: worst_segments(V.pairs(spark, d)),
+    "worst_segments": lambda spark, d: worst_segments(V.pairs(spark, d), V.terms(spark, d)),
     "consensus_bands": lambda spark, d: consensus_bands(V.pairs(spark, d)),
     "final_status": lambda spark, d: final_status(V.pairs(spark, d)),
     "run_requests": lambda spark, d: requests(_runs(spark, d)),
