@@ -337,21 +337,21 @@ def without_repeats(docs: DataFrame, filtered: bool = True) -> DataFrame:
     way.  Rows with a null doc_id keep all words and take none from others; rows with
     one doc_id count as one document.  Own columns of those names are replaced.
     """
-    keyed = docs.drop("n_words", "n_removed", "kept_sha256", "spans").withColumn("text_hash", F.xxhash64("text"))
-    thin = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text_hash", "text")
-    spans = written(covered(thin, filtered), "spans")
-    ids = _if_few(spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
-    on = (keyed["doc_id"].cast("long") == ids["__id"]) & (keyed["text_hash"] == ids["__hash"])
-    cut = keyed.join(ids, on, "left_semi").join(spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).drop("__id", "__hash")
-    rest = keyed.join(ids, on, "left_anti").withColumn("spans", F.lit(None).cast(cut.schema["spans"].dataType))
-    columns = [c for c in keyed.columns if c != "text_hash"]
-    every = cut.select(*columns, "spans").unionByName(rest.select(*columns, "spans"))
+    keyed = docs.drop("n_words", "n_removed", "kept_sha256", "__spans", "__text_hash").withColumn("__text_hash", F.xxhash64("text"))
+    thin = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("__text_hash").alias("text_hash"), "text")
+    spans = written(covered(thin, filtered), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    ids = _if_few(spans.select("__id", "__hash"))
+    on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    cut = keyed.join(ids, on, "left_semi").join(spans, on)
+    rest = keyed.join(ids, on, "left_anti").withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType))
+    columns = [c for c in keyed.columns if c != "__text_hash"]
+    every = cut.select(*columns, "__spans").unionByName(rest.select(*columns, "__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts, lost, out = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("spans")), []
+                texts, lost, out = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("__spans")), []
                 for text, spans in zip(texts, lost, strict=True):
                     text = text.as_py()
                     words = (text or "").encode("utf-8", "surrogatepass").split()
