@@ -29,9 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a smaller doc_id has go from the texts; n_chars follows, all documents stay."""
     vellum.ship(spark)
-    left = substrings.without_repeats(docs)
-    n_chars = "if(n_removed > 0, cast(length(text) as bigint), n_chars)"
-    return left.selectExpr(*(f"{n_chars} as n_chars" if c == "n_chars" else c for c in docs.columns))
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_removed", "kept_sha256")}
+    left = substrings.without_repeats(docs.withColumnsRenamed(own))
+    n_chars = "if(n_removed > 0, cast(length(text) as bigint), n_chars) as n_chars"
+    return left.selectExpr(*(n_chars if c == "n_chars" else f"`{own.get(c, c)}` as `{c}`" for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
