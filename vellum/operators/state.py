@@ -113,6 +113,8 @@ def _events(spark, d) -> DataFrame:
     return V.table(spark, d, "events").select((F.col("user_id") % 50).alias("job_id"), F.col("event_type").alias("phase"), F.col("event_id").alias("seq"), "value", F.concat(F.lit("s"), (F.col("event_id") % 12).cast("string")).alias("selector"), (F.col("event_id") % 9 != 0).alias("ok"), F.col("event_type").alias("backend"))
 
 
+#: Endings that pages' addresses get by rule, so that there are uploads of every kind.
+ENDINGS = ("", ".pdf", ".DOCX", ".tex", ".zip", ".tar.gz", ".tgz", ".md", ".markdown", ".txt", ".htm")
 QUERIES = {
     "latest_phases": lambda spark, d: latest_phases(_events(spark, d)),
     "selector_ranks": lambda spark, d: selectors(_events(spark, d)),
@@ -120,7 +122,7 @@ QUERIES = {
     "low_quality_pairs": lambda spark, d: low_quality(V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 20_000.0),
     "bypass_blocks": lambda spark, d: V.blocks(spark, d).select(bypass_reason(F.col("text")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     "output_validation": lambda spark, d: V.table(spark, d, "lineitem").select(F.explode(output_issues(F.col("l_linenumber"), F.col("l_quantity").cast("int") % 7 + 1, F.col("l_extendedprice"), F.col("l_quantity") * 500)).alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
-    "page_kinds": lambda spark, d: V.table(spark, d, "pages").select(upload_kind(F.regexp_replace("url", r"[?#].*$", "")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
+    "page_kinds": lambda spark, d: V.table(spark, d, "pages").select(upload_kind(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int")))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
     "language_selection": lambda spark, d: V.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.max(F.struct("n_chars", F.expr("-doc_id")))["n_chars"].alias("longest")),
 }
 
@@ -137,6 +139,8 @@ select * from (select *, row_number() over (partition by backend order by score
 select reason, count(*) as n from r group by 1""",
     "output_validation": """with l as (select l_linenumber as a, trunc(l_quantity)::int % 7 + 1 as b, l_quantity * 500 / l_extendedprice as r from lineitem)
 select issue, count(*) as n from (select 'strict' as issue from l where a <> b or r < 0.3 union all select 'loose' from l where b < a * 0.5 or (b <= 2 and a > 5) or r < 0.2 union all select 'proofread' from l where a <> b or r < 0.3 or r > 5.0) group by 1""",
-    "page_kinds": r"select case when regexp_matches(lower(u), '\.html?$') then 'html' else 'unknown' end as kind, count(*) as n from (select regexp_replace(url, '[?#].*$', '') as u from pages) group by 1",
+    "page_kinds": rf"""select case when regexp_matches(u, '\.pdf$') then 'pdf' when regexp_matches(u, '\.docx$') then 'docx' when regexp_matches(u, '\.(tex|zip|tar\.gz|tgz)$') then 'latex'
+  when regexp_matches(u, '\.(md|markdown|txt)$') then 'text' when regexp_matches(u, '\.html?$') then 'html' else 'unknown' end as kind, count(*) as n
+from (select lower(regexp_replace(url, '[?#].*$', '') || ({list(ENDINGS)})[page_id % {len(ENDINGS)} + 1]) as u from pages) group by 1""",
     "language_selection": "select lang, count(*) as n, sum(n_chars) as n_chars, max(n_chars) as longest from documents group by 1",
 }
