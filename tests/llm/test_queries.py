@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9_decontaminate": ["doc_id", "contaminated", "item_ids", "reworded"],
     "op10_warc": ["page_id", "record_id", "status", "canonical_url", "refers_to", "outcome", "body_md5", "date", "content_length", "etag", "n_headers"],
+    "op11_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op12_fill_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
 
 
@@ -33,7 +36,7 @@ def results(spark):
 def test_every_row_of_every_table(spark, results):
     rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
     assert {n: c for n, (c, _) in results.items()} == COLUMNS
-    for n in ("op1_simhash", "op2_lm_score", "op3_quality_rules", "op4_sharding", "op8_substrings", "op9_decontaminate"):
+    for n in ("op1_simhash", "op2_lm_score", "op3_quality_rules", "op4_sharding", "op8_substrings", "op9_decontaminate", "op12_fill_middle", "op13_token_counts"):
         assert len(results[n][1]) == rows["documents"]
     assert len(results["op5_html"][1]) == rows["pages"] and len(results["op10_warc"][1]) == 2 * rows["pages"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vellum
-from vellum.llm import chat, decontaminate, html_text, lm_score, packing, quality_rules, sharding, simhash, substrings, warc
+from vellum.llm import chat, decontaminate, fill_middle, hard_negatives, html_text, lm_score, packing, quality_rules, sharding, simhash, substrings, token_counts, warc
 from vellum.llm import oracles as sql
 
 
@@ -69,8 +69,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_lm_score, op3_quality_rules, op4_sharding, op5_html, op6_packing, op7_chat, op8_substrings, op9_decontaminate, op10_warc)
+    f.__name__: f for f in (op1_simhash, op2_lm_score, op3_quality_rules, op4_sharding, op5_html, op6_packing, op7_chat, op8_substrings, op9_decontaminate, op10_warc, op11_hard_negatives, op12_fill_middle, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substrings": sql.SUBSTRINGS,
     "op9_decontaminate": sql.DECONTAMINATE,
     "op10_warc": sql.WARC,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_fill_middle": fill_middle.ORACLE_SQL,
 }
