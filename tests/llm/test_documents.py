@@ -454,3 +454,22 @@ def test_language_model_scores_brute_force(spark, prose, monkeypatch, block_byte
     assert len(got) == len(want)
     for (i, score), ((j, _), expected) in zip(got, sorted(want.items()), strict=True):
         assert i == j and math.isclose(score, expected, rel_tol=1e-6)
+
+
+def test_substrings_keep_columns_of_any_name(spark, prose):
+    extra = {n: F.lit(n) for n in ("__id", "__hash", "__spans", "__text_hash", "own_hash", "own_id", "lost_at", "other_hash", "_own_hash", "a b")}
+    docs = frame(spark, prose).withColumns(extra)
+    plain = {r.doc_id: (r.text, r.n_removed) for r in substrings.without_repeats(frame(spark, prose)).collect()}
+    got = substrings.without_repeats(docs)
+    assert got.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256"]
+    rows = got.collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in rows} == plain and all(r[n] == n for r in rows for n in extra)
+
+
+def test_shards_of_many_buckets_in_runs(spark, prose, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 3)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 1)
+    docs = frame(spark, prose * 5)
+    got = sharding.shuffled(docs, bucket_bytes=4_000)[0].collect()
+    assert sorted(r.position for r in got) == list(range(len(prose) * 5))
+    assert sorted(r.doc_id for r in got) == list(range(1, len(prose) * 5 + 1))

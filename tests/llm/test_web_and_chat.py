@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vellum.llm import chat, decontaminate, html_text, warc
@@ -23,6 +24,42 @@ def test_blocks_decode_and_collapse():
     assert [t for t, _ in html_text.blocks("x<!-- <p>no</p> -->y &am &ampz <p")] == ["xy &am &z"]
 
 
+TEXTS = [
+    ("<head><title>x</title><body><article><p>Hello there", ["Hello there"]),
+    ("<svg><path d='1'><p>after", ["after"]),
+    ("<select><option>a<option>b<p>after", ["after"]),
+    ("<iframe src=x><p>after", ["after"]),
+    ("<title>no end<p>text", ["text"]),
+    ("<textarea>no end<p>text", ["text"]),
+    ("<title>a <p> b</title><p>c", ["c"]),
+    ('<p class="x>Hello there friend', ["Hello there friend"]),
+    ('<p class="x>Hello</p><p class="y">Two</p><div id="z">three', ["Hello", "Two", "three"]),
+    ("<p title='a > b'>ok</p>", ["ok"]),
+    ('<p data-x="<b>bold</b>">ok</p>', ["ok"]),
+    ("<p a=b'c>d</p><p e='f'>g", ["d", "g"]),
+    ("<p>let <math><mi>x</mi><annotation>T</annotation></math> be", ["let x be"]),
+    ("<table><tr><td>1<td>2<tr><td>3<th>4</table>x", ["1", "2", "3", "4", "x"]),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", ["a", "b", "c", "d"]),
+    ("<head>stray<p>x", ["stray", "x"]),
+    ("<head><noscript><img src=a></noscript><meta x><title>t</title></head><p>b", ["b"]),
+    ("<p>a<noscript><div>hid</div></noscript>b<svg><foreignObject><div>hid</div></foreignObject></svg>c", ["abc"]),
+]
+
+
+@pytest.mark.parametrize("page, texts", TEXTS)
+def test_blocks_of_omitted_and_unbalanced_markup(page, texts):
+    assert [t for t, _ in html_text.blocks(page)] == texts
+
+
+def test_blocks_without_the_end_tags_that_may_be_left_out(spark):
+    optional = re.compile(
+        r"</(?:li|dt|dd|tr|td|th|thead|tbody|tfoot|option|head|body|html)\s*>|"
+        r"</p\s*>(?=\s*(?:</|<(?:p|div|ul|ol|h[1-6]|table|section|article|blockquote|pre|form|nav|aside|footer|header|main|hr|dl|figure)\b))", re.I)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").where("html is not null").limit(200).collect()]
+    for page in pages:
+        assert [t for t, _ in html_text.blocks(optional.sub("", page))] == [t for t, _ in html_text.blocks(page)]
+
+
 def test_main_text(spark):
     rows = [(i, f"u{i}", PAGE.format(i=i), "k") for i in range(60)] + [(100, None, None, "k"), (101, "u", "", "k"), (102, "u", "<nav>only</nav>", "k"), (None, "u", PAGE.format(i=7), "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -160,6 +197,20 @@ def test_revisits(spark):
     assert got[2].merged_headers == {"content-length": "9", "etag": 'W/"1"', "x": "new"}
     assert got[6].canonical_url == "b.com/y?k=1"
     assert warc.resolve(records(spark, rows).limit(0)).count() == 0
+    own = records(spark, rows).withColumns({"canonical_url": F.lit("own"), "near": F.lit(1), "__url": F.lit("kept"), "outcome": F.lit(2)})
+    found = warc.resolve(own)
+    assert sorted(found.columns) == sorted([*own.columns, "refers_to", "merged_headers"]) and {r.outcome for r in found.collect()} == {r.outcome for r in got.values()}
+    assert {(r.near, r["__url"]) for r in found.collect()} == {(1, "kept")}
+
+
+def test_revisits_of_records_without_a_url_or_id_and_ties(spark):
+    rows = [(None, None, 5, 304, {"etag": "a"}), (None, None, 5, 200, {"etag": "a"}), (7, None, 6, 304, None)]
+    rows += [(1, "http://x/", 1, 200, {"etag": "a"}), (1, "http://x/", 1, 200, {"etag": "b"}), (2, "http://x/", 2, 304, {"etag": "a"}), (3, "http://x/", 2, 304, {"etag": "b"})]
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>")
+    told = lambda df: sorted((str(r.record_id), r.status, r.outcome, str(r.refers_to)) for r in warc.resolve(df).collect())
+    first = told(frame)
+    assert first == told(frame.orderBy(F.desc("ts"), "headers.etag").repartition(3)) and len(first) == len(rows)
+    assert sorted(o for _, status, o, _ in first if status == 304) == ["mismatch", "no_earlier", "no_earlier", "resolved"]
 
 
 BENCH = [
@@ -224,21 +275,30 @@ def test_decontamination_of_short_and_repeated_items(spark):
     assert sorted((r.doc_id or 0, tuple(r.item_ids)) for r in decontaminate.contaminated(twice, bench).collect()) == sorted((k or 0, tuple(v)) for k, v in got.items() for _ in range(2))
 
 
+def test_decontamination_of_renamed_and_lower_case_questions(spark):
+    item = "Tom has 5 apples. Tom gives 2 to Anna. How many apples does Tom have left?"
+    swap = lambda **names: re.sub("|".join(names), lambda m: names[m[0]], item)
+    texts = [item, item.lower(), item.upper(), swap(Tom="Ben"), swap(Tom="ben", Anna="eva").lower(), swap(Tom="Ben", Anna="Eva").replace("5", "7"), item.replace("Tom gives", "Ben gives")]
+    texts += [f"before it, and {swap(Tom='Ben')} after it", item.replace("apples", "pears"), "Tom and Anna have left.", "has many apples and gives does"]
+    docs, _ = leak(spark, texts)
+    bench = spark.createDataFrame([(1, item), (2, "How To Cook A Good Meal At Home"), (3, "Anna Smith")], "item_id long, text string")
+    got = {r.doc_id: (list(r.item_ids), r.reworded) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert [got[i] for i in range(1, 9)] == [([1], False)] * 3 + [([1], True)] * 3 + [([], False), ([1], True)]
+    assert all(got[i] == ([], False) for i in (9, 10, 11))
+
+
 def brute_leaks(docs, bench):
-    """Documents with 0.8 of an item's windows on one alignment, slots consistent; from the same tokens and templates, found by dictionaries."""
+    """Documents with 0.8 of an item's windows on one alignment, slots consistent; the windows laid on every place of the document."""
     token = re.compile(r"[^\W_]+(?:[.,'’-][^\W_]+)*[.!?:]?")
+    bare = lambda w: w.rstrip(".!?:")
 
     def template(ws):
-        out = []
-        for i, w in enumerate(ws):
-            bare = w.rstrip(".!?:")
-            if w[0] in "0123456789":
-                out.append("<num>")
-            elif ("A" <= w[0] <= "Z" or ord(w[0]) > 127 and bare.lower() != bare) and i and ws[i - 1][-1] not in ".!?:" and len(bare) > 1 and bare.upper() != bare:
-                out.append("<name>")
-            else:
-                out.append("<unit>" if i and ws[i - 1][0] in "0123456789" and bare.lower() in decontaminate.UNITS else bare.lower())
-        return out
+        num = [w[0] in "0123456789" for w in ws]
+        return ["<num>" if num[i] else "<unit>" if i and num[i - 1] and bare(w).lower() in decontaminate.UNITS else bare(w).lower() for i, w in enumerate(ws)]
+
+    def names(ws):
+        capital = lambda w: "A" <= w[0] <= "Z" or ord(w[0]) > 127 and bare(w).lower() != bare(w)
+        return {bare(w).lower() for i, w in enumerate(ws) if i and capital(w) and ws[i - 1][-1] not in ".!?:" and len(bare(w)) > 1 and bare(w).upper() != bare(w)}
 
     found = set()
     for d, text in docs.items():
@@ -247,33 +307,38 @@ def brute_leaks(docs, bench):
         for item, version in bench:
             bw = token.findall(version or "")
             bt, k = template(bw), min(5, len(bw))
-            places = {}
-            for i in range(len(dt) - k + 1):
-                places.setdefault(tuple(dt[i : i + k]), []).append(i)
-            n = Counter(i - j for j in range(len(bt) - k + 1) for i in places.get(tuple(bt[j : j + k]), ())) if k else {}
-            for shift, hits in n.items():
-                if hits < 0.8 * (len(bt) - k + 1):
+            called = names(bw)
+            wild = [k == 5 and t[0] != "<" and bare(w).lower() in called for t, w in zip(bt, bw)]
+            n = len(bt) - k + 1
+            for shift in range(-len(bt), len(dt)) if k else ():
+                at = lambda p: dt[p + shift] if 0 <= p + shift < len(dt) else None  # noqa: E731, B023
+                loose = lambda i: sum(wild[i : i + k]) <= 2  # noqa: E731, B023
+                hits = [i for i in range(n) if all(at(p) == bt[p] or wild[p] and loose(i) and at(p) is not None for p in range(i, i + k))]
+                if len(hits) < 0.8 * n:
                     continue
                 values = {}
                 for p, t in enumerate(bt):
-                    if t[0] == "<" and 0 <= p + shift < len(dt) and dt[p + shift] == t:
-                        values.setdefault((t, bw[p].rstrip(".!?:")), set()).add(dw[p + shift].rstrip(".!?:"))
-                if all(len(v) == 1 for v in values.values()) and (values or not any(t[0] == "<" for t in bt)):
+                    if wild[p] and any(i <= p < i + k for i in hits) or t[0] == "<" and at(p) == t:
+                        values.setdefault(("<name>" if wild[p] else t, bare(bw[p]).lower()), set()).add(bare(dw[p + shift]).lower())
+                if all(len(v) == 1 for v in values.values()):
                     found.add((d, item))
     return found
 
 
 def test_decontamination_brute_force(spark):
     rng = np.random.default_rng(12)
-    words = [f"w{i}" for i in range(30)] + ["Rome", "Oslo", "The", "How", "7", "19", "km", "days", "3.5"]
+    words = [f"w{i}" for i in range(30)] + ["Rome", "Oslo", "rome", "Bern.", "The", "How", "7", "19", "km", "days", "3.5"]
     text = lambda n: " ".join(rng.choice(words, n))
     bench = [(i, text(int(n))) for i, n in enumerate(rng.integers(1, 40, 30))]
     docs = {}
-    for i in range(80):
+    for i in range(120):
         _, item = bench[int(rng.integers(30))]
         ws = item.split()
         for at in rng.integers(0, len(ws), int(rng.integers(0, 3))):
             ws[at] = str(rng.choice(words))
+        if i % 4 == 0:
+            ws = [w.replace("Rome", "Paris") for w in ws]
+        ws = [w.lower() for w in ws] if i % 5 == 0 else ws
         docs[i + 1] = f"{text(int(rng.integers(0, 30)))} {' '.join(ws)} {text(int(rng.integers(0, 30)))}"
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {(r.doc_id, i) for r in decontaminate.contaminated(frame, spark.createDataFrame(bench, "item_id long, text string")).collect() for i in r.item_ids}

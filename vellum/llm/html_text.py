@@ -19,7 +19,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +48,20 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style noscript template iframe object svg math textarea select title head".split())
+HIDDEN_TAGS = frozenset("script style noscript template iframe object svg annotation annotation-xml textarea select title head".split())
+# What may stand in a head; elements whose end tags may be left out, with what their start ends and how far up it looks.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_CELLS, _ROWS, _PARTS = ("td", "th"), ("td", "th", "tr"), ("caption", "td", "th", "tr", "thead", "tbody", "tfoot")
+IMPLIED = (
+    {"li": (("li",), ("ul", "ol", "menu", "dir")), "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",))}
+    | {t: (("dd", "dt"), ("dl",)) for t in ("dd", "dt")}
+    | {t: (_CELLS, ("table", "tr")) for t in _CELLS}
+    | {"tr": (_ROWS, ("table",))}
+    | {t: (_PARTS, ("table",)) for t in ("thead", "tbody", "tfoot")}
+)
+#: Hidden elements that end where a block begins, should their end tag be missing; those up to whose end tag everything is text.
+SOFT, RAW = ("svg", "select", "iframe", "title", "textarea"), ("title", "textarea")
+IN_SOFT = frozenset("title option optgroup hr button canvas legend".split())
 #: Names that tell what isn't main text, as whole words of tags, classes, ids and roles.
 OTHER = re.compile(
     r"(?:^|[-_ ])(nav\w*|menu\w*|header|masthead|banner|footer|foot|aside|sidebar\w*|side|widget\w*|ad|ads|advert\w*|sponsor\w*|promo\w*|popup|modal|"
@@ -55,8 +69,12 @@ OTHER = re.compile(
     r"breadcrumb\w*|pagination|pager|related|recommend\w*|tags|toc|legal|copyright|skip)(?:$|[-_ ])"
 )
 MAIN = frozenset(("article", "main"))
+# An attribute's quoted value begins after = and is followed by a space, an end or the next name; one that holds < or > is short.
+# A tag whose quotes don't pair up so ends at its first >.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)(?:>|(?=<)|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]|=\s*(?:\"(?:[^\"<>]*|[^\"]{0,2000})\"|'(?:[^'<>]*|[^']{0,2000})')(?=[\s/>]|[\w:-]+=)|=(?!\s*[\"']))*)(?:>|(?=<)|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -92,12 +110,16 @@ def _told_by_names(names: str) -> tuple[int, bool, bool]:
 def blocks(page: str) -> list[tuple[str, Step | None]]:
     """(text, innermost element) of each leaf block in page order; hidden text is left out, white space collapsed.
 
-    Takes time in proportion to the page, however deep or unclosed its elements are.
+    End tags that may be left out are supplied.  Takes time in proportion to the page,
+    however deep or unclosed its elements are.
     """
     out: list[tuple[str, Step | None]] = []
     stack: list[Step] = []
-    open_tags: Counter[str] = Counter()
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name
     said: list[str] = []
+    low = page.lower() if any(f"<{t}" in page or f"<{t.upper()}" in page for t in RAW) else ""
+    low = low if len(low) == len(page) else "".join(c.lower() if c.isascii() else c for c in page) if low else ""
+    unclosed: set[str] = set()
     at = 0
 
     def end() -> None:
@@ -109,14 +131,37 @@ def blocks(page: str) -> list[tuple[str, Step | None]]:
 
     def leave(depth: int) -> None:
         for step in stack[depth:]:
-            open_tags[step.tag] -= 1
+            depths[step.tag].pop()
         del stack[depth:]
 
-    for m in _TAG.finditer(page):
-        if m.start() > at and not (stack and stack[-1].hidden):
-            said.append(page[at : m.start()])
+    def say(text: str) -> None:
+        if stack and stack[-1].tag == "head" and not text.isspace():  # a head holds no text of its own
+            leave(len(stack) - 1)
+        if not (stack and stack[-1].hidden):
+            said.append(text)
+
+    def supply(tag: str, block: bool) -> None:
+        """The end tags that ``tag`` stands for."""
+        if depths["head"] and (tag == "body" or tag not in HEAD_TAGS and not any(depths[t] for t in ("noscript", "template", "object", "svg", "title"))):
+            leave(depths["head"][0])
+        if block and tag not in IN_SOFT and not depths["foreignobject"]:
+            open_ = [depths[t][0] for t in SOFT if depths[t]]
+            if open_:
+                leave(min(open_))
+        if tag in IMPLIED:
+            ends, within = IMPLIED[tag]
+            scope = max((depths[t][-1] for t in within if depths[t]), default=-1)
+            inner = [depths[t][k] for t in ends for k in [bisect_right(depths[t], scope)] if k < len(depths[t])]
+            if inner:
+                leave(min(inner))
+        if block and stack and not stack[-1].hidden and stack[-1].block_at >= 0 and stack[stack[-1].block_at].tag == "p":
+            leave(stack[-1].block_at)
+
+    while m := _TAG.search(page, at):
+        if m.start() > at:
+            say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        closing, tag, rest = m.group(2, 3, 4) if m[3] else m.group(5, 6, 7)
         if tag is None:
             continue
         tag = tag.lower()
@@ -124,24 +169,30 @@ def blocks(page: str) -> list[tuple[str, Step | None]]:
         if tag == "br":
             said.append(" ")
             continue
-        if block:
+        covered = bool(stack and stack[-1].hidden)
+        if block and not covered:
             end()
-        if m[2]:
-            if open_tags[tag]:
-                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
+        if closing:
+            if depths[tag]:
+                leave(depths[tag][-1])
             continue
+        supply(tag, block)
+        if block and covered and not (stack and stack[-1].hidden):
+            end()
         if tag in VOID_TAGS:
             continue
-        if block:  # a block inside a paragraph ends it, as do neighbours in lists and tables
-            k = stack[-1].block_at if stack else -1
-            if k >= 0 and (stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "option", "td", "th", "tr", "dd", "dt")):
-                leave(k)
-        named = " ".join(f"role-{v}" if n.lower() == "role" else v for n, *vs in _NAMED.findall(m[4]) for v in ["".join(vs)]) if m[4] else ""
-        if not m[4].rstrip().endswith("/") or block:
+        named = " ".join(f"role-{v}" if n.lower() == "role" else v for n, *vs in _NAMED.findall(rest) for v in ["".join(vs)]) if rest else ""
+        if not rest.rstrip().endswith("/") or block:
+            depths[tag].append(len(stack))
             stack.append(Step(tag, named.lower(), stack[-1] if stack else None))
-            open_tags[tag] += 1
-    if at < len(page) and not (stack and stack[-1].hidden):
-        said.append(page[at:])
+            if tag in RAW and tag not in unclosed and not depths["svg"]:
+                to = low.find(f"</{tag}", at)
+                if to < 0:
+                    unclosed.add(tag)
+                else:
+                    at = to  # what looks like tags before is text, and hidden
+    if at < len(page):
+        say(page[at:])
     end()
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm.decontaminate import SIMILARITY, UNITS, WINDOW
+from vellum.llm.decontaminate import NAMES, SIMILARITY, UNITS, WINDOW
 
 QUALITY_RULES = r"""
 with d as (
@@ -45,51 +45,48 @@ _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 
 
 def _templates(table: str, key: str) -> str:
+    """Tokens with their templates, and whether each is a capital word inside a sentence."""
     return f"""
-  select {key}, pos, w, rtrim(w, '.!?:') as bare,
-    case when ascii(w) between 48 and 57 then '<num>'
-         when (ascii(w) between 65 and 90 or (unicode(w) > 127 and lower(rtrim(w, '.!?:')) <> rtrim(w, '.!?:')))
-              and prev is not null and right(prev, 1) not in ('.', '!', '?', ':') and length(rtrim(w, '.!?:')) > 1
-              and upper(rtrim(w, '.!?:')) <> rtrim(w, '.!?:') then '<name>'
-         when prev is not null and ascii(prev) between 48 and 57 and lower(rtrim(w, '.!?:')) in ({_UNITS}) then '<unit>'
-         else lower(rtrim(w, '.!?:')) end as t
-  from (select {key}, pos, w, lag(w) over (partition by {key} order by pos) as prev
+  select {key}, pos, low,
+    case when ascii(w) between 48 and 57 then '<num>' when prev is not null and ascii(prev) between 48 and 57 and low in ({_UNITS}) then '<unit>' else low end as t,
+    (ascii(w) between 65 and 90 or (unicode(w) > 127 and low <> bare)) and prev is not null and right(prev, 1) not in ('.', '!', '?', ':')
+      and length(bare) > 1 and upper(bare) <> bare as capital
+  from (select *, rtrim(w, '.!?:') as bare, lower(rtrim(w, '.!?:')) as low, lag(w) over (partition by {key} order by pos) as prev
         from (select {key}, generate_subscripts(ws, 1) as pos, unnest(ws) as w
               from (select {key}, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') as ws from {table})))"""
 
 
-def _windows(name: str, key: str, sizes: str) -> str:
-    """Windows of k tokens; ``sizes`` has the k of each key, or of all."""
-    rest = ", ".join(f"lead(t, {i}) over o" for i in range(1, WINDOW))
-    return f"""
-  select {key}, pos, all_five[:k] as win from (
-    select {key}, pos, [t, {rest}] as all_five, count(*) over (partition by {key}) as n
-    from {name} window o as (partition by {key} order by pos)) join {sizes} where pos <= n - k + 1"""
-
+_NEXT = ", ".join(f"lead(t, {i}) over o as t{i}" for i in range(1, WINDOW))
+_WILD = ", ".join(f"coalesce(lead(wild, {i}) over o, 0) as w{i}" for i in range(1, WINDOW))
+_BLANK = "[" + ", ".join(f"case when mask & {1 << i} <> 0 then '<name>' else t{i} end" for i in range(WINDOW)) + "][:k]"
+_FEW = " + ".join(f"w{i}" for i in range(WINDOW)) + f" <= {NAMES}"
 
 DECONTAMINATE = f"""
 with b as (select row_number() over () as item, item_id, text from (select distinct item_id, text from benchmark where item_id is not null)),
-dt as ({_templates("documents", "doc_id")}), bt as ({_templates("b", "item")}),
-size as (select item, least(count(*), {WINDOW}) as k from bt group by 1),
-dw as ({_windows("dt", "doc_id", "(select distinct k from size) on true")}),
-bw as ({_windows("bt", "item", "size using (item)")}),
+dt as ({_templates("documents", "doc_id")}), b0 as ({_templates("b", "item")}),
+size as (select item, least(count(*), {WINDOW}) as k from b0 group by 1),
+bt as (
+  select b0.*, k, (k = {WINDOW} and t not in ('<num>', '<unit>') and names.item is not null)::int as wild
+  from b0 join size using (item) left join (select distinct item, low from b0 where capital) names on names.item = b0.item and names.low = b0.low
+), bl as (select item, pos, k, t as t0, {_NEXT}, wild as w0, {_WILD}, count(*) over (partition by item) as n from bt window o as (partition by item order by pos)),
+bm as (select *, case when k = {WINDOW} and {_FEW} then {" + ".join(f"{1 << i} * w{i}" for i in range(WINDOW))} else 0 end as mask from bl where pos <= n - k + 1),
+bw as (select item, pos, k, mask, {_BLANK} as win from bm),
+forms as (select distinct k, mask from bw),
+dl as (select doc_id, pos, t as t0, {_NEXT}, count(*) over (partition by doc_id) as n from dt window o as (partition by doc_id order by pos)),
+dw as (select doc_id, pos, k, mask, {_BLANK} as win from dl join forms on pos <= n - k + 1),
 n as (select item, count(*) as n_windows from bw group by 1),
-hits as (
-  select doc_id, item, dw.pos - bw.pos as shift, count(distinct bw.pos) as n_hits
-  from dw join bw using (win) group by all
-), near as (select * from hits join n using (item) where n_hits >= n_windows * {SIMILARITY}),
+hits as (select distinct doc_id, item, dw.pos - bw.pos as shift, bw.pos as pos from dw join bw using (k, mask, win)),
+near as (select doc_id, item, shift from (select doc_id, item, shift, count(*) as n_hits from hits group by all) join n using (item) where n_hits >= n_windows * {SIMILARITY}),
 slots as (
-  select near.doc_id, near.item, near.shift, bt.t as kind, bt.bare as old, dt.bare as new
-  from near join bt using (item) join dt on dt.doc_id = near.doc_id and dt.pos = near.shift + bt.pos and dt.t = bt.t
-  where bt.t in ('<num>', '<name>', '<unit>')
+  select near.doc_id, near.item, near.shift, case when bt.wild = 1 then '<name>' else bt.t end as kind, bt.low as old, dt.low as new
+  from near join bt using (item) join dt on dt.doc_id = near.doc_id and dt.pos = near.shift + bt.pos
+  where bt.wild = 0 and bt.t in ('<num>', '<unit>') and dt.t = bt.t
+    or bt.wild = 1 and exists (select 1 from hits h where h.doc_id = near.doc_id and h.item = near.item and h.shift = near.shift and h.pos between bt.pos - {WINDOW - 1} and bt.pos)
 ), v as (
   select doc_id, item, shift, max(news) as news, sum(changed) as n_changed from (
     select doc_id, item, shift, kind, old, count(distinct new) as news, sum((new <> old)::int) as changed from slots group by all) group by all
-), slotted as (select distinct item from bt where t in ('<num>', '<name>', '<unit>')),
-ok as (
-  select doc_id, item, 0 as n_changed from near where item not in (select item from slotted)
-  union all select doc_id, item, n_changed from v where news = 1
-), best as (select doc_id, item_id, min(n_changed) as n_changed from ok join b using (item) group by all),
+), ok as (select near.doc_id, near.item, coalesce(n_changed, 0) as n_changed from near left join v on v.doc_id = near.doc_id and v.item = near.item and v.shift = near.shift where coalesce(news, 1) = 1),
+best as (select doc_id, item_id, min(n_changed) as n_changed from ok join b using (item) group by all),
 found as (select doc_id, list_sort(list(distinct item_id)) as item_ids, bool_or(n_changed > 0) as reworded from best group by 1)
 select d.doc_id, item_ids is not null as contaminated, coalesce(item_ids, []::bigint[]) as item_ids, coalesce(reworded, false) as reworded
 from documents d left join found using (doc_id)

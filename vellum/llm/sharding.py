@@ -28,6 +28,8 @@ BUCKET_BYTES = 32 << 20
 HOT_PART, COPIES = 8, 10_000
 #: Hot rows up to which a list of their hashes, 16 bytes each, is broadcast.
 BROADCAST_ROWS = 500_000
+#: Buckets of a run, whose counts are added up apart.
+RUN = 1024
 #: Rows that a task hands on at once.
 CHUNK = 2_000
 
@@ -93,7 +95,8 @@ def shuffled(docs: DataFrame, seed: int = 11, bucket_bytes: int = BUCKET_BYTES)
 
     Every row of the input comes out once, with all its columns; an own column named
     position is replaced.  Places depend on the rows and the seed only; rows that are equal
-    in all columns can't be told apart.  Nulls are hashed like other values.
+    in all columns can't be told apart.  Nulls are hashed like other values.  Own columns
+    named __bucket, __start, __a, __b, __copy or __n are left out.
     """
     spark = docs.sparkSession
     docs = docs.drop("position", "__bucket", "__start", "__a", "__b", "__copy", "__n")
@@ -102,10 +105,15 @@ def shuffled(docs: DataFrame, seed: int = 11, bucket_bytes: int = BUCKET_BYTES)
     keys = ["__a", "__b", "__copy"]
     scattered = _spread(_identified(docs, seed), bucket_bytes).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     counts = scattered.groupBy("__bucket").agg(F.count("*").alias("n"))
-    # one row for each memory-sized bucket: few, and the only thing that is put in one order
-    starts = counts.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__start"))
+    # places before each bucket: within runs of RUN buckets, and before the runs, of which one order is made
+    counts = counts.withColumn("__run", F.expr(f"__bucket div {RUN}"))
+    runs = counts.groupBy("__run").agg(F.sum("n").alias("run_n"))
+    runs = runs.select("__run", (F.sum("run_n").over(Window.orderBy("__run")) - F.col("run_n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("__run").orderBy("__bucket")) - F.col("n")
+    starts = counts.withColumn("within", within).join(runs, "__run").select("__bucket", (F.col("within") + F.col("before")).alias("__start"))
+    starts = F.broadcast(starts) if buckets <= BROADCAST_ROWS else starts
     # a bucket is a partition: its number, not a hash of it, says where it goes
-    dealt = scattered.repartitionById(buckets, F.col("__bucket")).join(F.broadcast(starts), "__bucket")
+    dealt = scattered.repartitionById(buckets, F.col("__bucket")).join(starts, "__bucket")
     dealt = dealt.sortWithinPartitions("__bucket", *keys).select(*docs.columns, "__bucket", "__start")
     schema = T.StructType([*docs.schema.fields, T.StructField("position", T.LongType())])
     return dealt.mapInArrow(_shuffle(seed), schema), total[0]

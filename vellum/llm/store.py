@@ -45,6 +45,16 @@ def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
     return table
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a written table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.store import partitions, written
+from vellum.llm.store import partitions, unused, written
 from vellum.llm.words import Words, iter_slices, mix
 
 SPAN, RUN = 50, 8
@@ -337,21 +337,23 @@ def without_repeats(docs: DataFrame, filtered: bool = True) -> DataFrame:
     way.  Rows with a null doc_id keep all words and take none from others; rows with
     one doc_id count as one document.  Own columns of those names are replaced.
     """
-    keyed = docs.drop("n_words", "n_removed", "kept_sha256", "__spans", "__text_hash").withColumn("__text_hash", F.xxhash64("text"))
-    thin = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("__text_hash").alias("text_hash"), "text")
-    spans = written(covered(thin, filtered), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    ids = _if_few(spans.select("__id", "__hash"))
-    on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    cut = keyed.join(ids, on, "left_semi").join(spans, on)
-    rest = keyed.join(ids, on, "left_anti").withColumn("__spans", F.lit(None).cast(cut.schema["__spans"].dataType))
-    columns = [c for c in keyed.columns if c != "__text_hash"]
-    every = cut.select(*columns, "__spans").unionByName(rest.select(*columns, "__spans"))
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    own_hash, own_id, other_hash, lost_at = unused(docs, "own_hash", "own_id", "other_hash", "lost_at")
+    keyed = docs.withColumn(own_hash, F.xxhash64("text"))
+    thin = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(own_hash).alias("text_hash"), "text")
+    spans = written(covered(thin, filtered), "spans").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(other_hash), F.col("spans").alias(lost_at))
+    ids = _if_few(spans.select(own_id, other_hash))
+    on = (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(own_hash) == F.col(other_hash))
+    columns, quoted = docs.columns, [f"`{c}`" for c in docs.columns]
+    cut = keyed.join(ids, on, "left_semi").join(spans, on).select(*quoted, lost_at)
+    rest = keyed.join(ids, on, "left_anti").select(*quoted, F.lit(None).cast(cut.schema[lost_at].dataType).alias(lost_at))
+    every = cut.unionByName(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts, lost, out = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("__spans")), []
+                texts, lost, out = part.column(part.schema.get_field_index("text")), part.column(part.num_columns - 1), []
                 for text, spans in zip(texts, lost, strict=True):
                     text = text.as_py()
                     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -363,4 +365,4 @@ def without_repeats(docs: DataFrame, filtered: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(new["n_words"], pa.int64()), pa.array(new["n_removed"], pa.int64()), pa.array(new["kept_sha256"], pa.string())], [*columns, "n_words", "n_removed", "kept_sha256"])
 
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    return every.mapInArrow(run, T.StructType([*every.select(columns).schema.fields, *extra]))
+    return every.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))

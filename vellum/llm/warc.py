@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.llm.store import unused
+
 #: Seconds of a stretch.
 STRETCH = 86_400
 # Headers that a not-modified answer doesn't update.
@@ -50,38 +52,40 @@ def resolve(records: DataFrame) -> DataFrame:
     agrees.  Only status 200 counts as a full response.  Of captures in one second the
     full ones come first, then the lesser record_id.  Null urls and times never
     resolve; null headers count as none; header names are compared in lower case, and of
-    two that then agree the later counts.
+    two that then agree the later counts.  Own columns named canonical_url, refers_to,
+    outcome or merged_headers are replaced, others kept.
     """
     none = F.create_map().cast("map<string,string>")
     given = F.transform(F.map_entries(F.coalesce("headers", none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     names = F.transform(given, lambda e: e["key"])
     lower = F.map_from_entries(F.filter(given, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
-    rows = records.withColumn("headers", lower).withColumn("__url", canonical_url("url")).withColumn("__stretch", F.floor(F.col("ts") / STRETCH))
-    full = (F.col("status") == 200) & F.col("__url").isNotNull() & F.col("ts").isNotNull()
+    own = [f"`{c}`" for c in records.columns if c not in ("refers_to", "outcome", "merged_headers", "canonical_url")]
+    url, stretch, tie, last_, carried_, near, source_ = unused(records, "url_key", "stretch", "tie", "last_full", "carried", "near", "source")
+    rows = records.select(*own).withColumn("headers", lower).withColumn(url, canonical_url("url")).withColumn(stretch, F.floor(F.col("ts") / STRETCH))
+    rows = rows.withColumn(tie, F.xxhash64(F.array_sort(F.map_entries("headers"))))
+    full = (F.col("status") == 200) & F.col(url).isNotNull() & F.col("ts").isNotNull()
     state = F.struct("ts", F.col("record_id").alias("id"), "headers")
-    by_time = F.struct("ts", F.col("record_id").alias("id"))
-    key = ["__url", "__stretch"]
-    last = rows.where(full).groupBy(*key).agg(F.max_by(state, by_time).alias("__last"))
-    stretches = rows.where("__url is not null").select(*key).distinct().join(last, key, "left")
-    before = Window.partitionBy("__url").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = stretches.select(*key, F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    # records without a url never resolve: each stands alone, so that they don't meet in one task
-    rows = rows.withColumn("__apart", F.when(F.col("__url").isNull(), F.col("record_id").cast("string")))
-    order = Window.partitionBy(*key, "__apart").orderBy("ts", F.when(full, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("__near", F.last(F.when(full, state), ignorenulls=True).over(order)).join(carried, key, "left")
-    source = F.coalesce("__near", "__carried")
-    seen = seen.withColumn("__source", F.when(F.col("__url").isNotNull() & F.col("ts").isNotNull(), source))
-    told = lambda name: _header(name).isNotNull() & F.element_at("__source.headers", name).isNotNull()
-    same = lambda name: F.regexp_replace(_header(name), r"^W/", "") == F.regexp_replace(F.element_at("__source.headers", name), r"^W/", "")
+    key = [url, stretch]
+    last = rows.where(full).groupBy(*key).agg(F.max_by(state, F.struct("ts", "record_id", tie)).alias(last_))
+    # records without a url never resolve: they stay out of the windows, so that they don't meet in one task
+    alone, rows = rows.where(F.col(url).isNull()), rows.where(F.col(url).isNotNull())
+    stretches = rows.select(*key).distinct().join(last, key, "left")
+    before = Window.partitionBy(url).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select(*key, F.last(last_, ignorenulls=True).over(before).alias(carried_))
+    order = Window.partitionBy(*key).orderBy("ts", F.when(full, 0).otherwise(1), "record_id", tie).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn(near, F.last(F.when(full, state), ignorenulls=True).over(order)).join(carried, key, "left")
+    seen = seen.withColumn(source_, F.when(F.col("ts").isNotNull(), F.coalesce(near, carried_))).drop(near, carried_)
+    seen = seen.unionByName(alone.withColumn(source_, F.lit(None).cast(seen.schema[source_].dataType)))
+    told = lambda name: _header(name).isNotNull() & F.element_at(F.col(source_)["headers"], name).isNotNull()
+    same = lambda name: F.regexp_replace(_header(name), r"^W/", "") == F.regexp_replace(F.element_at(F.col(source_)["headers"], name), r"^W/", "")
     agrees = F.when(told("etag"), same("etag")).when(told("last-modified"), same("last-modified")).otherwise(F.lit(False))
-    outcome = F.when(~F.col("status").eqNullSafe(304), "full").when(F.col("__source").isNull(), "no_earlier").when(agrees, "resolved").otherwise("mismatch")
+    outcome = F.when(~F.col("status").eqNullSafe(304), "full").when(F.col(source_).isNull(), "no_earlier").when(agrees, "resolved").otherwise("mismatch")
     seen = seen.withColumn("outcome", outcome)
     allowed = F.map_filter("headers", lambda k, _: ~k.isin(*KEPT_HEADERS))
-    stored = F.map_filter("__source.headers", lambda k, _: ~F.map_contains_key(allowed, k))
+    stored = F.map_filter(F.col(source_)["headers"], lambda k, _: ~F.map_contains_key(allowed, k))
     merged = F.when(F.col("outcome") == "resolved", F.map_concat(stored, allowed)).when(F.col("outcome") == "full", F.col("headers"))
-    refers = F.when(F.col("outcome") == "full", F.col("record_id")).when(F.col("outcome") == "resolved", F.col("__source.id"))
-    own = [c for c in records.columns if c not in ("refers_to", "outcome", "merged_headers")]
-    return seen.withColumn("refers_to", refers).withColumn("merged_headers", merged).select(*own, F.col("__url").alias("canonical_url"), "refers_to", "outcome", "merged_headers")
+    refers = F.when(F.col("outcome") == "full", F.col("record_id")).when(F.col("outcome") == "resolved", F.col(source_)["id"])
+    return seen.withColumn("refers_to", refers).withColumn("merged_headers", merged).select(*own, F.col(url).alias("canonical_url"), "refers_to", "outcome", "merged_headers")
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
