@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.operators import convert, diagnostics, events, geometry, glossary, latex, masking, quality, relational, reports, retrieval, runs, scoring, segments, state, tables
+from vellum.operators import convert, diagnostics, events, expiring, geometry, glossary, latex, masking, quality, relational, reports, retrieval, runs, scoring, segments, state, tables
 
 FLAGSHIP = "quality_score"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (quality, scoring, diagnostics, glossary, retrieval, events, relational, segments, masking, convert, state, latex, reports, geometry, runs, tables):
+for _part in (quality, scoring, diagnostics, glossary, retrieval, events, relational, segments, masking, convert, state, latex, reports, geometry, runs, tables, expiring):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
