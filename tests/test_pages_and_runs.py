@@ -288,9 +288,9 @@ def test_answers_and_small_rules(spark):
     assert [r.key for r in state.cache_read(cache, 2.0).collect()] == ["a"]
     span = lambda text, y, size: F.struct(F.lit(text).alias("text"), F.lit(y).alias("y"), F.lit(size).alias("size"))
     got = one(spark, *(layout.is_geometric_math(span(*s), F.lit(10.0), F.lit(10.0)) for s in (("2", 7.0, 10.0), ("2", 10.0, 8.0), ("2", 10.0, 10.0), ("a long text here", 7.0, 10.0))))
-    assert got == (True, True, False, False)
-    assert one(spark, *(layout.is_narrow_vertical(*map(F.lit, b)) for b in ((0.0, 0.0, 20.0, 100.0), (0.0, 0.0, 50.0, 900.0), (0.0, 0.0, 20.0, 50.0)))) == (True, False, False)
+    assert got == (False, False, False, False)  # footnote marks and prose
+    assert one(spark, *(layout.is_narrow_vertical(*map(F.lit, b)) for b in ((0.0, 0.0, 20.0, 100.0), (0.0, 0.0, 50.0, 900.0), (0.0, 0.0, 20.0, 50.0)))) == (True, False, True)
     page = spark.createDataFrame([(1, i, *b) for i, b in enumerate([(50.0, 0.0, 280.0, 9.0), (60.0, 20.0, 290.0, 29.0), (310.0, 0.0, 550.0, 9.0), (320.0, 20.0, 550.0, 29.0)])], BOX)
-    assert tuple(layout.columns(page, 600.0).first()) == (1, 50.0, 310.0, True)
+    assert [tuple(c) for c in layout.columns(page, 600.0).first()["columns"]] == [(50.0, 290.0), (310.0, 550.0)]
     boxes_ = spark.createDataFrame([(1, 1, 0, 2, 1.0, 1.0, 2.0, 2.0), (1, 0, 1, 1, 0.0, 0.0, 1.0, 1.0), (1, 0, 0, 1, 5.0, 0.0, 6.0, 1.0)], "doc_id long, chunk int, block_idx int, page_num int, x0 double, y0 double, x1 double, y1 double")
     assert [[b.x0 for b in c] for c in runs.block_map(boxes_).first().chunks] == [[5.0, 0.0], [1.0]]

@@ -58,24 +58,35 @@ def column_of(x0: Column, x1: Column, columns: Column) -> Column:
     return F.when(F.size(columns) <= 1, 0).otherwise(F.when(first > 0, first).otherwise(F.array_position(far, F.array_min(far))) - 1).cast("int")
 
 
-def _others(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    other = blocks.select(*keys, *(F.col(c).alias(f"o{c}") for c in ("block_idx", "x0", "y0", "x1", "y1")))
-    return blocks.join(other, keys).where("block_idx <> oblock_idx")
-
-
 def next_below(blocks: DataFrame, page_height: float) -> DataFrame:
-    """``blocks`` with ``next_y``: 2 above the next block below in the same column (``col``), at most 20 above the page's end."""
+    """``blocks`` with ``next_y``: 2 above the next block below in the same column (``col``), at most 20 above the page's end.
+
+    Starts and ends are put in one order of heights, where each end looks for the next start.
+    """
     keys = ["page_num", "col"]
-    below = _others(blocks, keys).where("oy0 > y1 + 1").groupBy(*keys, "block_idx").agg(F.min("oy0").alias("__y"))
+    starts = blocks.select(*keys, F.col("y0").cast("double").alias("__at"), F.lit(0).alias("__end"), F.lit(None).cast(blocks.schema["block_idx"].dataType).alias("block_idx"))
+    ends = blocks.select(*keys, (F.col("y1") + 1).cast("double").alias("__at"), F.lit(1).alias("__end"), "block_idx")
+    # of one height starts come first: a start has to lie beyond the end
+    after = Window.partitionBy(*keys).orderBy("__at", "__end", "block_idx").rowsBetween(1, Window.unboundedFollowing)
+    below = starts.unionByName(ends).withColumn("__y", F.min(F.when(F.col("__end") == 0, F.col("__at"))).over(after)).where("__end = 1").select(*keys, "block_idx", "__y")
     return blocks.join(below, [*keys, "block_idx"], "left").withColumn("next_y", F.least(F.lit(page_height - 20), F.coalesce(F.col("__y") - 2, F.lit(page_height - 20)))).drop("__y")
 
 
 def room_below(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``max_y``: how far each may grow, to 1.5 above the next block that shares over 0.3 of the lesser width, at most by twice its height."""
-    shared = F.expr("least(x1, ox1) - greatest(x0, ox0)")
-    narrow = F.expr("least(x1 - x0, ox1 - ox0)")
-    near = _others(blocks, ["page_num"]).where((F.col("oy0") > F.col("y1")) & (narrow > 0) & (shared / narrow > 0.3)).groupBy("page_num", "block_idx").agg(F.min("oy0").alias("__y"))
-    most = F.expr("y1 + (y1 - y0) * 2.0")
+    """``blocks`` with ``max_y``: how far each may grow, to 1.5 above the next block that shares over 0.3 of the lesser width, at most by twice its height.
+
+    Only blocks in reach of that growth are met, on grid cells.
+    """
+    from vellum.operators.tables import meeting
+
+    most = F.col("y1") + (F.col("y1") - F.col("y0")) * 2.0
+    box = ["page_num", "block_idx", "x0", "x1"]
+    reach = blocks.select(*box, (F.col("y1") - F.col("y0")).alias("h"), F.col("y1").alias("y0"), (most + 2).alias("y1"))
+    tops = blocks.select(*box, "y0", (F.col("y0") + 1).alias("y1"))
+    shared = F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0")
+    narrow = F.least(F.col("l.x1") - F.col("l.x0"), F.col("r.x1") - F.col("r.x0"))
+    met = meeting(reach, tops).where((F.col("l.block_idx") != F.col("r.block_idx")) & (F.col("r.y0") > F.col("l.y0")) & (shared / narrow > 0.3))
+    near = met.groupBy("page_num", F.col("l.block_idx").alias("block_idx")).agg(F.min("r.y0").alias("__y"))
     return blocks.join(near, ["page_num", "block_idx"], "left").withColumn("max_y", F.least(most, F.coalesce(F.col("__y") - 1.5, most))).drop("__y")
 
 
@@ -168,7 +179,7 @@ def is_coloured(stroke: Column, fill: Column) -> Column:
     return F.coalesce((low < 0.95) & (high - low > 0.1), F.lit(False)) | F.coalesce((F.size(fill) >= 3) & F.exists(F.slice(fill, 1, 3), lambda c: c < 0.98), F.lit(False))
 
 
-def diagrams(shapes: DataFrame, least: int = 3, least_size: float = 40.0, near: float = 12.0) -> DataFrame:
+def diagrams(shapes: DataFrame, least: int = 3, least_size: float = 80.0, near: float = 30.0) -> DataFrame:
     """Boxes, 4 points wider, of groups of ``least`` shapes or more that come within ``near`` of one another, page by page.
 
     Shapes under 2 points either way don't count, nor do groups under ``least_size`` either way.
@@ -236,9 +247,9 @@ ORACLE_SQL = {
     "block_next_below": f"with {_C} select a.page_num, a.block_idx, least(822.0, coalesce(min(o.y0) - 2, 822.0))::double as next_y from k a left join k o on o.page_num = a.page_num and o.col = a.col and o.block_idx <> a.block_idx and o.y0 > a.y1 + 1 group by 1, 2",
     "block_room_below": f"""with {_B} select a.page_num, a.block_idx, any_value(least(a.y1 + (a.y1 - a.y0) * 2, coalesce(o.y - 1.5, a.y1 + (a.y1 - a.y0) * 2))) as max_y from b a left join lateral (
   select min(y0) as y from b o where o.page_num = a.page_num and o.block_idx <> a.block_idx and o.y0 > a.y1 and (least(a.x1, o.x1) - greatest(a.x0, o.x0)) / least(a.x1 - a.x0, o.x1 - o.x0) > 0.3) o on true group by 1, 2""",
-    "page_diagrams": f"""with recursive {_B}, e as (select a.page_num, a.block_idx as i, o.block_idx as j from b a join b o on o.page_num = a.page_num and o.x0 < a.x1 + 12 and o.x1 > a.x0 - 12 and o.y0 < a.y1 + 12 and o.y1 > a.y0 - 12),
+    "page_diagrams": f"""with recursive {_B}, e as (select a.page_num, a.block_idx as i, o.block_idx as j from b a join b o on o.page_num = a.page_num and o.x0 < a.x1 + 30 and o.x1 > a.x0 - 30 and o.y0 < a.y1 + 30 and o.y1 > a.y0 - 30),
 r as (select page_num, i, j from e union select r.page_num, r.i, e.j from r join e on e.page_num = r.page_num and e.i = r.j),
 g as (select page_num, i, min(j) as root from r group by 1, 2)
 select page_num, min(x0) - 4 as x0, min(y0) - 4 as y0, max(x1) + 4 as x1, max(y1) + 4 as y1 from (select g.root, b.* from g join b on b.page_num = g.page_num and b.block_idx = g.i) group by page_num, root
-having count(*) >= 3 and max(x1) - min(x0) >= 40 and max(y1) - min(y0) >= 40""",
+having count(*) >= 3 and max(x1) - min(x0) >= 80 and max(y1) - min(y0) >= 80""",
 }

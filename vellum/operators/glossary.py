@@ -2,43 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
 from vellum.sources import views as V
 
 CAP = 40
-#: Terms up to which every text is tested against all of them in place; more are found by their first letters.
+#: Terms up to which every text is tested against all of them in place.
 IN_PLACE = 500
-GRAM = 3
+#: Bytes of terms that an automaton of a task is made of; a larger glossary is looked for in shards of so much.
+SHARD_BYTES = 16 << 20
+
+
+def _finder(terms: list[str]):
+    """A column function: the different terms, by one automaton of all, that each text contains."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for t in terms:
+            if t:
+                automaton.add_word(t, t)
+        always = [""] if "" in terms else []
+        automaton.make_automaton()
+        for texts in parts:
+            none = not len(automaton)
+            yield texts.map(lambda x: None if x is None else always if none else always + list({t for _, t in automaton.iter(x)}))  # noqa: B023
+
+    return found
 
 
 def matches(texts: DataFrame, terms: DataFrame, text: str = "src") -> DataFrame:
     """``texts`` x ``terms`` where the lower-cased text contains the term; terms are lower case.
 
-    A small glossary rides along as a literal, tested inside the row.  A larger one
-    is joined on the first letters of each term, all of a shorter one, which can only leave out texts that
-    don't contain it, and then tested.
+    A small glossary rides along as a literal, tested inside the row.  A larger one is
+    made an automaton, through which each text goes once; one of over SHARD_BYTES is
+    dealt over shards, and the texts go through one automaton after another.  Only the
+    text that is searched leaves the JVM.  Null texts and terms match nothing.
     """
-    found = terms.limit(IN_PLACE + 1).collect()
+    terms = terms.where(F.col("en").isNotNull())
     names = terms.columns
     low = F.lower(F.col(text))
-    if len(found) <= IN_PLACE:
-        if not found:
-            return texts.join(terms.limit(0), F.lit(True))
-        every = F.array(*[F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in found])
+    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("en")), F.lit(0))).first()
+    if not n:
+        return texts.join(terms.limit(0), F.lit(True))
+    if n <= IN_PLACE:
+        every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in names]) for r in terms.collect()])
         bound = F.filter(every, lambda t: F.contains(low, t["en"]))
-        return texts.withColumn("__t", F.explode(bound)).select(*texts.columns, *(F.col(f"__t.{n}").alias(n) for n in names))
-    out = texts.crossJoin(terms.where(F.length("en") == 0))
-    for n in range(1, GRAM + 1):
-        size = F.lit(n)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, size)))  # noqa: B023
-        own = terms.where(F.length("en") >= n if n == GRAM else F.length("en") == n).withColumn("__g", F.left("en", F.lit(n)))
-        out = out.unionByName(texts.withColumn("__g", F.explode(grams)).join(own, "__g").where(F.contains(low, F.col("en"))).drop("__g"))
+        return texts.withColumn("__t", F.explode(bound)).select(*texts.columns, *(F.col(f"__t.{c}").alias(c) for c in names))
+    shards = -(-size // SHARD_BYTES)
+    shard, out = F.pmod(F.xxhash64("en"), F.lit(shards)), None
+    for k in range(shards):
+        own = terms.where(shard == k) if shards > 1 else terms
+        listed = [r.en for r in own.select("en").distinct().collect()]  # SHARD_BYTES or so
+        hits = texts.withColumn("__en", F.explode(_finder(listed)(low)))
+        met = hits.join(F.broadcast(own.withColumnRenamed("en", "__en")), "__en").select(*texts.columns, *(F.col("__en").alias("en") if c == "en" else F.col(c) for c in names))
+        out = met if out is None else out.unionByName(met)
     return out
 
 
@@ -83,12 +110,21 @@ def densest_chunks(found: DataFrame, n: int = 10) -> DataFrame:
     return g.orderBy(F.desc("score"), F.desc("conv_id"), F.desc("idx")).limit(n)
 
 
+# What stands over the locked and the other terms of a prompt.
+LOCKED_HEAD = "=== THUẬT NGỮ KHÓA (BẮT BUỘC giữ nguyên bản dịch này, không được thay thế) ==="
+TERMS_HEAD = "=== BẢNG THUẬT NGỮ (ưu tiên dùng bản dịch này) ==="
+
+
 def prompts(found: DataFrame) -> DataFrame:
-    """The capped terms of each chunk as text: locked lines first, both parts sorted."""
-    kept = capped(found)
-    line = F.concat("en", F.lit(" = "), "vi")
-    part = lambda locked: F.array_join(F.array_sort(F.collect_list(F.when(F.col("locked") == locked, line))), "\n")
-    return kept.groupBy("conv_id", "idx").agg(F.count("*").alias("n_terms"), F.concat_ws("\n--\n", part(True), part(False)).alias("prompt"))
+    """The capped terms of each chunk as a prompt's text: locked ones under a head of their own, both parts sorted by term."""
+    pair = F.struct("en", F.concat(F.lit('  "'), "en", F.lit('" → "'), "vi", F.lit('"')).alias("line"))
+
+    def part(locked: bool, head: str) -> Column:
+        lines = F.array_sort(F.collect_list(F.when(F.col("locked") == locked, pair)))
+        return F.when(F.size(lines) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")))
+
+    text = F.concat(F.concat_ws("\n\n", part(True, LOCKED_HEAD), part(False, TERMS_HEAD)), F.lit("\n\n"))
+    return capped(found).groupBy("conv_id", "idx").agg(F.count("*").alias("n_terms"), text.alias("prompt"))
 
 
 def first_wins(layers: list[DataFrame]) -> DataFrame:
@@ -122,7 +158,8 @@ def merged(known: DataFrame, job: DataFrame) -> DataFrame:
     return both.select("en", F.coalesce("vi", "new_vi").alias("vi"), field.alias("field"), freq.cast("long").alias("frequency"), F.round(conf, 6).alias("confidence"))
 
 
-def global_top(terms: DataFrame, min_confidence: float, min_frequency: int, limit: int) -> DataFrame:
+def global_top(terms: DataFrame, min_confidence: float, min_frequency: int, limit: int, field: str | None = None) -> DataFrame:
+    terms = terms.where(F.col("field") == field) if field else terms
     return terms.where((F.col("confidence") >= min_confidence) & (F.col("frequency") >= min_frequency)).orderBy(F.desc("frequency"), F.desc("confidence"), "en").limit(limit)
 
 
@@ -171,9 +208,9 @@ h as (select *, count(*) over (partition by conv_id) as terms, row_number() over
 select conv_id, en, n, chunks, round(least(0.85, 0.55 + terms * 0.06)::double, 6) as confidence from h where k <= 5""",
     "glossary_usage": f"with {_F} select en, sum({_OCC}) as occurrences, count(*) as chunks, round(coalesce(sum({_OCC}) filter (contains(lower(mt), lower(vi)) or contains(lower(mt), en)), 0)::double / sum({_OCC}), 6) as kept from f group by 1",
     "glossary_densest_chunks": f"with {_F} select conv_id, idx, sum({_OCC}) as score from f group by 1, 2 order by score desc, conv_id desc, idx desc limit 10",
-    "glossary_prompts": f"""with {_CAP} select conv_id, idx, count(*) as n_terms,
-  coalesce(string_agg(en || ' = ' || vi, chr(10) order by en || ' = ' || vi) filter (locked), '') || chr(10) || '--' || chr(10) || coalesce(string_agg(en || ' = ' || vi, chr(10) order by en || ' = ' || vi) filter (not locked), '') as prompt
-  from k group by 1, 2""",
+    "glossary_prompts": f"""with {_CAP}, l as (select conv_id, idx, locked, en, '  "' || en || '" → "' || vi || '"' as line from k),
+p as (select conv_id, idx, count(*) as n_terms, string_agg(line, chr(10) order by en) filter (locked) as a, string_agg(line, chr(10) order by en) filter (not locked) as b from l group by 1, 2)
+select conv_id, idx, n_terms, concat_ws(chr(10) || chr(10), '{LOCKED_HEAD}' || chr(10) || a, '{TERMS_HEAD}' || chr(10) || b) || chr(10) || chr(10) as prompt from p""",
     "glossary_merge": f"with {_MERGED} select * from m",
     "glossary_global_top": f"with {_MERGED} select * from m where confidence >= 0.6 and frequency >= 2 order by frequency desc, confidence desc, en limit 20",
     "glossary_first_wins": f"with {_KNOWN}, {_JOB} select coalesce(k.en, j.en) as en, coalesce(k.vi, j.vi) as vi, case when k.en is null then 1 else 0 end as layer from known k full join job j on k.en = j.en",

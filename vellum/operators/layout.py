@@ -1,4 +1,4 @@
-"""Geometry and style of page blocks: predicates on columns, and rectangles joined on overlap.
+"""Geometry and style of page blocks: predicates on columns, and rectangles that meet blocks.
 
 A block row has page_num, block_idx, text, x0, y0, x1, y1 and ``spans``, an array of
 (text, font, size, flags, y).
@@ -10,15 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Ranges of mathematical characters, and the bits and names that fonts use for styles.
-MATH_CHARS = r"[\x{0370}-\x{03ff}\x{2070}-\x{209f}\x{2100}-\x{214f}\x{2190}-\x{21ff}\x{2200}-\x{22ff}\x{2300}-\x{23ff}\x{27c0}-\x{27ef}\x{2980}-\x{29ff}\x{2a00}-\x{2aff}\x{1d400}-\x{1d7ff}]"
-ITALIC_BIT, BOLD_BIT = 2, 16
+from vellum.functions.text import strip
+from vellum.operators import tables
+
+# Ranges of mathematical characters, fonts of mathematics, and the bits and names that fonts use for styles.
+MATH_CHARS = r"[\x{0370}-\x{03ff}\x{2070}-\x{209f}\x{2100}-\x{214f}\x{2150}-\x{218f}\x{2190}-\x{21ff}\x{2200}-\x{22ff}\x{2300}-\x{23ff}\x{27c0}-\x{27ef}\x{2980}-\x{29ff}\x{2a00}-\x{2aff}\x{1d400}-\x{1d7ff}]"
+MATH_FONT = (
+    r"(?i)(CMM[A-Z]|CMSY|CMEX|MSAM|MSBM|Symbol|Math|rsfs|eufm|stmary|wasy|lasy|esint|bbold|dsrom|EUSM|EURM|cmmi|LMSym|STIX|XITS|Neo\s*Euler"
+    r"|txsy|txex|pxsy|pxex|boondox|dutchcal)"
+)
+ITALIC_BIT, BOLD_BIT, RAISED_BIT = 2, 16, 1
+BOLD_NAME, ITALIC_NAME = r"(?i)(Bold|Medi|CMBX|CMBXTI|Demi|Heavy|Black|-Bd|-B$|bd$)", r"(?i)(Italic|Ital|Oblique|CMTI|CMBXTI|Slant|-It|-I$|it$)"
+# Points off the line and share of its size from which a span stands out, signs of operations, short names, and the size of a line without text.
+OFF_LINE, SMALLER, OPERATORS, SHORT_NAME, NO_SIZE = 1.5, 0.85, r"[+\-=<>≤≥≠≈∞∑∏∫∂∇±×÷^_]", "^[A-Za-z][A-Za-z0-9]{0,3}$", 10.0
+# Width of a block that tells columns, as a share of the page, and how far from its middle they part.
+BODY_WIDTH, MIDDLE = 0.25, 20
+# A box is narrow under the first width, or under the second if it is so many times as high as wide.
+NARROW, SLIM, TALL = 25, 40, 2.5
 # Labels of captions with their number and mark.
 CAPTION = r"^\s*(?iu)(Figure|Fig\.?|Table|Hình|Bảng|Biểu\s*đồ)\s*\d+\s*[.:—–\-]"
 # Width of a glyph and height of a line against the font size; of each role of a block, what its box is enlarged by, its least share of the source and the share without a box.
 GLYPH_WIDTH, LINE_HEIGHT = 0.5, 1.35
 BUDGETS = {"plain": (1.15, 1.1, 1.4), "table": (1.05, 1.0, 1.15), "caption": (1.08, 1.05, 1.2)}
-BOLD_NAME, ITALIC_NAME, MATH_FONT = r"(?i)(bold|black|heavy|semibold|demi)", r"(?i)(italic|oblique|slanted)", r"(?i)(cmmi|cmsy|cmex|msam|msbm|math|symbol|stix)"
 
 
 def is_math_char(ch: Column) -> Column:
@@ -26,31 +39,35 @@ def is_math_char(ch: Column) -> Column:
 
 
 def math_share(text: Column) -> Column:
-    n = F.length(F.regexp_replace(text, r"\s", ""))
-    return F.when(n == 0, 0.0).otherwise(F.regexp_count(text, F.lit(MATH_CHARS)) / n)
+    """Mathematical characters against all, white space at the ends aside; 0 without any."""
+    bare = strip(text)
+    return F.when(bare == "", 0.0).otherwise(F.regexp_count(bare, F.lit(MATH_CHARS)) / F.length(bare))
 
 
 def is_math_span(span: Column) -> Column:
     """By font, by the superscript bit, or by more than half mathematical characters."""
-    return span["font"].rlike(MATH_FONT) | (span["flags"].bitwiseAND(F.lit(1)) != 0) | (math_share(span["text"]) > 0.5)
+    return F.coalesce(span["font"].rlike(MATH_FONT), F.lit(False)) | (F.coalesce(span["flags"], F.lit(0)).bitwiseAND(F.lit(RAISED_BIT)) != 0) | (math_share(span["text"]) > 0.5)
 
 
 def is_geometric_math(span: Column, base_y: Column, base_size: Column) -> Column:
-    """Raised or small against the line, and short."""
-    short = F.length(F.trim(span["text"])).between(1, 8)
-    return short & ((F.abs(span["y"] - base_y) > 1.5) | (span["size"] < base_size * 0.85))
+    """A span off the line, or small, that holds a mathematical character or a sign of operation; off the line a short name counts too. Footnote numbers don't."""
+    text = strip(span["text"])
+    off = F.abs(base_y - span["y"]) > OFF_LINE
+    small = F.coalesce(F.nullif(span["size"], F.lit(0.0)), base_size) < base_size * SMALLER
+    told = text.rlike(MATH_CHARS) | text.rlike(OPERATORS) | (off & text.rlike(SHORT_NAME))
+    return (text != "") & (off | small) & told
 
 
 def span_style(span: Column) -> Column:
-    bold = (span["flags"].bitwiseAND(F.lit(BOLD_BIT)) != 0) | span["font"].rlike(BOLD_NAME)
-    italic = (span["flags"].bitwiseAND(F.lit(ITALIC_BIT)) != 0) | span["font"].rlike(ITALIC_NAME)
-    return F.struct(bold.alias("bold"), italic.alias("italic"))
+    has = lambda bit, name: (F.coalesce(span["flags"], F.lit(0)).bitwiseAND(F.lit(bit)) != 0) | F.coalesce(span["font"].rlike(name), F.lit(False))
+    return F.struct(has(BOLD_BIT, BOLD_NAME).alias("bold"), has(ITALIC_BIT, ITALIC_NAME).alias("italic"))
 
 
 def _weight(spans: Column, test) -> Column:
-    total = F.aggregate(spans, F.lit(0), lambda a, s: a + F.length(s["text"]))
-    part = F.aggregate(spans, F.lit(0), lambda a, s: a + F.when(test(s), F.length(s["text"])).otherwise(0))
-    return F.when(total == 0, 0.0).otherwise(part / total)
+    """The share of characters, white space at the ends of spans aside."""
+    total = F.aggregate(spans, F.lit(0), lambda a, s: a + F.length(strip(s["text"])))
+    part = F.aggregate(spans, F.lit(0), lambda a, s: a + F.when(test(s), F.length(strip(s["text"]))).otherwise(0))
+    return F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(part / total)
 
 
 def block_style(spans: Column) -> Column:
@@ -59,15 +76,17 @@ def block_style(spans: Column) -> Column:
 
 
 def is_bold_block(spans: Column) -> Column:
-    """At least six tenths of the characters bold."""
-    return _weight(spans, lambda s: span_style(s)["bold"]) >= 0.6
+    """At least six tenths of the characters, white space too, in spans that are bold by bit or by the word in the font's name."""
+    bold = lambda s: (F.coalesce(s["flags"], F.lit(0)).bitwiseAND(F.lit(BOLD_BIT)) != 0) | F.coalesce(s["font"].rlike("Bold|bold"), F.lit(False))
+    n = lambda test: F.aggregate(spans, F.lit(0), lambda a, s: a + F.when(test(s), F.length(s["text"])).otherwise(0))
+    return F.coalesce(n(bold) >= 0.6 * n(lambda s: F.lit(True)), F.lit(False)) & F.coalesce(n(lambda s: F.lit(True)) > 0, F.lit(False))
 
 
-def baseline(spans: Column) -> Column:
-    """Mean height and size of a line, weighted by characters."""
-    n = F.aggregate(spans, F.lit(0.0), lambda a, s: a + F.length(s["text"]))
-    mean = lambda f: F.when(n > 0, F.aggregate(spans, F.lit(0.0), lambda a, s: a + F.length(s["text"]) * s[f]) / n)
-    return F.struct(mean("y").alias("y"), mean("size").alias("size"))
+def baseline(spans: Column, bottom: Column | None = None) -> Column:
+    """Mean height and size of a line, weighted by characters; without any its ``bottom``, and 10 points."""
+    n = F.aggregate(spans, F.lit(0.0), lambda a, s: a + F.length(strip(s["text"])))
+    mean = lambda f, none: F.when(n > 0, F.aggregate(spans, F.lit(0.0), lambda a, s: a + F.length(strip(s["text"])) * s[f]) / n).otherwise(none)
+    return F.struct(mean("y", F.lit(None).cast("double") if bottom is None else bottom).alias("y"), mean("size", F.lit(NO_SIZE)).alias("size"))
 
 
 def is_header_footer(y0: Column, y1: Column, height: Column) -> Column:
@@ -112,22 +131,14 @@ def budgeted_text(blocks: DataFrame) -> DataFrame:
 
 
 def is_narrow_vertical(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return ((x1 - x0) < 40) & ((y1 - y0) > 3 * (x1 - x0))
-
-
-def overlap_share(a: str, b: str) -> Column:
-    """Area of a's overlap with b against a's own; columns are prefixed."""
-    c = F.col
-    w = F.least(c(f"{a}.x1"), c(f"{b}.x1")) - F.greatest(c(f"{a}.x0"), c(f"{b}.x0"))
-    h = F.least(c(f"{a}.y1"), c(f"{b}.y1")) - F.greatest(c(f"{a}.y0"), c(f"{b}.y0"))
-    area = (c(f"{a}.x1") - c(f"{a}.x0")) * (c(f"{a}.y1") - c(f"{a}.y0"))
-    return F.when((w > 0) & (h > 0) & (area > 0), w * h / area).otherwise(0.0)
+    """Too narrow for a word, or slim and tall."""
+    w = x1 - x0
+    return (w < NARROW) | ((w < SLIM) & ((y1 - y0) > w * TALL))
 
 
 def in_rects(blocks: DataFrame, rects: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``blocks`` with ``inside``: whether more than the threshold of its area lies in one rectangle of its page."""
-    b, r = blocks.alias("b"), rects.alias("r")
-    hit = b.join(r, F.col("b.page_num") == F.col("r.page_num")).where(overlap_share("b", "r") > threshold).select("b.page_num", "b.block_idx").distinct()
+    """``blocks`` with ``inside``: whether more than the threshold of its area, which counts as 1 at least, lies in one rectangle of its page."""
+    hit = tables.within(blocks.select("page_num", "block_idx", "x0", "y0", "x1", "y1"), rects, threshold).select("page_num", "l.block_idx").distinct()
     return blocks.join(hit.withColumn("__in", F.lit(True)), ["page_num", "block_idx"], "left").withColumn("inside", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
@@ -148,10 +159,19 @@ def gaps(blocks: DataFrame) -> DataFrame:
 
 
 def columns(blocks: DataFrame, width: float) -> DataFrame:
-    """Left edges of the text left and right of the page's middle, and whether there are two columns."""
-    mid = width / 2
-    left, right = F.col("x1") <= mid * 1.05, F.col("x0") >= mid * 0.95
-    return blocks.groupBy("page_num").agg(F.min(F.when(left, F.col("x0"))).alias("left_x0"), F.min(F.when(right, F.col("x0"))).alias("right_x0"), (F.sum(left.cast("int")) >= 2).__and__(F.sum(right.cast("int")) >= 2).alias("two_columns"))
+    """(page_num, columns): left and right edges of each page's columns, one or two; without a block over a quarter of the page wide it is the page.
+
+    There are two if such blocks begin, to the point, both left and right of a line 20
+    points before the page's middle.
+    """
+    body = F.col("x1") - F.col("x0") > width * BODY_WIDTH
+    at = F.when(body, F.bround("x0"))
+    left, right = at < width / 2 - MIDDLE, at > width / 2 - MIDDLE
+    edges = lambda test: F.struct(F.min(F.when(test, F.col("x0"))).alias("l"), F.max(F.when(test, F.col("x1"))).alias("r"))
+    g = blocks.groupBy("page_num").agg(edges(left).alias("a"), edges(right).alias("b"), edges(body).alias("all"))
+    page = F.struct(F.lit(0.0).alias("l"), F.lit(float(width)).alias("r"))
+    found = F.when(F.col("all.l").isNull(), F.array(page)).when(F.col("a.l").isNotNull() & F.col("b.l").isNotNull(), F.array("a", "b")).otherwise(F.array("all"))
+    return g.select("page_num", found.alias("columns"))
 
 
 def body_size(blocks: DataFrame) -> DataFrame:

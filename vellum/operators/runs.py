@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
@@ -76,6 +77,22 @@ def earlier_runs(uploads: DataFrame, progress: DataFrame) -> DataFrame:
     return by_base.unionByName(by_name).unionByName(by_title).distinct()
 
 
+def existing_pdf(asked: DataFrame, progress: DataFrame) -> DataFrame:
+    """``asked`` (upload, title, page_count, owner, is_admin, exclude) with ``job_id``: an earlier run of the same paper, or null.
+
+    ``progress`` has job_id, owner (null for the shared folder), title and page_count.  A
+    run counts if its id begins with pdf_ and isn't the excluded one, it is the owner's or,
+    for an admin, shared, and the title, letter case aside, and the number of pages agree;
+    both sides need them.  The owner's come before shared ones, then the least id.
+    """
+    name = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))
+    a = asked.select("upload", name(F.col("title")).alias("__t"), F.col("page_count").alias("__p"), "owner", "is_admin", F.coalesce("exclude", F.lit("")).alias("__x")).where("__t <> '' and __p > 0")
+    p = progress.where(F.col("job_id").startswith("pdf_") & (F.col("page_count") > 0)).select("job_id", F.col("owner").alias("__o"), name(F.col("title")).alias("__t"), F.col("page_count").alias("__p")).where("__t <> ''")
+    mine = a.join(p, ["__t", "__p"]).where((F.col("job_id") != F.col("__x")) & ((F.col("__o") == F.col("owner")) | (F.col("__o").isNull() & F.col("is_admin"))))
+    found = mine.groupBy("upload").agg(F.min(F.struct(F.col("__o").isNull().alias("shared"), "job_id")).alias("__best"))
+    return asked.join(found, "upload", "left").withColumn("job_id", F.col("__best.job_id")).drop("__best")
+
+
 def imported(jobs: DataFrame, progress: DataFrame, owner: str) -> DataFrame:
     """``jobs`` and those of ``progress`` that it lacks, as ``owner``'s."""
     fresh = progress.join(jobs.select("job_id"), "job_id", "left_anti").dropDuplicates(["job_id"]).withColumn("owner", F.lit(owner))
@@ -128,10 +145,29 @@ def style_owner(log: DataFrame) -> DataFrame:
     return log.where("ok").groupBy("job_id").agg(F.max_by("model", "seq").alias("model"))
 
 
-def merged_anchor(base: Column, handoff: Column) -> Column:
-    """Two anchors (en, vi), either of which may be null: the one there is, or both texts in turn."""
-    both = lambda f: F.array_join(F.filter(F.array(base[f], handoff[f]), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n")
-    return F.when(handoff.isNull(), base).when(base.isNull(), handoff).otherwise(F.struct(both("en").alias("en"), both("vi").alias("vi")))
+def handoff_anchor(examples: Column, chunk: Column, from_model: Column, to_model: Column, most: int = 700) -> Column:
+    """What one model hands to another: the pairs (s, t) before a chunk, numbered, cut to ``most`` characters a side, and between whom; null without any text."""
+    side = lambda f: F.left(F.array_join(F.transform(examples, lambda x, i: F.concat(F.lit("[handoff "), i + 1, F.lit("] "), x[f])), "\n\n"), F.lit(most))
+    en, vi = side("s"), side("t")
+    anchor = F.struct(en.alias("en"), vi.alias("vi"), from_model.alias("from_model"), to_model.alias("to_model"), chunk.alias("chunk_index"), F.lit("cross_model_style_handoff").alias("reason"))
+    return F.when((F.size(examples) > 0) & (T.strip(en) != "") & (T.strip(vi) != ""), anchor)
+
+
+def merged_anchors(rows: DataFrame) -> DataFrame:
+    """``rows`` (base, handoff), two anchors with en and vi of which either may be null, with ``merged``.
+
+    Without a hand-over it is the base, without a base the hand-over; else the base with
+    both texts in turn and the hand-over inside.  It has the base's fields and ``handoff``.
+    """
+    own = rows.schema["base"].dataType.names
+    given = rows.schema["handoff"].dataType.names
+    kind = rows.schema["base"].dataType
+    both = lambda f: F.array_join(F.filter(F.array(F.col("base")[f], F.col("handoff")[f]), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n")
+    none = F.lit(None).cast(rows.schema["handoff"].dataType)
+    base = F.struct(*(F.col("base")[c].alias(c) for c in own), none.alias("handoff"))
+    alone = F.struct(*((F.col("handoff")[c] if c in given else F.lit(None)).cast(kind[c].dataType).alias(c) for c in own), none.alias("handoff"))
+    merged = F.struct(*((both(c) if c in ("en", "vi") else F.col("base")[c]).alias(c) for c in own), F.col("handoff").alias("handoff"))
+    return rows.withColumn("merged", F.when(F.col("handoff").isNull(), F.when(F.col("base").isNotNull(), base)).when(F.col("base").isNull(), alone).otherwise(merged))
 
 
 def critique_text(errors: DataFrame) -> DataFrame:
@@ -153,6 +189,19 @@ def for_log(text: Column) -> Column:
     return F.when(n > LOGGED, F.concat(F.left(text, F.lit(LOGGED)), F.lit("...[truncated "), n.cast("string"), F.lit(" chars]"))).otherwise(text)
 
 
+def sanitised(value: Column, kind: DataType) -> Column:
+    """``value`` of type ``kind`` with every text in it as a log keeps it; keys of maps stay."""
+    if isinstance(kind, StringType):
+        return for_log(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sanitised(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: sanitised(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(sanitised(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
+
+
 def iso(ts: Column) -> Column:
     """A time as UTC text to the microsecond; the session's time zone is UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

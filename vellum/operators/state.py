@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions.text import strip
+from vellum.operators.progress import key_parts
 from vellum.sources import views as V
 
 RUNNING = r"^(starting|extracting|translating|judging|rebuilding|retrying)"
 
 
+# Statuses of runs that are over, and how others begin; ids of jobs; addresses and words of a text; letters and characters under which a text is too short.
+TERMINAL, TERMINAL_BEGIN = ("done", "done_with_warnings", "cancelled", "superseded"), ("error", "compile_error")
+JOB_ID = r"^[A-Za-z0-9._-]{1,128}\z"
+ADDRESS = r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b|\bdoi:\s*\S+|\b10\.\d{4,9}/\S+"
+LETTERS, FEW_LETTERS, FEW_CHARS = "[A-Za-zÀ-ỹ]{2,}", 8, 40
+
+
 def is_terminal(status: Column) -> Column:
-    return status.isin("done", "cancelled", "completed") | status.startswith("error")
+    s = strip(status)
+    return s.isin(*TERMINAL) | F.regexp_like(s, F.lit(f"^({'|'.join(TERMINAL_BEGIN)})"))
 
 
 def is_job_id(job_id: Column) -> Column:
-    return job_id.rlike(r"^[A-Za-z0-9][\w.-]{0,127}$") & ~job_id.contains("..")
+    """Letters, digits, dots, underscores and hyphens, 128 at most, and not the folder above."""
+    return F.coalesce(job_id.rlike(JOB_ID) & (job_id != ".."), F.lit(False))
 
 
 def is_chunk_key(key: Column) -> Column:
-    """``12`` or ``input:<path>:12`` without upward paths."""
-    return key.rlike(r"^[0-9]+$") | (key.rlike(r"^input:[^:]+:[0-9]+$") & ~key.contains(".."))
+    """``12`` or ``input:<path>:12``, as ``progress.key_parts`` takes them."""
+    return key_parts(key).isNotNull()
 
 
 def upload_kind(name: Column) -> Column:
@@ -34,10 +45,11 @@ def upload_kind(name: Column) -> Column:
 
 
 def bypass_reason(text: Column) -> Column:
-    """Why a block needs no model: empty, only links, or under two letters."""
-    rest = F.regexp_replace(text, r"(?i)https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[a-z]{2,}", "")
-    letters = F.regexp_count(rest, F.lit(r"\p{L}"))
-    return F.when(F.trim(text) == "", "empty").when((letters < 2) & (rest != text), "url_only").when(letters < 2, "too_short")
+    """Why a text needs no model: empty, nothing but addresses, or under eight letters of words in at most 40 characters."""
+    raw = strip(text)
+    rest = F.regexp_replace(raw, ADDRESS, " ")
+    letters = F.length(F.array_join(F.regexp_extract_all(rest, F.lit(LETTERS), F.lit(0)), ""))
+    return F.when(raw == "", "empty").when(strip(rest) == "", "url_only").when((letters < FEW_LETTERS) & (F.length(raw) <= FEW_CHARS), "too_short")
 
 
 def output_issues(pages_in: Column, pages_out: Column, size_in: Column, size_out: Column) -> Column:
@@ -86,10 +98,12 @@ def handoff(asked: DataFrame, anchors: DataFrame) -> DataFrame:
     return asked.join(own, ["chunk", "model"], "left").join(general, "model", "left").select("chunk", "model", F.coalesce("a", "b").alias("anchor"))
 
 
-def low_quality(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows under the threshold if there are any, else all."""
-    any_low = rows.agg(F.bool_or(F.col("score") < threshold).alias("__low"))
-    return rows.join(F.broadcast(any_low)).where(~F.coalesce("__low", F.lit(False)) | (F.col("score") < threshold)).drop("__low")
+def low_quality(rows: DataFrame, threshold: float, most: int, tie: str) -> DataFrame:
+    """Of the rows under the threshold, or of all if there are none, those with the ``most`` lowest scores; no score counts as 100, of equal ones the lesser ``tie`` comes first."""
+    scored = rows.withColumn("__s", F.coalesce("score", F.lit(100.0)))
+    # rows under the threshold are lower than all others: if there are any, the others only have to go
+    first = scored.orderBy("__s", tie).limit(most).withColumn("__low", F.bool_or(F.col("__s") < threshold).over(Window.partitionBy(F.lit(1))))
+    return first.where(~F.col("__low") | (F.col("__s") < threshold)).drop("__s", "__low")
 
 
 def environment_counts(lines: DataFrame) -> DataFrame:
@@ -119,7 +133,7 @@ QUERIES = {
     "latest_phases": lambda spark, d: latest_phases(_events(spark, d)),
     "selector_ranks": lambda spark, d: selectors(_events(spark, d)),
     "model_advice": lambda spark, d: model_advice(_events(spark, d).withColumnRenamed("phase", "model").drop("backend")),
-    "low_quality_pairs": lambda spark, d: low_quality(V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 20_000.0),
+    "low_quality_pairs": lambda spark, d: low_quality(V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 20_000.0, 50, "o_orderkey"),
     "bypass_blocks": lambda spark, d: V.blocks(spark, d).select(bypass_reason(F.col("text")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     "output_validation": lambda spark, d: V.table(spark, d, "lineitem").select(F.explode(output_issues(F.col("l_linenumber"), F.col("l_quantity").cast("int") % 7 + 1, F.col("l_extendedprice"), F.col("l_quantity") * 500)).alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
     "page_kinds": lambda spark, d: V.table(spark, d, "pages").select(upload_kind(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int")))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
@@ -132,10 +146,9 @@ ORACLE_SQL = {
     "selector_ranks": f"""with {_E}, f as (select *, min(seq) filter (ok) over (partition by backend, selector) as first from e), g as (select backend, selector, count(*) filter (ok) - 2 * count(*) filter (not ok) as score from f where seq >= first group by 1, 2)
 select * from (select *, row_number() over (partition by backend order by score desc, selector) as rank from g where score > -3) where rank <= 8""",
     "model_advice": f"with {_E} select phase as model, count(*) as attempts, count(*) filter (not ok) as failures, round(avg((not ok)::int), 6) as share from e group by 1",
-    "low_quality_pairs": "select o_orderkey, o_totalprice as score from orders where o_totalprice < 20000 or not exists (select 1 from orders where o_totalprice < 20000)",
-    "bypass_blocks": r"""with b as (select text, regexp_replace(text, '(?i)https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[a-z]{2,}', '', 'g') as rest from """
-    + V.SQL_BLOCKS
-    + r"""), r as (select case when trim(text) = '' then 'empty' when len(regexp_extract_all(rest, '\p{L}')) < 2 and rest <> text then 'url_only' when len(regexp_extract_all(rest, '\p{L}')) < 2 then 'too_short' end as reason from b)
+    "low_quality_pairs": "select o_orderkey, o_totalprice as score from orders where o_totalprice < 20000 or not exists (select 1 from orders where o_totalprice < 20000) order by o_totalprice, o_orderkey limit 50",
+    "bypass_blocks": f"""with b as (select trim(text) as raw, regexp_replace(trim(text), '{ADDRESS}', ' ', 'g') as rest from {V.SQL_BLOCKS}),
+r as (select case when raw = '' then 'empty' when trim(rest) = '' then 'url_only' when length(array_to_string(regexp_extract_all(rest, '{LETTERS}'), '')) < {FEW_LETTERS} and length(raw) <= {FEW_CHARS} then 'too_short' end as reason from b)
 select reason, count(*) as n from r group by 1""",
     "output_validation": """with l as (select l_linenumber as a, trunc(l_quantity)::int % 7 + 1 as b, l_quantity * 500 / l_extendedprice as r from lineitem)
 select issue, count(*) as n from (select 'strict' as issue from l where a <> b or r < 0.3 union all select 'loose' from l where b < a * 0.5 or (b <= 2 and a > 5) or r < 0.2 union all select 'proofread' from l where a <> b or r < 0.3 or r > 5.0) group by 1""",

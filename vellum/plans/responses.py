@@ -7,34 +7,107 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import strip
 
-# Lines that chat front ends add.
-ARTEFACT = r"(?i)^\s*(copy code|sao chép mã|show thinking|hide thinking|regenerate|good response|bad response|share|export to sheets|sources?|you said:|gemini said:?|chatgpt said:?)\s*$"
+# How remarks of a chat begin, how prompts that are sent back begin, and hints of length that are.
+REMARKS = ("Bạn có muốn", "Lưu ý", "Note:", "Chú ý:", "Would you", "Let me know", "Nếu bạn cần", "Hy vọng")
+MORE_REMARKS = ("Tôi có thể hỗ trợ", "Tôi có thể giúp", "Nếu bạn muốn", "Hãy cho tôi biết", "If you")
+TEXT_PROMPT = r"^(===\s*(QUY TẮC|NỘI DUNG CẦN DỊCH|VÍ DỤ)|Dịch các đoạn văn bản sau sang tiếng Việt)"
+LATEX_PROMPT = r"^(===\s*(QUY TẮC|NỘI DUNG CẦN DỊCH|VÍ DỤ|BẢNG THUẬT NGỮ)|Dịch nội dung LaTeX sau sang tiếng Việt)"
+LATEX_ECHO = "Dịch nội dung LaTeX sau sang tiếng Việt"
+HINT = r"\s*\((?:table cell, |caption, )?max\s*~\s*\d+\s*chars?\)\s*"
 ERRORS = "array<struct<index int, errors array<struct<category string, severity string>>, score double>>"
-KNOWN_MODELS = ("gemini", "chatgpt", "claude", "deepseek")
+# Models in their order, and those of an empty choice.
+KNOWN_MODELS = ("gemini", "chatgpt", "aistudio", "deepseek", "grok", "copilot")
+DEFAULT_MODELS = ("gemini", "chatgpt")
 
 
-def strip_artefacts(text: Column) -> Column:
-    """Without artefact lines; the lines after them stay."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(ARTEFACT)), "\n")
+def _begins(line: Column, words: tuple[str, ...]) -> Column:
+    return strip(line).rlike("(?iu)^(" + "|".join(words) + ")")
+
+
+def _to_last_text(lines: Column) -> Column:
+    """Lines up to the last that isn't blank, joined."""
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(strip(x) != "", i + 1).otherwise(0)))
+    return F.array_join(F.slice(lines, F.lit(1), F.coalesce(last, F.lit(0))), "\n")
+
 
+def _before(lines: Column, bad) -> Column:
+    """Lines before the first for which ``bad`` holds."""
+    at = F.array_position(F.transform(lines, bad), F.lit(True))
+    return F.when(at > 0, F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(lines)
 
-def until_artefact(text: Column) -> Column:
-    """Up to the first artefact line."""
-    lines = F.split(text, "\n")
-    bad = F.array_position(F.transform(lines, lambda x: x.rlike(ARTEFACT)), F.lit(True))
-    return F.array_join(F.when(bad > 0, F.slice(lines, F.lit(1), (bad - 1).cast("int"))).otherwise(lines), "\n")
+
+def strip_artefacts(text: Column) -> Column:
+    """Without the lines that begin as chat remarks do and without blank lines at the end; the lines after a remark stay."""
+    return _to_last_text(F.filter(F.split(text, "\n"), lambda x: ~_begins(x, REMARKS + MORE_REMARKS)))
+
+
+def text_of_answer(text: Column) -> Column:
+    """The first fence of plain text, or else all; hints of length become a space; it ends before the first chat remark or echoed prompt."""
+    fence = r"(?s)```(?:text)?\s*\n(.*?)```"
+    inner = strip(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text))
+    lines = F.split(F.regexp_replace(inner, HINT, " "), "\n")
+    return F.when(text == "", text).otherwise(_to_last_text(_before(lines, lambda x: _begins(x, REMARKS + MORE_REMARKS) | strip(x).rlike(TEXT_PROMPT))))
+
+
+def latex_of_answer(text: Column) -> Column:
+    """All fences of LaTeX, or else all; a first line ``code snippet`` goes; it ends before the first chat remark or echoed prompt, inside a line too."""
+    fences = F.regexp_extract_all(text, F.lit(r"(?s)```(?:latex)?\s*\n(.*?)\n```"), F.lit(1))
+    inner = F.when(F.size(fences) > 0, F.array_join(F.transform(fences, strip), "\n")).otherwise(strip(text))
+    snippet = F.lower(inner).startswith("code snippet") & inner.contains("\n")
+    inner = F.when(snippet, strip(F.regexp_replace(inner, r"^[^\n]*\n", ""))).otherwise(inner)
+    lines = F.split(inner, "\n")
+    # a line with the echo inside is kept up to it, if there is text before, and ends the answer
+    over = lambda x: _begins(x, REMARKS) | strip(x).rlike(LATEX_PROMPT)
+    at = F.array_position(F.transform(lines, lambda x: over(x) | x.contains(LATEX_ECHO)), F.lit(True)).cast("int")
+    cut = F.get(lines, at - 1)
+    head = F.when(~over(cut), F.rtrim(F.substring_index(cut, LATEX_ECHO, 1)))
+    kept = F.concat(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), F.when(F.coalesce(head, F.lit("")) != "", F.array(head)).otherwise(F.array().cast("array<string>")))
+    return _to_last_text(F.when(at > 0, kept).otherwise(lines))
 
 
 def fenced(text: Column) -> Column:
-    """The content of the first code fence, or else all of it."""
-    inner = F.regexp_extract(text, r"(?s)```[\w-]*\n?(.*?)```", 1)
-    return strip(F.when(inner != "", inner).otherwise(text))
+    """What a fence round the whole answer holds, or else all of it; null is empty."""
+    bare = strip(text)
+    lines = F.split(bare, r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")
+    n = F.size(lines)
+    whole = bare.startswith("```") & (n >= 2) & F.ltrim(F.element_at(lines, -1)).startswith("```")
+    return F.when(whole, strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(n - 2, F.lit(0))), "\n"))).otherwise(bare)
 
 
 def all_fenced(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)```[\w-]*\n?(.*?)```"), F.lit(1)), "\n")
 
 
+MARKER = r"(?:^|\n)\s*\[(\d+)\]\s*"
+
+
+def translated_blocks(answer: Column, sources: Column) -> Column:
+    """The translations of a chunk's blocks, an array of texts, out of an answer ``[1] ... [2] ...``.
+
+    A number stands at the start of a line.  One beyond the blocks is a citation and goes on
+    the text of the highest block so far.  Chat remarks go from each text; of a number
+    said twice the last text counts.  A block without a text keeps its source.  The answer
+    to a single block may have no number.
+    """
+    numbers = F.regexp_extract_all(answer, F.lit(MARKER), F.lit(1))
+    texts = F.slice(F.split(answer, MARKER), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
+    pairs = F.zip_with(numbers, texts, lambda n, t: F.struct(n.alias("n"), n.try_cast("int").alias("k"), strip(t).alias("t")))
+
+    def put(said: Column, p: Column) -> Column:
+        own = p["k"].between(1, F.size(sources))
+        last = F.array_max(F.map_keys(said))
+        key = F.when(own, p["k"]).otherwise(last)
+        more = F.concat(F.try_element_at(said, last), F.lit(" ["), F.coalesce(p["k"].cast("string"), p["n"]), F.lit("] "), p["t"])
+        text = F.when(own, strip_artefacts(p["t"])).otherwise(more)
+        return F.when(key.isNull(), said).otherwise(F.map_concat(F.map_filter(said, lambda k, _: k != key), F.create_map(F.coalesce(key, F.lit(0)), text)))
+
+    said = F.aggregate(pairs, F.create_map().cast("map<int,string>"), put)
+    alone = strip_artefacts(strip(answer))
+    alone = F.when(F.lower(alone).startswith("plaintext"), strip(F.substring(alone, len("plaintext") + 1, 1 << 30))).otherwise(alone)
+    said = F.when((F.size(said) == 0) & (F.size(sources) == 1), F.create_map(F.lit(1), alone)).otherwise(said)
+    return F.transform(sources, lambda s, i: F.coalesce(F.nullif(F.try_element_at(said, i + 1), F.lit("")), s))
+
+
 def without_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"</?(b|i|u|sup|sub)>", "")
 
@@ -77,14 +150,14 @@ def merged_faults(found: DataFrame, answers: DataFrame, texts: DataFrame, least_
 
 
 def judge_scores(answers: DataFrame, weight) -> DataFrame:
-    """(id, index, score) for each asked index: errors beat the stated score, what isn't answered is null.
+    """(id, index, score) for each asked index: errors beat the stated score, which is taken as it is; what isn't answered is null, of several answers the last counts.
 
     ``answers`` has id, raw and asked (array of int); ``weight(category, severity)`` is a column.
     """
-    said = answers.select("id", F.explode_outer(json_array(F.col("raw"))).alias("a")).where("a is not null")
+    said = answers.select("id", F.posexplode_outer(json_array(F.col("raw"))).alias("pos", "a")).where("a is not null")
     lost = F.aggregate(F.coalesce("a.errors", F.array().cast("array<struct<category string, severity string>>")), F.lit(0.0), lambda s, e: s + weight(e["category"], e["severity"]))
-    score = F.when(F.col("a.errors").isNotNull(), F.greatest(F.lit(0.0), 100 - lost)).when(F.col("a.score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("a.score"))))
-    said = said.select("id", F.col("a.index").alias("index"), score.alias("score")).groupBy("id", "index").agg(F.max("score").alias("score"))
+    score = F.when(F.col("a.errors").isNotNull(), F.bround(F.greatest(F.lit(0.0), 100 - lost), 1)).otherwise(F.col("a.score"))
+    said = said.select("id", F.col("a.index").alias("index"), "pos", score.alias("score")).where("score is not null").groupBy("id", "index").agg(F.max_by("score", "pos").alias("score"))
     return answers.select("id", F.explode("asked").alias("index")).join(said, ["id", "index"], "left")
 
 
@@ -142,11 +215,14 @@ def clamped_tabs(n: Column) -> Column:
 
 
 def model_preference(value: Column) -> Column:
-    """Known models of a JSON list or a separated string, in order and once; all known ones if none is left."""
-    known = F.array(*map(F.lit, KNOWN_MODELS))
-    given = F.coalesce(F.from_json(value, "array<string>"), F.split(F.lower(value), r"[,;\s]+"))
-    kept = F.array_distinct(F.filter(F.coalesce(given, known), lambda m: F.array_contains(known, m)))
-    return F.when(F.size(kept) == 0, known).otherwise(kept)
+    """Known models of a JSON list or a separated string, in order and once, letter case aside; the usual two if none is left, or for other JSON."""
+    known, usual = F.array(*map(F.lit, KNOWN_MODELS)), F.array(*map(F.lit, DEFAULT_MODELS))
+    text = strip(value)
+    parsed = F.try_parse_json(F.nullif(text, F.lit("")))
+    listed = F.schema_of_variant(parsed).startswith("ARRAY")
+    given = F.when(parsed.isNull(), F.split(text, r"[,;\s]+")).when(listed, F.from_json(text, "array<string>"))
+    kept = F.array_distinct(F.filter(F.transform(given, lambda m: F.lower(strip(m))), lambda m: F.array_contains(known, m)))
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, usual).otherwise(kept)
 
 
 def execution_order(models: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,14 +13,29 @@ from vellum.operators import runs
 
 
 def log(events: DataFrame, path: str) -> None:
-    """Appends events (run_id, job_id, ts, phase, event_type, data) as JSON lines, numbered by time within each job; long texts are cut."""
-    seq = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_type"))
-    events.select(runs.iso(F.col("ts")).alias("ts"), seq.alias("seq"), "run_id", "job_id", "phase", "event_type", runs.for_log(F.col("data")).alias("data")).write.mode("append").json(path)
+    """Appends events (run_id, job_id, ts, phase, event_type, data) as JSON lines; long texts are cut, in nested data too.
+
+    Numbers go on for a whole run: by time from where the run's events in the log end.
+    One writer at a time.
+    """
+    spark, run = events.sparkSession, ["job_id", "run_id"]
+    try:
+        before = spark.read.schema("seq long, run_id string, job_id string").json(path).groupBy(*run).agg(F.max("seq").alias("__last"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = spark.createDataFrame([], "job_id string, run_id string, __last long")
+    place = F.row_number().over(Window.partitionBy(*run).orderBy("ts", "event_type"))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in run]
+    rows = events.withColumn("__place", place).alias("e").join(before.alias("b"), same[0] & same[1], "left")
+    data = runs.sanitised(F.col("e.data"), events.schema["data"].dataType)
+    rows.select(runs.iso(F.col("e.ts")).alias("ts"), (F.col("__place") + F.coalesce("__last", F.lit(0))).alias("seq"), "e.run_id", "e.job_id", "e.phase", "e.event_type", data.alias("data")).write.mode("append").json(path)
 
 
 def raw_responses(responses: DataFrame, path: str) -> None:
-    """Appends one row (text) for each chunk, attempt and kind of a job, in folders by job and chunk."""
-    responses.select("job_id", "chunk_idx", "attempt", "kind", "text").repartition("job_id", "chunk_idx").write.mode("append").partitionBy("job_id", "chunk_idx").parquet(path)
+    """Appends one row (chunk_idx, attempt, kind, text) for each answer, in folders by job; a chunk's answers lie together."""
+    rows = responses.select("job_id", "chunk_idx", "attempt", "kind", "text").repartitionByRange("job_id", "chunk_idx").sortWithinPartitions("job_id", "chunk_idx", "attempt")
+    rows.write.mode("append").partitionBy("job_id").parquet(path)
 
 
 def metrics(results: DataFrame, path: str, digits: int = 4) -> None:
