@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import layout, scoring, state
+from vellum.operators import convert, glossary, layout, masking, progress, runs, scoring, segments, state
 from vellum.plans import responses
+from vellum.sources import files, sinks
 
 
 @pytest.fixture
@@ -131,3 +132,99 @@ def test_lowest_scores_first(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate([80.0, 20.0, None, 40.0, 20.0, 95.0])], "id long, score double")
     ids = lambda t, n: sorted(r.id for r in state.low_quality(rows, t, n, "id").collect())
     assert ids(50.0, 2) == [1, 4] and ids(50.0, 9) == [1, 3, 4] and ids(10.0, 3) == [1, 3, 4] and ids(10.0, 9) == [0, 1, 2, 3, 4, 5]
+
+
+def test_section_headers_by_size_and_weight(one):
+    of = lambda t, size=10.0, bold=False: one(segments.is_header(L(t), L(size), L(bold)))
+    long = "2.1 " + "A title of words that goes on and on for more than sixty chars"
+    assert of("1 Intro") and not of(long) and of(long, 11.0) and of(long, 10.9, True) and not of(long, 10.9)
+    assert of("Any heavy line", 11.5, True) and not of("Any heavy line", 11.4, True) and not of("Any heavy line", 20.0) and not of("x" * 80, 20.0, True) and not of("1 " + "A" * 99, 20.0, True)
+
+
+def test_anchors(spark):
+    pair = "array<struct<s string, t string>>"
+    rows = [(7, [("a" * 800, "x"), ("b", "y")]), (8, []), (9, [(" ", " ")])]
+    df = spark.createDataFrame(rows, f"idx int, l {pair}").select("idx", runs.handoff_anchor(F.col("l"), F.col("idx"), L("gemini"), L("grok")).alias("a"))
+    got = {r.idx: r.a for r in df.collect()}
+    assert got[7].asDict() == {"en": "[handoff 1] " + "a" * 688, "vi": "[handoff 1] x\n\n[handoff 2] y", "from_model": "gemini", "to_model": "grok", "chunk_index": 7, "reason": "cross_model_style_handoff"}
+    assert got[8] is None and got[9] is not None  # the marks count as text
+    schema = "i int, base struct<en string, vi string, style string>, handoff struct<en string, vi string, to_model string>"
+    both = spark.createDataFrame([(1, ("a", "x", "s"), ("b", None, "m")), (2, ("a", "x", "s"), None), (3, None, ("b", "y", "m")), (4, None, None)], schema)
+    m = {r.i: r.merged and r.merged.asDict(recursive=True) for r in runs.merged_anchors(both).collect()}
+    assert m[1] == {"en": "a\n\nb", "vi": "x", "style": "s", "handoff": {"en": "b", "vi": None, "to_model": "m"}}
+    assert m[2] == {"en": "a", "vi": "x", "style": "s", "handoff": None} and m[3] == {"en": "b", "vi": "y", "style": None, "handoff": None} and m[4] is None
+
+
+def test_existing_runs_of_a_paper(spark):
+    runs_ = [("pdf_b", "u", " The Title ", 3), ("pdf_a", None, "the title", 3), ("pdf_c", "v", "the title", 3), ("tex_a", "u", "the title", 3), ("pdf_d", "u", "the title", 4), ("pdf_e", "u", None, 3), ("pdf_z", "u", "THE TITLE", 3)]
+    asked = [(1, "The title", 3, "u", False, None), (2, "The title", 3, "u", False, "pdf_b"), (3, "The title", 3, "x", True, None), (4, "The title", 3, "x", False, None), (5, " ", 3, "u", True, None), (6, "The title", 0, "u", True, None), (7, None, 3, "u", True, None)]
+    got = runs.existing_pdf(spark.createDataFrame(asked, "upload int, title string, page_count int, owner string, is_admin boolean, exclude string"), spark.createDataFrame(runs_, "job_id string, owner string, title string, page_count int"))
+    assert {r.upload: r.job_id for r in got.collect()} == {1: "pdf_b", 2: "pdf_z", 3: "pdf_a", 4: None, 5: None, 6: None, 7: None}
+
+
+def test_log_numbers_go_on_for_a_run(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    schema = "run_id string, job_id string, ts timestamp, phase string, event_type string, data struct<a string, b array<map<string,string>>, n int>"
+    from datetime import datetime
+
+    event = lambda run, second, kind: (run, "j", datetime(2026, 1, 1, 0, 0, second), "p", kind, ("x" * 4001, [{"k": "y" * 5000}], 3))
+    sinks.log(spark.createDataFrame([event("r1", 2, "b"), event("r1", 1, "a"), event("r2", 5, "c")], schema), path)
+    sinks.log(spark.createDataFrame([event("r1", 9, "d"), event("r1", 8, "e"), event("r3", 1, "f")], schema), path)
+    rows = spark.read.json(path).collect()
+    assert sorted((r.run_id, r.seq, r.event_type) for r in rows) == [("r1", 1, "a"), ("r1", 2, "b"), ("r1", 3, "e"), ("r1", 4, "d"), ("r2", 1, "c"), ("r3", 1, "f")]
+    assert {r.data.a for r in rows} == {"x" * 4000 + "...[truncated 4001 chars]"} and {r.data.b[0].k for r in rows} == {"y" * 4000 + "...[truncated 5000 chars]"}
+
+
+def test_links_are_masked_and_put_back(one):
+    text = "see http://a.b/c and me@x.org, doi: 10.1/z <<URL_9>> end www.x.y"
+    m = one(masking.masked_links(L(text)))
+    assert m.masked == "see <<URL_1>> and <<URL_2>>, <<URL_3>> <<URL_9>> end <<URL_4>>" and list(m["values"]) == ["http://a.b/c", "me@x.org", "doi: 10.1/z", "www.x.y"]
+    assert one(masking.restored_links(L(m.masked + " <<URL_2>>"), F.array(*map(L, m["values"])))) == text + " me@x.org"
+    assert tuple(one(masking.masked_links(L(None).cast("string")))) == ("", [])
+
+
+def test_prompts_of_terms(spark):
+    rows = [(1, 0, "b", "B", True, 1), (1, 0, "a", "A", True, 2), (1, 0, "c", "C", False, 3), (1, 1, "d", "D", False, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, idx long, en string, vi string, locked boolean, ordinal long")
+    got = {r.idx: (r.n_terms, r.prompt) for r in glossary.prompts(df).collect()}
+    assert got[0] == (3, f'{glossary.LOCKED_HEAD}\n  "a" → "A"\n  "b" → "B"\n\n{glossary.TERMS_HEAD}\n  "c" → "C"\n\n') and got[1] == (1, f'{glossary.TERMS_HEAD}\n  "d" → "D"\n\n')
+
+
+@pytest.mark.parametrize("shard", [1 << 24, 8])
+def test_terms_are_found_by_automata(spark, monkeypatch, shard):
+    monkeypatch.setattr(glossary, "IN_PLACE", 2)
+    monkeypatch.setattr(glossary, "SHARD_BYTES", shard)
+    terms = spark.createDataFrame([("a", 1), ("ab", 2), ("ab", 3), ("bc d", 4), ("", 5), (None, 6), ("é", 7), ("zz", 8)], "en string, n int")
+    texts = spark.createDataFrame([(1, "ABC d"), (2, ""), (3, None), (4, "É zzz")], "id int, src string").withColumn("__t", F.lit("own"))
+    got = glossary.matches(texts, terms)
+    assert got.columns == ["id", "src", "__t", "en", "n"]
+    assert sorted((r.id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 5), (4, 5), (4, 7), (4, 8)]
+    assert glossary.matches(texts, terms.limit(0)).collect() == []
+
+
+def test_statuses_for_clients(spark):
+    docs = [("a", '{"status": "translating 3/8", "failed_chunks": [1, 2], "glossary": {"terms": {"x": "y"}, "seed_terms": {}, "document_terms": null}, "title": "", "phase": "p"}'), ("b", "{}"), ("c", '{"status": "done_with_warnings", "mode": "fast", "failed_chunks": []}'), ("d", '{"status": "translating 1/0"}')]
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "job_id string")
+    got = {r.job_id: r for r in progress.status_rows(asked, progress.read(spark.createDataFrame(docs, "job_id string, json string"))).collect()}
+    assert (got["a"].status, got["a"].current_chunk, got["a"].total_chunks, got["a"].progress_percent, got["a"].failed_chunks) == ("translating 3/8", 3, 8, 38, 2)
+    assert (got["a"].glossary_count, got["a"].glossary_seed_count, got["a"].glossary_document_count, got["a"].title, got["a"].phase) == (1, 0, None, None, "p")
+    assert (got["b"].status, got["b"].mode, got["b"].agentic, got["b"].progress_percent) == ("pending", "standard", False, None)
+    assert (got["c"].progress_percent, got["c"].mode, got["c"].failed_chunks) == (100, "fast", None) and got["d"].progress_percent == 0
+    assert (got["e"].status, got["e"].source_type, got["e"].mode) == ("unknown", "pdf_only", None)
+
+
+def test_pairs_to_judge_come_from_the_maps_where_files_have_none(spark, tmp_path):
+    (tmp_path / "j/chunks").mkdir(parents=True)
+    doc = spark.createDataFrame([('{"input_chunks": {"2": " a source of twenty characters ", "x": "another source of twenty chars", "3": "short"}, "translated_chunks": {"2": "t", "x": "u", "3": "v"}}',)], "json string")
+    got = files.judge_pairs(spark, f"{tmp_path}/j", doc).collect()
+    assert sorted((str(r.idx), r.src, r.mt) for r in got) == [("2", "a source of twenty characters", "t"), ("None", "another source of twenty chars", "u")]
+    (tmp_path / "j/chunks/chunk_001_original.txt").write_text("the file has a source of its own")
+    (tmp_path / "j/chunks/chunk_001_translated.txt").write_text("dịch")
+    assert [(r.idx, r.mt) for r in files.judge_pairs(spark, f"{tmp_path}/j", doc).collect()] == [(1, "dịch")]
+
+
+def test_conversion_of_deep_markup():
+    for tag in ("i", "span", "div", "blockquote", "li"):
+        title, body = convert.html_body("<body>" + f"<{tag}>" * 5000 + "deep" + f"</{tag}>" * 5000)
+        assert "deep" in body and title == ""
+    assert convert.html_body("<body><blockquote><p>a</p><blockquote>b</blockquote></blockquote><div>c<b>d</b></div>")[1] == "\\begin{quote}\na\n\n\\begin{quote}\nb\n\n\\end{quote}\n\n\\end{quote}\n\nc\n\n\\textbf{d}\n"

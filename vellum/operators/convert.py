@@ -168,29 +168,53 @@ def _under(node: tuple, tags: tuple[str, ...]):
 
 
 def _plain(node) -> str:
-    return node if isinstance(node, str) else "".join(map(_plain, node[2]))
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            todo += reversed(x[2])
+    return "".join(out)
 
 
-def _span(node) -> str:
-    """A node inside a line; white space at the ends of a text becomes one space."""
-    if isinstance(node, str):
-        words = " ".join(node.split())
-        edge = lambda c: " " if c.isspace() else ""
-        return edge(node[:1]) + escape(words) + edge(node[-1:]) if words else edge(node[:1])
-    tag, attrs, children = node
-    if tag in HIDDEN:
-        return ""
-    if tag == "br":
-        return r" \\ "
-    said = "".join(map(_span, children)).strip()
+def _words(text: str) -> str:
+    """A text inside a line; white space at its ends becomes one space."""
+    words = " ".join(text.split())
+    edge = lambda c: " " if c.isspace() else ""
+    return edge(text[:1]) + escape(words) + edge(text[-1:]) if words else edge(text[:1])
+
+
+def _wrapped(node, said: str) -> str:
+    tag, attrs, _ = node
     if tag in WRAPPED:
         return rf"\{WRAPPED[tag]}{{{said}}}"
     href = attrs.get("href", "") if tag == "a" else ""
     return rf"\href{{{href}}}{{{said}}}" if href and not href.startswith("#") else said
 
 
-def _lines(node) -> list[str]:
-    """A node as lines of its own, each block followed by an empty one."""
+def _span(node) -> str:
+    """A node inside a line, however deep it is."""
+    open_ = [(None, iter((node,)), [])]
+    while True:
+        owner, rest, said = open_[-1]
+        x = next(rest, None)
+        if x is None:
+            open_.pop()
+            text = "".join(said)
+            if not open_:
+                return text
+            open_[-1][2].append(_wrapped(owner, text.strip()))
+        elif isinstance(x, str):
+            said.append(_words(x))
+        elif x[0] == "br":
+            said.append(r" \\ ")
+        elif x[0] not in HIDDEN:
+            open_.append((x, iter(x[2]), []))
+
+
+def _own_lines(node) -> list[str] | None:
+    """The lines of a node that is a block of its own, each followed by an empty one; None for one that only holds others."""
     tag, _, children = ("", {}, []) if isinstance(node, str) else node
     if isinstance(node, str):
         words = " ".join(node.split())
@@ -212,8 +236,26 @@ def _lines(node) -> list[str]:
     if tag == "table":
         rows = [[_span(c).strip() for c in r[2] if not isinstance(c, str) and c[0] in ("td", "th")] for r in _under(node, ("tr",))]
         return [x for r in rows if r for x in (r" \quad | \quad ".join(r), "")]
-    inner = [x for c in children for x in _lines(c)]
-    return [r"\begin{quote}", *inner, r"\end{quote}", ""] if tag == "blockquote" else inner
+    return None
+
+
+def _lines(nodes: list) -> list[str]:
+    """Nodes as lines, those inside them in turn, quotations between their marks."""
+    out, todo = [], [(x, None) for x in reversed(nodes)]
+    while todo:
+        node, after = todo.pop()
+        if after is not None:
+            out += after
+            continue
+        own = _own_lines(node)
+        if own is not None:
+            out += own
+            continue
+        if node[0] == "blockquote":
+            out.append(r"\begin{quote}")
+            todo.append((None, [r"\end{quote}", ""]))
+        todo += [(x, None) for x in reversed(node[2])]
+    return out
 
 
 def html_body(page: str) -> tuple[str, str]:
@@ -224,7 +266,7 @@ def html_body(page: str) -> tuple[str, str]:
     root = tree.open[0]
     first = lambda *tags: next(_under(root, tags), None)
     title = _plain(first("title") or ("", {}, [])).strip() or " ".join(_plain(first("h1") or ("", {}, [])).split())
-    lines = [x for c in (first("body") or root)[2] for x in _lines(c)]
+    lines = _lines((first("body") or root)[2])
     kept = [x for k, x in enumerate(lines) if x.strip() or not k or lines[k - 1].strip()]
     return title, "\n".join(kept).rstrip() + "\n"
 

@@ -61,6 +61,32 @@ def job_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+def status_rows(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """What a client sees of each of ``asked`` (job_id), out of ``documents`` (job_id, v).
+
+    Without a document the status is unknown and the rest null; without a status it is
+    pending.  current_chunk, total_chunks and progress_percent are those of a status
+    ``translating i/n``; done is 100.  Titles, phases and the like are null where they are
+    empty, counts of glossaries where there is none.
+    """
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    text = lambda path: F.nullif(get(path), F.lit(""))
+    status = F.coalesce(get("$.status"), F.lit("pending"))
+    part = lambda k: F.regexp_extract(status, r"^translating (\d+)/(\d+)", k).try_cast("int")
+    percent = F.when(status.isin("done", "done_with_warnings"), 100).when(part(2) > 0, F.bround(part(1) / part(2) * 100).cast("int")).when(part(2) == 0, 0)
+    kind = lambda path: F.schema_of_variant(get(path, "variant"))
+    keys = lambda path: F.when(kind(path).startswith("OBJECT"), F.size(F.json_object_keys(F.to_json(get(path, "variant"))))).when(kind(path).startswith("ARRAY"), F.size(F.from_json(F.to_json(get(path, "variant")), "array<string>")))
+    some = lambda n: F.when(n > 0, n)
+    seen = documents.select(
+        "job_id", status.alias("status"), F.coalesce(get("$.source_type"), F.lit("pdf_only")).alias("source_type"), F.coalesce(get("$.mode"), F.lit("standard")).alias("mode"),
+        F.coalesce(get("$.agentic", "boolean"), F.lit(False)).alias("agentic"), get("$.num_tabs", "int").alias("num_tabs"), get("$.duration_seconds", "double").alias("duration_seconds"),
+        text("$.phase").alias("phase"), text("$.title").alias("title"), text("$.base_job_id").alias("base_job_id"), text("$.superseded_by").alias("superseded_by"),
+        part(1).alias("current_chunk"), part(2).alias("total_chunks"), percent.alias("progress_percent"), some(keys("$.failed_chunks")).alias("failed_chunks"),
+        some(keys("$.glossary.terms")).alias("glossary_count"), keys("$.glossary.seed_terms").alias("glossary_seed_count"), keys("$.glossary.document_terms").alias("glossary_document_count"),
+    )
+    return asked.select("job_id").join(seen, "job_id", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "source_type": F.coalesce("source_type", F.lit("pdf_only"))})
+
+
 # ---- look-ups by compound keys ----------------------------------------------------
 
 
@@ -185,6 +211,7 @@ def _sources(spark, d) -> DataFrame:
 QUERIES = {
     "progress_jobs": lambda spark, d: job_rows(read(_documents(spark, d))),
     "progress_chunks": lambda spark, d: chunk_rows(read(_documents(spark, d))),
+    "progress_status": lambda spark, d: status_rows(V.table(spark, d, "orders").select(F.concat(F.lit("job_"), "o_orderkey").alias("job_id")), read(_documents(spark, d))).select("job_id", "status", "source_type", "mode", "agentic", "num_tabs", "current_chunk", "total_chunks", "progress_percent"),
     "chunk_originals": lambda spark, d: originals(_asked(spark, d), _sources(spark, d)),
 }
 
@@ -195,6 +222,11 @@ ORACLE_SQL = {
   case when k % 7 = 0 then 'unknown' when k % 7 = 1 then 'translating 1/9' else 'done' end as status, count(*)::int as done_chunks, case when k % 4 = 0 then k % 100 + 0.5::double end as heuristic_score,
   case when k % 5 = 1 then k % 50 end::int as total_chunks, case when k % 6 = 1 then 2 end::int as num_tabs, null::double as duration_seconds, case k % 6 when 0 then true when 1 then false end as agentic
 from t where k % 11 > 0 group by k""",
+    "progress_status": f"""with {_T}, k as (select distinct k from t where k % 11 > 0)
+select 'job_' || o_orderkey as job_id, case when k is null then 'unknown' when k % 7 = 0 then 'pending' when k % 7 = 1 then 'translating 1/9' else 'done' end as status,
+  case when k % 6 in (0, 2, 3, 4, 5, 1) or k is null then 'pdf_only' end as source_type, case when k is not null then 'standard' end as mode, case when k is not null then k % 6 = 0 end as agentic,
+  case when k % 6 = 1 then 2 end::int as num_tabs, case when k % 7 = 1 then 1 end::int as current_chunk, case when k % 7 = 1 then 9 end::int as total_chunks,
+  case when k % 7 = 1 then 11 when k % 7 > 1 then 100 end::int as progress_percent from orders left join k on k = o_orderkey""",
     "progress_chunks": f"with {_CH} select job_id, coalesce('input:' || path || ':', '') || key as chunk_key, text as mt_latex from c",
     "chunk_originals": rf"""with {_CH}, src as (select job_id, path, row_number() over (partition by job_id, path order by coalesce('input:' || path || ':', '') || key) - 1 as idx, text from c),
 a as (select 'job_' || k as job_id, i, p, s, case when k % 9 = 0 then 'pdf_only' else 'latex' end as source_type,

@@ -53,11 +53,16 @@ def pack_bounded(lengths: pd.Series, stops: pd.Series, headers: pd.Series) -> pd
     return pd.Series([bounded(list(a), list(b), list(c)) for a, b, c in zip(lengths, stops, headers, strict=True)])
 
 
-def is_header(line: Column) -> Column:
-    """Short lines that are numbered, named like a section, or (for plain text) start with ``#``."""
+def is_header(line: Column, size: Column | None = None, bold: Column | None = None, usual: float = 10.0) -> Column:
+    """Lines that are numbered, named like a section, or (for plain text) start with ``#``: under 60 characters or, up to 100, bold or a tenth larger than usual; and other bold ones of under 80 that are larger by 0.15."""
     s = F.trim(line)
-    named = s.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+[A-Z][\w\s\-:&,]+$") | s.rlike(r"(?i)^(Abstract|Introduction|Background|Related Work|Methodology|Methods?|Approach|Experiments?|Experimental|Results?|Discussion|Conclusions?|References|Appendix|Acknowledgments?)\b")
-    return (s != "") & (F.length(s) < 60) & (named | s.startswith("#"))
+    named = s.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+[A-Z][\w\s\-:&,]+$") | s.rlike(r"(?i)^(Abstract|Introduction|Background|Related Work|Methodology|Methods?|Approach|Experiments?|Experimental|Results?|Discussion|Conclusions?|References|Appendix|Acknowledgments?)\b") | s.startswith("#")
+    short = named & (F.length(s) < 60)
+    if size is None and bold is None:
+        return (s != "") & short
+    heavy, large = F.coalesce(bold if bold is not None else F.lit(False), F.lit(False)), F.coalesce(size if size is not None else F.lit(0.0), F.lit(0.0))
+    told = short | (named & (heavy | (large >= usual * 1.1))) | (heavy & (large >= usual * 1.15) & (F.length(s) < 80))
+    return (s != "") & (F.length(line) <= 100) & told
 
 
 def chunked(docs: DataFrame, target: int = 3500) -> DataFrame:

@@ -25,10 +25,25 @@ def chunk_files(spark: SparkSession, job_dir: str) -> DataFrame:
     return files.where("o").select("idx", F.col("value").alias("src")).join(mt, "idx", "left").select("idx", "src", F.coalesce("mt", F.lit("")).alias("mt"))
 
 
-def judge_pairs(spark: SparkSession, job_dir: str) -> DataFrame:
-    """Pairs worth judging: both texts there, the source of 20 characters or more."""
-    rows = chunk_files(spark, job_dir).select("idx", F.trim("src").alias("src"), F.trim("mt").alias("mt"))
-    return rows.where("src <> '' and mt <> '' and length(src) >= 20").withColumn("score_pct", F.lit(50.0))
+def judge_pairs(spark: SparkSession, job_dir: str, progress: DataFrame | None = None) -> DataFrame:
+    """(idx, src, mt, score_pct): pairs worth judging: both texts there, the source of 20 characters or more.
+
+    Where the chunk files have none, those of the maps input_chunks and translated_chunks
+    of ``progress`` (json), one row, by their keys.
+    """
+    rows = chunk_files(spark, job_dir).select("idx", F.trim("src").alias("src"), F.trim("mt").alias("mt")) if _has_chunks(spark, job_dir) else None
+    good = lambda df: df.where("src <> '' and mt <> '' and length(src) >= 20").withColumn("score_pct", F.lit(50.0))
+    found = good(rows) if rows is not None else None
+    if progress is None or (found is not None and not found.isEmpty()):
+        return good(chunk_files(spark, job_dir)) if found is None else found
+    maps = progress.select(F.from_json("json", "input_chunks map<string,string>, translated_chunks map<string,string>").alias("m"))
+    each = maps.select(F.explode("m.input_chunks").alias("key", "src"), F.col("m.translated_chunks").alias("t"))
+    return good(each.select(F.col("key").try_cast("int").alias("idx"), F.trim("src").alias("src"), F.trim(F.coalesce(F.try_element_at("t", "key"), F.lit(""))).alias("mt")))
+
+
+def _has_chunks(spark: SparkSession, job_dir: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{job_dir}/chunks/chunk_*_original.txt")
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
 
 def event_log(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -44,8 +59,13 @@ def progress_files(spark: SparkSession, workspace: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("json")).where(F.col("path").rlike(r"/jobs/[^/]+/progress\.json$"))
 
 
-def recent_progress(spark: SparkSession, workspace: str, limit: int) -> DataFrame:
-    return progress_files(spark, workspace).where(F.col("path").rlike(r"/jobs/pdf_[^/]*/")).orderBy(F.desc("changed"), "path").limit(limit)
+def recent_progress(spark: SparkSession, workspace: str, limit: int, owner: str | None = None) -> DataFrame:
+    """The ``limit`` latest progress files of PDF jobs; with an ``owner`` of that user's folder and the shared one."""
+    found = progress_files(spark, workspace).where(F.col("path").rlike(r"/jobs/pdf_[^/]*/"))
+    if owner is not None:
+        user = F.regexp_extract("path", r"/users/([^/]+)/jobs/", 1)
+        found = found.where((user == owner) | (user == ""))
+    return found.orderBy(F.desc("changed"), "path").limit(limit)
 
 
 def progress_of(spark: SparkSession, workspace: str, job_id: str) -> DataFrame:
