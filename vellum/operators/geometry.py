@@ -247,6 +247,17 @@ ORACLE_SQL = {
     "block_next_below": f"with {_C} select a.page_num, a.block_idx, least(822.0, coalesce(min(o.y0) - 2, 822.0))::double as next_y from k a left join k o on o.page_num = a.page_num and o.col = a.col and o.block_idx <> a.block_idx and o.y0 > a.y1 + 1 group by 1, 2",
     "block_room_below": f"""with {_B} select a.page_num, a.block_idx, any_value(least(a.y1 + (a.y1 - a.y0) * 2, coalesce(o.y - 1.5, a.y1 + (a.y1 - a.y0) * 2))) as max_y from b a left join lateral (
   select min(y0) as y from b o where o.page_num = a.page_num and o.block_idx <> a.block_idx and o.y0 > a.y1 and (least(a.x1, o.x1) - greatest(a.x0, o.x0)) / least(a.x1 - a.x0, o.x1 - o.x0) > 0.3) o on true group by 1, 2""",
+    "past_obstacles": f"""with recursive {_B}, m as (select page_num, row_number() over (partition by page_num order by block_idx, x0) as k, y0, y1 from b where x1 > 100 and x0 < 300),
+n as (select page_num, count(*) as n from m group by 1), p as (select distinct page_num from b),
+r as (select page_num, 0 as step, 100.0::double as y from p
+  union all select r.page_num, step + 1, case when r.y >= m.y0 - 2 and r.y < m.y1 then m.y1 + 2 else r.y end from r join n using (page_num) join m on m.page_num = r.page_num and m.k = step % n.n + 1 where step < 20 * n.n)
+select page_num, arg_max(y, step) as y from r group by 1""",
+    "block_formats": f"""with {_B}, l as (select page_num, block_idx, x0, x1, i, x0 + case when i = 0 then page_num % 3 * 5 else page_num % 4 * i end as a, x1 - block_idx % 3 * i * 4 as z, block_idx % 5 + 1 as n
+  from (select *, unnest(range(0, block_idx % 5 + 1)) as i from b)),
+g as (select page_num, block_idx, any_value(n) as n, greatest(any_value(x1 - x0) * 0.05, 4.0) as tol, max(a) - min(a) as sa, coalesce(max(z) filter (n <= 2 or i < n - 1) - min(z) filter (n <= 2 or i < n - 1), 0) as sz,
+  max((a + z) / 2) - min((a + z) / 2) as sm, any_value(a) filter (i = 0) as fa, any_value(z) filter (i = 0) as fz, any_value(a) filter (i = 0) - min(a) filter (i > 0) as step from l group by 1, 2),
+f as (select *, case when n = 1 then case when fz - fa < 360 and fa > 20 and abs(fa - (600 - fz)) < 48 then 1 else 0 end when sa < tol and sz < tol and n >= 3 then 3 when sm < tol and sa > tol then 1 when sz < tol and sa > tol then 2 else 0 end as align from g)
+select page_num, block_idx, align, case when align in (0, 3) and n >= 2 and step > 3 then step else 0.0 end::double as indent from f""",
     "page_diagrams": f"""with recursive {_B}, e as (select a.page_num, a.block_idx as i, o.block_idx as j from b a join b o on o.page_num = a.page_num and o.x0 < a.x1 + 30 and o.x1 > a.x0 - 30 and o.y0 < a.y1 + 30 and o.y1 > a.y0 - 30),
 r as (select page_num, i, j from e union select r.page_num, r.i, e.j from r join e on e.page_num = r.page_num and e.i = r.j),
 g as (select page_num, i, min(j) as root from r group by 1, 2)

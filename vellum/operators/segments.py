@@ -76,7 +76,7 @@ def chunked(docs: DataFrame, target: int = 3500) -> DataFrame:
 def planned(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk, first, blocks, n_chars) with soft and hard limits, sentences and section starts."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    each = docs.select("doc_id", F.transform(lines, lambda x: F.length(x)).alias("n"), F.transform(lines, lambda x: (x == "") | F.rtrim(x).rlike(STOP)).alias("s"), F.transform(lines, is_header).alias("h"))
+    each = docs.select("doc_id", F.transform(lines, lambda x: F.length(x)).alias("n"), F.transform(lines, lambda x: (x == "") | F.rtrim(x).rlike(STOP)).alias("s"), F.transform(lines, lambda x: is_header(x)).alias("h"))
     each = each.select("doc_id", F.posexplode(F.arrays_zip(pack_bounded("n", "s", "h").alias("c"), F.col("n"))).alias("block_idx", "x"))
     return each.groupBy("doc_id", F.col("x.c").alias("chunk")).agg(F.min("block_idx").alias("first"), F.count("*").alias("blocks"), F.sum("x.n").alias("n_chars"))
 
@@ -134,7 +134,22 @@ QUERIES = {
 }
 
 _HEAD = r"(trim(text) <> '' and length(trim(text)) < 60 and (regexp_matches(trim(text), '^[0-9]+(\.[0-9]+)*\.?\s+[A-Z][\w\s\-:&,]+$') or regexp_matches(trim(text), '(?i)^(Abstract|Introduction|Background|Related Work|Methodology|Methods?|Approach|Experiments?|Experimental|Results?|Discussion|Conclusions?|References|Appendix|Acknowledgments?)\b') or starts_with(trim(text), '#')))"
+_HEAD_X = _HEAD.replace("text", "x")
 ORACLE_SQL = {
+    "chunk_blocks": f"""with recursive b as (select doc_id, block_idx as i, length(text) as n from {V.SQL_BLOCKS}),
+r as (select doc_id, i, 0 as chunk, n as size, n from b where i = 0
+  union all select b.doc_id, b.i, case when r.size + b.n > 3500 then r.chunk + 1 else r.chunk end, case when r.size + b.n > 3500 then b.n else r.size + b.n end, b.n from r join b on b.doc_id = r.doc_id and b.i = r.i + 1)
+select doc_id, i as block_idx, chunk, n as n_chars from r""",
+    "chunk_plan": f"""with recursive b as (select doc_id, block_idx as i, length(x) as n, x = '' or regexp_matches(rtrim(x), '{STOP}') as stop, {_HEAD_X} as head from (select doc_id, block_idx, text as x from {V.SQL_BLOCKS})),
+r as (select doc_id, i, 0 as chunk, n as size, n, stop from b where i = 0
+  union all select b.doc_id, b.i, case when shut then r.chunk + 1 else r.chunk end, case when shut then b.n else r.size + b.n end, b.n, b.stop from (
+    select r.*, (b.head and r.size > {SOFT} * 0.5) or r.size + b.n > {HARD} or (r.size + b.n > {SOFT} and r.stop) as shut from r join b on b.doc_id = r.doc_id and b.i = r.i + 1) r join b on b.doc_id = r.doc_id and b.i = r.i + 1)
+select doc_id, chunk, min(i) as first, count(*) as blocks, sum(n) as n_chars from r group by 1, 2""",
+    "style_anchor": f"""with s as (select doc_id, block_idx, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as s from {V.SQL_BLOCKS} where block_idx < 5),
+k as (select *, coalesce(sum(length(s) + 2) over (partition by doc_id order by block_idx rows between unbounded preceding and 1 preceding), 0) as before from s where length(s) >= 50),
+t as (select doc_id, string_agg(s, chr(10) || chr(10) order by block_idx) as t from k where before - 2 < 900 group by 1),
+h as (select doc_id, t, length(regexp_extract(left(t, 2200), '(?s)^(.*[.?!])', 1)) as stop from t)
+select doc_id, (case when length(t) <= 2200 then length(t) when stop - 1 > 2200 * 0.55 then stop else 2200 end)::int as n_chars, length(t)::int as found from h""",
     "chunk_texts": f"""select doc_id, block_idx // 10 as part, md5(string_agg('[' || block_idx || '] ' || array_to_string({X.sql_tokens("text")}, ' '), chr(10) || chr(10) order by block_idx)) as digest, count(*)::int as blocks from {V.SQL_BLOCKS} group by 1, 2""",
     "document_sections": f"""select doc_id, section, min(block_idx) as first, max(block_idx) as last, count(*) as blocks from (
   select *, sum({_HEAD}::int) over (partition by doc_id order by block_idx rows unbounded preceding) as section from {V.SQL_BLOCKS}) group by 1, 2""",
