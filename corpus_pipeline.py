@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import vellum
 from vellum.llm import decontaminate, packing, quality_rules, simhash, substrings
-from vellum.llm.store import written
+from vellum.llm.store import remove, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            remove(before)  # what a stage was made of isn't read again
     return docs
