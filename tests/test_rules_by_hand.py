@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.operators import convert, glossary, layout, masking, progress, runs, scoring, segments, state
 from vellum.plans import responses
 from vellum.sources import files, sinks
@@ -228,3 +229,16 @@ def test_conversion_of_deep_markup():
         title, body = convert.html_body("<body>" + f"<{tag}>" * 5000 + "deep" + f"</{tag}>" * 5000)
         assert "deep" in body and title == ""
     assert convert.html_body("<body><blockquote><p>a</p><blockquote>b</blockquote></blockquote><div>c<b>d</b></div>")[1] == "\\begin{quote}\na\n\n\\begin{quote}\nb\n\n\\end{quote}\n\n\\end{quote}\n\nc\n\n\\textbf{d}\n"
+
+
+@pytest.mark.parametrize(
+    "original, title, job, name",
+    [("A paper.v2.pdf", "T", "pdf_x", "A paper.v2"), (None, "On a/b: c?", "pdf_x", "On a_b_ c_"), ("", "", "pdf_x_1", "x_1"), (None, None, "tex_a", "tex_a"), (".pdf", "T", "pdf_x", ".pdf"), ("  .pdf", None, "pdf_x", "document"), ("noend", "T", "x", "noend"), ("a\tb\n<>.docx", None, "x", "a_b_")],
+)
+def test_names_for_downloads(one, original, title, job, name):
+    assert one(T.friendly_name(L(original).cast("string"), L(title).cast("string"), L(job))) == name
+
+
+def test_f_scores_weigh_recall(one):
+    of = lambda beta: round(one(scoring._f(L(3.0), L(4.0), L(6.0), beta)), 9)
+    assert (of(1.0), of(2.0), of(0.5)) == (0.6, round(5 * 0.75 * 0.5 / (4 * 0.75 + 0.5), 9), round(1.25 * 0.75 * 0.5 / (0.25 * 0.75 + 0.5), 9))

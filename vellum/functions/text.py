@@ -159,6 +159,16 @@ def clean_field(field: Column) -> Column:
     return F.nullif(F.left(strip(field), F.lit(64)), F.lit(""))
 
 
+def friendly_name(original: Column, title: Column, job_id: Column) -> Column:
+    """A name for a download: that of the file without its ending, else the title, else the id without ``pdf_``.
+
+    Characters that file names can't hold become an underscore a run; a name without any other is ``document``.
+    """
+    stem = F.regexp_replace(original, r"^(.*[^/.].*)\.[^./]*$", "$1")
+    base = F.coalesce(F.nullif(F.when(F.coalesce(original, F.lit("")) != "", stem).otherwise(title), F.lit("")), F.regexp_replace(job_id, "^pdf_", ""))
+    return F.coalesce(F.nullif(strip(F.regexp_replace(base, r'[\\/:*?"<>|\r\n\t]+', "_")), F.lit("")), F.lit("document"))
+
+
 # ---- SQL with the same meaning, for comparisons ------------------------------------
 
 

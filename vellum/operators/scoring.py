@@ -51,16 +51,16 @@ def ngram_matches(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "idx", F.inline(overlaps("mt", "src")))
 
 
-def _f(m: Column, h: Column, r: Column) -> Column:
-    """F1 of matched over both totals: 2m / (h + r)."""
-    return F.when((m > 0) & (h > 0) & (r > 0), 2 * m / (h + r)).otherwise(0.0)
+def _f(m: Column, h: Column, r: Column, beta: float = 1.0) -> Column:
+    """F of matched over both totals, recall weighing ``beta`` times as much: 2m / (h + r) for 1."""
+    return F.when((m > 0) & (h > 0) & (r > 0), (1 + beta**2) * m / (h + beta**2 * r)).otherwise(0.0)
 
 
-def chrf(rows: DataFrame) -> DataFrame:
-    """Both sentence scores of each pair: chrf counts empty orders as 0, agreement leaves them out and has no words.  All within the row."""
+def chrf(rows: DataFrame, beta: float = 1.0) -> DataFrame:
+    """Both sentence scores of each pair: chrf counts empty orders as 0, agreement leaves them out, has no words and weighs both sides alike.  All within the row."""
     out = rows.select("conv_id", "idx", "mt", "src", overlaps("mt", "src").alias("o"))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    f = F.transform("o", lambda x: _f(x["matched"], x["total_h"], x["total_r"]))
+    f = F.transform("o", lambda x: _f(x["matched"], x["total_h"], x["total_r"], beta))
     char = F.filter("o", lambda x: x["kind"].startswith("c"))
     n = F.size(F.filter(char, lambda x: x["matched"] > 0))
     blank = (T.strip(F.col("mt")) == "") | (T.strip(F.col("src")) == "")

@@ -31,7 +31,7 @@ def judge_pairs(spark: SparkSession, job_dir: str, progress: DataFrame | None =
     Where the chunk files have none, those of the maps input_chunks and translated_chunks
     of ``progress`` (json), one row, by their keys.
     """
-    rows = chunk_files(spark, job_dir).select("idx", F.trim("src").alias("src"), F.trim("mt").alias("mt")) if _has_chunks(spark, job_dir) else None
+    rows = chunk_files(spark, job_dir).select("idx", F.trim("src").alias("src"), F.trim("mt").alias("mt")) if _globbed(spark, f"{job_dir}/chunks/chunk_*_original.txt") else None
     good = lambda df: df.where("src <> '' and mt <> '' and length(src) >= 20").withColumn("score_pct", F.lit(50.0))
     found = good(rows) if rows is not None else None
     if progress is None or (found is not None and not found.isEmpty()):
@@ -41,11 +41,6 @@ def judge_pairs(spark: SparkSession, job_dir: str, progress: DataFrame | None =
     return good(each.select(F.col("key").try_cast("int").alias("idx"), F.trim("src").alias("src"), F.trim(F.coalesce(F.try_element_at("t", "key"), F.lit(""))).alias("mt")))
 
 
-def _has_chunks(spark: SparkSession, job_dir: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{job_dir}/chunks/chunk_*_original.txt")
-    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
-
-
 def event_log(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Events of a JSON-lines file and the number of its lines; blank and malformed lines only count."""
     lines = spark.read.text(path)
@@ -69,8 +64,18 @@ def recent_progress(spark: SparkSession, workspace: str, limit: int, owner: str
 
 
 def progress_of(spark: SparkSession, workspace: str, job_id: str) -> DataFrame:
-    """The progress of one job; only its folders are read for an id that names one."""
-    return progress_files(spark, workspace).where(F.col("path").rlike(rf"/jobs/{re.escape(job_id)}/progress\.json$"))
+    """The progress of one job; only folders of that name are looked into, and an id that is none finds nothing."""
+    known = re.fullmatch(r"[A-Za-z0-9._-]{1,128}", job_id) and job_id not in (".", "..")
+    places = [p for top in ("jobs", "users/*/jobs") for p in _globbed(spark, f"{workspace}/{top}/{job_id}/progress.json")] if known else []
+    if not places:
+        return spark.createDataFrame([], "path string, changed timestamp, json string")
+    return spark.read.text(places, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("json"))
+
+
+def _globbed(spark: SparkSession, pattern: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().toString() for f in found or ()]
 
 
 def packs(spark: SparkSession, folder: str) -> DataFrame:

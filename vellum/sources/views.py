@@ -43,7 +43,13 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(en, vi, ordinal, locked): a glossary out of benchmark words, frequent ones first; vi is the word reversed."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("en"))
     n = words.where(F.length("en") >= TERM_LENGTH).groupBy("en").count()
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "en")).cast("long")
+    # numbers within words of one count that begin alike, after those of the groups before: only the groups are put in one order
+    n = n.withColumn("start", F.left("en", F.lit(2)))
+    groups = n.groupBy("count", "start").agg(F.count("*").alias("size"))
+    groups = groups.withColumn("before", F.sum("size").over(Window.orderBy(F.desc("count"), "start")) - F.col("size"))
+    place = F.row_number().over(Window.partitionBy("count", "start").orderBy("en"))
+    n = n.withColumn("place", place).join(groups, ["count", "start"])
+    rank = (F.col("before") + F.col("place")).cast("long")
     return n.select("en", F.reverse("en").alias("vi"), rank.alias("ordinal"), (rank % 10 == 0).alias("locked"))
 
 
