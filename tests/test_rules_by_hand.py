@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import convert, glossary, layout, masking, progress, runs, scoring, segments, state
+from vellum.operators import advice, convert, glossary, layout, masking, progress, runs, scoring, segments, state
 from vellum.plans import responses
 from vellum.sources import files, sinks
 
@@ -242,3 +242,17 @@ def test_names_for_downloads(one, original, title, job, name):
 def test_f_scores_weigh_recall(one):
     of = lambda beta: round(one(scoring._f(L(3.0), L(4.0), L(6.0), beta)), 9)
     assert (of(1.0), of(2.0), of(0.5)) == (0.6, round(5 * 0.75 * 0.5 / (4 * 0.75 + 0.5), 9), round(1.25 * 0.75 * 0.5 / (0.25 * 0.75 + 0.5), 9))
+
+
+def test_advice_on_models(spark):
+    doc = lambda **k: __import__("json").dumps(k)
+    tries = {"0": [{"selected_model": "Gemini", "ok": True}, {"model": "grok", "ok": False}, {"selected_model": "", "model": "grok"}, {"selected_model": "other", "ok": False}, 5], "1": "no list", "2": [{"model": "grok", "ok": None}]}
+    rows = [("a", 3, doc(models=["GROK"], translation_attempts=tries, failed_chunks_gemini=[1, 2], status="done")), ("b", 2, doc(status="error: gemini down", error_detail={"message": "Gemini and GROK"})), ("c", 1, doc(models=[], translation_attempts=[])), ("old", 0, doc(failed_chunks_grok=[1]))]
+    docs = spark.createDataFrame(rows, "job_id string, changed int, json string")
+    v = progress.read(docs).join(docs.select("job_id", "changed"), "job_id")
+    (r,) = advice.preference_advice(v, "grok", 3).collect()
+    assert (r.models, r.primary, r.execution_order[:2], r.fallback_models[0], r.recent_jobs, r.selected_jobs) == (["grok"], "grok", ["grok", "gemini"], "gemini", 3, 1)
+    assert r.usage == {"gemini": 1, "grok": 3} and r.failures == {"gemini": 3, "grok": 2} and r.primary_usage_share == 0.75
+    assert r.warnings == ["emergency_fallback_enabled", "primary_recent_failures"]
+    (r,) = advice.preference_advice(v.limit(0), "copilot, gemini").collect()
+    assert (r.usage, r.failures, r.primary_usage_share, r.warnings, r.recent_jobs) == ({}, {}, None, [], 0)

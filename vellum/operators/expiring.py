@@ -90,7 +90,19 @@ def failovers(opened: DataFrame, models: tuple[str, ...], keys: tuple[str, ...]
     return opened.join(to, [*keys, "model", "seq"], "left").withColumn("to_model", F.coalesce("to_model", F.lit(models[0])))
 
 
-HOURS, MOST = 12, 3
+def resolved_sessions(touches: DataFrame, seconds: int) -> DataFrame:
+    """``touches`` (token, seq, us) with ``valid``: whether the token's session still stands then.
+
+    The first touch begins it, each one that finds it keeps it up.  One that comes more than
+    ``seconds`` after the last ends it, and no later one finds it again.
+    """
+    order = Window.partitionBy("token").orderBy("us", "seq")
+    late = F.coalesce(F.col("us") - F.lag("us").over(order) > seconds * 1_000_000, F.lit(False))
+    rows = touches.withColumn("__late", late)
+    return rows.withColumn("valid", ~F.max("__late").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__late")
+
+
+HOURS, MOST, IDLE_HOURS = 12, 3, 24
 MODELS = ("click", "error", "purchase", "signup", "view")
 
 
@@ -108,9 +120,20 @@ def _breakers(spark, d) -> DataFrame:
     return failovers(openings(outcomes(spark, d)), MODELS)
 
 
-QUERIES = {"expiring_limit": _rates, "breaker_failover": _breakers}
+def _sessions(spark, d) -> DataFrame:
+    """Each user's events of a day of the week as the touches of one token."""
+    token = F.concat("user_id", F.lit(":"), F.dayofweek("ts"))
+    r = resolved_sessions(audit(V.table(spark, d, "events")).select(token.alias("token"), "seq", "us"), IDLE_HOURS * 3600)
+    return r.groupBy("token").agg(F.count("*").alias("touches"), F.sum(F.col("valid").cast("int")).alias("valid"), F.min(F.when(~F.col("valid"), F.col("us"))).alias("ended_us"))
+
+
+QUERIES = {"expiring_limit": _rates, "breaker_failover": _breakers, "token_sessions": _sessions}
 
 ORACLE_SQL = {
+    "token_sessions": f"""with t as (select user_id || ':' || (dayofweek(ts) + 1) as token, event_id as seq, epoch_us(ts) as us from events),
+l as (select *, coalesce(us - lag(us) over (partition by token order by us, seq) > {IDLE_HOURS * 3_600_000_000}, false) as late from t),
+v as (select *, not bool_or(late) over (partition by token order by us, seq rows unbounded preceding) as valid from l)
+select token, count(*) as touches, count(*) filter (valid) as valid, min(us) filter (not valid) as ended_us from v group by 1""",
     "expiring_limit": f"""with recursive e as (
   select user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as pos,
     count(*) over (partition by user_id order by epoch_us(ts) range between unbounded preceding and {HOURS * 3_600_000_000 - 1} following) + 1 as nxt from events),

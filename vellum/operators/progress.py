@@ -61,6 +61,25 @@ def job_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: requests that each run makes besides its translations and judgements.
+OTHER_REQUESTS = 2
+
+
+def run_metrics(documents: DataFrame) -> DataFrame:
+    """What a benchmark keeps of each of ``documents`` (job_id, v); the numbers of requests and of chunks passed and flagged are null without an evaluation."""
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    loop = get("$.eval_loop", "variant")
+    ran = (F.schema_of_variant(loop) != "OBJECT<>") & F.schema_of_variant(loop).startswith("OBJECT")
+    length = lambda path: F.coalesce(F.size(F.from_json(F.to_json(get(path, "variant")), "array<string>")), F.lit(0))
+    calls = lambda k: get(f"$.eval_loop.{k}", "long")
+    requests = F.coalesce(calls("total_translations"), F.lit(0)) + F.coalesce(calls("total_judge_calls"), F.lit(0)) + OTHER_REQUESTS
+    return documents.select(
+        "job_id", get("$.duration_seconds", "double").alias("duration_seconds"), get("$.total_chunks", "int").alias("total_chunks"), get("$.status").alias("status"),
+        calls("total_translations").alias("total_translations"), calls("total_judge_calls").alias("total_judge_calls"), F.when(ran, requests).alias("n_requests"),
+        F.when(ran, length("$.eval_loop.passed")).alias("passed"), F.when(ran, length("$.eval_loop.flagged")).alias("flagged"), get("$.quality.score", "double").alias("quality_score"),
+    )
+
+
 def status_rows(asked: DataFrame, documents: DataFrame) -> DataFrame:
     """What a client sees of each of ``asked`` (job_id), out of ``documents`` (job_id, v).
 
@@ -192,6 +211,15 @@ def _documents(spark, d) -> DataFrame:
     return maps.select(F.concat(F.lit("job_"), "k").alias("job_id"), body.alias("json"))
 
 
+def _evaluated(spark, d) -> DataFrame:
+    """Users' events as evaluations: values from 70 pass, those under 30 are flagged; every fourth user has none, every seventh an empty one."""
+    e = V.table(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("value") >= 70, F.col("event_id"))).alias("p"), F.collect_list(F.when(F.col("value") < 30, F.col("event_id"))).alias("f"))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    loop = F.concat(F.lit('"eval_loop":{"total_translations":'), "n", F.when(F.col("u") % 3 > 0, F.concat(F.lit(',"total_judge_calls":'), F.col("n") * 2)).otherwise(""), F.lit(',"passed":'), listed("p"), F.lit(',"flagged":'), listed("f"), F.lit("}"))
+    part = F.when(F.col("u") % 4 == 0, '"status":"done"').when(F.col("u") % 7 == 0, '"eval_loop":{}').otherwise(loop)
+    return e.select(F.concat(F.lit("run_"), "u").alias("job_id"), F.concat(F.lit("{"), part, F.lit(',"duration_seconds":1.5}')).alias("json"))
+
+
 def _asked(spark, d) -> DataFrame:
     t = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     n = F.col("l_partkey") % 4
@@ -210,6 +238,7 @@ def _sources(spark, d) -> DataFrame:
 
 QUERIES = {
     "progress_jobs": lambda spark, d: job_rows(read(_documents(spark, d))),
+    "run_metrics": lambda spark, d: run_metrics(read(_evaluated(spark, d))),
     "progress_chunks": lambda spark, d: chunk_rows(read(_documents(spark, d))),
     "progress_status": lambda spark, d: status_rows(V.table(spark, d, "orders").select(F.concat(F.lit("job_"), "o_orderkey").alias("job_id")), read(_documents(spark, d))).select("job_id", "status", "source_type", "mode", "agentic", "num_tabs", "current_chunk", "total_chunks", "progress_percent"),
     "chunk_originals": lambda spark, d: originals(_asked(spark, d), _sources(spark, d)),
@@ -222,6 +251,9 @@ ORACLE_SQL = {
   case when k % 7 = 0 then 'unknown' when k % 7 = 1 then 'translating 1/9' else 'done' end as status, count(*)::int as done_chunks, case when k % 4 = 0 then k % 100 + 0.5::double end as heuristic_score,
   case when k % 5 = 1 then k % 50 end::int as total_chunks, case when k % 6 = 1 then 2 end::int as num_tabs, null::double as duration_seconds, case k % 6 when 0 then true when 1 then false end as agentic
 from t where k % 11 > 0 group by k""",
+    "run_metrics": """with u as (select user_id as u, count(*) as n, count(*) filter (value >= 70) as p, count(*) filter (value < 30) as f, user_id % 4 <> 0 and user_id % 7 <> 0 as ran from events group by 1)
+select 'run_' || u as job_id, 1.5::double as duration_seconds, null::int as total_chunks, case when u % 4 = 0 then 'done' end as status, case when ran then n end as total_translations,
+  case when ran and u % 3 > 0 then n * 2 end as total_judge_calls, case when ran then n + case when u % 3 > 0 then n * 2 else 0 end + 2 end as n_requests, case when ran then p end::int as passed, case when ran then f end::int as flagged, null::double as quality_score from u""",
     "progress_status": f"""with {_T}, k as (select distinct k from t where k % 11 > 0)
 select 'job_' || o_orderkey as job_id, case when k is null then 'unknown' when k % 7 = 0 then 'pending' when k % 7 = 1 then 'translating 1/9' else 'done' end as status,
   case when k % 6 in (0, 2, 3, 4, 5, 1) or k is null then 'pdf_only' end as source_type, case when k is not null then 'standard' end as mode, case when k is not null then k % 6 = 0 end as agentic,
