@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -366,3 +367,56 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert passage in by[4].text and passage not in by[5].text and by[5].n_chars == len(by[5].text) and by[1].text == texts[0]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {1, 2, 4, 5}
+
+
+class Article(HTMLParser):
+    """The article of a page by its tags alone, from the standard library's parser: what the fixture pages are made of."""
+
+    BLOCK = set("article aside blockquote body div dd dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+    OUT = re.compile(r"nav|menu|ad|ads|advert|banner|cookie|notice|comment|comments|sidebar|footer|header|form|share|promo|related|reply|replies")
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out, self.said = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.said).split())
+        self.said = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.said.append(" ")
+        elif tag not in ("img", "meta", "link", "input", "hr", "source", "wbr"):
+            if tag in self.BLOCK:
+                self.end()
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).split()
+            self.open.append((tag, tag in ("nav", "aside", "form", "footer", "header", "script", "style", "noscript", "title", "svg", "select", "textarea", "template", "iframe", "button") or any(self.OUT.fullmatch(p) for n in names for p in re.split("[-_]", n.lower()))))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.end()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if any(t in ("article", "main") for t, _ in self.open) and not any(out for _, out in self.open):
+            self.said.append(data)
+
+
+def test_main_text_against_the_articles_of_the_fixture_pages(spark):
+    """The labeller, told nothing of tags at the time, gives the article of the pages that name one, blocks and all."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    told = [(r.page_id, r.html) for r in pages.collect() if r.html and re.search(r"<(article|main)\b", r.html)]
+    blocks = lambda t: Counter(t.split("\n")) if t else Counter()
+    want = {i: blocks("\n".join(Article(page).out)) for i, page in told}
+    found = {i: blocks(got[i]) for i in want}
+    lost, more = (sum(sum((a[i] - b[i]).values()) for i in want) for a, b in ((want, found), (found, want)))
+    assert len(want) > 100 and lost + more <= 0.005 * sum(sum(w.values()) for w in want.values()), (lost, more)
