@@ -44,6 +44,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, _lit(pattern))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), STRIP, "")

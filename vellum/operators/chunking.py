@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
-from vellum.functions.text import SPACE, strip
+from vellum.functions.text import SPACE, bound, strip
 from vellum.operators import latex, segments
 from vellum.sources import views as V
 
@@ -65,9 +65,12 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     A section without text stays if it has a heading and isn't the last.
     """
     text = F.coalesce("text", F.lit(""))
-    headings = F.regexp_extract_all(text, F.lit(HEADING), F.lit(0))
-    bodies = F.split(text, HEADING)
-    each = F.transform(bodies, lambda b, i: F.struct(F.when(i == 0, "").otherwise(F.get(headings, i - 1)).alias("heading"), b.alias("body"), (i == F.size(bodies) - 1).alias("last")))
+    found = F.struct(F.regexp_extract_all(text, F.lit(HEADING), F.lit(0)).alias("headings"), F.split(text, HEADING).alias("bodies"))
+
+    def sections(t: Column) -> Column:
+        return F.transform(t["bodies"], lambda b, i: F.struct(F.when(i == 0, "").otherwise(F.get(t["headings"], i - 1)).alias("heading"), b.alias("body"), (i == F.size(t["headings"])).alias("last")))
+
+    each = bound(found, sections)
     rows = docs.select("doc_id", F.posexplode(each).alias("section", "s")).select("doc_id", "section", "s.*")
     return rows.where((strip(F.col("body")) != "") | ((F.col("heading") != "") & ~F.col("last"))).drop("last")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import strip
+from vellum.functions.text import bound, strip
 
 # How remarks of a chat begin, how prompts that are sent back begin, and hints of length that are.
 REMARKS = ("Bạn có muốn", "Lưu ý", "Note:", "Chú ý:", "Would you", "Let me know", "Nếu bạn cần", "Hy vọng")
@@ -105,7 +105,7 @@ def translated_blocks(answer: Column, sources: Column) -> Column:
     alone = strip_artefacts(strip(answer))
     alone = F.when(F.lower(alone).startswith("plaintext"), strip(F.substring(alone, len("plaintext") + 1, 1 << 30))).otherwise(alone)
     said = F.when((F.size(said) == 0) & (F.size(sources) == 1), F.create_map(F.lit(1), alone)).otherwise(said)
-    return F.transform(sources, lambda s, i: F.coalesce(F.nullif(F.try_element_at(said, i + 1), F.lit("")), s))
+    return bound(said, lambda m: F.transform(sources, lambda s, i: F.coalesce(F.nullif(F.try_element_at(m, i + 1), F.lit("")), s)))
 
 
 def without_tags(text: Column) -> Column:
