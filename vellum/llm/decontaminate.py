@@ -167,8 +167,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # 2: the same, 1: a name's place with a word, 0: another or none
     agrees = lambda s: F.transform("item", lambda t, p: F.when(s + p < 0, 0).when(F.get(F.col("tpl"), F.greatest(s + p, F.lit(0))) == t, 2).when(F.get(F.col("wild"), p) & (s + p < F.size("tpl")), 1).otherwise(0))
     there = lambda m: F.filter(F.transform("masks", lambda mask, i: F.when(F.array_min(F.slice(m, i + 1, F.col("k"))) >= F.when(mask != 0, 1).otherwise(2), i + 1)), lambda i: i.isNotNull())
-    hits = laid.select(*asked, F.size("masks").cast("long").alias("n_windows"), F.explode("shifts").alias("s"), "item", "wild", "k", "masks", "tpl")
-    hits = hits.select(*asked, "n_windows", "s", F.element_at(F.transform(F.array(agrees(F.col("s"))), there), 1).alias("at")).where(F.size("at") > 0)
+    # what is found is exploded, without the document's tokens
+    at = F.transform("shifts", lambda s: F.struct(s.alias("s"), F.element_at(F.transform(F.array(agrees(s)), there), 1).alias("at")))
+    hits = laid.select(*asked, F.size("masks").cast("long").alias("n_windows"), F.filter(at, lambda x: F.size(x["at"]) > 0).alias("found"))
+    hits = hits.select(*asked, "n_windows", F.inline("found"))
 
     # a band begins with an alignment that has hits
     band = Window.partitionBy(*asked).orderBy("s").rangeBetween(0, BAND)
@@ -201,14 +203,17 @@ def _consistent(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     keys = ["doc_id", "item_id", "version", "shift", "n_windows", "n_hits"]
     asked = near.join(slots, ["item_id", "version"]).where(F.size("slots") > 0)
     words = _prepared(docs.join(_few_ids(asked), "doc_id", "left_semi"), ["doc_id"])
-    each = asked.join(words, "doc_id").select(*keys, "alone", "hits", "words", "tpl", F.explode("slots").alias("s"))
-    holding = F.filter("hits", lambda x: x["item_at"].between(F.col("s.p") - (WINDOW - 1), F.col("s.p")))
-    best = F.array_max(F.transform(holding, lambda x: F.struct(F.size(F.filter("hits", lambda y: y["s"] == x["s"])).alias("n"), (-x["s"]).alias("minus"))))
-    name = F.col("s.kind") == "<name>"
-    at = F.when(F.col("alone") & ~name, F.col("shift")).otherwise(-best["minus"]) + F.col("s.p")
-    inside = at.between(1, F.size("tpl"))
-    each = each.where(inside & (name | (F.get(F.col("tpl"), at - 1) == F.col("s.kind"))))
-    each = each.select(*keys, F.col("s.kind").alias("kind"), F.col("s.v").alias("old"), F.get(F.col("words"), at - 1).alias("new"))
+    holding = lambda p: F.filter("hits", lambda x: x["item_at"].between(p - (WINDOW - 1), p))
+    best = lambda p: F.array_max(F.transform(holding(p), lambda x: F.struct(F.size(F.filter("hits", lambda y: y["s"] == x["s"])).alias("n"), (-x["s"]).alias("minus"))))
+
+    def pair(s: Column) -> Column:
+        name = s["kind"] == "<name>"
+        at = F.when(F.col("alone") & ~name, F.col("shift")).otherwise(-best(s["p"])["minus"]) + s["p"]
+        held = at.between(1, F.size("tpl")) & (name | (F.get(F.col("tpl"), at - 1) == s["kind"]))
+        return F.when(held, F.struct(s["kind"].alias("kind"), s["v"].alias("old"), F.get(F.col("words"), at - 1).alias("new")))
+
+    each = asked.join(words, "doc_id").select(*keys, F.filter(F.transform("slots", pair), lambda x: x.isNotNull()).alias("pairs"))
+    each = each.select(*keys, F.inline("pairs"))
     by_value = each.groupBy(*keys, "kind", "old").agg(F.count_distinct("new").alias("news"), F.sum((F.col("new") != F.col("old")).cast("long")).alias("changed"))
     told = by_value.groupBy(*keys).agg(F.max("news").alias("news"), F.sum("changed").alias("n_changed"))
     every = near.select(*keys).join(told, keys, "left").where("coalesce(news, 1) = 1")
