@@ -81,11 +81,11 @@ def test_ruled_tables(spark):
 
 
 def test_diagrams(spark):
-    near = [(1, i, 50.0 * i, 10.0, 50.0 * i + 40, 60.0) for i in range(4)]  # 10 points apart
+    near = [(1, i, 50.0 * i, 10.0, 50.0 * i + 40, 100.0) for i in range(4)]  # 10 points apart
     far = [(1, 9, 900.0, 10.0, 940.0, 60.0), (1, 10, 0.0, 20.0, 1.0, 50.0)]
-    small = [(2, i, 5.0 * i, 0.0, 5.0 * i + 4, 4.0) for i in range(5)]
+    small = [(2, i, 5.0 * i, 0.0, 5.0 * i + 4, 4.0) for i in range(5)] + [(3, i, 50.0 * i, 10.0, 50.0 * i + 40, 89.9) for i in range(4)] + [(4, i, 71.0 * i, 10.0, 71.0 * i + 40, 100.0) for i in range(4)]  # too small, too low, too far apart
     got = [tuple(r) for r in geometry.diagrams(spark.createDataFrame(near + far + small, BOX)).collect()]
-    assert got == [(1, -4.0, 6.0, 194.0, 64.0)]
+    assert got == [(1, -4.0, 6.0, 194.0, 104.0)]
     colour = lambda *x: F.array(*map(F.lit, x))
     none = F.lit(None).cast("array<double>")
     assert one(spark, *(geometry.is_coloured(s, f) for s, f in ((colour(0.9, 0.1, 0.1), none), (colour(0.2, 0.2, 0.2), none), (none, colour(1.0, 1.0, 1.0)), (none, colour(1.0, 0.9, 1.0)), (none, none)))) == (True, False, False, True, False)
@@ -146,11 +146,7 @@ def test_memory(spark):
     assert [tuple(r) for r in runs.style_owner(log).collect()] == [("a", "m2")]
 
 
-def test_anchors_critiques_and_log_texts(spark):
-    anchor = lambda en, vi: F.struct(F.lit(en).cast("string").alias("en"), F.lit(vi).cast("string").alias("vi"))
-    none = F.lit(None).cast("struct<en:string,vi:string>")
-    got = one(spark, runs.merged_anchor(anchor("a", None), anchor("b", "c")), runs.merged_anchor(none, anchor("b", "c")), runs.merged_anchor(anchor("a", "d"), none), runs.merged_anchor(none, none))
-    assert [x and tuple(x) for x in got] == [("a\n\nb", "c"), ("b", "c"), ("a", "d"), None]
+def test_critiques_and_log_texts(spark):
     e = spark.createDataFrame([(1, 2, 1, "accuracy", "minor"), (1, 2, 0, "fluency", "major"), (1, 0, 0, "style", "minor")], "conv_id long, idx long, pos int, category string, severity string")
     assert runs.critique_text(e).first().text == "Block [1]:\n- minor style\nBlock [3]:\n- major fluency\n- minor accuracy"
     assert one(spark, F.length(runs.for_log(F.lit("x" * 4_000))), F.substring(runs.for_log(F.lit("x" * 5_000)), 4_001, 50)) == (4_000, "...[truncated 5000 chars]")
@@ -162,7 +158,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.log(ev, f"{tmp_path}/log")
     got = spark.read.json(f"{tmp_path}/log")
-    assert got.count() == 6 and {(r.job_id, r.seq, r.event_type) for r in got.collect()} == {("a", 1, "b"), ("a", 2, "z"), ("c", 1, "b")} and got.first().ts == "2024-01-02T03:04:05.000678Z"
+    assert got.count() == 6 and {(r.job_id, r.seq, r.event_type) for r in got.collect()} == {("a", 1, "b"), ("a", 2, "z"), ("a", 3, "b"), ("a", 4, "z"), ("c", 1, "b"), ("c", 2, "b")} and got.first().ts == "2024-01-02T03:04:05.000678Z"
     sinks.raw_responses(spark.createDataFrame([("a", 1, 2, "k", "t")], "job_id string, chunk_idx int, attempt int, kind string, text string"), f"{tmp_path}/raw")
     assert spark.read.parquet(f"{tmp_path}/raw").where("job_id = 'a' and chunk_idx = 1").first().text == "t"
     sinks.metrics(spark.createDataFrame([("a", 1.23456789), ("b", None)], "name string, x double"), f"{tmp_path}/m")
