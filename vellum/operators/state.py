@@ -98,9 +98,15 @@ def handoff(asked: DataFrame, anchors: DataFrame) -> DataFrame:
     return asked.join(own, ["chunk", "model"], "left").join(general, "model", "left").select("chunk", "model", F.coalesce("a", "b").alias("anchor"))
 
 
-def low_quality(rows: DataFrame, threshold: float, most: int, tie: str) -> DataFrame:
-    """Of the rows under the threshold, or of all if there are none, those with the ``most`` lowest scores; no score counts as 100, of equal ones the lesser ``tie`` comes first."""
+def low_quality(rows: DataFrame, threshold: float, most: int | None = None, tie: str | None = None) -> DataFrame:
+    """The rows under the threshold, or all if there are none; no score counts as 100.
+
+    With ``most``, only that many of the lowest scores, of equal ones the lesser ``tie`` first.
+    """
     scored = rows.withColumn("__s", F.coalesce("score", F.lit(100.0)))
+    if most is None:
+        any_low = scored.agg(F.coalesce(F.bool_or(F.col("__s") < threshold), F.lit(False)).alias("__low"))
+        return scored.join(F.broadcast(any_low)).where(~F.col("__low") | (F.col("__s") < threshold)).drop("__s", "__low")
     # rows under the threshold are lower than all others: if there are any, the others only have to go
     first = scored.orderBy("__s", tie).limit(most).withColumn("__low", F.bool_or(F.col("__s") < threshold).over(Window.partitionBy(F.lit(1))))
     return first.where(~F.col("__low") | (F.col("__s") < threshold)).drop("__s", "__low")
@@ -133,7 +139,7 @@ QUERIES = {
     "latest_phases": lambda spark, d: latest_phases(_events(spark, d)),
     "selector_ranks": lambda spark, d: selectors(_events(spark, d)),
     "model_advice": lambda spark, d: model_advice(_events(spark, d).withColumnRenamed("phase", "model").drop("backend")),
-    "low_quality_pairs": lambda spark, d: low_quality(V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 20_000.0, 50, "o_orderkey"),
+    "low_quality_pairs": lambda spark, d: low_quality(V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 20_000.0),
     "bypass_blocks": lambda spark, d: V.blocks(spark, d).select(bypass_reason(F.col("text")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     "output_validation": lambda spark, d: V.table(spark, d, "lineitem").select(F.explode(output_issues(F.col("l_linenumber"), F.col("l_quantity").cast("int") % 7 + 1, F.col("l_extendedprice"), F.col("l_quantity") * 500)).alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
     "page_kinds": lambda spark, d: V.table(spark, d, "pages").select(upload_kind(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int")))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
@@ -146,7 +152,7 @@ ORACLE_SQL = {
     "selector_ranks": f"""with {_E}, f as (select *, min(seq) filter (ok) over (partition by backend, selector) as first from e), g as (select backend, selector, count(*) filter (ok) - 2 * count(*) filter (not ok) as score from f where seq >= first group by 1, 2)
 select * from (select *, row_number() over (partition by backend order by score desc, selector) as rank from g where score > -3) where rank <= 8""",
     "model_advice": f"with {_E} select phase as model, count(*) as attempts, count(*) filter (not ok) as failures, round(avg((not ok)::int), 6) as share from e group by 1",
-    "low_quality_pairs": "select o_orderkey, o_totalprice as score from orders where o_totalprice < 20000 or not exists (select 1 from orders where o_totalprice < 20000) order by o_totalprice, o_orderkey limit 50",
+    "low_quality_pairs": "select o_orderkey, o_totalprice as score from orders where o_totalprice < 20000 or not exists (select 1 from orders where o_totalprice < 20000)",
     "bypass_blocks": f"""with b as (select trim(text) as raw, regexp_replace(trim(text), '{ADDRESS}', ' ', 'g') as rest from {V.SQL_BLOCKS}),
 r as (select case when raw = '' then 'empty' when trim(rest) = '' then 'url_only' when length(array_to_string(regexp_extract_all(rest, '{LETTERS}'), '')) < {FEW_LETTERS} and length(raw) <= {FEW_CHARS} then 'too_short' end as reason from b)
 select reason, count(*) as n from r group by 1""",
