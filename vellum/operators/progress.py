@@ -20,7 +20,9 @@ BUCKETS = 64
 
 def read(progress: DataFrame) -> DataFrame:
     """(job_id, v): progress documents (job_id, json) as variants; what isn't a JSON object is left out."""
-    return progress.select("job_id", F.try_parse_json("json").alias("v")).where("schema_of_variant(v) like 'OBJECT%'")
+    # exploded and not filtered: a filter would go below and parse, and make, each document once more
+    parsed = F.filter(F.array(F.try_parse_json("json")), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    return progress.select("job_id", F.explode(parsed).alias("v"))
 
 
 def _exploded(rows: DataFrame, what: str) -> DataFrame:
