@@ -135,6 +135,7 @@ def originals(asked: DataFrame, sources: DataFrame) -> DataFrame:
     """
     a = asked.withColumn("__n", F.monotonically_increasing_id()).withColumn("__key", key_parts(F.col("chunk_key")))
     a = kept(a.withColumn("__key", F.when(~((F.col("source_type") == "pdf_only") & F.col("__key.path").isNotNull()), F.col("__key"))))
+    sources = kept(sources)  # read four times
     files = sources.groupBy("job_id", "path", "is_main").agg(F.count("*").alias("n_chunks"))
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     named = a.where("__key.path is not null").select("__n", "job_id", F.col("__key.path").alias("rel")).withColumn("base", base(F.col("rel")))
