@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions.text import bound
 from vellum.sources import views as V
 
 # Alignments by number.
@@ -26,13 +27,18 @@ def block_format(lines: Column, x0: Column, x1: Column, page_width: Column) -> C
     starts and ends (the last line's aside) it is justified; even middles make it centred,
     even ends flushed right; else it is left.  The first line's indent counts from 3 points.
     """
-    n = F.size(lines)
-    starts, ends = F.transform(lines, lambda s: s["x0"]), F.transform(lines, lambda s: s["x1"])
+    bounds = F.struct(F.transform(lines, lambda s: s["x0"]).alias("starts"), F.transform(lines, lambda s: s["x1"]).alias("ends"))
+    return bound(bounds, lambda t: _format(t["starts"], t["ends"], x0, x1, page_width))
+
+
+def _format(starts: Column, ends: Column, x0: Column, x1: Column, page_width: Column) -> Column:
+    """(align, indent) of a block whose lines have these starts and ends."""
+    n = F.size(starts)
     spread = lambda a: F.coalesce(F.array_max(a) - F.array_min(a), F.lit(0.0))
     tolerance = F.greatest((x1 - x0) * 0.05, F.lit(4.0))
     even_starts = spread(starts) < tolerance
     even_ends = spread(F.when(n > 2, F.slice(ends, F.lit(1), n - 1)).otherwise(ends)) < tolerance
-    even_middles = spread(F.transform(lines, lambda s: (s["x0"] + s["x1"]) / 2)) < tolerance
+    even_middles = spread(F.zip_with(starts, ends, lambda a, z: (a + z) / 2)) < tolerance
     uneven = spread(starts) > tolerance
     first, last = F.get(starts, F.lit(0)), F.get(ends, F.lit(0))
     single = (last - first < page_width * 0.6) & (first > 20) & (F.abs(first - (page_width - last)) < page_width * 0.08)
