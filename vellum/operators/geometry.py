@@ -119,15 +119,15 @@ def merged_rects(found: Column, more: Column) -> Column:
 _BOX = "page_num long, x0 double, y0 double, x1 double, y1 double"
 
 
-def _by_page(rows: DataFrame, one: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    """(page_num, x0, y0, x1, y1): what ``one`` makes of each page's boxes, an array of four columns; a page's rows are read together."""
+def _by_page(rows: DataFrame, many: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(page_num, x0, y0, x1, y1): what ``many`` makes of the pages of a batch: of their boxes, an array of four columns, and of the cuts between pages it gives for each box that it makes the number of its page, from 0, and the box; a page's rows are read together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages, boxes = np.zeros(0, np.int64), np.zeros((0, 4))
 
         def made(cuts: np.ndarray) -> pa.RecordBatch:
-            out = [(int(pages[a]), *box) for a, z in zip(cuts[:-1], cuts[1:], strict=True) for box in one(boxes[a:z])]
-            cells = zip(*out, strict=True) if out else [()] * 5
+            of, out = many(boxes[: cuts[-1]], cuts)
+            cells = [pages[cuts[of]], *out.T]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.int64()] + [pa.float64()] * 4, strict=True)], ["page_num", "x0", "y0", "x1", "y1"])
 
         for batch in batches:
@@ -143,6 +143,17 @@ def _by_page(rows: DataFrame, one: Callable[[np.ndarray], list[tuple]]) -> DataF
     return boxes.repartition("page_num").sortWithinPartitions("page_num").mapInArrow(run, _BOX)
 
 
+def _one_by_one(one: Callable[[np.ndarray], list[tuple]]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For ``_by_page``: ``one`` makes the boxes of a page."""
+
+    def many(boxes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [(k, *box) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) for box in one(boxes[a:z])]
+        told = np.array(out, float).reshape(-1, 5)
+        return told[:, 0].astype(np.int64), told[:, 1:]
+
+    return many
+
+
 def ruled_tables(lines: DataFrame) -> DataFrame:
     """Boxes of tables from drawn lines (page_num, x0, y0, x1, y1), page by page.
 
@@ -176,7 +187,7 @@ def ruled_tables(lines: DataFrame) -> DataFrame:
                 out.append((x0, y0, x1, y1))
         return out
 
-    return _by_page(lines, one)
+    return _by_page(lines, _one_by_one(one))
 
 
 def is_coloured(stroke: Column, fill: Column) -> Column:
@@ -185,23 +196,65 @@ def is_coloured(stroke: Column, fill: Column) -> Column:
     return F.coalesce((low < 0.95) & (high - low > 0.1), F.lit(False)) | F.coalesce((F.size(fill) >= 3) & F.exists(F.slice(fill, 1, 3), lambda c: c < 0.98), F.lit(False))
 
 
+#: Shapes of a page up to which it is taken with others of as many, and pairs of shapes that are looked at together.
+SMALL, PAIRS = 64, 1 << 20
+
+
 def diagrams(shapes: DataFrame, least: int = 3, least_size: float = 80.0, near: float = 30.0) -> DataFrame:
     """Boxes, 4 points wider, of groups of ``least`` shapes or more that come within ``near`` of one another, page by page.
 
     Shapes under 2 points either way don't count, nor do groups under ``least_size`` either way.
+    Pages of up to 64 shapes are taken together with those of as many, some thousand at a time.
     """
 
+    def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (b[..., 0] < a[..., 2] + near) & (b[..., 2] > a[..., 0] - near) & (b[..., 1] < a[..., 3] + near) & (b[..., 3] > a[..., 1] - near)
+
+    def boxed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.concatenate([low - 4, high + 4], -1)
+
     def one(b: np.ndarray) -> list[tuple]:
         label = np.arange(len(b))
-        for i, (x0, y0, x1, y1) in enumerate(b if len(b) >= least else ()):  # a row at a time, never all pairs at once
-            meets = (b[:, 0] < x1 + near) & (b[:, 2] > x0 - near) & (b[:, 1] < y1 + near) & (b[:, 3] > y0 - near)
+        for i, shape in enumerate(b):  # a row at a time, never all pairs at once
+            meets = meet(shape, b)
             meets[i] = True
             joined = np.isin(label, label[meets])
             label[joined] = label[joined].min()
         groups = (b[label == k] for k in np.flatnonzero(np.bincount(label) >= least))
-        return [(*(g[:, :2].min(0) - 4), *(g[:, 2:].max(0) + 4)) for g in groups if (g[:, 2:].max(0) - g[:, :2].min(0) >= least_size).all()]
-
-    return _by_page(shapes.where("x1 - x0 >= 2 and y1 - y0 >= 2"), one)
+        return [tuple(boxed(g[:, :2].min(0), g[:, 2:].max(0))) for g in groups if (g[:, 2:].max(0) - g[:, :2].min(0) >= least_size).all()]
+
+    def alike(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pages of as many shapes each, (page, shape, side): the page of each group, and its box."""
+        n = b.shape[1]
+        near_by = meet(b[:, :, None], b[:, None])
+        near_by |= near_by.transpose(0, 2, 1) | np.eye(n, dtype=bool)
+        label = np.broadcast_to(np.arange(n), b.shape[:2])
+        while True:  # the least number in reach goes on until none changes
+            less = np.where(near_by, label[:, None], n).min(2)
+            if (less == label).all():
+                break
+            label = less
+        mine = label[:, None] == np.arange(n)[:, None]  # page, group, shape
+        low = np.where(mine[..., None], b[:, None, :, :2], np.inf).min(2)
+        high = np.where(mine[..., None], b[:, None, :, 2:], -np.inf).max(2)
+        page, group = np.nonzero((mine.sum(2) >= least) & (high - low >= least_size).all(2))
+        return page, boxed(low[page, group], high[page, group])
+
+    def many(boxes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(cuts)
+        out = [(np.zeros(0, np.int64), np.zeros((0, 4)))]
+        for n in np.unique(sizes[sizes >= max(least, 1)]):
+            of = np.flatnonzero(sizes == n)
+            if n > SMALL:
+                out += [(np.full(len(found), k), np.array(found, float).reshape(-1, 4)) for k in of for found in [one(boxes[cuts[k] : cuts[k + 1]])]]
+                continue
+            for some in np.array_split(of, -(-len(of) * n * n // PAIRS)):
+                page, found = alike(boxes[cuts[some][:, None] + np.arange(n)])
+                out.append((some[page], found))
+        of, found = (np.concatenate(x) for x in zip(*out, strict=True))
+        return of, found
+
+    return _by_page(shapes.where("x1 - x0 >= 2 and y1 - y0 >= 2"), many)
 
 
 def boxes(spark, d) -> DataFrame:
