@@ -78,20 +78,42 @@ def next_below(blocks: DataFrame, page_height: float) -> DataFrame:
     return blocks.join(below, [*keys, "block_idx"], "left").withColumn("next_y", F.least(F.lit(page_height - 20), F.coalesce(F.col("__y") - 2, F.lit(page_height - 20)))).drop("__y")
 
 
+#: Blocks of a page up to which each looks through all of them; on larger pages they meet on grid cells.
+FEW = 64
+
+
 def room_below(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``max_y``: how far each may grow, to 1.5 above the next block that shares over 0.3 of the lesser width, at most by twice its height.
 
-    Only blocks in reach of that growth are met, on grid cells.
+    On pages of up to 64 blocks nothing is joined.  Beyond, only blocks in reach of that
+    growth are met, on grid cells.
     """
-    from vellum.operators.tables import meeting
-
+    page = Window.partitionBy("page_num")
+    all_ = blocks.withColumn("__n", F.count("*").over(page))
+    few = all_.where(F.col("__n") <= FEW).withColumn("__o", F.collect_list(F.struct("block_idx", "x0", "x1", "y0")).over(page))
     most = F.col("y1") + (F.col("y1") - F.col("y0")) * 2.0
+    grows = F.col("page_num").isNotNull() & (F.col("x1") > F.col("x0")) & (most + 2 > F.col("y1"))
+
+    def in_way(o: Column) -> Column:
+        shared = F.least("x1", o["x1"]) - F.greatest("x0", o["x0"])
+        narrow = F.least(F.col("x1") - F.col("x0"), o["x1"] - o["x0"])
+        return (o["x1"] > o["x0"]) & (o["y0"] < most + 2) & (o["block_idx"] != F.col("block_idx")) & (o["y0"] > F.col("y1")) & (shared / narrow > 0.3)
+
+    near = F.when(grows, F.array_min(F.transform(F.filter("__o", in_way), lambda o: o["y0"])))
+    few = few.withColumn("max_y", F.least(most, F.coalesce(near - 1.5, most)))
+    more = _room_on_cells(all_.where(F.col("__n") > FEW).drop("__n"), most)
+    return few.select(*more.columns).unionByName(more)
+
+
+def _room_on_cells(blocks: DataFrame, most: Column) -> DataFrame:
+    from vellum.operators.tables import meeting_on_cells
+
     box = ["page_num", "block_idx", "x0", "x1"]
     reach = blocks.select(*box, (F.col("y1") - F.col("y0")).alias("h"), F.col("y1").alias("y0"), (most + 2).alias("y1"))
     tops = blocks.select(*box, "y0", (F.col("y0") + 1).alias("y1"))
     shared = F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0")
     narrow = F.least(F.col("l.x1") - F.col("l.x0"), F.col("r.x1") - F.col("r.x0"))
-    met = meeting(reach, tops).where((F.col("l.block_idx") != F.col("r.block_idx")) & (F.col("r.y0") > F.col("l.y0")) & (shared / narrow > 0.3))
+    met = meeting_on_cells(reach, tops).where((F.col("l.block_idx") != F.col("r.block_idx")) & (F.col("r.y0") > F.col("l.y0")) & (shared / narrow > 0.3))
     near = met.groupBy("page_num", F.col("l.block_idx").alias("block_idx")).agg(F.min("r.y0").alias("__y"))
     return blocks.join(near, ["page_num", "block_idx"], "left").withColumn("max_y", F.least(most, F.coalesce(F.col("__y") - 1.5, most))).drop("__y")
 
