@@ -28,6 +28,9 @@ HEADING = r"^[0-9]+(\.[0-9]+)*\s+\w"
 CAPTION = r"(?i)^(Figure|Fig\.|Table|Algorithm|Appendix)\s"
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 TOKEN, STRIP = f"[^{SPACE}]+", f"^[{SPACE}]+|[{SPACE}]+$"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -51,7 +54,7 @@ def bound(value: Column, use) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), STRIP, "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))  # only the ends are looked at
 
 
 def tokens(text: Column) -> Column:

@@ -1,17 +1,18 @@
 """Chunks of documents: heading first, at section titles, and of LaTeX blocks.
 
 Packing is one rule with other numbers: it goes over a document's pieces in order and
-carries no more than the size of the open chunk.  It is a table function over rows
-partitioned by document and ordered by piece, so no document becomes one array.
+carries no more than the size of the open chunk.  Where pieces are rows, numbers alone go
+through it, partitioned by document and ordered by piece, so no document becomes one array;
+a section of Markdown, which is one row, is packed in its row by the lengths of its paragraphs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
 
 from vellum.functions.text import SPACE, bound, strip
 from vellum.operators import latex, segments
@@ -24,25 +25,29 @@ TARGET, LIMIT, TITLE_SHARE, KNOWN_BY, LATEX_TARGET = 1500, 2200, 0.5, 30, 1500
 NEVER = 1 << 40
 
 
-@F.udtf(returnType="doc_id bigint, part bigint, piece bigint, chunk int")
-class Pack:
-    """The chunk of each piece (doc_id, part, piece, n, solid, title, ends, soft, title_from, hard).
+_PACKED = "doc_id bigint, part bigint, piece bigint, chunk int"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunk of each piece (doc_id, part, piece, n, solid, title, ends, soft, title_from, hard), in order.
 
     A chunk with a solid piece closes before a title once it is over title_from long,
     before a piece that takes it over ``hard``, or over ``soft`` after a piece that ends a
     sentence.
     """
-
-    def __init__(self):
-        self.chunk, self.size, self.filled, self.ended = 0, 0, False, False
-
-    def eval(self, row: Row) -> Iterator[tuple]:
-        after = self.size + row["n"]
-        if self.filled and ((row["title"] and self.size > row["title_from"]) or after > row["hard"] or (after > row["soft"] and self.ended)):
-            self.chunk, self.size, self.filled = self.chunk + 1, 0, False
-        self.size += row["n"]
-        self.filled, self.ended = self.filled or row["solid"], row["ends"]
-        yield row["doc_id"], row["part"], row["piece"], self.chunk
+    now, chunk, size, filled, ended = None, 0, 0, False, False
+    for batch in batches:
+        out = []
+        doc_id, part, _, *rest = (c.to_pylist() for c in batch.columns)
+        for at, (n, solid, title, ends, soft, title_from, hard) in zip(zip(doc_id, part, strict=True), zip(*rest, strict=True), strict=True):
+            if at != now:
+                now, chunk, size, filled, ended = at, 0, 0, False, False
+            if filled and ((title and size > title_from) or size + n > hard or (size + n > soft and ended)):
+                chunk, size, filled = chunk + 1, 0, False
+            size += n
+            filled, ended = filled or solid, ends
+            out.append(chunk)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], ["doc_id", "part", "piece", "chunk"])
 
 
 def packed(pieces: DataFrame, n: Column, hard: int, solid: Column | None = None, title: Column | None = None, ends: Column | None = None, soft: int = NEVER, title_from: float = 0.0) -> DataFrame:
@@ -52,7 +57,7 @@ def packed(pieces: DataFrame, n: Column, hard: int, solid: Column | None = None,
         F.col("doc_id").cast("bigint"), F.col("part").cast("bigint"), F.col("piece").cast("bigint"), n.cast("bigint").alias("n"), (true if solid is None else solid).alias("solid"),
         (false if title is None else title).alias("title"), (false if ends is None else ends).alias("ends"), F.lit(soft).cast("bigint").alias("soft"), F.lit(float(title_from)).alias("title_from"), F.lit(hard).cast("bigint").alias("hard"),
     )
-    got = Pack(rows.asTable().partitionBy("doc_id", "part").orderBy("piece"))
+    got = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "piece").mapInArrow(_pack, _PACKED)
     return pieces.join(got, ["doc_id", "part", "piece"])
 
 
@@ -77,13 +82,16 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
 def markdown_chunks(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, section, chunk, heading, text): sections with text; one of over ``most`` characters is packed by paragraphs."""
-    rows = markdown_sections(docs).withColumn("body", strip(F.col("body"))).where("body <> ''")
-    short = rows.where(F.length("body") <= most).select("doc_id", "section", F.lit(0).alias("chunk"), "heading", F.col("body").alias("text"))
-    each = rows.where(F.length("body") > most).select("doc_id", F.col("section").alias("part"), "heading", F.posexplode(F.split("body", PARAGRAPH)).alias("piece", "text")).where(strip(F.col("text")) != "")
-    got = packed(each, F.length("text") + 2, most)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "\n\n")
-    long_ = got.groupBy("doc_id", "part", "chunk", "heading").agg(strip(joined).alias("text"))
-    return short.unionByName(long_.withColumnRenamed("part", "section"))
+    rows = markdown_sections(docs).select("doc_id", "section", "heading", strip(F.col("body")).alias("body")).where("body <> ''")
+    pieces = F.when(F.length("body") <= most, F.array("body")).otherwise(F.filter(F.split("body", PARAGRAPH), lambda p: strip(p) != ""))
+    each = rows.select("doc_id", "section", "heading", pieces.alias("pieces"))
+    # a row's text stays where it is: its lengths go to Python, the first piece of each chunk comes back
+    each = each.withColumn("c", segments.pack_column(most)(F.transform("pieces", lambda p: F.length(p) + 2)))
+    starts = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+    each = each.withColumn("starts", starts(F.col("c"))).select("doc_id", "section", "heading", "pieces", "starts", F.posexplode("starts").alias("chunk", "start"))
+    end = F.coalesce(F.get("starts", F.col("chunk") + 1), F.size("pieces"))
+    text = strip(F.array_join(F.slice("pieces", F.col("start") + 1, end - F.col("start")), "\n\n"))
+    return each.select("doc_id", "section", "chunk", "heading", text.alias("text"))
 
 
 # ---- section titles -----------------------------------------------------------------
