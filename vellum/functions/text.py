@@ -35,6 +35,22 @@ TOKEN, STRIP = f"[^{SPACE}]+", f"^[{SPACE}]+|[{SPACE}]+$"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def _of(chars: str) -> str:
+    """A class of these characters in Java's notation: runs of them, and ASCII told apart by the first test, so that not each character goes through a long list."""
+    runs: list[list[int]] = []
+    for c in sorted({ord(c) for c in chars if ord(c) > 0x7F}):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars)) if ord(c) <= 0x7F) + r"[[^\x00-\x7f]&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in runs) + "]]]"
+
+
+# The same sets as in the patterns above, for Spark alone.
+VIETNAMESE_CLASS, MATH_CLASS = _of(VIETNAMESE), _of(MATH_SYMBOLS.replace("\\", ""))
+TOKEN_RUN = rf"[!-~[^{SPACE}]]+"
+
+
 def _lit(pattern: str) -> Column:
     return F.lit(pattern)
 
@@ -58,11 +74,11 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return found(text, TOKEN)
+    return found(text, TOKEN_RUN)
 
 
 def n_tokens(text: Column) -> Column:
-    return count(text, TOKEN)
+    return count(text, TOKEN_RUN)
 
 
 def english_words(text: Column, least: int = 4) -> Column:
@@ -80,11 +96,11 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def has_vietnamese(text: Column) -> Column:
-    return text.rlike(f"[{VIETNAMESE}]")
+    return text.rlike(VIETNAMESE_CLASS)
 
 
 def vietnamese_chars(text: Column) -> Column:
-    return count(text, f"[{VIETNAMESE}]")
+    return count(text, VIETNAMESE_CLASS)
 
 
 def letters(text: Column) -> Column:
@@ -122,7 +138,7 @@ def is_metadata(text: Column) -> Column:
 def english_heavy(text: Column) -> Column:
     """Much English and little Vietnamese, for diagnoses; letters are matched without case."""
     n = english_words(text)
-    return (F.length(strip(text)) >= 20) & (n >= 5) & (count(F.lower(text), f"[{VIETNAMESE}]") < n * 0.5)
+    return (F.length(strip(text)) >= 20) & (n >= 5) & (vietnamese_chars(F.lower(text)) < n * 0.5)
 
 
 def truncated(src: Column, mt: Column) -> Column:

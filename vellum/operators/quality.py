@@ -90,25 +90,30 @@ def predicates(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 def _sub_scores(rows: DataFrame, key: str) -> DataFrame:
     s, t = F.col("s"), F.col("t")
     each = rows.select(key, T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t"))
-    kept = lambda p: F.size(F.filter(T.found(s, p), lambda x: F.array_contains(T.found(t, p), x)))
+    # the translation is searched once for a row, and only if the source has any
+    kept = lambda p: F.when(s.rlike(p), T.bound(F.array_distinct(T.found(t, p)), lambda there: F.size(F.filter(T.found(s, p), lambda x: F.array_contains(there, x))))).otherwise(0)
     both = (s != "") & (t != "")
     ratio = F.when((F.length(s) >= 20) & (t != ""), F.length(t) / F.length(s))
     each = each.select(
         key, (s != "").cast("int").alias("has_src"), ((s != "") & T.has_vietnamese(t)).cast("int").alias("done"),
         T.letters(t).alias("alpha"), T.vietnamese_chars(t).alias("vi"), T.n_tokens(t).alias("words"), T.function_words(t).alias("fw"),
         F.when(both, F.size(T.found(s, T.NUMBER))).otherwise(0).alias("nums"), F.when(both, kept(T.NUMBER)).otherwise(0).alias("nums_kept"),
-        F.when(both, F.size(T.found(s, f"[{T.MATH_SYMBOLS}]"))).otherwise(0).alias("syms"), F.when(both, kept(f"[{T.MATH_SYMBOLS}]")).otherwise(0).alias("syms_kept"),
+        F.when(both, F.size(T.found(s, T.MATH_CLASS))).otherwise(0).alias("syms"), F.when(both, kept(T.MATH_CLASS)).otherwise(0).alias("syms_kept"),
         ratio.alias("ratio"),
     )
     total = {c: F.sum(c).alias(c) for c in ("has_src", "done", "alpha", "vi", "words", "fw", "nums", "nums_kept", "syms", "syms_kept")}
     return each.groupBy(key).agg(*total.values(), F.count("ratio").alias("n"), F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("std"), F.sum(F.when((F.col("ratio") < 0.3) | (F.col("ratio") > 3.0), 1).otherwise(0)).alias("outliers"))
 
 
+#: Two capitalised words or more.
+TERM = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+
+
 def terminology(rows: DataFrame, key: str) -> DataFrame:
     """(key, terms_checked, terms_consistent): capitalised terms in two blocks or more whose translations share enough words."""
-    each = rows.select(key, T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t")).where("s <> '' and t <> ''")
+    each = rows.select(key, T.strip(F.col("src")).alias("s"), T.strip(F.col("mt")).alias("t")).where("s <> '' and t <> ''").where(F.col("s").rlike(TERM))
     words = F.array_distinct(T.tokens(F.lower(F.col("t"))))
-    found = each.select(key, F.explode(T.found(F.col("s"), r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")).alias("term"), words.alias("words")).withColumn("term", F.lower("term"))
+    found = each.select(key, F.explode(T.found(F.col("s"), TERM)).alias("term"), words.alias("words")).withColumn("term", F.lower("term"))
     n = found.groupBy(key, "term").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
     common = found.select(key, "term", F.explode("words").alias("w")).groupBy(key, "term", "w").agg(F.count("*").alias("has"))
     shared = common.join(n.where("n >= 2"), [key, "term"]).groupBy(key, "term").agg(F.sum((F.col("has") == F.col("n")).cast("int")).alias("shared"), F.first("avg_len").alias("avg_len"))
