@@ -105,7 +105,7 @@ def status_rows(asked: DataFrame, documents: DataFrame) -> DataFrame:
         part(1).alias("current_chunk"), part(2).alias("total_chunks"), percent.alias("progress_percent"), some(keys("$.failed_chunks")).alias("failed_chunks"),
         some(keys("$.glossary.terms")).alias("glossary_count"), keys("$.glossary.seed_terms").alias("glossary_seed_count"), keys("$.glossary.document_terms").alias("glossary_document_count"),
     )
-    return asked.select("job_id").join(seen, "job_id", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "source_type": F.coalesce("source_type", F.lit("pdf_only"))})
+    return asked.select("job_id").join(seen.hint("merge"), "job_id", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "source_type": F.coalesce("source_type", F.lit("pdf_only"))})
 
 
 # ---- look-ups by compound keys ----------------------------------------------------
@@ -131,26 +131,27 @@ def originals(asked: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources`` has job_id, path, is_main, idx and text: the chunks of every file; of PDF
     jobs those of the file without a path.  A path is looked up as the end of a file's
     path, of several files the least counts.  Problems are bad_key, no_source, no_file
-    and out_of_range.
+    and out_of_range.  Rows out of variants are taken for far smaller than they are, so
+    the joins are merges: a broadcast would hold all chunks in the driver.
     """
-    a = asked.withColumn("__n", F.monotonically_increasing_id()).withColumn("__key", key_parts(F.col("chunk_key")))
-    a = kept(a.withColumn("__key", F.when(~((F.col("source_type") == "pdf_only") & F.col("__key.path").isNotNull()), F.col("__key"))))
-    sources = kept(sources)  # read four times
-    files = sources.groupBy("job_id", "path", "is_main").agg(F.count("*").alias("n_chunks"))
+    a = asked.withColumn("__key", key_parts(F.col("chunk_key")))
+    a = a.withColumn("__key", F.when(~((F.col("source_type") == "pdf_only") & F.col("__key.path").isNotNull()), F.col("__key"))).withColumn("__rel", F.coalesce("__key.path", F.lit("")))
+    a, sources = kept(a), kept(sources)  # read three times each
+    files = sources.select("job_id", "path", "is_main").distinct()
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    named = a.where("__key.path is not null").select("__n", "job_id", F.col("__key.path").alias("rel")).withColumn("base", base(F.col("rel")))
-    ends = (F.col("path") == F.col("rel")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("rel")))
-    by_path = named.join(files.where("path is not null").withColumn("base", base(F.col("path"))), ["job_id", "base"]).where(ends).groupBy("__n").agg(F.min("path").alias("path"))
-    main = files.where("is_main").groupBy("job_id").agg(F.min(F.struct("path", "n_chunks")).alias("main"), F.lit(True).alias("has_main"))
-    any_ = files.groupBy("job_id").agg(F.lit(True).alias("any"))
-    found = a.join(by_path, "__n", "left").join(main, "job_id", "left").join(any_, "job_id", "left")
-    found = found.withColumn("__path", F.when(F.col("__key.path").isNotNull(), F.col("path")).otherwise(F.col("main.path")))
-    located = F.when(F.col("__key.path").isNotNull(), F.col("path").isNotNull()).otherwise(F.coalesce("has_main", F.lit(False)))
-    found = found.withColumn("__located", F.col("__key").isNotNull() & located).drop("path", "main", "has_main")
+    rels = a.select("job_id", "__rel").distinct()  # each path that a job is asked for, "" for the main file
+    ends = (F.col("path") == F.col("__rel")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("__rel")))
+    named, own = (df.where(F.col(c) != "").withColumn("__base", base(F.col(c))) for df, c in ((rels, "__rel"), (files.select("job_id", "path"), "path")))
+    by_path = named.join(own.hint("merge"), ["job_id", "__base"]).where(ends).groupBy("job_id", "__rel").agg(F.min("path").alias("path"))
+    jobs = files.groupBy("job_id").agg(F.min(F.when(F.col("is_main"), F.struct("path"))).alias("main"), F.lit(True).alias("__any"))
+    placed = rels.join(jobs.hint("merge"), "job_id", "left").join(by_path.hint("merge"), ["job_id", "__rel"], "left")
+    of = lambda named, main: F.when(F.col("__rel") != "", named).otherwise(main)
+    placed = placed.select("job_id", "__rel", "__any", of(F.col("path").isNotNull(), F.col("main").isNotNull()).alias("__located"), of(F.col("path"), F.col("main.path")).alias("__path"))
+    found = a.join(placed.hint("merge"), ["job_id", "__rel"], "left").withColumn("__located", F.col("__key").isNotNull() & F.coalesce("__located", F.lit(False)))
     text = sources.select("job_id", F.coalesce("path", F.lit("")).alias("__p"), F.col("idx").alias("__i"), F.col("text").alias("__text"), F.lit(True).alias("__hit"))
-    out = found.withColumns({"__p": F.when(F.col("__located"), F.coalesce("__path", F.lit(""))), "__i": F.col("__key.idx")}).join(text, ["job_id", "__p", "__i"], "left")
+    out = found.withColumns({"__p": F.when(F.col("__located"), F.coalesce("__path", F.lit(""))), "__i": F.col("__key.idx")}).join(text.hint("merge"), ["job_id", "__p", "__i"], "left")
     problem = (
-        F.when(F.col("__key").isNull(), "bad_key").when(F.col("any").isNull(), "no_source").when(~F.col("__located"), "no_file").when(F.col("__hit").isNull(), "out_of_range")
+        F.when(F.col("__key").isNull(), "bad_key").when(F.col("__any").isNull(), "no_source").when(~F.col("__located"), "no_file").when(F.col("__hit").isNull(), "out_of_range")
     )
     return out.select(*(f"`{c}`" for c in asked.columns), F.col("__text").alias("text"), problem.alias("problem"))
 
@@ -196,19 +197,21 @@ def recover(spark: SparkSession, path: str, active: DataFrame, now: str) -> dict
 
 def _documents(spark, d) -> DataFrame:
     """Line items of an order as its chunks: every third in a map of an input file whose path has a colon, the rest in the main map; other fields by rule."""
-    t = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    # all that follows is by order, so items are dealt out once
+    t = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct()
     text = F.concat(F.lit('mt "'), "l_partkey", F.lit('"\n'))
     key = F.concat("l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey")
     top = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("input_chunks:sec:"), F.col("l_suppkey") % 3, F.lit("/a.tex"))).otherwise(TOP)
-    maps = t.groupBy(F.col("l_orderkey").alias("k"), top.alias("top")).agg(F.map_from_entries(F.collect_list(F.struct(key, text))).alias("m"))
-    maps = maps.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("top", F.to_json("m")))).alias("maps"))
+    each = t.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.struct(top.alias("top"), key.alias("key"), text.alias("text"))).alias("c"))
+    chunks = lambda x: F.map_from_entries(F.transform(F.filter("c", lambda y: y["top"] == x), lambda y: F.struct(y["key"], y["text"])))
+    maps = each.select("k", F.transform(F.array_distinct("c.top"), lambda x: F.struct(x.alias("key"), F.to_json(chunks(x)).alias("value"))).alias("maps"))
     k = F.col("k")
     fields = [
         F.when(k % 7 > 0, F.concat(F.lit('"status":"'), F.when(k % 7 == 1, "translating 1/9").otherwise("done"), F.lit('"'))),
         F.when(k % 4 == 0, F.concat(F.lit('"quality":{"score":'), k % 100, F.lit(".5}"))).when(k % 4 == 1, F.lit('"quality":{}')),
         F.when(k % 5 == 0, F.lit('"total_chunks":null')).when(k % 5 == 1, F.concat(F.lit('"total_chunks":'), k % 50)),
         F.when(k % 6 == 0, F.lit('"agentic":true')).when(k % 6 == 1, F.lit('"agentic":false,"source_type":"pdf_only","num_tabs":2')),
-        F.array_join(F.transform(F.map_entries("maps"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
+        F.array_join(F.transform("maps", lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
     ]
     body = F.when(k % 11 > 0, F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))).otherwise("not json")
     return maps.select(F.concat(F.lit("job_"), "k").alias("job_id"), body.alias("json"))
